@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, minhash, mixing, substring_dedup
+from . import bpe, exact_dedup, minhash, mixing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_minhash": minhash.op2_minhash,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_entropy_mix": mixing.op7_entropy_mix,
     "op10_bpe": bpe.op10_bpe,
 }
