@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, minhash, mixing, substring_dedup, toxicity
+from . import bpe, exact_dedup, minhash, mixing, ppm, substring_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_entropy_mix": mixing.op7_entropy_mix,
+    "op8_ppm": ppm.op8_ppm,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
