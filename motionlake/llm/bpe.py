@@ -272,14 +272,15 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded_sha256 of each row: ids that are checked by decoding."""
     v = load_vocabulary(vocabulary or default_vocabulary())
-    return bpe_decode(bpe_encode(docs, v), v).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    return bpe_decode(bpe_encode(docs, v), v).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256."""
+    return encoded(docs, vocabulary).select("doc_id", "n_tokens", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "decoded_sha256")
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, minhash, mixing, ppm, substring_dedup, toxicity
+from . import bpe, chat, exact_dedup, langid, media, minhash, mixing, ppm, substring_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_minhash": minhash.op2_minhash,
+    "op3_media": media.op3_media,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_chat": chat.op6_chat,
     "op7_entropy_mix": mixing.op7_entropy_mix,
     "op8_ppm": ppm.op8_ppm,
+    "op9_language": langid.op9_language,
     "op10_bpe": bpe.op10_bpe,
 }
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_chat": chat.OP6_SQL}

@@ -185,10 +185,22 @@ def fit_held_in(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return fit(docs.where(crc_mod(F.col("doc_id"), 5) != 0), labels.where(crc_mod(F.col("doc_id"), 5) != 0))
 
 
+def clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text the model does not call toxic, all columns, in one pass."""
+    bound_batches(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model does not call toxic, all columns."""
-    bad = score(docs, fit_held_in(docs, labels)).where("predicted = 1").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+    return clean(docs, fit_held_in(docs, labels))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
