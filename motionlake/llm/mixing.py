@@ -5,8 +5,8 @@ the uniform rate 1 under ``sum(r * size) = target`` and ``0 <= r <= cap``; the
 solution is ``min(cap, exp(lambda * size / scale))`` with one dual variable per
 source. Newton steps for all sources run at once over the exact size histogram.
 The rates are rounded to copies by comparing their fractions with a hash of the
-id; a threshold per source, found by three passes of ever finer buckets, and one
-last document make the rounded words meet the target to a few words.
+id; a threshold per source, found by three passes of ever finer buckets, and a few
+last documents make the rounded words meet the target to a few words.
 """
 
 from __future__ import annotations
@@ -83,14 +83,15 @@ def dual_rates(hist: DataFrame, targets: DataFrame, cap: float = 2.0, steps: int
     return now.select("source", "scale", F.when(F.col("full"), 1e9).otherwise(F.col("lam")).alias("lam"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, fixes: int = 8) -> DataFrame:
     """One row per input row: doc_id, size, source, source_size, target, rate, copies, taken.
 
     ``taken = copies * size`` and ``copies <= cap``. Null texts have size 0, and
     rows of size 0 get one copy (they take no words); null sources form one source
     that comes last; repeated rows share one hash and so one number of copies; an
-    empty table gives no rows. Other columns are not read. Reruns agree: all
-    choices depend on the id and on exact sums.
+    empty table gives no rows. Other columns are not read. At most ``fixes`` documents
+    of a source (never rows without an id) are changed by a copy to come nearer to its
+    target. Reruns agree: all choices depend on the id and on exact sums.
     """
     sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     targets = materialize(source_targets(sized, weights, share, float(cap)), "targets")
@@ -122,14 +123,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         found = materialize(found.join(nxt, F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.when(none, F.col("need")).otherwise(F.col("need") - F.col("a")).alias("need"), F.when(none, F.col("low") + F.col("width")).otherwise(F.col("l")).alias("low"), F.when(none, 0.0 if last else 1e-9).otherwise(F.col("w")).alias("width")), "threshold")
     copies = F.least(F.lit(cap), F.col("base") + F.when(F.col("margin") >= F.col("low"), 1).otherwise(0)).cast("int")
     rounded = materialize(ready.alias("r").join(found.select("source", "low").alias("f"), F.col("r.source").eqNullSafe(F.col("f.source"))).select("doc_id", "size", "r.source", "source_size", "target", "rate", copies.alias("copies")), "rounded")
-    # What is left of a source's need, under one document, goes to the document whose size is nearest to it.
-    off = rounded.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
-    can = F.when(F.col("off") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & (F.abs(F.abs("off") - F.col("size")) < F.abs("off"))
-    at = rounded.alias("r").join(materialize(off, "off").alias("o"), F.col("r.source").eqNullSafe(F.col("o.source"))).where(can)
-    nearest = at.groupBy("r.source").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("size")).alias("by"), F.xxhash64("doc_id").alias("order"), "doc_id", F.signum("off").cast("int").alias("change"))).alias("m"))
-    change = materialize(nearest.select(F.col("m.doc_id").alias("_id"), F.col("m.change").alias("change")), "change")
+    # What is left of a source's need goes, turn by turn, to the document whose size is nearest to it.
+    changes = rounded.select(F.col("doc_id").alias("_id"), F.lit(0).alias("change")).limit(0)
     out = F.col("copies") + F.coalesce("change", F.lit(0))
-    return rounded.join(change, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "size", "source", "source_size", "target", "rate", out.alias("copies"), (out * F.col("size")).alias("taken"))
+    for _ in range(fixes):
+        now = rounded.join(changes, F.col("doc_id") == F.col("_id"), "left").withColumn("copies", out)
+        off = materialize(now.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off")), "off")
+        can = F.when(F.col("off") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & F.col("doc_id").isNotNull() & (F.abs(F.abs("off") - F.col("size")) < F.abs("off"))
+        at = now.alias("r").join(off.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source"))).where(can)
+        nearest = at.groupBy("r.source").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("size")).alias("by"), F.xxhash64("doc_id").alias("order"), "doc_id", F.signum("off").cast("int").alias("change"))).alias("m"))
+        change = materialize(nearest.select(F.col("m.doc_id").alias("_id"), F.col("m.change").alias("change")), "change")
+        if change.isEmpty():
+            break
+        changes = materialize(changes.union(change).groupBy("_id").agg(F.sum("change").cast("int").alias("change")), "changes")
+    fixed = rounded.join(changes, F.col("doc_id") == F.col("_id"), "left")
+    return fixed.select("doc_id", "size", "source", "source_size", "target", "rate", out.alias("copies"), (out * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
