@@ -5,9 +5,11 @@ bins borrow from filled ones by optimal densification (a fresh hash of bin and
 attempt picks the lender). Bands of rows of the signature are buckets; within a
 bucket only star-shaped edges from a centre are candidates, so their number grows
 with the members and not with their square. Each candidate is confirmed on the full
-shingle sets. Because a star can hide a link between two members, buckets whose
-members have not all met in one component get further centres, until every two
-members are in one component or were compared.
+shingle sets. Because a star can hide a link between two members, the members of
+buckets that have not all met in one component are settled exactly: two sets of
+enough similarity share one of their rarest shingles, so these few are the keys of
+finer groups, which get further centres until every two members that could be
+linked are in one component or were compared.
 """
 
 from __future__ import annotations
@@ -90,27 +92,81 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full shingle sets share ``percent`` of their union."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    firsts = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = firsts.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full shingle sets share ``percent`` of their union;
+    texts: rows (node, text)."""
+    firsts = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = firsts.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (shingle_sets(Words(batch.column(i), lower=True), k) for i in (2, 3))
             ok = []
             for x, y in zip(left, right, strict=True):
-                shared = 0
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    at = np.searchsorted(y, x)
-                    shared = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+                at = np.searchsorted(y, x)
+                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
                 ok.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def rarest_keys(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (key, node, size, pos, most, index, odd): each set's rarest shingles that others have too.
+
+    Two sets are linked if their common part is at least ``percent / (100 + percent)``
+    of both sizes together. So the first common shingle in order of rarity stands at a
+    place ``pos`` of each set from which on that much is left. That bounds the other
+    set's size (``most``), the places to look at, and, for the smaller set of a pair,
+    the places more tightly (``index``). Any fixed order is right; by rarity, keys are
+    the most telling. ``odd`` counts the shingles that no other set has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(Words(batch.column(1), lower=True), k)
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            at = pa.array(np.repeat(np.arange(len(sets)), size))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.repeat(size, size)), pa.array(np.concatenate([*sets, np.zeros(0, _U)]).view(np.int64))], ["node", "size", "key"])
+
+    rows = materialize(texts.select("node", "text").mapInArrow(run, "node long, size long, key long").distinct(), "shingles")
+    often = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "frequencies")
+    named = rows.join(often, "key", "left").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key"))).alias("keys"), F.count_if(F.col("n").isNull()).alias("odd"))
+    probe = f"size - (size * {percent} + 99) div 100 + 1"
+    first = named.select("node", "size", "odd", F.posexplode(F.slice("keys", F.lit(1), F.expr(f"cast({probe} as int)"))).alias("pos", "k")).where("k.n > 1")
+    most = F.expr(f"(size - pos) * {100 + percent} div {percent} - size")
+    placed = materialize(first.select("k.key", "node", "size", "pos", most.alias("most"), (most >= F.col("size")).alias("index"), "odd"), "keys")
+    least = placed.groupBy("key").agg(F.min("size").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return placed.join(least, "key").where("most >= least").drop("least")
+
+
+def settle(keys: DataFrame, texts: DataFrame, tested: DataFrame, links: DataFrame, comp: DataFrame, k: int, percent: int) -> DataFrame:
+    """Components after all links within the groups of ``keys`` are found.
+
+    Each turn chooses more centres among a group's index members, the least odd
+    first, compares them with the members of other components, and closes groups that
+    lie in one component or have no such member left.
+    """
+    left, centres = materialize(keys, "keys"), 4
+    while True:
+        at = left.join(comp, "node", "left").select(*left.columns, F.coalesce("comp", "node").alias("comp"))
+        open_ = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("index").alias("some")).where("c0 < c1 and some").select("key")
+        now = materialize(at.join(open_, "key"), "open")
+        if now.isEmpty():
+            return comp
+        chosen = now.where("index").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("slice")).agg(F.min(F.struct("odd", "node", "comp", "size", "most")).alias("c"))
+        chosen = materialize(chosen.select("key", *(F.col(f"c.{x}").alias(f"centre_{x}") for x in ("node", "comp", "size", "most"))), "centres")
+        new = now.join(chosen, "key").where("comp <> centre_comp and most >= centre_size and centre_most >= size")
+        new = new.where(f"100 * least(size, centre_size) >= {percent} * greatest(size, centre_size)").select(F.least("node", "centre_node").alias("a"), F.greatest("node", "centre_node").alias("b")).distinct()
+        new = materialize(new.join(tested, ["a", "b"], "left_anti"), "candidates")
+        if not new.isEmpty():
+            tested = materialize(tested.union(new), "tested")
+            links = materialize(links.union(confirm(new, texts, k, percent)), "links")
+            comp = components(links)
+        left = materialize(now.drop("comp").join(chosen.select("key", F.col("centre_node").alias("node")), ["key", "node"], "left_anti").select(*left.columns), "left")
+        centres *= 4
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -126,30 +182,23 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_ = materialize(sketches(docs, id_col, text_col, k, bins, rows), "sketches")
     # Equal sets are one node, named by its smallest id.
     nodes = materialize(rows_.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node")), "nodes")
-    reps = rows_.join(nodes, (rows_["set_key"] == nodes["set_key"]) & (rows_["doc_id"] == nodes["node"])).select("node", "bands").dropDuplicates(["node"])
-    members = reps.select("node", F.explode("bands").alias("bucket"))
-    buckets = materialize(members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").select("bucket", "centre"), "buckets")
-    members = materialize(members.join(buckets, "bucket").select("bucket", "node", "centre"), "members")
-    pairs = materialize(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
-    tested, links = pairs, materialize(confirm(pairs, docs, id_col, text_col, k, percent), "links")
-    left = members.where("node <> centre").select("bucket", "node")
-    centres = 1
-    while True:
-        comp = components(links)
-        # Members that aren't centres yet, of buckets where these are in several components.
-        at = left.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        open_ = at.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
-        left_now = materialize(at.join(open_, "bucket"), "open")
-        if left_now.isEmpty():
-            break
-        centres *= 2
-        chosen = materialize(left_now.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("slice")).agg(F.min(F.struct("node", "comp")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")), "centres")
-        new = left_now.join(chosen, "bucket").where("comp <> centre_comp").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        new = materialize(new.join(tested, ["a", "b"], "left_anti"), "candidates")
-        if not new.isEmpty():
-            tested = materialize(tested.union(new), "tested")
-            links = materialize(links.union(confirm(new, docs, id_col, text_col, k, percent)), "links")
-        left = materialize(left_now.select("bucket", "node").join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti"), "left")
+    reps = rows_.join(nodes, (rows_["set_key"] == nodes["set_key"]) & (rows_["doc_id"] == nodes["node"])).select("node", "n_shingles", "bands").dropDuplicates(["node"])
+    members = reps.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    centre = F.min(F.struct("node", "n_shingles"))
+    buckets = materialize(members.groupBy("bucket").agg(centre.alias("c"), F.count("*").alias("n")).where("n > 1").select("bucket", "n", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size")), "buckets")
+    members = materialize(members.join(buckets, "bucket").select("bucket", "node", "n_shingles", "n", "centre", "centre_size"), "members")
+    pairs = materialize(members.where("node <> centre").where(f"100 * least(n_shingles, centre_size) >= {percent} * greatest(n_shingles, centre_size)").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
+    some = members.select(F.col("node").alias("n")).distinct()
+    texts = materialize(docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(some, F.col("node") == F.col("n"), "left_semi"), "texts")
+    links = materialize(confirm(pairs, texts, k, percent), "links")
+    comp = components(links)
+    # Members of buckets of three or more that are in several components.
+    at = members.where("n > 2").join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    open_ = at.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
+    unsettled = materialize(at.join(open_, "bucket").select(F.col("node").alias("n")).distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        theirs = materialize(texts.join(unsettled, F.col("node") == F.col("n"), "left_semi"), "texts")
+        comp = settle(rarest_keys(theirs, k, percent), theirs, pairs, links, comp, k, percent)
     named = materialize(nodes.join(comp, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp")), "named")
     out = rows_.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
