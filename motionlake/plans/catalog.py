@@ -1,6 +1,182 @@
-"""The registered motion queries and their SQL."""
+"""The registered motion queries; ``oracle`` has the same queries as SQL.
+
+Each takes (spark, sf_dir), reads the whole tables through the views, and rounds
+doubles so that results compare across engines.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.columns import rounded
+from ..operators import dataset, detect, frames, learn, tracks
+from ..sources import views
+from ..streaming import events as event_windows
+from . import oracle, programs
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Doubles rounded to six digits, whole numbers as long."""
+    kind = {f.name: f.dataType for f in df.schema}
+    out = {n: rounded(n) for n, t in kind.items() if isinstance(t, T.DoubleType)} | {n: F.col(n).cast("long") for n, t in kind.items() if isinstance(t, (T.IntegerType, T.DecimalType))}
+    return df.withColumns(out) if out else df
+
+
+def _points(f, *a, **k):
+    return lambda spark, d: f(views.track_points(spark, d), *a, **k)
+
+
+def _lengths(f, *a, **k):
+    return lambda spark, d: f(tracks.lengths(views.track_points(spark, d)), *a, **k)
+
+
+def _frames(f):
+    return lambda spark, d: f(views.frames(spark, d))
+
+
+VIDEO = F.col("frame_no") % 10
+
+
+def _quality(spark, d):
+    return frames.quality(views.frames(spark, d))
+
+
+def _steps(spark, d):
+    return tracks.steps(views.track_points(spark, d)).where("dx is not null").select("video_id", F.col("seq").alias("frame_no"), "dx", "dy")
+
+
+def _outcomes(spark, d):
+    return dataset.video_outcomes(views.manifest(spark, d), views.detections(spark, d), tracks.lengths(views.track_points(spark, d)))
+
+
+def _metrics(spark, d):
+    points = views.track_points(spark, d)
+    return tracks.tracker_metrics(tracks.lengths(points).withColumn("disappeared", F.col("track_id") % 3), 100)
+
+
+def _blobs(spark, d):
+    boxes = detect.min_area(views.detections(spark, d))
+    area = F.col("w") * F.col("h")
+    per = boxes.groupBy("video_id", "frame_no").agg((F.sum(area) / 307200.0).alias("coverage"), F.count("*").alias("n_blobs"), F.percentile(area, F.lit(0.5)).alias("median_area"))
+    scored = frames.mask_score(per, 307200.0)
+    return scored.withColumn("threshold", frames.relaxed_threshold(F.col("score"), 0.4, 16.0, 10.0, 8.0))
+
+
+def _knn(spark, d):
+    vectors = views.table(spark, d, "embeddings")
+    return learn.nearest(vectors, vectors)
+
+
+def _knn_votes(spark, d):
+    vectors = views.table(spark, d, "embeddings").select("vec_id", "label")
+    near = _knn(spark, d).join(vectors, F.col("other") == F.col("vec_id")).select("id", "label")
+    voted = learn.vote(near)
+    return voted.join(vectors.select(F.col("vec_id").alias("id"), F.col("label").alias("truth")), "id")
+
+
+def _predictions(spark, d):
+    """Three fixed pseudo-models over the labelled vectors."""
+    rows = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("truth"))
+    said = [F.struct(F.lit(f"m{m}").alias("model"), F.when(F.col("id") % (m + 2) == 0, (F.col("truth") + m) % 10).otherwise(F.col("truth")).alias("label")) for m in (1, 2, 3)]
+    return rows.select("id", "truth", F.explode(F.array(*said)).alias("s")).select("id", "truth", "s.model", "s.label")
+
+
+def _ema_vote(spark, d):
+    said = _predictions(spark, d)
+    accuracy = said.groupBy("model").agg(F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"))
+    weights = learn.model_weights(accuracy, 0.7)
+    return learn.vote(said.join(F.broadcast(weights), "model"), weight=F.round("weight", 9))
+
+
+def _ema_quality(spark, d):
+    points = views.track_points(spark, d).withColumn("raw", F.col("y") / 100)
+    return tracks.ema_quality(points)
+
+
+def _frame_rolling(spark, d):
+    change = frames.frame_difference(views.frames(spark, d), VIDEO)
+    return frames.rolling_threshold(change.select("video_id", "frame_no", "mean_change"), "mean_change")
+
+
+def _folds(spark, d):
+    rows = views.table(spark, d, "embeddings").select("vec_id", "label")
+    dealt = learn.stratified_folds(rows, "label", "vec_id", order=F.col("vec_id"))
+    return dealt.groupBy("fold", "label").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
+
+
+def _cv_summary(spark, d):
+    said = _predictions(spark, d).withColumn("fold", F.col("id") % 5)
+    per = said.groupBy("model", "fold").agg(F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"))
+    return per.groupBy("model").agg(F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"))
+
+
+_RAW = {
+    "trajectory_track": _points(tracks.trajectory_features),
+    "trajectory_video": lambda s, d: tracks.pool(tracks.trajectory_features(views.track_points(s, d)), tracks.TRAJECTORY),
+    "circular_motion": _points(tracks.circular_features),
+    "kinematics": _points(tracks.kinematics_features),
+    "shape_curvature": _points(tracks.curvature_features),
+    "interaction": _points(tracks.interaction_features),
+    "temporal_context": _points(tracks.temporal_context),
+    "tracker_metrics": _metrics,
+    "length_percentiles": _lengths(tracks.length_percentiles),
+    "length_retention": _lengths(tracks.length_retention),
+    "length_histogram": _lengths(tracks.length_histogram),
+    "track_confidence": _lengths(tracks.track_confidence),
+    "trajectory_cap": _points(tracks.cap_trajectory, 20),
+    "ema_track_quality": _ema_quality,
+    "detection_stats": lambda s, d: detect.detection_stats(detect.min_area(views.detections(s, d), 1500), views.detections(s, d)),
+    "iou_pairs": lambda s, d: detect.iou_pairs(views.detections(s, d)),
+    "centroid_distance_topk": lambda s, d: detect.nearest_next(views.detections(s, d)),
+    "bbox_normalise": lambda s, d: detect.normalised_boxes(views.detections(s, d), views.manifest(s, d)),
+    "frame_sampling": lambda s, d: detect.sample_frames(views.detections(s, d), 5),
+    "clip_indices": lambda s, d: detect.clip_indices(views.detections(s, d)),
+    "resolution_stats": lambda s, d: dataset.resolution_stats(views.manifest(s, d)),
+    "fps_duration_stats": lambda s, d: dataset.value_stats(views.manifest(s, d)),
+    "min_length_report": lambda s, d: dataset.min_length_report(views.manifest(s, d)),
+    "group_manifest": lambda s, d: dataset.groups(views.manifest(s, d)),
+    "group_names": lambda s, d: dataset.group_names(views.manifest(s, d), ("activity",)).select("activity", F.size("names").alias("n"), F.array_join("names", "|").alias("names")),
+    "group_sample": lambda s, d: dataset.sample_per_group(views.manifest(s, d), 2, order=F.col("video_id")),
+    "missing_videos_anti": lambda s, d: dataset.missing(views.manifest(s, d), views.detections(s, d)).select("video_id", "series_name"),
+    "existing_videos_semi": lambda s, d: dataset.existing(views.manifest(s, d), views.detections(s, d)).select("video_id", "series_name"),
+    "manifest_left_join": lambda s, d: dataset.with_metadata(detect.detection_stats(views.detections(s, d)).select("video_id", "n_frames"), views.manifest(s, d)),
+    "failure_reason": lambda s, d: _outcomes(s, d).select("video_id", "n_det", "n_frames", "n_tracks", "longest", "reason"),
+    "detector_stats_by_group": lambda s, d: dataset.outcome_stats(_outcomes(s, d)),
+    "failures_by_class": lambda s, d: dataset.failures_by_class(_outcomes(s, d)),
+    "class_distribution": lambda s, d: learn.class_distribution(views.table(s, d, "embeddings")),
+    "class_weights": lambda s, d: learn.class_weights(views.table(s, d, "labels"), "toxic"),
+    "training_viability": lambda s, d: learn.training_viability(views.table(s, d, "embeddings")),
+    "label_encode": lambda s, d: learn.encode_labels(views.table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment"),
+    "stratified_folds": _folds,
+    "zscore": lambda s, d: learn.zscores(views.table(s, d, "embeddings")),
+    "knn": _knn,
+    "knn_vote": _knn_votes,
+    "confusion_matrix": lambda s, d: learn.confusion(_knn_votes(s, d)),
+    "weighted_f1": lambda s, d: learn.scores(_knn_votes(s, d)),
+    "cv_summary": _cv_summary,
+    "majority_vote": lambda s, d: learn.vote(_predictions(s, d)),
+    "ema_vote": _ema_vote,
+    "top_features": lambda s, d: learn.between_class_ratio(views.table(s, d, "embeddings")),
+    "frame_quality": _quality,
+    "distortion_label": lambda s, d: frames.distortion_label(_quality(s, d)).select("frame_no", "distortion_type", "is_blurry", "blur_score"),
+    "diagnostic_pool": lambda s, d: frames.pool_quality(_quality(s, d), VIDEO),
+    "lbp_uniform": lambda s, d: frames.pool_bins(frames.texture(views.frames(s, d)), VIDEO),
+    "orientation_hist": lambda s, d: frames.pool_bins(frames.orientation(views.frames(s, d)), VIDEO),
+    "frame_diff_threshold": lambda s, d: frames.frame_difference(views.frames(s, d), VIDEO),
+    "rolling_flow_threshold": _frame_rolling,
+    "mask_score": _blobs,
+    "flow_pool": lambda s, d: frames.flow_pool(_steps(s, d)),
+    "tumbling_event_counts": lambda s, d: event_windows.tumbling_counts(views.table(s, d, "events")),
+    "sliding_event_values": lambda s, d: event_windows.sliding_values(views.table(s, d, "events")),
+    "session_events": lambda s, d: event_windows.sessions(views.table(s, d, "events")),
+}
+
+
+def _tidied(f):
+    return lambda spark, sf_dir: tidy(f(spark, sf_dir))
+
+
+QUERIES = {name: _tidied(f) for name, f in _RAW.items()} | programs.QUERIES
+ORACLE_SQL: dict[str, str] = oracle.SQL
