@@ -1 +1 @@
-
+"""Motion operators: functions from DataFrame to DataFrame."""

@@ -36,7 +36,8 @@ def _frames(f):
     return lambda spark, d: f(views.frames(spark, d))
 
 
-VIDEO = F.col("frame_no") % 10
+def _video():
+    return F.col("frame_no") % 10
 
 
 def _quality(spark, d):
@@ -96,7 +97,7 @@ def _ema_quality(spark, d):
 
 
 def _frame_rolling(spark, d):
-    change = frames.frame_difference(views.frames(spark, d), VIDEO)
+    change = frames.frame_difference(views.frames(spark, d), _video())
     return frames.rolling_threshold(change.select("video_id", "frame_no", "mean_change"), "mean_change")
 
 
@@ -161,10 +162,10 @@ _RAW = {
     "top_features": lambda s, d: learn.between_class_ratio(views.table(s, d, "embeddings")),
     "frame_quality": _quality,
     "distortion_label": lambda s, d: frames.distortion_label(_quality(s, d)).select("frame_no", "distortion_type", "is_blurry", "blur_score"),
-    "diagnostic_pool": lambda s, d: frames.pool_quality(_quality(s, d), VIDEO),
-    "lbp_uniform": lambda s, d: frames.pool_bins(frames.texture(views.frames(s, d)), VIDEO),
-    "orientation_hist": lambda s, d: frames.pool_bins(frames.orientation(views.frames(s, d)), VIDEO),
-    "frame_diff_threshold": lambda s, d: frames.frame_difference(views.frames(s, d), VIDEO),
+    "diagnostic_pool": lambda s, d: frames.pool_quality(_quality(s, d), _video()),
+    "lbp_uniform": lambda s, d: frames.pool_bins(frames.texture(views.frames(s, d)), _video()),
+    "orientation_hist": lambda s, d: frames.pool_bins(frames.orientation(views.frames(s, d)), _video()),
+    "frame_diff_threshold": lambda s, d: frames.frame_difference(views.frames(s, d), _video()),
     "rolling_flow_threshold": _frame_rolling,
     "mask_score": _blobs,
     "flow_pool": lambda s, d: frames.flow_pool(_steps(s, d)),

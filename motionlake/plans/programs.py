@@ -1,5 +1,60 @@
-"""Queries that SQL can't state: trackers, kernels and learned models."""
+"""Queries that SQL can't state: trackers, kernels, detectors and learned models."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import detect, models, shapes, tracking, tracks, vision
+from ..registry import available, build, is_registered, register
+from ..sources import views
+
+for _name in tracking.TRACKERS:
+    if not is_registered("tracker", _name):
+        register("tracker", _name)(lambda detections, kind=_name, **how: tracking.track(detections, kind, **how))
+for _name in (*vision.DETECTORS, vision.Cascade.name):
+    if not is_registered("detector", _name):
+        register("detector", _name)(lambda frames, kind=_name, **how: vision.detect(frames, kind, **how))
+for _name, _f in {"trajectory": tracks.trajectory_features, "circular_motion": tracks.circular_features, "kinematics": tracks.kinematics_features, "shape": tracks.curvature_features, "hull": shapes.hull_features, "wavelet": shapes.wavelet_features, "interaction": tracks.interaction_features}.items():
+    if not is_registered("feature", _name):
+        register("feature", _name)(_f)
+
+
+def _tracked(kind: str):
+    return lambda spark, d: build("tracker", kind, views.detections(spark, d))
+
+
+def tracked_video_features(spark, d) -> DataFrame:
+    """From detections to one feature row per video: track, keep living tracks, features, pooling, context."""
+    boxes = views.detections(spark, d)
+    points = tracking.alive(tracking.track(boxes, "centroid"), boxes)
+    pooled = tracks.pool(tracks.trajectory_features(points), tracks.TRAJECTORY)
+    return pooled.join(tracks.temporal_context(points), "video_id").join(detect.detection_stats(boxes), "video_id")
+
+
+def frame_bytes(spark, d) -> DataFrame:
+    """The gray frames of the views as bytes, ten videos, each enlarged four times."""
+    big = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda c: F.get("pixels", (F.floor(r / 4) * 8 + F.floor(c / 4)).cast("int")))))
+    hexed = F.array_join(F.transform(big, lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    return views.frames(spark, d).select((F.col("frame_no") % 10).alias("video_id"), "frame_no", F.lit(32).alias("height"), F.lit(32).alias("width"), F.unhex(hexed).alias("pixels"))
+
+
+def _model_predictions(spark, d) -> DataFrame:
+    rows = views.table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)))
+    return models.out_of_fold(rows, [f"f{i}" for i in range(64)], "label", "vec_id", lambda: build("model", "random_forest", trees=20), order=F.col("vec_id"))
+
+
+def _components(spark, d) -> DataFrame:
+    rows = [(c, n) for c in ("detector", "tracker", "feature", "model") for n in available(c)]
+    return spark.createDataFrame(rows, "category string, name string")
+
+
+QUERIES = {
+    **{f"track_{k}": _tracked(k) for k in tracking.TRACKERS},
+    "tracked_video_features": tracked_video_features,
+    "hull_features": lambda s, d: shapes.hull_features(views.track_points(s, d)),
+    "wavelet_features": lambda s, d: shapes.wavelet_features(views.track_points(s, d)),
+    **{f"detect_{k}": (lambda s, d, k=k: vision.detect(frame_bytes(s, d), k, least_area=4)) for k in (*vision.DETECTORS, vision.Cascade.name)},
+    "model_out_of_fold": _model_predictions,
+    "components": _components,
+}

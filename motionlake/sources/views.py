@@ -7,10 +7,12 @@ gray frames. All views are narrow projections, so scans read only what they need
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-K = F.get_json_object("props", "$.k").cast("int")
+
+def _k() -> Column:
+    return F.get_json_object("props", "$.k").cast("int")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,7 @@ def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, track_id, seq (from 0), x, y."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 10).alias("video_id"), F.col("user_id").alias("track_id"), (F.row_number().over(order) - 1).cast("long").alias("seq"), F.col("value").alias("x"), K.cast("double").alias("y")
+        (F.col("user_id") % 10).alias("video_id"), F.col("user_id").alias("track_id"), (F.row_number().over(order) - 1).cast("long").alias("seq"), F.col("value").alias("x"), _k().cast("double").alias("y")
     )
 
 
@@ -31,7 +33,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(video).orderBy("ts", "event_id"))
     return table(spark, sf_dir, "events").select(
         video.alias("video_id"), F.floor((place - 1) / 3).alias("frame_no"), F.col("event_id").alias("det_id"),
-        F.floor("value").alias("x"), K.cast("long").alias("y"), (20 + F.col("event_id") % 40).alias("w"), (20 + F.col("event_id") % 30).alias("h"),
+        F.floor("value").alias("x"), _k().cast("long").alias("y"), (20 + F.col("event_id") % 40).alias("w"), (20 + F.col("event_id") % 30).alias("h"),
     )
 
 
