@@ -68,10 +68,10 @@ class Tracker:
         found = [] if first else self.pairs(boxes)
         names, hits, used = [-1] * len(boxes), [1] * len(boxes), set()
         for place, box in found:
-            self.boxes[place] = boxes[box]
+            self.matched(place, boxes[box])
+            self.boxes[place] = boxes[box, :4]
             self.missed[place] = 0
             self.hits[place] += 1
-            self.matched(place, boxes[box])
             names[box], hits[box] = self.ids[place], self.hits[place]
             used.add(place)
         for place in range(len(self.ids)):
@@ -83,7 +83,7 @@ class Tracker:
                 self.ids.append(self.next_id)
                 self.missed.append(0)
                 self.hits.append(1)
-                self.boxes = np.vstack([self.boxes, boxes[box : box + 1]])
+                self.boxes = np.vstack([self.boxes, boxes[box : box + 1, :4]])
                 self.started(boxes[box])
                 self.next_id += 1
         if not first:
@@ -92,7 +92,7 @@ class Tracker:
 
 
 def centres(boxes: np.ndarray) -> np.ndarray:
-    return boxes[:, :2] + np.floor(boxes[:, 2:] / 2)
+    return boxes[:, :2] + np.floor(boxes[:, 2:4] / 2)
 
 
 class Centroid(Tracker):
@@ -123,7 +123,7 @@ class Overlap(Tracker):
         return self.boxes
 
     def pairs(self, boxes):
-        share = iou_matrix(self.expected(), boxes)
+        share = iou_matrix(self.expected(), boxes[:, :4])
         return [(r, c) for r, c in assign(-share) if share[r, c] > self.above]
 
 
@@ -145,7 +145,7 @@ class Sort(Overlap):
 
     @staticmethod
     def measured(box: np.ndarray) -> np.ndarray:
-        x, y, w, h = box
+        x, y, w, h = box[:4]
         return np.array([x + w / 2, y + h / 2, w * h, w / h if h > 0 else 1.0])
 
     def begin(self):
@@ -175,7 +175,38 @@ class Sort(Overlap):
         self.mean, self.cov = ([x[i] for i in stay] for x in (self.mean, self.cov))
 
 
-TRACKERS: dict[str, Callable[..., Tracker]] = {"centroid": Centroid, "iou_hungarian": Overlap, "sort": Sort}
+class Focused(Overlap):
+    """Overlap, with an online appearance model per track that is drawn to its target.
+
+    The model w answers a box's look p with w.p; after each match it takes a step down
+    the gradient ``2 ((1 - eta) w.p - 1) p + 2 lam w``, longer the better the overlap.
+    It starts from small weights that depend on the track's number only. Among pairs
+    of equal overlap the better answer wins. Boxes carry their look after x, y, w, h.
+    """
+
+    def __init__(self, max_gap: int = MAX_GAP, above: float = 0.3, eta: float = 0.5, lam: float = 1e-4, rate: float = 0.02):
+        super().__init__(max_gap, above)
+        self.eta, self.lam, self.rate, self.weights = eta, lam, rate, []
+
+    def pairs(self, boxes):
+        share = iou_matrix(self.expected(), boxes[:, :4])
+        answer = np.stack(self.weights) @ boxes[:, 4:].T if boxes.shape[1] > 4 else 0.0
+        return [(r, c) for r, c in assign(-share - 1e-9 * np.clip(answer, -1, 1)) if share[r, c] > self.above]
+
+    def started(self, box):
+        self.weights.append(np.random.default_rng(self.next_id).standard_normal(len(box) - 4) * 0.01)
+
+    def matched(self, place, box):
+        w, p = self.weights[place], box[4:]
+        step = self.rate * (0.5 + 0.5 * iou_matrix(self.boxes[place : place + 1], box[None, :4])[0, 0])
+        self.weights[place] = w - step * (2 * ((1 - self.eta) * float(w @ p) - 1) * p + 2 * self.lam * w)
+
+    def ended(self, stay):
+        self.weights = [self.weights[i] for i in stay]
+
+
+TRACKERS: dict[str, Callable[..., Tracker]] = {"centroid": Centroid, "iou_hungarian": Overlap, "sort": Sort, "tfcr": Focused}
+LOOK = 9
 
 
 def stepped(tracker: Tracker, frame_no: np.ndarray, det_id: np.ndarray, box: np.ndarray) -> list[tuple]:
@@ -198,11 +229,15 @@ def track(detections: DataFrame, kind: str = "iou_hungarian", **how) -> DataFram
     """One row per detection: video_id, frame_no, det_id, track_id, hits so far, and the box's centre.
 
     Detections of a frame are taken in order of det_id; frame numbers without a
-    detection are empty frames. Rows with a null video, frame or box are left out.
+    detection are empty frames. Rows with a null video, frame or box are left out. The
+    appearance tracker reads ``look`` (nine numbers) if there is such a column.
     """
     make = TRACKERS[kind]
     cols = ["video_id", "frame_no", "det_id", "x", "y", "w", "h"]
-    ready = detections.select(*(F.col(c).cast("long").alias(c) for c in cols)).na.drop()
+    whole = [F.col(c).cast("long").alias(c) for c in cols]
+    if kind == "tfcr" and "look" in detections.columns:  # looks travel as millionths
+        whole += [F.coalesce(F.round(F.get("look", F.lit(i)) * 1e6), F.lit(0)).cast("long").alias(f"look{i}") for i in range(LOOK)]
+    ready = detections.select(*whole).na.drop()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         video, state, held = None, None, None
@@ -219,15 +254,21 @@ def track(detections: DataFrame, kind: str = "iou_hungarian", **how) -> DataFram
             for part in _videos(rows):
                 if part[0, 0] != video:
                     video, state = part[0, 0], make(**how)
-                yield _named(video, stepped(state, part[:, 1], part[:, 2], part[:, 3:].astype(float)))
+                yield _named(video, stepped(state, part[:, 1], part[:, 2], _boxes(part)))
         if held is not None and len(held):
             if held[0, 0] != video:
                 video, state = held[0, 0], make(**how)
-            yield _named(video, stepped(state, held[:, 1], held[:, 2], held[:, 3:].astype(float)))
+            yield _named(video, stepped(state, held[:, 1], held[:, 2], _boxes(held)))
 
     return ready.repartition("video_id").sortWithinPartitions("video_id", "frame_no", "det_id").mapInArrow(run, OUT)
 
 
+def _boxes(rows: np.ndarray) -> np.ndarray:
+    out = rows[:, 3:].astype(float)
+    out[:, 4:] /= 1e6
+    return out
+
+
 def _videos(rows: np.ndarray) -> Iterator[np.ndarray]:
     if len(rows):
         for start, stop in zip(*_runs(rows[:, 0]), strict=True):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detect, models, shapes, tracking, tracks, vision
-from ..registry import available, build, is_registered, register
+from ..operators import detect, frames, models, preprocess, shapes, tracking, tracks, vision
+from ..registry import CATEGORIES, available, build, is_registered, register
 from ..sources import views
 
 for _name in tracking.TRACKERS:
@@ -15,6 +15,9 @@ for _name in tracking.TRACKERS:
 for _name in (*vision.DETECTORS, vision.Cascade.name):
     if not is_registered("detector", _name):
         register("detector", _name)(lambda frames, kind=_name, **how: vision.detect(frames, kind, **how))
+for _name in preprocess.KINDS:
+    if not is_registered("preprocessor", _name):
+        register("preprocessor", _name)(lambda f, kind=_name, **how: preprocess.preprocess(f, kind, **how))
 for _name, _f in {"trajectory": tracks.trajectory_features, "circular_motion": tracks.circular_features, "kinematics": tracks.kinematics_features, "shape": tracks.curvature_features, "hull": shapes.hull_features, "wavelet": shapes.wavelet_features, "interaction": tracks.interaction_features}.items():
     if not is_registered("feature", _name):
         register("feature", _name)(_f)
@@ -39,13 +42,18 @@ def frame_bytes(spark, d) -> DataFrame:
     return views.frames(spark, d).select((F.col("frame_no") % 10).alias("video_id"), "frame_no", F.lit(32).alias("height"), F.lit(32).alias("width"), F.unhex(hexed).alias("pixels"))
 
 
+def _by_appearance(spark, d) -> DataFrame:
+    found = vision.detect(frame_bytes(spark, d), "frame_diff", least_area=4)
+    return tracking.track(preprocess.appearance(frame_bytes(spark, d), found), "tfcr")
+
+
 def _model_predictions(spark, d) -> DataFrame:
     rows = views.table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)))
     return models.out_of_fold(rows, [f"f{i}" for i in range(64)], "label", "vec_id", lambda: build("model", "random_forest", trees=20), order=F.col("vec_id"))
 
 
 def _components(spark, d) -> DataFrame:
-    rows = [(c, n) for c in ("detector", "tracker", "feature", "model") for n in available(c)]
+    rows = [(c, n) for c in CATEGORIES for n in available(c)]
     return spark.createDataFrame(rows, "category string, name string")
 
 
@@ -55,6 +63,11 @@ QUERIES = {
     "hull_features": lambda s, d: shapes.hull_features(views.track_points(s, d)),
     "wavelet_features": lambda s, d: shapes.wavelet_features(views.track_points(s, d)),
     **{f"detect_{k}": (lambda s, d, k=k: vision.detect(frame_bytes(s, d), k, least_area=4)) for k in (*vision.DETECTORS, vision.Cascade.name)},
+    **{f"preprocess_{k}": (lambda s, d, k=k: preprocess.preprocess(frame_bytes(s, d), k, height=48, width=64).drop("pixels")) for k in preprocess.KINDS},
+    "optical_flow": lambda s, d: preprocess.mean_flow(preprocess.flow_vectors(frame_bytes(s, d))),
+    "global_flow": lambda s, d: frames.flow_pool(preprocess.flow_vectors(frame_bytes(s, d))),
+    "keypoints": lambda s, d: preprocess.keypoints(frame_bytes(s, d)),
+    "track_by_appearance": _by_appearance,
     "model_out_of_fold": _model_predictions,
     "components": _components,
 }

@@ -140,3 +140,44 @@ def test_registry():
     with pytest.raises(ValueError):
         registry.register("preprocessor", "test_only")
     assert registry.build("preprocessor", "test_only") == 1
+
+
+def test_preprocessing(spark):
+    from motionlake.functions import images
+    from motionlake.operators import preprocess
+
+    rng = np.random.default_rng(0)
+    sharp = rng.integers(0, 255, (24, 32)).astype(np.uint8)
+    rows = [(0, 0, 24, 32, bytearray(sharp.tobytes())), (0, 1, 24, 32, bytearray(bytes([20]) * 768)), (0, 2, 24, 32, bytearray(bytes([220]) * 768)), (0, 3, 24, 32, bytearray(b"x")), (0, 4, None, None, None)]
+    frames = spark.createDataFrame(rows, "video_id long, frame_no long, height int, width int, pixels binary")
+    got = {r["frame_no"]: r for r in preprocess.preprocess(frames, height=48, width=64).collect()}
+    assert sorted(got) == [0, 1, 2] and got[0]["distortion_type"] == "pristine" and not got[0]["enhanced"]
+    assert got[1]["distortion_type"] == got[2]["distortion_type"] == "blurry+exposure" and got[1]["enhanced"] and len(got[1]["pixels"]) == 48 * 64
+    for how in ({"for_blur": "wiener", "for_exposure": "bilateral"}, {"for_blur": "none", "for_exposure": "none"}):
+        assert preprocess.preprocess(frames, height=24, width=32, **how).count() == 3
+    assert [r["blur_score"] for r in preprocess.preprocess(frames, "passthrough").collect()] == [None] * 3
+    assert preprocess.preprocess(frames, "standard", height=24, width=32).where("brightness is not null").count() == 3
+    flat = np.full((9, 9), 7, np.uint8)
+    assert (images.to_bytes(images.gaussian(flat)) == 7).all() and (images.resized(flat, 4, 20) == 7).all() and (images.wiener(flat) == 7).all() and (images.bilateral(flat) == 7).all()
+    assert (images.stretched(flat) == 7).all() and images.laplacian_variance(flat) == 0 and (images.gamma(np.array([0, 255], np.uint8)) == [0, 255]).all()
+
+
+def test_flow_of_a_shifted_scene(spark):
+    from motionlake.operators import frames as frame_ops
+    from motionlake.operators import preprocess
+
+    scene = np.random.default_rng(2).integers(0, 255, (32, 96)).astype(np.uint8)
+    rows = [(0, f, 32, 48, bytearray(np.ascontiguousarray(scene[:, 2 * f : 2 * f + 48]).tobytes())) for f in range(6)]
+    frames = spark.createDataFrame(rows, "video_id long, frame_no long, height int, width int, pixels binary")
+    vectors = preprocess.flow_vectors(frames)
+    inner = vectors.where("x > 8 and x < 40").select("dx", "dy").distinct().collect()
+    assert [tuple(r) for r in inner] == [(-2.0, 0.0)]
+    pooled = frame_ops.flow_pool(vectors).collect()[0]
+    assert pooled["flow_mean_mag"] > 1.5 and pooled["flow_hof_mean_4"] > 0.5
+    assert preprocess.keypoints(frames).count() > 0
+
+
+def test_appearance_tracker_follows_overlap(spark):
+    rows = moving(range(20))
+    looks = spark.createDataFrame([(*r, [float(r[2])] + [0.0] * 8) for r in rows], SCHEMA + ", look array<double>")
+    assert {(r.det_id, r.track_id) for r in tracking.track(looks, "tfcr").collect()} == {(0, 0), (1, 1)}
