@@ -1,4 +1,4 @@
-"""A hash array from 64-bit keys to their places, for vectorised lookups."""
+"""A hash table from 64-bit keys to numbers, as arrays sorted by hash, for vectorised lookups."""
 
 from __future__ import annotations
 
@@ -6,32 +6,32 @@ import numpy as np
 
 from .wordhash import mix
 
+_U = np.uint64
 
-class HashIndex:
-    """``find(keys)`` gives each key's place in ``known`` (distinct keys), or -1."""
 
-    def __init__(self, known: np.ndarray):
-        known = known.astype(np.uint64)
-        bits = max(4, int(2.5 * len(known) + 1).bit_length())
-        self.mask = np.uint64((1 << bits) - 1)
-        self.slot_key, self.slot_place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        at, todo = mix(known) & self.mask, np.arange(len(known), dtype=np.int32)
-        while len(todo):
-            free = self.slot_place[at] < 0
-            self.slot_place[at[free]] = todo[free]
-            won = self.slot_place[at] == todo
-            self.slot_key[at[won]] = known[todo[won]]
-            todo, at = todo[~won], (at[~won] + np.uint64(1)) & self.mask
+class HashTable:
+    """Distinct keys with columns of numbers; floats are kept in 32 bits.
+
+    The hash's top bits tell where to begin in the sorted hashes. The hash is a
+    bijection, so equal hashes are equal keys, and the keys themselves aren't stored.
+    """
+
+    def __init__(self, keys: np.ndarray, columns: dict[str, np.ndarray]):
+        hashes = mix(keys)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = np.append(hashes[order], _U(2**64 - 1))
+        self.columns = {name: (values[order].astype(np.float32) if values.dtype.kind == "f" else values[order]) for name, values in columns.items()}
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift = _U(64 - bits)
+        self.first = np.searchsorted(self.hashes[:-1], np.arange(1 << bits, dtype=_U) << self.shift).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        keys = keys.astype(np.uint64, copy=False)
-        at = mix(keys) & self.mask
-        place = self.slot_place[at]
-        wrong = np.flatnonzero((place >= 0) & (self.slot_key[at] != keys))
-        at = at[wrong]
-        while len(wrong):
-            at = (at + np.uint64(1)) & self.mask
-            place[wrong] = self.slot_place[at]
-            more = (place[wrong] >= 0) & (self.slot_key[at] != keys[wrong])
-            wrong, at = wrong[more], at[more]
-        return place
+        """Each key's place in the columns, or -1."""
+        h = mix(keys)
+        at = self.first[h >> self.shift]
+        behind = np.flatnonzero(self.hashes[at] < h)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.hashes[at[behind]] < h[behind]]
+        hit = (self.hashes[at] == h) & (at < len(self.hashes) - 1)
+        return np.where(hit, at, np.int32(-1))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, crc_mod, materialize, table
-from .wordhash import mix
+from .hashindex import HashTable
 
 ORDER, BITS = 4, 12  # characters of a run; bits of a character's number
 #: The model is fitted to a sample of about so many characters of each language at most.
@@ -84,32 +84,6 @@ def runs(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[own], np.where(empty, 0, size + 1)
 
 
-class SortedHashes:
-    """Distinct 64-bit keys sorted by hash; the hash's top bits tell where to look."""
-
-    def __init__(self, keys: np.ndarray):
-        hashes = mix(keys)
-        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
-        self.hashes = np.append(hashes[self.order], _U(2**64 - 1))
-        bits = max(4, int(2 * len(keys) + 1).bit_length())
-        self.shift = _U(64 - bits)
-        self.first = np.searchsorted(self.hashes[:-1], np.arange(1 << bits, dtype=_U) << self.shift).astype(np.int32)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's place in the array given, or -1. The hash is a bijection, so equal
-        hashes are equal keys."""
-        if not len(self.order):
-            return np.full(len(keys), -1, np.int32)
-        h = mix(keys)
-        at = self.first[h >> self.shift]
-        behind = np.flatnonzero(self.hashes[at] < h)
-        while len(behind):
-            at[behind] += 1
-            behind = behind[self.hashes[at[behind]] < h[behind]]
-        hit = (self.hashes[at] == h) & (at < len(self.order))
-        return np.where(hit, self.order[np.minimum(at, len(self.order) - 1)], -1)
-
-
 @dataclass
 class LanguageModel:
     """langs: names; alphabet: sorted folded code points, numbered from 1 (others share one number)."""
@@ -129,7 +103,8 @@ class LanguageModel:
 
     def scorer(self):
         """A function from texts to cross-entropies [texts, langs], symbols and has-letter."""
-        runs_at, contexts_at = [SortedHashes(k) for k in self.keys], [SortedHashes(k) for k in self.contexts]
+        runs_at, contexts_at = ([HashTable(k, {"row": np.arange(len(k), dtype=np.int32)}) for k in keys] for keys in (self.keys, self.contexts))
+        logp, gamma = ([a[t.columns["row"]] for a, t in zip(arrays, tables, strict=True)] for arrays, tables in ((self.logp, runs_at), (self.log_gamma, contexts_at)))
 
         def logs(keys: np.ndarray) -> np.ndarray:
             out = np.zeros((len(keys), len(self.langs)), np.float32)
@@ -138,14 +113,14 @@ class LanguageModel:
                 key = keys[todo] & _U((1 << BITS * k) - 1)
                 place = runs_at[k - 1].find(key)
                 hit = place >= 0
-                out[todo[hit]] += self.logp[k - 1][place[hit]]
+                out[todo[hit]] += logp[k - 1][place[hit]]
                 todo, key = todo[~hit], key[~hit]
                 if not len(todo):
                     return out
                 if k > 1:
                     place = contexts_at[k - 1].find(key >> _U(BITS))
                     known = place >= 0
-                    out[todo[known]] += self.log_gamma[k - 1][place[known]]
+                    out[todo[known]] += gamma[k - 1][place[known]]
             out[todo] += self.unseen
             return out
 
@@ -196,7 +171,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: np.ndarray
             shorter, before = np.unique(levels[0][0] & _U((1 << BITS * k) - 1), return_counts=True)
             levels.insert(0, (shorter, before.astype(np.float64)))
         own[lang] = levels
-    keys = [np.unique(np.concatenate([own[lang][k][0] for lang in langs])) for k in range(ORDER)]
+    keys = [np.unique(np.concatenate([np.zeros(0, _U), *(own[lang][k][0] for lang in langs)])) for k in range(ORDER)]
     contexts = [np.unique(k >> _U(BITS)) for k in keys]
     p = [np.zeros((len(k), len(langs))) for k in keys]
     gamma = [np.ones((len(c), len(langs))) for c in contexts]
