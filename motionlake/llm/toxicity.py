@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     bound_batches(docs.sparkSession)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
-    rows = docs.join(marks, F.col(id_col) == F.col("_id")).select("_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), "label")
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(marks, F.col("_doc") == F.col("_id")).select("_id", "text", "label")
     n = marks.count()
     if n > sample_rows:
         rows = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit("toxicity"), "_id"), 32) < int(sample_rows / n * 2**32))
