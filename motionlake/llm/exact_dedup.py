@@ -10,7 +10,7 @@ chunks are dropped before the shuffle, and whole documents never move.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -41,8 +41,8 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
         return materialize(out, "recipes")
     # Identifiers that stand for several contents: an ordinal is added, by a join on the content.
     several = contents.join(shared, "id", "left_semi").withColumn("sha", F.sha2("chunk", 256))
-    smaller = several.select("id", F.col("sha").alias("other")).join(several, "id").where("other < sha")
-    ordinal = materialize(several.join(smaller.groupBy("chunk").agg(F.count("*").alias("k")), "chunk", "left").select("chunk", F.coalesce("k", F.lit(0)).alias("k")), "ordinals")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("sha")) - 1
+    ordinal = materialize(several.select("chunk", place.alias("k")), "ordinals")
     numbered = cut.withColumn("row", F.monotonically_increasing_id())
     pieces = numbered.select("n_chars", "doc_id", F.sha2("norm", 256).alias("text_sha256"), "row", F.posexplode_outer("chunks").alias("pos", "chunk"))
     named = pieces.join(ordinal, "chunk", "left").select("row", "doc_id", "n_chars", "text_sha256", F.when(F.col("chunk").isNotNull(), F.struct("pos", ident(F.col("chunk")).alias("id"), F.coalesce("k", F.lit(0)).alias("k"))).alias("piece"))

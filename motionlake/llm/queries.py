@@ -16,4 +16,9 @@ QUERIES = {
     "op9_language": langid.op9_language,
     "op10_bpe": bpe.op10_bpe,
 }
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op6_chat": chat.OP6_SQL}
+ORACLE_SQL = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op2_minhash": minhash.OP2_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
+    "op6_chat": chat.OP6_SQL,
+}
