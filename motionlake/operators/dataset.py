@@ -41,6 +41,15 @@ def min_length_report(manifest: DataFrame, min_len: int = 30) -> DataFrame:
     return s.select((F.lit(float(min_len)) / F.col("mean_fps")).alias("seconds"), (F.lit(float(min_len)) / (F.col("mean_fps") * F.col("mean_duration_s")) * 100).alias("percent_of_video"))
 
 
+def sampling_steps(manifest: DataFrame, target: int = 100, min_len: int = 30) -> DataFrame:
+    """Per video: frames, the step that samples about ``target`` of them, and the reference track length
+    ``min(min_len, max(10, int(0.6 frames)))``."""
+    n = F.floor(F.col("fps") * F.col("duration_s"))
+    step = F.when(F.col("frames") > target, F.greatest(F.lit(1), F.floor(F.col("frames") / target))).otherwise(1)
+    least = F.least(F.lit(min_len), F.greatest(F.lit(10), F.floor(F.col("frames") * 0.6)))
+    return manifest.withColumn("frames", n).select("video_id", "frames", step.cast("long").alias("step"), least.cast("long").alias("reference_len"))
+
+
 def groups(manifest: DataFrame, by: Sequence[str] = ("activity", "distortion"), name: str = "series_name") -> DataFrame:
     """Number of videos of each group and its first and last name."""
     return manifest.groupBy(*by).agg(F.count("*").alias("n"), F.min(name).alias("first_name"), F.max(name).alias("last_name"))

@@ -41,6 +41,16 @@ def stratified_folds(rows: DataFrame, label: str, id_col: str, folds: int = 5, o
     return rows.withColumn("fold", ((place - 1) % folds).cast("long"))
 
 
+def holdout(rows: DataFrame, label: str, id_col: str, share: float = 0.2, order: Column | None = None) -> DataFrame:
+    """Adds held_out: the first ``share`` of each class in order of a hash of the id (or ``order``), rounded up.
+
+    A class of one row is held in, so every class can be learned.
+    """
+    by = Window.partitionBy(label)
+    place, n = F.row_number().over(by.orderBy(order if order is not None else F.xxhash64(id_col), id_col)), F.count("*").over(by)
+    return rows.withColumn("held_out", (place <= F.ceil(n * share)) & (n > 1))
+
+
 def zscores(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """id, dim, z: each dimension scaled to mean 0 and population deviation 1; a constant one to 0.
 

@@ -86,6 +86,12 @@ def curvature_features(points: DataFrame, fps: float = 10.0) -> DataFrame:
     return found.where("n >= 4").withColumns({"turning_rate_rad_s": F.col("turned") / (F.col("n") / fps), "path_efficiency": ratio(F.col("net"), F.col("path"))}).select(*TRACK, *CURVATURE)
 
 
+def dense_features(points: DataFrame, min_points: int = LONG_TRACK) -> DataFrame:
+    """Length, displacement, speed and direction (radians) of tracks of ``min_points`` or more."""
+    found = steps(points).groupBy(*TRACK).agg(F.count("*").cast("double").alias("dense_traj_length"), _net().alias("dense_traj_displacement"), F.avg("speed").alias("dense_traj_mean_speed"), F.stddev_pop("speed").alias("dense_traj_std_speed"), F.avg("angle").alias("dense_traj_direction_mean"), F.stddev_pop("angle").alias("dense_traj_direction_std"))
+    return found.where(F.col("dense_traj_length") >= min_points)
+
+
 def interaction_features(points: DataFrame, fps: float = 10.0, near: float = 100.0, min_points: int = LONG_TRACK) -> DataFrame:
     """How each track of ``min_points`` or more moves against all others of its video at the same seq.
 

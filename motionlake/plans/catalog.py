@@ -119,6 +119,7 @@ _RAW = {
     "circular_motion": _points(tracks.circular_features),
     "kinematics": _points(tracks.kinematics_features),
     "shape_curvature": _points(tracks.curvature_features),
+    "dense_trajectory": _points(tracks.dense_features),
     "interaction": _points(tracks.interaction_features),
     "temporal_context": _points(tracks.temporal_context),
     "tracker_metrics": _metrics,
@@ -137,6 +138,7 @@ _RAW = {
     "resolution_stats": lambda s, d: dataset.resolution_stats(views.manifest(s, d)),
     "fps_duration_stats": lambda s, d: dataset.value_stats(views.manifest(s, d)),
     "min_length_report": lambda s, d: dataset.min_length_report(views.manifest(s, d)),
+    "sampling_steps": lambda s, d: dataset.sampling_steps(views.manifest(s, d)),
     "group_manifest": lambda s, d: dataset.groups(views.manifest(s, d)),
     "group_names": lambda s, d: dataset.group_names(views.manifest(s, d), ("activity",)).select("activity", F.size("names").alias("n"), F.array_join("names", "|").alias("names")),
     "group_sample": lambda s, d: dataset.sample_per_group(views.manifest(s, d), 2, order=F.col("video_id")),
@@ -151,6 +153,7 @@ _RAW = {
     "training_viability": lambda s, d: learn.training_viability(views.table(s, d, "embeddings")),
     "label_encode": lambda s, d: learn.encode_labels(views.table(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment"),
     "stratified_folds": _folds,
+    "stratified_holdout": lambda s, d: learn.holdout(views.table(s, d, "embeddings").select("vec_id", "label"), "label", "vec_id", order=F.col("vec_id")),
     "zscore": lambda s, d: learn.zscores(views.table(s, d, "embeddings")),
     "knn": _knn,
     "knn_vote": _knn_votes,

@@ -128,6 +128,9 @@ FROM steps JOIN mid USING (video_id, track_id) WHERE angle IS NOT NULL GROUP BY
     "shape_curvature": query("track_points", STEPS, f"""
 SELECT video_id, track_id, {r("avg(turn)", "mean_curvature")}, {r("stddev_pop(turn)", "std_curvature")}, {r("sum(turn) / (count(*) / 10.0)", "turning_rate_rad_s")},
        {r(f"CASE WHEN sum(speed) > 0 THEN {NET} / sum(speed) ELSE 0 END", "path_efficiency")} FROM steps GROUP BY video_id, track_id HAVING count(*) >= 4"""),
+    "dense_trajectory": query("track_points", STEPS, f"""
+SELECT video_id, track_id, {r("count(*)", "dense_traj_length")}, {r(NET, "dense_traj_displacement")}, {r("avg(speed)", "dense_traj_mean_speed")}, {r("stddev_pop(speed)", "dense_traj_std_speed")},
+       {r("avg(angle)", "dense_traj_direction_mean")}, {r("stddev_pop(angle)", "dense_traj_direction_std")} FROM steps GROUP BY video_id, track_id HAVING count(*) >= 15"""),
     "interaction": query("track_points", f"""{STEPS},
 full_ AS (SELECT *, count(*) OVER (PARTITION BY video_id, track_id) AS n FROM steps),
 seen AS (
@@ -175,6 +178,9 @@ SELECT video_id, n_frames, CAST(i AS BIGINT) AS slot, CAST(CASE WHEN n_frames >=
        (SELECT width FROM k GROUP BY width, height ORDER BY count(*) DESC, width, height LIMIT 1) AS common_width, (SELECT height FROM k GROUP BY width, height ORDER BY count(*) DESC, width, height LIMIT 1) AS common_height FROM k"""),
     "fps_duration_stats": query("manifest", "", "SELECT " + ", ".join(f"{r(f'min({c}) FILTER ({c} > 0)', f'min_{c}')}, {r(f'max({c}) FILTER ({c} > 0)', f'max_{c}')}, {r(f'avg({c}) FILTER ({c} > 0)', f'mean_{c}')}, {r(f'stddev_pop({c}) FILTER ({c} > 0)', f'std_{c}')}, count(DISTINCT {c}) FILTER ({c} > 0) = 1 AS same_{c}" for c in ("fps", "duration_s")) + " FROM manifest"),
     "min_length_report": query("manifest", "", f"SELECT {r('30 / (avg(fps) FILTER (fps > 0))', 'seconds')}, {r('30 / ((avg(fps) FILTER (fps > 0)) * (avg(duration_s) FILTER (duration_s > 0))) * 100', 'percent_of_video')} FROM manifest"),
+    "sampling_steps": query("manifest", "n AS (SELECT video_id, CAST(floor(fps * duration_s) AS BIGINT) AS frames FROM manifest)", """
+SELECT video_id, frames, CASE WHEN frames > 100 THEN greatest(1, frames // 100) ELSE 1 END::BIGINT AS step,
+       least(30, greatest(10, CAST(floor(frames * CAST(0.6 AS DOUBLE)) AS BIGINT)))::BIGINT AS reference_len FROM n"""),
     "group_manifest": query("manifest", "", "SELECT activity, distortion, count(*) AS n, min(series_name) AS first_name, max(series_name) AS last_name FROM manifest GROUP BY activity, distortion"),
     "group_names": query("manifest", "", "SELECT activity, count(*) AS n, string_agg(series_name, '|' ORDER BY series_name) AS names FROM manifest GROUP BY activity"),
     "group_sample": query("manifest", "", f"SELECT video_id, series_name, activity, distortion, {r('fps', 'fps')}, {r('duration_s', 'duration_s')}, width, height FROM manifest QUALIFY row_number() OVER (PARTITION BY activity, distortion ORDER BY video_id) <= 2"),
@@ -201,6 +207,8 @@ FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)""",
     "label_encode": "SELECT c_custkey, c_mktsegment, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM customer",
     "stratified_folds": """SELECT fold, label::BIGINT AS label, count(*) AS n, sum(vec_id)::BIGINT AS ids
 FROM (SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 5 AS fold FROM embeddings) GROUP BY fold, label""",
+    "stratified_holdout": """SELECT vec_id, label::BIGINT AS label,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id) <= ceil(count(*) OVER (PARTITION BY label) * CAST(0.2 AS DOUBLE)) AND count(*) OVER (PARTITION BY label) > 1 AS held_out FROM embeddings""",
     "zscore": f"""WITH long AS (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
 SELECT id, CAST(dim AS BIGINT) AS dim, {r("(v - avg(v) OVER (PARTITION BY dim)) / CASE WHEN stddev_pop(v) OVER (PARTITION BY dim) = 0 THEN 1 ELSE stddev_pop(v) OVER (PARTITION BY dim) END", "z")} FROM long""",
     "knn": query("", KNN, f"SELECT id, other, {r('distance', 'distance')}, place FROM near"),

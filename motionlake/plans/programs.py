@@ -35,6 +35,18 @@ def tracked_video_features(spark, d) -> DataFrame:
     return pooled.join(tracks.temporal_context(points), "video_id").join(detect.detection_stats(boxes), "video_id")
 
 
+def tracking_ablation(spark, d) -> DataFrame:
+    """Tracker metrics per video of every tracker over the same detections."""
+    boxes, out = views.detections(spark, d), None
+    frames_ = boxes.agg(F.max("frame_no") + 1).first()[0] or 1
+    for kind in tracking.TRACKERS:
+        points = tracking.alive(tracking.track(boxes, kind), boxes)
+        per = points.groupBy("video_id", "track_id").agg(F.count("*").alias("len"), F.max("disappeared").alias("disappeared"))
+        part = tracks.tracker_metrics(per, frames_).withColumn("tracker", F.lit(kind))
+        out = part if out is None else out.union(part)
+    return out
+
+
 def frame_bytes(spark, d) -> DataFrame:
     """The gray frames of the views as bytes, ten videos, each enlarged four times."""
     big = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda c: F.get("pixels", (F.floor(r / 4) * 8 + F.floor(c / 4)).cast("int")))))
@@ -59,6 +71,7 @@ def _components(spark, d) -> DataFrame:
 
 QUERIES = {
     **{f"track_{k}": _tracked(k) for k in tracking.TRACKERS},
+    "tracking_ablation": tracking_ablation,
     "tracked_video_features": tracked_video_features,
     "hull_features": lambda s, d: shapes.hull_features(views.track_points(s, d)),
     "wavelet_features": lambda s, d: shapes.wavelet_features(views.track_points(s, d)),

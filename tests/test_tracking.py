@@ -181,3 +181,13 @@ def test_appearance_tracker_follows_overlap(spark):
     rows = moving(range(20))
     looks = spark.createDataFrame([(*r, [float(r[2])] + [0.0] * 8) for r in rows], SCHEMA + ", look array<double>")
     assert {(r.det_id, r.track_id) for r in tracking.track(looks, "tfcr").collect()} == {(0, 0), (1, 1)}
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    from motionlake import cli
+
+    assert cli.main(["--list-queries", "--list-components"]) == 0
+    assert "trajectory_video" in (said := capsys.readouterr().out) and "tracker: centroid" in said
+    assert cli.main([]) == 1 and cli.main(["no such query", "--tables", sf_dir]) == 1
+    assert cli.main(["class_distribution", "--tables", sf_dir, "--out", str(tmp_path / "o")]) == 0
+    assert spark.read.json(str(tmp_path / "o")).count() == 10
