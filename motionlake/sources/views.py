@@ -21,10 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, track_id, seq (from 0), x, y."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 10).alias("video_id"), F.col("user_id").alias("track_id"), (F.row_number().over(order) - 1).cast("long").alias("seq"), F.col("value").alias("x"), _k().cast("double").alias("y")
-    )
+    named = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("video_id"), F.col("user_id").alias("track_id"), "ts", "event_id", F.col("value").alias("x"), _k().cast("double").alias("y"))
+    order = Window.partitionBy("video_id", "track_id").orderBy("ts", "event_id")  # the partitioning that track operators want
+    return named.select("video_id", "track_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), "x", "y")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
