@@ -11,6 +11,7 @@ one length together; documents' ids are put together from the fragments' ids.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the pre-tokenizer's pattern.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = np.int32(1 << 30)
-_CACHE = 400_000  # fragments that a worker remembers between batches
+_CACHE = 150_000  # fragments that a worker remembers between batches
 _LONG = 48  # bytes; longer pieces are merged one at a time
 
 
@@ -214,6 +215,20 @@ class Encoder:
         return ids, edge[ends] - edge[ends - n]
 
 
+class Decoder:
+    """Turns ids of batches of texts into texts."""
+
+    def __init__(self, v: Vocabulary):
+        self.pool, self.size = np.frombuffer(b"".join(v.token_bytes), np.uint8), np.fromiter(map(len, v.token_bytes), np.int64, len(v.token_bytes))
+        self.start = np.cumsum(self.size) - self.size
+
+    def decode(self, ids: np.ndarray, n: np.ndarray) -> list[str]:
+        """The texts of n[0], n[1], ... ids in a row; U+FFFD for bytes that aren't UTF-8."""
+        raw = _gather(self.pool, self.start, self.size, ids).tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.size[ids])])[np.cumsum(n)]
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Concatenate ``pool[start[c] : start[c] + size[c]]`` for all c of codes."""
     n = size[codes]
@@ -251,15 +266,10 @@ def bpe_decode(encoded: DataFrame, vocabulary: str | Vocabulary, id_col: str = "
     v = spark.sparkContext.broadcast(load_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = v.value.token_bytes
-        pool, size = np.frombuffer(b"".join(tokens), np.uint8), np.fromiter(map(len, tokens), np.int64, len(tokens))
-        start = np.cumsum(size) - size
+        decoder = Decoder(v.value)
         for batch in batches:
             lists = batch.column(1)
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            raw = _gather(pool, start, size, ids).tobytes()
-            ends = np.concatenate([[0], np.cumsum(size[ids])])[np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            texts = decoder.decode(lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
@@ -272,10 +282,25 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids and decoded_sha256 of each row: ids that are checked by decoding."""
-    v = load_vocabulary(vocabulary or default_vocabulary())
-    return bpe_decode(bpe_encode(docs, v), v).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+def encoded(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids and decoded_sha256 of each row: encoded and decoded again in one pass.
+
+    Rows are treated as by bpe_encode and bpe_decode.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    v = spark.sparkContext.broadcast(load_vocabulary(vocabulary or default_vocabulary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(v.value), Decoder(v.value)
+        for batch in batches:
+            ids, n = encoder.encode(batch.column(1).to_pylist())
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            digests_ = [hashlib.sha256(t.encode()).hexdigest() for t in decoder.decode(ids, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(digests_, pa.string())], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

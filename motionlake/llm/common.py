@@ -54,7 +54,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
+def bound_batches(spark: SparkSession, rows: int = 1000, mb: int = 4) -> None:
     """Arrow batches to Python hold at most so many rows and about so many MB, so
     that a worker's memory doesn't depend on how long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

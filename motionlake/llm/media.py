@@ -155,7 +155,7 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 def inline_media(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Return digest and media (bytes) of the ``data:`` references of pages, each digest once."""
-    bound_batches(pages.sparkSession, rows=500, mb=8)
+    bound_batches(pages.sparkSession, rows=500, mb=4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

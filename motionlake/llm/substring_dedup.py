@@ -129,7 +129,7 @@ def _factors(pairs: DataFrame, window: int) -> DataFrame:
 def duplicate_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """Return tk (md5 of the text) and spans (array of first word, end word) of the words
     that lie in a window which also starts elsewhere; texts without any are left out."""
-    bound_batches(docs.sparkSession, rows=1000, mb=8)
+    bound_batches(docs.sparkSession, rows=1000, mb=4)
     texts = docs.select(F.md5(F.coalesce(text_col, F.lit("")).cast("binary")).alias("tk"), F.coalesce(text_col, F.lit("")).alias("text"))
     pieces = _blocks(texts, window, block).withColumn("bk", F.md5(F.col("text").cast("binary")))
     unique = pieces.groupBy("bk").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
@@ -176,7 +176,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives no rows; a null id is kept as it is; other columns are not read.
     """
     spans = materialize(duplicate_spans(docs, text_col, window, **how), "document_spans")
-    bound_batches(docs.sparkSession, rows=1000, mb=8)
+    bound_batches(docs.sparkSession, rows=1000, mb=4)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tk", F.md5(F.col("text").cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,3 +201,16 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+word AS (SELECT doc_id, words[i] AS word, i, len(words) - i >= 34 AS whole, words FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w)),
+win AS (SELECT doc_id, word, i, CASE WHEN whole THEN md5(array_to_string(list_slice(words, i, i + 34), ' ')) END AS k FROM word),
+often AS (SELECT k FROM win WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+marked AS (
+  SELECT doc_id, word, i, coalesce(max(CASE WHEN often.k IS NOT NULL THEN i END) OVER (PARTITION BY doc_id ORDER BY i) > i - 35, false) AS gone
+  FROM win LEFT JOIN often ON win.k = often.k),
+done AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN done USING (doc_id)
+"""
