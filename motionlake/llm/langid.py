@@ -27,7 +27,6 @@ ORDER, BITS = 4, 12  # characters of a run; bits of a character's number
 #: The model is fitted to a sample of about so many characters of each language at most.
 SAMPLE_CHARS = 4_000_000
 _U = np.uint64
-_MASK = _U((1 << BITS) - 1)
 _PART = 1 << 18
 
 

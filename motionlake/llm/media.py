@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
-import html as html_lib
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,21 +43,37 @@ class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
-        self.run: list[str] = []
+        self.run: list[str] = []  # text since the last item
         self.caption: list[str] | None = None  # text of the figcaption that is open
-        self.figures: list[int] = []  # for each open figure, the first item that it may hold
+        self.figures: list[list] = []  # of each open figure, its first item's place and its caption
         self.hidden: list[str] = []
 
+    def read(self, page: str | None) -> list[dict]:
+        self.feed(page or "")
+        self.close()
+        self.flush()
+        while self.figures:
+            self.end_figure()
+        return self.items
+
     def flush(self) -> None:
         text = _BLANK.sub(" ", "".join(self.run)).strip()
         self.run.clear()
         if text:
             self.items.append({"kind": "text", "text": text})
 
+    def end_figure(self) -> None:
+        begin, caption = self.figures.pop()
+        for item in self.items[begin:]:
+            if item["kind"] == "media" and caption:
+                item["caption"] = caption
+
     def handle_starttag(self, tag, attrs) -> None:
+        if tag == "body":
+            self.hidden.clear()
         if tag in HIDDEN:
             self.hidden.append(tag)
-        elif tag == "figcaption":
+        elif tag == "figcaption" and self.figures:
             self.flush()
             self.caption = []
         elif tag in BLOCK or tag in MEDIA:
@@ -66,10 +81,8 @@ class _Reader(HTMLParser):
                 self.flush()
             else:
                 self.caption.append(" ")
-        if tag == "body":
-            self.hidden.clear()
         if tag == "figure":
-            self.figures.append(len(self.items))
+            self.figures.append([len(self.items), None])
         given = dict(attrs)
         if tag in MEDIA and given.get("src"):
             self.items.append({"kind": "media", "ref": given["src"].strip(), "caption": given.get("alt") or given.get("title")})
@@ -83,21 +96,13 @@ class _Reader(HTMLParser):
         if tag in self.hidden:
             del self.hidden[self.hidden.index(tag) :]
         elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = _BLANK.sub(" ", "".join(self.caption)).strip(), None
-            for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
-                if item["kind"] == "media" and text:
-                    item["figcaption"] = text
-            if self.figures and text:
-                self.late = (self.figures[-1], text)
-        elif tag in BLOCK:
-            if self.caption is None:
-                self.flush()
+            if self.figures:
+                self.figures[-1][1] = _BLANK.sub(" ", "".join(self.caption)).strip()
+            self.caption = None
+        elif tag in BLOCK and self.caption is None:
+            self.flush()
             if tag == "figure" and self.figures:
-                begin = self.figures.pop()
-                late = getattr(self, "late", None)
-                for item in self.items[begin:] if late and late[0] == begin else ():
-                    if item["kind"] == "media":
-                        item["figcaption"] = late[1]
+                self.end_figure()
 
     def handle_data(self, data) -> None:
         if not self.hidden:
@@ -122,18 +127,14 @@ def parse_html(page: str | None) -> list[dict]:
     A media item's caption is its figure's figcaption, else its alt, else its title.
     The digest is known here for ``sha256:`` and ``data:`` references only.
     """
-    reader = _Reader()
-    reader.feed(page or "")
-    reader.close()
-    reader.flush()
     out = []
-    for position, item in enumerate(reader.items):
+    for position, item in enumerate(_Reader().read(page)):
         ref, digest = item.get("ref"), None
         if ref and ref.startswith("sha256:"):
             digest = ref[7:].lower()
         elif ref and (raw := data_bytes(ref)) is not None:
             digest, ref = hashlib.sha256(raw).hexdigest(), "data:"
-        out.append({"position": position, "kind": item["kind"], "text": item.get("text"), "ref": ref, "digest": digest, "caption": item.get("figcaption") or item.get("caption")})
+        out.append({"position": position, "kind": item["kind"], "text": item.get("text"), "ref": ref, "digest": digest, "caption": item.get("caption")})
     return out
 
 
@@ -161,10 +162,7 @@ def inline_media(pages: DataFrame, html_col: str = "html") -> DataFrame:
         for batch in batches:
             found: dict[str, bytes] = {}
             for page in batch.column(0).to_pylist():
-                reader = _Reader()
-                reader.feed(page or "")
-                reader.close()
-                for item in reader.items:
+                for item in _Reader().read(page):
                     if item["kind"] == "media" and (raw := data_bytes(item["ref"])) is not None:
                         found[hashlib.sha256(raw).hexdigest()] = raw
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.binary())], ["digest", "media"])
@@ -244,12 +242,6 @@ def document_pages(stored: DataFrame) -> DataFrame:
     return stored.select("doc_id", F.concat(F.lit("<article><p>Document "), named, F.lit('</p><figure><img src="sha256:'), "digest", F.lit('" alt="text"><figcaption>'), named, F.lit("</figcaption></figure></article>")).alias("html"))
 
 
-def page_of(text: str, media: dict[str, str]) -> str:
-    """A small page (for tests and examples): paragraphs of text, then media by caption."""
-    figures = "".join(f'<figure><img src="{html_lib.escape(ref)}"><figcaption>{html_lib.escape(c)}</figcaption></figure>' for c, ref in media.items())
-    return "".join(f"<p>{html_lib.escape(p)}</p>" for p in text.split("\n")) + figures
-
-
 def op3_media(spark, sf_dir: str) -> DataFrame:
     stored = store(table(spark, sf_dir, "documents"))
     known = materialize(features(stored), "features")
