@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.kernels import block_flow, boxes, cleaned
 
@@ -103,7 +104,58 @@ class Cascade:
                 self.found = 0
 
 
-DETECTORS = {d.name: d for d in (FrameDiff, Background, Flow)}
+class Adaptive(Background):
+    """The background model, tried again with a lower threshold on frames whose mask is poor.
+
+    A mask's quality is that of its coverage, number and size of regions; it is mixed
+    with a prior on how well tracking goes, which ``feedback`` moves. The second mask
+    is taken only if it is strictly better; the model learns each frame once.
+    """
+
+    name = "adaptive_mog2"
+
+    def __init__(self, history: int = 20, threshold: float = 16.0, relaxed: float = 10.0, floor: float = 8.0, enough: float = 0.4, mask_weight: float = 0.7, ema: float = 0.8, least_area: int = 500):
+        super().__init__(history, threshold, adaptive=False)
+        self.relaxed, self.floor, self.enough, self.mask_weight, self.ema, self.least_area = relaxed, floor, enough, mask_weight, ema, least_area
+        self.prior, self.sums = 1.0, dict.fromkeys(("frames", "mask_quality", "track_quality", "threshold", "triggered", "accepted"), 0.0)
+
+    def feedback(self, lengths: list[int], matched: int, min_len: int = 5) -> None:
+        """Move the prior by a frame's tracks: their points and how many were matched."""
+        raw = min(float(np.mean(lengths)) / min_len, 1.0) * matched / len(lengths) if lengths else 0.0
+        self.prior = self.ema * self.prior + (1 - self.ema) * raw
+
+    def quality(self, mask: np.ndarray) -> float:
+        covered = float(mask.mean())
+        areas = [b[4] for b in boxes(mask) if b[4] >= self.least_area]
+        if not 0.0005 <= covered <= 0.25 or not areas:
+            return 0.0
+        clip = lambda v: min(max(v, 0.0), 1.0)
+        return clip(clip(1 - abs(covered - 0.02) / 0.23) * clip(1 - len(areas) / 30) * float(np.tanh(np.median(areas) / mask.size / 0.002)))
+
+    def mask(self, frame: np.ndarray) -> np.ndarray:
+        mean, var = (None, None) if self.mean is None else (self.mean.copy(), self.var.copy())
+        first = super().mask(frame)
+        used, quality = self.threshold, self.quality(first)
+        combined = self.mask_weight * quality + (1 - self.mask_weight) * self.prior
+        out = first
+        if combined < self.enough and mean is not None and mean.shape == frame.shape:
+            lowered = min(max(self.threshold - (self.threshold - self.relaxed) * (1 - combined / self.enough), self.floor), self.threshold)
+            again = cleaned((frame - mean) ** 2 > lowered * var)
+            self.sums["triggered"] += 1
+            if self.quality(again) > quality:
+                out, used = again, lowered
+                self.sums["accepted"] += 1
+        for k, v in (("frames", 1), ("mask_quality", quality), ("track_quality", self.prior), ("threshold", used)):
+            self.sums[k] += v
+        return out
+
+    def diagnostics(self) -> dict[str, float]:
+        """Means over frames, the share of frames tried again, and of those the share accepted."""
+        n, t = max(self.sums["frames"], 1), max(self.sums["triggered"], 1)
+        return {"avg_mask_quality": self.sums["mask_quality"] / n, "avg_track_quality": self.sums["track_quality"] / n, "avg_threshold_used": self.sums["threshold"] / n, "adaptive_trigger_rate": self.sums["triggered"] / n, "rerun_accept_rate": self.sums["accepted"] / t, "n_frames": self.sums["frames"]}
+
+
+DETECTORS = {d.name: d for d in (FrameDiff, Background, Adaptive, Flow)}
 
 
 def stepped(state, frame: np.ndarray, least_area: int) -> tuple[str, list[tuple[int, int, int, int, int]]]:
@@ -120,6 +172,14 @@ def stepped(state, frame: np.ndarray, least_area: int) -> tuple[str, list[tuple[
     return state.name, [b for b in boxes(state.mask(frame)) if b[4] >= least_area]
 
 
+def ground_truth(frames: DataFrame, known: DataFrame) -> DataFrame:
+    """Known boxes (video_id, frame_no, x, y, w, h) of the frames that there are, at most one a frame, as detections."""
+    one = known.groupBy("video_id", "frame_no").agg(F.min(F.struct("x", "y", "w", "h")).alias("b"))
+    return frames.select("video_id", "frame_no").join(one, ["video_id", "frame_no"]).select(
+        "video_id", "frame_no", F.lit(0).cast("long").alias("det_id"), *(F.col(f"b.{c}").cast("int").alias(c) for c in "xywh"), (F.col("b.w") * F.col("b.h")).cast("int").alias("area"), F.lit("ground_truth").alias("detector")
+    )
+
+
 def detect(frames: DataFrame, kind: str = "cascaded_fallback", least_area: int = 500, **how) -> DataFrame:
     """Boxes of each frame: video_id, frame_no, det_id (in the frame), x, y, w, h, area in pixels, detector.
 

@@ -18,6 +18,8 @@ for _name in (*vision.DETECTORS, vision.Cascade.name):
 for _name in preprocess.KINDS:
     if not is_registered("preprocessor", _name):
         register("preprocessor", _name)(lambda f, kind=_name, **how: preprocess.preprocess(f, kind, **how))
+if not is_registered("detector", "ground_truth"):
+    register("detector", "ground_truth")(vision.ground_truth)
 for _name, _f in {"trajectory": tracks.trajectory_features, "circular_motion": tracks.circular_features, "kinematics": tracks.kinematics_features, "shape": tracks.curvature_features, "hull": shapes.hull_features, "wavelet": shapes.wavelet_features, "interaction": tracks.interaction_features}.items():
     if not is_registered("feature", _name):
         register("feature", _name)(_f)
@@ -35,6 +37,17 @@ def tracked_video_features(spark, d) -> DataFrame:
     return pooled.join(tracks.temporal_context(points), "video_id").join(detect.detection_stats(boxes), "video_id")
 
 
+def video_pipeline(spark, d) -> DataFrame:
+    """From frames to one feature row per video: preprocess, detect, track, features, pooling, flow, quality."""
+    seen = frame_bytes(spark, d)
+    found = vision.detect(seen, "frame_diff", least_area=4)
+    points = tracking.alive(tracking.track(found, "iou_hungarian"), seen)
+    pooled = tracks.pool(tracks.trajectory_features(points), tracks.TRAJECTORY)
+    quality = frames.pool_quality(preprocess.preprocess(seen, height=32, width=32).drop("pixels"), F.col("video_id"))
+    flow = frames.flow_pool(preprocess.flow_vectors(seen))
+    return quality.join(flow, "video_id", "left").join(tracks.temporal_context(points), "video_id", "left").join(pooled, "video_id", "left").na.fill(0.0)
+
+
 def tracking_ablation(spark, d) -> DataFrame:
     """Tracker metrics per video of every tracker over the same detections."""
     boxes, out = views.detections(spark, d), None
@@ -71,6 +84,7 @@ def _components(spark, d) -> DataFrame:
 
 QUERIES = {
     **{f"track_{k}": _tracked(k) for k in tracking.TRACKERS},
+    "video_pipeline": video_pipeline,
     "tracking_ablation": tracking_ablation,
     "tracked_video_features": tracked_video_features,
     "hull_features": lambda s, d: shapes.hull_features(views.track_points(s, d)),

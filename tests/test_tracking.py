@@ -191,3 +191,23 @@ def test_command_line(spark, sf_dir, tmp_path, capsys):
     assert cli.main([]) == 1 and cli.main(["no such query", "--tables", sf_dir]) == 1
     assert cli.main(["class_distribution", "--tables", sf_dir, "--out", str(tmp_path / "o")]) == 0
     assert spark.read.json(str(tmp_path / "o")).count() == 10
+
+
+def test_ground_truth_joins_on_the_frame_number(spark):
+    frames = spark.createDataFrame([(0, 0), (0, 5), (0, 9)], "video_id long, frame_no long")
+    known = spark.createDataFrame([(0, 5, 1, 2, 3, 4), (0, 5, 9, 9, 9, 9), (0, 6, 1, 1, 1, 1)], "video_id long, frame_no long, x long, y long, w long, h long")
+    assert [tuple(r)[:8] for r in vision.ground_truth(frames, known).collect()] == [(0, 5, 0, 1, 2, 3, 4, 12)]
+
+
+def test_adaptive_background():
+    a = vision.Adaptive(least_area=4)
+    frame = np.full((64, 64), 100, np.uint8)
+    for f in range(10):
+        moved = frame.copy()
+        moved[20:30, 3 * f : 3 * f + 10] = 160
+        a.mask(moved)
+        a.feedback([], 0)
+    said = a.diagnostics()
+    assert said["n_frames"] == 10 and 0 < said["avg_mask_quality"] <= 1 and said["avg_track_quality"] == pytest.approx(np.mean([0.8**i for i in range(10)]))
+    a.feedback([30, 60], 1)
+    assert a.prior == pytest.approx(0.8 * 0.8**10 + 0.2 * 0.5)
