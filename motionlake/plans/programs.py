@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,9 +66,15 @@ def tracking_ablation(spark, d) -> DataFrame:
 
 def frame_bytes(spark, d) -> DataFrame:
     """The gray frames of the views as bytes, ten videos, each enlarged four times."""
-    big = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda c: F.get("pixels", (F.floor(r / 4) * 8 + F.floor(c / 4)).cast("int")))))
-    hexed = F.array_join(F.transform(big, lambda v: F.lpad(F.hex(v), 2, "0")), "")
-    return views.frames(spark, d).select((F.col("frame_no") % 10).alias("video_id"), "frame_no", F.lit(32).alias("height"), F.lit(32).alias("width"), F.unhex(hexed).alias("pixels"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(-1, 8, 8)
+            big = small.repeat(4, 1).repeat(4, 2)
+            size = pa.array([32] * len(big), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, size, pa.array([f.tobytes() for f in big], pa.binary())], ["video_id", "frame_no", "height", "width", "pixels"])
+
+    return views.frames(spark, d).select((F.col("frame_no") % 10).cast("long").alias("video_id"), F.col("frame_no").cast("long").alias("frame_no"), "pixels").mapInArrow(run, preprocess.FRAME)
 
 
 def _by_appearance(spark, d) -> DataFrame:
