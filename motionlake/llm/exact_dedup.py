@@ -66,10 +66,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; repeated rows once."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    once = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    return once.dropDuplicates([id_col])
+    """The rows of ``docs`` that stay, with all their columns; repeated rows once.
+
+    Whole rows move once, to meet the ids that stay. Only rows without an id or with
+    one that several rows have (seldom any) move again, and are told apart by text.
+    """
+    groups = materialize(exact_groups(docs, id_col, text_col).select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), "kept"), "kept")
+    kept = groups.where("kept").select("_kept_id", "_kept_sha")
+    ids = groups.groupBy("_kept_id").agg(F.count("*").alias("_rows"), F.max("kept").alias("_kept")).where("_kept")
+    ids = materialize(ids.select("_kept_id", ((F.col("_rows") > 1) | F.col("_kept_id").isNull()).alias("_odd")), "kept_ids")
+    of = lambda which: docs.join(ids.where(which), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    if ids.where("_odd").isEmpty():
+        return of("true")
+    odd = of("_odd").withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
+    odd = odd.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    longest = Window.partitionBy(F.col(id_col), "_sha").orderBy(F.desc(F.length(F.col(text_col))))
+    odd = odd.withColumn("_place", F.row_number().over(longest)).where("_place = 1")
+    return of("not _odd").unionByName(odd.drop("_place", "_sha"))
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -249,3 +249,9 @@ def test_pipeline_stages(spark, sf_dir):
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_exact_with_ids_that_name_several_texts(spark):
+    rows = [(3, "same words"), (7, "other"), (7, "samewords"), (8, "a b"), (8, "a  b"), (None, "x"), (None, "x "), (None, "same words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert some(exact_dedup.drop_exact(docs).collect(), "doc_id", "text") == sorted([(3, "same words"), (7, "other"), (8, "a  b"), (None, "x ")], key=repr)
