@@ -31,7 +31,7 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the pre-tokenizer's pattern.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = np.int32(1 << 30)
-_CACHE = 150_000  # fragments that a worker remembers between batches
+_CACHE = 300_000  # fragments that a worker remembers between batches
 _LONG = 48  # bytes; longer pieces are merged one at a time
 
 
