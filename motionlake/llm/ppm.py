@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, crc_mod, materialize, table
 from .hashindex import HashTable
 
-ORDER, MAX_NODES, FREQUENT, LONGEST = 6, 1_000_000, 250_000, 64
+ORDER, MAX_NODES, SHORT, FREQUENT, LONGEST = 6, 1_000_000, 100_000, 250_000, 64
+_PART = 250_000  # keys that a task of resolved() holds
 _WORDS, _HELD, _KEYS = 400_000, 3_000_000, 1_500_000  # what a task holds before it passes counts on
 _U = np.uint64
 
@@ -123,18 +124,23 @@ def shorter(level: Level, k: int) -> Level:
 
 def build_trie(levels: list[Level]) -> Trie:
     """Tables from the levels of order 0, 1, ...; a node's suffix must be in the level below."""
-    order = len(levels) - 1
-    trie = Trie(order, [], [], 0.0)
-    under = None  # contexts, totals, kinds and lost counts one order below
-    for k, level in enumerate(levels):
+    trie = Trie(len(levels) - 1, [], [], -float(np.log(max(256 - len(levels[0].nodes), 1))))
+    grow(trie, levels)
+    return trie
+
+
+def grow(trie: Trie, levels: list[Level], below: Level | None = None, under: tuple | None = None) -> tuple:
+    """Add the next orders to the tables; below and under are what this returned for the order before."""
+    for level in levels:
+        k = len(trie.nodes)
         contexts, place = np.unique(level.nodes >> _U(8), return_inverse=True)
         kept, kinds = np.bincount(place, level.n, len(contexts)), np.bincount(place, minlength=len(contexts))
         totals = kept if level.totals is None else level.totals[np.searchsorted(level.contexts, contexts)].astype(float)
         lost = totals - kept
         columns = {"all": np.log(2 * totals), "escape": np.log((kinds + 2 * lost) / (2 * totals))}
         if k:
-            below = np.searchsorted(levels[k - 1].nodes, level.nodes & _U((1 << 8 * k) - 1))
-            taken = np.bincount(place, levels[k - 1].n[below], len(contexts))
+            suffix = np.searchsorted(below.nodes, level.nodes & _U((1 << 8 * k) - 1))
+            taken = np.bincount(place, below.n[suffix], len(contexts))
             parent = np.searchsorted(under[0], contexts & _U((1 << 8 * (k - 1)) - 1))
             rest, free = under[1][parent] - taken, under[2][parent] - kinds + 2 * under[3][parent]
             columns["rest"] = np.log(np.maximum(2 * rest, 1))
@@ -143,9 +149,8 @@ def build_trie(levels: list[Level]) -> Trie:
         trie.nodes.append(HashTable(level.nodes, {"n": log_n, "p": log_n - columns["all"][place]}))
         del columns["all"]
         trie.contexts.append(HashTable(contexts, columns))
-        under = (contexts, totals, kinds, lost)
-    trie.log_unseen = -float(np.log(max(256 - len(levels[0].nodes), 1)))
-    return trie
+        below, under = level, (contexts, totals, kinds, lost)  # under: contexts, totals, kinds and lost counts
+    return below, under
 
 
 def log_probabilities(trie: Trie, keys: np.ndarray) -> np.ndarray:
@@ -176,39 +181,121 @@ def _in_parts(trie: Trie, keys: np.ndarray, part: int = 1 << 18) -> np.ndarray:
     return np.concatenate([log_probabilities(trie, keys[i : i + part]) for i in range(0, len(keys), part)] or [np.zeros(0)])
 
 
+def _cached(cache: HashTable, keys: np.ndarray, part: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's log probability, 0 where the table doesn't hold it; and where that is."""
+    out, held = np.zeros(len(keys)), np.zeros(len(keys), bool)
+    for i in range(0, len(keys), part):
+        at = cache.find(keys[i : i + part])
+        held[i : i + part] = hit = at >= 0
+        out[i : i + part][hit] = cache.columns["p"][at[hit]]
+    return out, np.flatnonzero(~held)
+
+
+def _by_text(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, key) in order, and how often each is there."""
+    place = np.lexsort((key, text))
+    text, key = text[place], key[place]
+    first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))[: len(key)])
+    return text[first], key[first], np.diff(np.append(first, len(key)))
+
+
+def _sizes(nodes: DataFrame) -> list[tuple[int, int]]:
+    """(log2 of the count, rows) of nodes."""
+    sizes = nodes.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("rows")).collect()
+    return [(r["level"], r["rows"]) for r in sizes]
+
+
+def _fitting(nodes: DataFrame, order: int, max_nodes: int) -> tuple[int, DataFrame, dict[int, tuple]]:
+    """The longest order with at most ``max_nodes`` nodes, its nodes, and of longer ones nodes and sizes."""
+    longer = {}
+    for k in range(order, -1, -1):
+        sizes = _sizes(nodes)
+        if k == 0 or sum(rows for _, rows in sizes) <= max_nodes:
+            return k, nodes, longer
+        longer[k] = (nodes, sizes)
+        nodes = materialize(nodes.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("key")).agg(F.sum("n").alias("n")), "level")
+    raise ValueError("order must be 0 or more")
+
+
+def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    t = df.toArrow()
+    key, n = t.column(0).to_numpy().view(_U), t.column(1).to_numpy()
+    place = np.argsort(key)
+    return key[place], n[place].astype(float)
+
+
+def _whole(nodes: DataFrame, k: int) -> list[Level]:
+    """Orders 0 to k from all nodes of order k."""
+    levels = [Level(*_arrays(nodes))]
+    for j in range(k, 0, -1):
+        levels.insert(0, shorter(levels[0], j))
+    return levels
+
+
+def frequent_nodes(nodes: DataFrame, cut: int) -> Level:
+    """The nodes that have that count, and their contexts' true totals."""
+    totals = nodes.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.max("n").alias("most")).where(F.col("most") >= cut).drop("most")
+    return Level(*_arrays(nodes.where(F.col("n") >= cut)), *_arrays(totals))
+
+
 def levels_of(stats: DataFrame, order: int, max_nodes: int) -> list[Level]:
-    """The levels of the trie, at most ``max_nodes`` nodes each.
+    """The levels of a trie of at most ``max_nodes`` nodes each; score() uses no cut ones.
 
     The longest order whose nodes fit is taken whole, and the shorter ones follow from
     it. Of longer orders the most frequent nodes are kept, by a count that all kept
     ones have and that doesn't fall with the order, and their contexts' true totals.
     """
-    now, pruned = stats.where("key is not null").select("key", "n"), {}
-    for k in range(order, -1, -1):
-        sizes = now.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("rows")).collect()
-        if k == 0 or sum(r["rows"] for r in sizes) <= max_nodes:
-            break
-        pruned[k] = (now, cut_at([(r["level"], r["rows"]) for r in sizes], max_nodes))
-        now = materialize(now.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("key")).agg(F.sum("n").alias("n")), "level")
-
-    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        t = df.toArrow()
-        key, n = t.column(0).to_numpy().view(_U), t.column(1).to_numpy()
-        place = np.argsort(key)
-        return key[place], n[place].astype(float)
-
-    levels = [Level(*arrays(now))]
-    for j in range(k, 0, -1):
-        levels.insert(0, shorter(levels[0], j))
-    cut = 0
+    k, nodes, longer = _fitting(stats.where("key is not null").select("key", "n"), order, max_nodes)
+    levels, cut = _whole(nodes, k), 0
     for j in range(k + 1, order + 1):
-        cut = max(cut, pruned[j][1])
-        kept = pruned[j][0].where(F.col("n") >= cut)
-        totals = pruned[j][0].groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.max("n").alias("most")).where(F.col("most") >= cut).drop("most")
-        levels.append(Level(*arrays(kept), *arrays(totals)))
+        cut = max(cut, cut_at(longer[j][1], max_nodes))
+        levels.append(frequent_nodes(longer[j][0], cut))
     return levels
 
 
+def resolved(asked: DataFrame, nodes: DataFrame, order: int, most: int) -> DataFrame:
+    """key, log_p: each distinct asked key's natural log probability, from all nodes.
+
+    Orders of ``most`` nodes at most are broadcast. A key's longer contexts all end in the same
+    bytes, so nodes and asked keys are dealt by these, and each task builds the longer
+    orders of its part.
+    """
+    spark = nodes.sparkSession
+    k, fit, longer = _fitting(nodes, order, most)
+    levels = _whole(fit, k)
+    trie = Trie(order, [], [], -float(np.log(max(256 - len(levels[0].nodes), 1))))
+    below, under = grow(trie, levels)
+    base = spark.sparkContext.broadcast((trie, below, under))
+    del levels, trie, below, under
+    rows = asked.withColumn("n", F.lit(None).cast("long"))
+    if longer:
+        rows = rows.unionByName(nodes)
+    ends = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * min(k + 1, order)) - 1))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // _PART + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy().view(_U), b.column(1).fill_null(0).to_numpy()) for b in batches]
+        if not got:
+            return
+        key, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        keys = key[n == 0]
+        if not len(keys):
+            return
+        whole, below, under = base.value
+        trie = Trie(order, list(whole.nodes), list(whole.contexts), whole.log_unseen)
+        if k < order:
+            key, n = key[n > 0], n[n > 0]
+            place = np.argsort(key)
+            levels = [Level(key[place], n[place].astype(float))]
+            for j in range(order, k + 1, -1):
+                levels.insert(0, shorter(levels[0], j))
+            grow(trie, levels, below, under)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(_in_parts(trie, keys))], ["key", "log_p"])
+
+    bound_batches(spark, rows=100_000, mb=2)
+    return materialize(rows.repartition(parts, ends).mapInArrow(run, "key long, log_p double"), "resolved")
+
+
 def cut_at(sizes: list[tuple[int, int]], most: int) -> int:
     """The least power of two such that at most so many rows have that count or more;
     sizes: (log2 of the count, rows)."""
@@ -221,7 +308,7 @@ def cut_at(sizes: list[tuple[int, int]], most: int) -> int:
     return cut
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES, short: int = SHORT, frequent: int = FREQUENT) -> DataFrame:
     """One row per input row: doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
 
     ``score`` is the model's log10 probability of the lower-cased words joined by one
@@ -229,15 +316,21 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     the end. Both learn from the rows where ``train`` holds. Null and empty texts
     have the end only; without training rows all symbols are equally likely;
     repeated rows repeat; an empty table gives no rows; other columns are not read.
-    Word counts are exact and joined by Spark. All runs are counted; the trie that
-    is broadcast holds ``max_nodes`` nodes of each order at most, see levels_of.
+    Word counts are exact and joined by Spark. So is the trie, of which nothing is cut:
+    probabilities of the ``max_nodes`` most frequent nodes at most are broadcast, and all
+    other keys of the texts are resolved by resolved() and joined. ``max_nodes`` and
+    ``short`` bound memory and don't change results.
     """
     spark = docs.sparkSession
     stats = statistics(docs, train, text_col, order)
     level = F.floor(F.log2("n")).cast("int").alias("level")
     sizes = stats.where("key is null").groupBy(level).agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.count_if(F.length("word") <= LONGEST).alias("short")).collect()
     n_all, n_kinds = (sum(r[c] for r in sizes) for c in ("n", "rows"))
-    trie = spark.sparkContext.broadcast(build_trie(levels_of(stats, order, max_nodes)))
+    nodes = stats.where("key is not null").select("key", "n")
+    top = frequent_nodes(nodes, cut_at(_sizes(nodes), max_nodes))
+    totals = top.totals[np.searchsorted(top.contexts, top.nodes >> _U(8))]
+    cache = spark.sparkContext.broadcast(HashTable(top.nodes, {"p": np.log(2 * top.n - 1) - np.log(2 * totals)}))
+    del top, totals
     words = stats.where(F.col("key").isNull()).select("word", "n")
     least = cut_at([(r["level"], r["short"]) for r in sizes], frequent)
     top = words.where((F.col("n") >= least) & (F.length("word") <= LONGEST)).toArrow()
@@ -249,7 +342,11 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             tokens = token_lists(batch.column(1))
             keys, size = context_keys(tokens, order)
             ends = np.cumsum(size)
-            sums = np.concatenate([[0.0], np.cumsum(_in_parts(trie.value, keys))])
+            log_p, other = _cached(cache.value, keys)
+            sums = np.concatenate([[0.0], np.cumsum(log_p)])
+            at, asked, times = _by_text(np.searchsorted(ends, other, "right"), keys[other])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(tokens)))]).astype(np.int32)
+            others = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(asked.view(np.int64)), pa.array(times.astype(np.int32))], ["key", "times"]))
             n_tokens, n_known, part, rare_words, rare_n, rare_size = [], [], [], [], [], []
             for t in tokens:
                 rare: Counter | None = None
@@ -266,18 +363,23 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                     rare_words += rare.keys()
                     rare_n += rare.values()
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(rare_size)]).astype(np.int32), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_n, pa.int32())], ["word", "times"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(part, pa.float64()), pa.array((sums[ends] - sums[ends - size]) / np.log(10)), lists], ["doc_id", "train", "n_tokens", "n_known", "part", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(part, pa.float64()), pa.array((sums[ends] - sums[ends - size]) / np.log(10)), lists, others], ["doc_id", "train", "n_tokens", "n_known", "part", "score", "rare", "others"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     bound_batches(spark, rows=500, mb=2)
-    first = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), train.alias("train")).mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, part double, score double, rare array<struct<word:binary,times:int>>")
+    first = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), train.alias("train")).mapInArrow(run, f"doc_id {kind}, train boolean, n_tokens long, n_known long, part double, score double, rare array<struct<word:binary,times:int>>, others array<struct<key:long,times:int>>")
     first = materialize(first.withColumn("row", F.monotonically_increasing_id()), "first")
     rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
     counts = rare.join(words, "word", "left")
-    sums = counts.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rest"))
+    asked = first.select("row", F.explode("others").alias("o")).select("row", "o.key", "o.times")
+    found = resolved(asked.select("key").distinct(), nodes, order, short)
+    of_words = counts.select("row", F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("more"), (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rest"), F.lit(0.0).alias("log_p"))
+    of_keys = asked.join(found, "key").select("row", F.lit(0).alias("more"), F.lit(0.0).alias("rest"), (F.col("times") * F.col("log_p")).alias("log_p"))
+    sums = of_words.unionByName(of_keys).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "rest", "log_p")))
     end_unknown = 0 if n_all else -1.0  # an untrained end has count 0
     base = F.col("part") + F.coalesce("rest", F.lit(0.0)) + F.lit(float(end_unknown)) - F.col("n_tokens") * F.lit(float(np.log10(n_all + 0.1 * (n_kinds + 1))))
-    return first.drop("rare").join(sums, "row", "left").select("doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    score = F.col("score") + F.coalesce("log_p", F.lit(0.0)) / F.lit(float(np.log(10)))
+    return first.drop("rare", "others").join(sums, "row", "left").select("doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def op8_ppm(spark, sf_dir: str) -> DataFrame:

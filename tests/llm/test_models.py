@@ -24,6 +24,15 @@ def test_ppm_matches_a_plain_coder(spark, order):
         assert got[i] == pytest.approx(w, rel=1e-5, abs=1e-5), (i, TEXTS[i])
 
 
+@pytest.mark.parametrize("bounds", [{"max_nodes": 20}, {"max_nodes": 20, "short": 1}, {"max_nodes": 1, "short": 60}])
+def test_ppm_cuts_no_nodes(spark, bounds):
+    train = lambda i: crc(i) % 3 != 0
+    want = ppm_scores(list(enumerate(TEXTS)), train, 5)
+    got = {r["doc_id"]: r["score"] for r in ppm.score(frame(spark), crc_mod(F.col("doc_id"), 3) != 0, order=5, **bounds).collect()}
+    for i, w in enumerate(want):
+        assert got[i] == pytest.approx(w, rel=1e-5, abs=1e-5), (i, TEXTS[i])
+
+
 def test_ppm_without_training_rows(spark):
     rows = ppm.score(frame(spark), F.lit(False), order=3).collect()
     for r in rows:
