@@ -6,6 +6,8 @@ import numpy as np
 
 #: Fixed value: the eight taps of the Daubechies wavelet with four vanishing moments (low pass, decomposition).
 DB4 = np.array([-0.010597401785069032, 0.0328830116668852, 0.030841381835560764, -0.18703481171909309, -0.027983769416859854, 0.6308807679298589, 0.7148465705529157, 0.2303778133088965])
+#: Its high pass.
+DB4_HIGH = DB4[::-1] * np.where(np.arange(8) % 2, 1.0, -1.0)
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -49,11 +51,11 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(union > 0, shared / np.where(union > 0, union, 1), 0.0)
 
 
-def hull(points: np.ndarray) -> tuple[float, float]:
-    """Area and perimeter of the convex hull; 0 and 0 if all points are on one line."""
+def ring(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull in order; of points on one line, its two ends."""
     p = np.unique(points, axis=0)
     if len(p) < 3:
-        return 0.0, 0.0
+        return p
 
     def chain(rows) -> list:
         out: list = []
@@ -63,11 +65,16 @@ def hull(points: np.ndarray) -> tuple[float, float]:
             out.append(q)
         return out[:-1]
 
-    ring = np.array(chain(p.tolist()) + chain(p[::-1].tolist()))
-    if len(ring) < 3:
+    return np.array(chain(p.tolist()) + chain(p[::-1].tolist()))
+
+
+def hull(points: np.ndarray) -> tuple[float, float]:
+    """Area and perimeter of the convex hull; 0 and 0 if all points are on one line."""
+    corners = ring(points)
+    if len(corners) < 3:
         return 0.0, 0.0
-    nxt = np.roll(ring, -1, axis=0)
-    return float(abs((ring[:, 0] * nxt[:, 1] - nxt[:, 0] * ring[:, 1]).sum()) / 2), float(np.hypot(*(nxt - ring).T).sum())
+    nxt = np.roll(corners, -1, axis=0)
+    return float(abs((corners[:, 0] * nxt[:, 1] - nxt[:, 0] * corners[:, 1]).sum()) / 2), float(np.hypot(*(nxt - corners).T).sum())
 
 
 def wavelet_energies(signal: np.ndarray, levels: int = 3) -> list[float]:
@@ -78,11 +85,10 @@ def wavelet_energies(signal: np.ndarray, levels: int = 3) -> list[float]:
     """
     n = 1 << max(3, int(np.ceil(np.log2(max(len(signal), 8)))))
     x = np.pad(signal, (0, n - len(signal)), mode="reflect") if len(signal) > 1 else np.full(n, signal[0])
-    high = DB4[::-1] * np.where(np.arange(8) % 2, 1.0, -1.0)
     details = []
     for _ in range(levels):
         wide = np.pad(x, 7, mode="symmetric")
-        low_pass, high_pass = (np.convolve(wide, taps, "valid")[1::2] for taps in (DB4, high))
+        low_pass, high_pass = (np.convolve(wide, taps, "valid")[1::2] for taps in (DB4, DB4_HIGH))
         details.insert(0, float((high_pass**2).sum()))
         x = low_pass
     return [float((x**2).sum()), *details]

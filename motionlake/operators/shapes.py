@@ -1,54 +1,106 @@
-"""Track features that need a kernel over the whole trajectory, in Arrow batches."""
+"""Track features over the whole trajectory: its hull from blocks in Arrow batches, its wavelet energies from sums."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import hull, wavelet_energies
-from .tracking import MAX_POINTS
-from .tracks import TRACK, cap_trajectory
+from ..functions.kernels import DB4, DB4_HIGH, hull, ring
+from .tracks import TRACK
 
 HULL = ["convex_hull_area", "compactness"]
 WAVELET = ["dwt_energy_approx", "dwt_energy_detail1", "dwt_energy_detail2", "dwt_energy_detail3", "dwt_energy_total", "dwt_entropy"]
+BLOCK = 4096
 
 
-def _per_track(points: DataFrame, least: int, names: list[str], kernel: Callable[[np.ndarray], list[float]]) -> DataFrame:
-    """Kernel values of each track's points in order; a track has MAX_POINTS of them at most."""
-    lists = cap_trajectory(points, MAX_POINTS).groupBy(*TRACK).agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p")).where(F.size("p") >= least)
+def _lists(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The points of each row's last column."""
+    p = batch.column(batch.num_columns - 1)
+    flat, ends = p.flatten(), np.cumsum(p.value_lengths().to_numpy())
+    xy = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1).astype(float)
+    return np.split(xy, ends[:-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def hull_features(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Hull area and compactness (0 for points on a line) of tracks of four points or more.
+
+    Only the corners of each ``block`` points' hull are merged by track.
+    """
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, size = batch.column(2).flatten(), batch.column(2).value_lengths().to_numpy()
-            xy = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1).astype(float)
-            ends = np.cumsum(size)
-            rows = [kernel(xy[e - n : e]) for n, e in zip(size, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(names)))], [*TRACK, *names])
+            rings = [ring(xy) for xy in _lists(batch)]
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rings])]).astype(np.int32)
+            flat = np.concatenate([r.reshape(-1, 2) for r in rings]) if rings else np.zeros((0, 2))
+            p = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["x", "y"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), p], [*TRACK, "n", "p"])
 
-    return lists.mapInArrow(run, ", ".join(["video_id long, track_id long", *(f"{n} double" for n in names)]))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [hull(xy) for xy in _lists(batch)]
+            area, around = (np.array([g[i] for g in got], float) for i in (0, 1))
+            compact = np.divide(4 * np.pi * area, around**2, out=np.zeros(len(got)), where=around > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(area), pa.array(compact)], [*TRACK, *HULL])
 
+    blocks = points.withColumn("_block", F.floor(F.col("seq") / block)).groupBy(*TRACK, "_block").agg(F.count("*").alias("n"), F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("p"))
+    rings = blocks.select(*TRACK, "n", "p").mapInArrow(corners, "video_id long, track_id long, n long, p array<struct<x:double,y:double>>")
+    merged = rings.groupBy(*TRACK).agg(F.sum("n").alias("n"), F.flatten(F.collect_list("p")).alias("p")).where("n >= 4").select(*TRACK, "p")
+    return merged.mapInArrow(whole, ", ".join(["video_id long, track_id long", *(f"{n} double" for n in HULL)]))
 
-def hull_features(points: DataFrame) -> DataFrame:
-    """Hull area and compactness (0 for points on a line) of tracks of four points or more."""
 
-    def kernel(xy: np.ndarray) -> list[float]:
-        area, around = hull(xy)
-        return [area, 4 * np.pi * area / around**2 if around > 0 else 0.0]
+def _padded(speeds: DataFrame) -> DataFrame:
+    """Rows (track, i, a, n): speeds reflected to a power of two n of 8 or more."""
+    bits = F.greatest(F.lit(3), F.length(F.bin(F.col("len") - 1)))
+    period = 2 * (F.col("len") - 1)
+    turns = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.greatest(period, F.lit(1)))), lambda k: F.array(k * period + F.col("i"), k * period - F.col("i")))
+    places = F.when(F.col("len") == 1, F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.array_distinct(F.filter(F.flatten(turns), lambda p: (p == F.col("i")) | ((p >= F.col("len")) & (p < F.col("n"))))))
+    sized = speeds.withColumn("n", F.pow(F.lit(2.0), bits).cast("long"))
+    return sized.select(*TRACK, F.explode(places).alias("i"), "a", "n")
 
-    return _per_track(points, 4, HULL, kernel)
 
+def _level(rows: DataFrame, energies: list[str], name: str) -> DataFrame:
+    """One level of the decomposition: rows (track, i, a, n, energies and the new one's parts).
 
-def wavelet_features(points: DataFrame, fps: float = 10.0, min_points: int = 15) -> DataFrame:
-    """Energies of the speed's wavelet decomposition and their entropy; detail1 is the coarsest."""
+    Sample i also stands at -1 - i and 2n - 1 - i; it meets tap j in coefficient m where 2m + 1 - j
+    is its place.
+    """
+    size = F.shiftright(F.col("n") + 7, 1)
 
-    def kernel(xy: np.ndarray) -> list[float]:
-        energy = wavelet_energies(np.hypot(*np.diff(xy, axis=0).T) * fps)
-        total = sum(energy)
-        share = np.array(energy) / (total + 1e-10)
-        return [*energy, total, float(-(share * np.log(share + 1e-10)).sum())]
+    def met(place: Column) -> list[Column]:
+        odd = F.pmod(place - 1, F.lit(2))
+        return [F.struct(F.shiftright(place - 1 + odd + 2 * t, 1).alias("m"), (odd + 2 * t).alias("j")) for t in range(4)]
 
-    return _per_track(points, max(min_points, 2), WAVELET, kernel)
+    own, mirrored = met(F.col("i")), [*met(-1 - F.col("i")), *met(2 * F.col("n") - 1 - F.col("i"))]
+    every = F.when((F.col("i") < 8) | (F.col("i") >= F.col("n") - 8), F.array(*own, *mirrored)).otherwise(F.array(*own))
+
+    def tap(values: np.ndarray) -> Column:
+        return F.element_at(F.array(*map(F.lit, values.tolist())), (F.col("c.j") + 1).cast("int"))
+
+    # A row's parts of earlier energies go on with the first of its copies.
+    spread = rows.withColumn("met", every).withColumn("n", size).select(*TRACK, "a", "n", *energies, F.posexplode("met").alias("copy", "c")).where((F.col("c.m") >= 0) & (F.col("c.m") < F.col("n")))
+    sums = spread.groupBy(*TRACK, F.col("c.m").alias("i"), "n").agg(F.sum(F.col("a") * tap(DB4)).alias("a"), F.sum(F.col("a") * tap(DB4_HIGH)).alias("d"), *(F.sum(F.when(F.col("copy") == 0, F.col(e)).otherwise(0.0)).alias(e) for e in energies))
+    return sums.withColumn(name, F.col("d") * F.col("d")).drop("d")
+
+
+def wavelet_features(points: DataFrame, fps: float = 10.0, min_points: int = 15) -> DataFrame:
+    """Energies of the speed's wavelet decomposition and their entropy; detail1 is the coarsest.
+
+    The decomposition of kernels.wavelet_energies, as sums by track and coefficient.
+    """
+    order, track = Window.partitionBy(*TRACK).orderBy("seq", "x", "y"), Window.partitionBy(*TRACK)
+    moved = [F.col(c).cast("double") - F.lag(F.col(c).cast("double")).over(order) for c in ("x", "y")]
+    speed = F.coalesce(F.hypot(*moved), F.lit(float("nan"))) * fps
+    steps = points.select(*TRACK, (F.row_number().over(order) - 2).cast("long").alias("i"), speed.alias("a"), (F.count("*").over(track) - 1).alias("len"))
+    rows, energies = _padded(steps.where((F.col("i") >= 0) & (F.col("len") + 1 >= max(min_points, 2)))), []
+    for name in reversed(WAVELET[1:4]):
+        rows = _level(rows, energies, name)
+        energies.append(name)
+    sums = rows.groupBy(*TRACK).agg(F.sum(F.col("a") * F.col("a")).alias(WAVELET[0]), *(F.sum(e).alias(e) for e in energies))
+    total = F.col(WAVELET[0]) + F.col(WAVELET[1]) + F.col(WAVELET[2]) + F.col(WAVELET[3])
+    share = [F.col(e) / (total + 1e-10) for e in WAVELET[:4]]
+    entropy = -sum((p * F.log(p + 1e-10) for p in share), F.lit(0.0))
+    return sums.select(*TRACK, *WAVELET[:4], total.alias(WAVELET[4]), entropy.alias(WAVELET[5]))

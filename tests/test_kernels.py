@@ -57,3 +57,23 @@ def test_block_flow_finds_a_shift():
     now = np.roll(before, (1, 2), (0, 1))
     inner = kernels.block_flow(before, now).reshape(4, 4, 4)[1:3, 1:3]
     assert (inner[..., 2] == 2).all() and (inner[..., 3] == 1).all()
+
+
+def test_hull_and_wavelet_take_whole_tracks(spark):
+    from motionlake.operators import shapes
+
+    rng = np.random.default_rng(5)
+    tracks = {t: rng.normal(size=(n, 2)).cumsum(axis=0) for t, n in enumerate([3, 4, 15, 16, 17, 40, 257, 258, 900])}
+    points = spark.createDataFrame([(t % 2, t, i, float(x), float(y)) for t, xy in tracks.items() for i, (x, y) in enumerate(xy)], "video_id long, track_id long, seq long, x double, y double")
+    for how in ({}, {"block": 7}):
+        got = {r.track_id: r for r in shapes.hull_features(points, **how).collect()}
+        assert sorted(got) == [t for t, xy in tracks.items() if len(xy) >= 4]
+        for t, r in got.items():
+            area, around = kernels.hull(tracks[t])
+            assert (r.convex_hull_area, r.compactness) == pytest.approx((area, 4 * np.pi * area / around**2)), t
+    for least in (2, 15):
+        got = {r.track_id: r for r in shapes.wavelet_features(points, 10.0, least).collect()}
+        assert sorted(got) == [t for t, xy in tracks.items() if len(xy) >= least]
+        for t, r in got.items():
+            want = kernels.wavelet_energies(np.hypot(*np.diff(tracks[t], axis=0).T) * 10.0)
+            assert list(r)[2:6] == pytest.approx(want) and r.dwt_energy_total == pytest.approx(sum(want)), t
