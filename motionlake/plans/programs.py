@@ -84,7 +84,7 @@ def _by_appearance(spark, d) -> DataFrame:
 
 def _model_predictions(spark, d) -> DataFrame:
     rows = views.table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), *(F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)))
-    return models.out_of_fold(rows, [f"f{i}" for i in range(64)], "label", "vec_id", lambda: build("model", "random_forest", trees=20), order=F.col("vec_id"))
+    return models.out_of_fold(rows, [f"f{i}" for i in range(64)], "label", "vec_id", lambda: build("model", "random_forest"), order=F.col("vec_id"))
 
 
 def _components(spark, d) -> DataFrame:

@@ -50,3 +50,16 @@ def test_partitioning_does_not_matter(spark, sf_dir):
         found.append([_plain([r.asDict() for r in catalog.QUERIES[q](spark, sf_dir).collect()], sorted(catalog.QUERIES[q](spark, sf_dir).columns)) for q in ("trajectory_video", "interaction", "track_iou_hungarian")])
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1]
+
+
+def test_models_have_the_reference_sizes(spark, sf_dir, monkeypatch):
+    from motionlake import registry
+    from motionlake.operators import models
+
+    made = []
+    monkeypatch.setattr(models, "out_of_fold", lambda *a, **how: made.append(a[4]()))
+    catalog.QUERIES["model_out_of_fold"](spark, sf_dir)
+    assert (made[0].getNumTrees(), made[0].getMaxDepth()) == (200, 30)
+    boosted = registry.build("model", "boosted_trees").getClassifier()
+    assert (boosted.getMaxIter(), boosted.getMaxDepth()) == (200, 6)
+    assert registry.build("model", "decision_tree").getMaxDepth() == 30
