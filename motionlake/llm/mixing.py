@@ -142,8 +142,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it."""
-    copies = mix(docs, id_col, text_col, source_col, **how).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")).distinct()
-    rows = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mix_id")))
+    names = ["_mix_id", "_mix_size", "_mix_source"]  # rows that agree in these have the same copies
+    copies = mix(docs, id_col, text_col, source_col, **how).where("copies > 0").select(F.col("doc_id").alias(names[0]), F.col("size").alias(names[1]), F.col("source").alias(names[2]), F.col("copies").alias("_mix_copies")).distinct()
+    own = [F.col(id_col), word_count(F.col(text_col)), F.col(source_col).cast("string")]
+    same = own[0].eqNullSafe(F.col(names[0])) & own[1].eqNullSafe(F.col(names[1])) & own[2].eqNullSafe(F.col(names[2]))
+    rows = docs.join(copies, same)
     return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*docs.columns)
 
 

@@ -255,3 +255,11 @@ def test_exact_with_ids_that_name_several_texts(spark):
     rows = [(3, "same words"), (7, "other"), (7, "samewords"), (8, "a b"), (8, "a  b"), (None, "x"), (None, "x "), (None, "same words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert some(exact_dedup.drop_exact(docs).collect(), "doc_id", "text") == sorted([(3, "same words"), (7, "other"), (8, "a  b"), (None, "x ")], key=repr)
+
+
+def test_mixed_rows_meet_their_own_copies(spark):
+    rows = [(None if i % 3 else i % 5, " ".join(["w"] * (1 + i % 17)), f"s{i % 2}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(((r.doc_id, r["size"], r.source) for r in mixing.mix(docs).collect() for _ in range(r.copies)), key=repr)
+    got = sorted(((r.doc_id, len(r.text.split()), r.source) for r in mixing.mixed(docs).collect()), key=repr)
+    assert got == want
