@@ -9,7 +9,8 @@ shingle sets. Because a star can hide a link between two members, the members of
 buckets that have not all met in one component are settled exactly: two sets of
 enough similarity share one of their rarest shingles, so these few are the keys of
 finer groups, which get further centres until every two members that could be
-linked are in one component or were compared.
+linked are in one component or were compared. Bands are taken in waves: links of one
+wave are joined before the next, which compares only what is still apart.
 """
 
 from __future__ import annotations
@@ -23,26 +24,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize, table
-from .graph import components
+from .graph import merged
 from .wordhash import Words, mix
 
 BINS, ROWS = 256, 5  # 51 bands: a pair of similarity 0.75 is missed once in a million
 PERCENT, SHINGLE = 75, 5
+WAVES = (2, 8)  # bands whose links are joined before the next ones are looked at
+_FEW = 8
 _U = np.uint64
 _borrow: list[np.ndarray] = []
 
 
+def shingle_places(words: Words, i: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of document i of a batch, and a word at which each begins."""
+    a, b = words.first[i], words.first[i + 1]
+    if b - a >= k:
+        hashes, at = np.unique(words.runs(k)[a : b - k + 1], return_index=True)
+        return hashes, at + a
+    whole = [int.from_bytes(hashlib.blake2b(words.text(a, b), digest_size=8).digest(), "little")] if b > a else []
+    return np.array(whole, _U), np.array([a] * len(whole), np.int64)
+
+
 def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each document of a batch."""
     runs, out = words.runs(k), []
-    for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-        if b - a >= k:
-            out.append(np.unique(runs[a : b - k + 1]))
-        else:
-            out.append(words.spans(np.array([a]), np.array([b])) if b > a else np.zeros(0, _U))
+    for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
+        out.append(np.unique(runs[a : b - k + 1]) if b - a >= k else shingle_places(words, i, k)[0])
     return out
 
 
+def set_key(words: Words, i: int, k: int, hashes: np.ndarray) -> bytes | None:
+    """128 bits that equal sets have in common; None for an empty set. Sets of a few
+    shingles, whose hashes alone could be equal by chance, add the shingles' words."""
+    if not len(hashes):
+        return None
+    said = hashlib.blake2b(hashes.tobytes(), digest_size=16)
+    if len(hashes) <= _FEW:
+        last = words.first[i + 1]
+        for at in shingle_places(words, i, k)[1].tolist():
+            said.update(words.text(at, min(at + k, last)))
+    return said.digest()
+
+
+def common_shingles(x: Words, i: int, y: Words, j: int, k: int) -> int:
+    """Number of distinct shingles that two documents have in common; those of equal
+    hash are compared word by word."""
+    (hx, ax), (hy, ay) = shingle_places(x, i, k), shingle_places(y, j, k)
+    _, px, py = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
+    ax, ay = ax[px], ay[py]
+    order = np.argsort(ax)
+    ax, ay = ax[order], ay[order]
+    cut = np.flatnonzero((np.diff(ax) != 1) | (np.diff(ay) != 1)) + 1
+    found, ends = 0, (x.first[i + 1], y.first[j + 1])
+
+    def same(a: int, b: int, n: int) -> bool:
+        return x.text(a, min(a + n + k - 1, ends[0])) == y.text(b, min(b + n + k - 1, ends[1]))
+
+    for a, b in zip(np.split(ax, cut), np.split(ay, cut), strict=True):  # runs of neighbours at once
+        if len(a):
+            found += len(a) if same(a[0], b[0], len(a)) else sum(same(p, q, 1) for p, q in zip(a, b, strict=True))
+    return found
+
+
 def signature(hashes: np.ndarray, bins: int) -> np.ndarray:
     """Least hash of each bin (bins are the hash's top bits), densified; hashes: sorted, not empty."""
     edges = np.arange(bins, dtype=_U) << _U(64 - bins.bit_length() + 1)
@@ -74,41 +117,44 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """Return doc_id, n_shingles, set_key (16 bytes, null if empty) and bands."""
+    """Return doc_id, text_key (md5 of the text), n_shingles, set_key (16 bytes, null if empty) and bands."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(Words(batch.column(1), lower=True), k)
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            words = Words(batch.column(2), lower=True)
+            sets = shingle_sets(words, k)
+            keys = [set_key(words, i, k, s) for i, s in enumerate(sets)]
             full = [i for i, s in enumerate(sets) if len(s)]
             bands = np.zeros((0, bins // rows), _U)
             if full:
                 bands = band_keys(np.stack([signature(sets[i], bins) for i in full]), rows)
             sizes = np.array([bands.shape[1] if len(s) else 0 for s in sets], np.int64)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "text_key", "n_shingles", "set_key", "bands"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key string, n_shingles long, set_key binary, bands array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full shingle sets share ``percent`` of their union;
-    texts: rows (node, text)."""
+    """The links (ca, cb) of those ``pairs`` (a, b, ca, cb) whose full shingle sets share
+    ``percent`` of their union; texts: rows (node, text). Links repeat once."""
     firsts = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = firsts.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    both = firsts.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("ca", "cb", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (shingle_sets(Words(batch.column(i), lower=True), k) for i in (2, 3))
+            x, y = (Words(batch.column(i), lower=True) for i in (2, 3))
             ok = []
-            for x, y in zip(left, right, strict=True):
-                at = np.searchsorted(y, x)
-                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                ok.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
+            for i, (p, q) in enumerate(zip(shingle_sets(x, k), shingle_sets(y, k), strict=True)):
+                at = np.searchsorted(q, p)
+                n = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
+                enough = lambda n, size=len(p) + len(q): n > 0 and 100 * n >= percent * (size - n)
+                ok.append(enough(n) and enough(common_shingles(x, i, y, i, k)))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "ca long, cb long").distinct()
 
 
 def rarest_keys(texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -136,11 +182,11 @@ def rarest_keys(texts: DataFrame, k: int, percent: int) -> DataFrame:
     first = named.select("node", "size", "odd", F.posexplode(F.slice("keys", F.lit(1), F.expr(f"cast({probe} as int)"))).alias("pos", "k")).where("k.n > 1")
     most = F.expr(f"(size - pos) * {100 + percent} div {percent} - size")
     placed = materialize(first.select("k.key", "node", "size", "pos", most.alias("most"), (most >= F.col("size")).alias("index"), "odd"), "keys")
-    least = placed.groupBy("key").agg(F.min("size").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    least = materialize(placed.groupBy("key").agg(F.min("size").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
     return placed.join(least, "key").where("most >= least").drop("least")
 
 
-def settle(keys: DataFrame, texts: DataFrame, tested: DataFrame, links: DataFrame, comp: DataFrame, k: int, percent: int) -> DataFrame:
+def settle(keys: DataFrame, texts: DataFrame, tested: DataFrame, comp: DataFrame | None, k: int, percent: int) -> DataFrame:
     """Components after all links within the groups of ``keys`` are found.
 
     Each turn chooses more centres among a group's index members, the least odd
@@ -149,66 +195,103 @@ def settle(keys: DataFrame, texts: DataFrame, tested: DataFrame, links: DataFram
     """
     left, centres = materialize(keys, "keys"), 4
     while True:
-        at = left.join(comp, "node", "left").select(*left.columns, F.coalesce("comp", "node").alias("comp"))
-        open_ = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("index").alias("some")).where("c0 < c1 and some").select("key")
-        now = materialize(at.join(open_, "key"), "open")
+        now = materialize(_named(left, comp), "open")
+        open_ = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("index").alias("some")).where("c0 < c1 and some").select("key")
+        now = materialize(now.join(materialize(open_, "open_keys"), "key", "left_semi"), "open")
         if now.isEmpty():
             return comp
         chosen = now.where("index").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("slice")).agg(F.min(F.struct("odd", "node", "comp", "size", "most")).alias("c"))
         chosen = materialize(chosen.select("key", *(F.col(f"c.{x}").alias(f"centre_{x}") for x in ("node", "comp", "size", "most"))), "centres")
         new = now.join(chosen, "key").where("comp <> centre_comp and most >= centre_size and centre_most >= size")
-        new = new.where(f"100 * least(size, centre_size) >= {percent} * greatest(size, centre_size)").select(F.least("node", "centre_node").alias("a"), F.greatest("node", "centre_node").alias("b")).distinct()
-        new = materialize(new.join(tested, ["a", "b"], "left_anti"), "candidates")
-        if not new.isEmpty():
-            tested = materialize(tested.union(new), "tested")
-            links = materialize(links.union(confirm(new, texts, k, percent)), "links")
-            comp = components(links)
+        new = new.where(f"100 * least(size, centre_size) >= {percent} * greatest(size, centre_size)")
+        comp, tested = _joined(new.selectExpr("node", "comp", "centre_node as centre", "centre_comp"), tested, comp, texts, k, percent)
         left = materialize(now.drop("comp").join(chosen.select("key", F.col("centre_node").alias("node")), ["key", "node"], "left_anti").select(*left.columns), "left")
         centres *= 4
 
 
+def _named(rows: DataFrame, comp: DataFrame | None, col: str = "node", name: str = "comp") -> DataFrame:
+    """``rows`` with the component of ``col``, a node's own number where it has none yet."""
+    if comp is None:
+        return rows.withColumn(name, F.col(col))
+    known = comp.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
+    return rows.join(known, F.col(col) == F.col("_node"), "left").withColumn(name, F.coalesce("_comp", col)).drop("_node", "_comp")
+
+
+def _joined(pairs: DataFrame, tested: DataFrame | None, comp: DataFrame | None, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Components and tested pairs after ``pairs`` (node, comp, centre, centre_comp), of
+    which each is compared once."""
+    swapped = F.col("node") < F.col("centre")
+    new = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), F.when(swapped, F.col("comp")).otherwise(F.col("centre_comp")).alias("ca"), F.when(swapped, F.col("centre_comp")).otherwise(F.col("comp")).alias("cb")).distinct()
+    new = materialize(new if tested is None else new.join(tested, ["a", "b"], "left_anti"), "candidates")
+    if new.isEmpty():
+        return comp, tested
+    tested = new.select("a", "b") if tested is None else materialize(tested.union(new.select("a", "b")), "tested")
+    links = materialize(confirm(new, texts, k, percent), "links")
+    return (comp if links.isEmpty() else merged(comp, links)), tested
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, bins: int, rows: int) -> DataFrame:
+    """One row per input row: doc_id, text_key, n_shingles, and first: the smallest
+    (doc_id, text_key) of its component; null where it is linked with nothing."""
+    bound_batches(docs.sparkSession)
+    sketched = materialize(sketches(docs, id_col, text_col, k, bins, rows), "sketches")
+    # Equal sets are one node; nodes have numbers of their own, as one id may name several texts.
+    sets = sketched.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    nodes = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    buckets = members.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(buckets.select("bucket", "n", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size")), "buckets")
+    members = materialize(members.join(buckets, "bucket").select("band", "bucket", "node", "n_shingles", "n", "centre", "centre_size"), "members")
+    some = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.*")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.col(text_col).cast("binary")).alias("text_key"), F.col(text_col).alias("text"))
+    texts = materialize(own.join(some, ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"), "texts")
+    comp, tested, bounds = None, None, [*(w for w in WAVES if w < bins // rows), bins // rows]
+    for low, high in zip([0, *bounds], bounds, strict=False):
+        wave = members.where((F.col("band") >= low) & (F.col("band") < high)).where("node <> centre").where(f"100 * least(n_shingles, centre_size) >= {percent} * greatest(n_shingles, centre_size)")
+        pairs = _named(_named(wave.select("node", "centre").distinct(), comp), comp, "centre", "centre_comp").where("comp <> centre_comp")
+        comp, tested = _joined(pairs, tested, comp, texts, k, percent)
+    # Members of buckets of three or more that are in several components.
+    at = materialize(_named(members.where("n > 2").select("bucket", "node"), comp), "named")
+    open_ = materialize(at.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket"), "open")
+    unsettled = materialize(at.join(open_, "bucket", "left_semi").select("node").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        theirs = materialize(texts.join(unsettled, "node", "left_semi"), "texts")
+        comp = settle(rarest_keys(theirs, k, percent), theirs, tested, comp, k, percent)
+    found = materialize(_named(nodes.select("set_key", "first", "node"), comp).drop("node"), "named")
+    first = found.groupBy("comp").agg(F.min("first").alias("least"))
+    named = materialize(found.join(first, "comp").select("set_key", F.col("least").alias("first")), "classes")
+    out = sketched.select("doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key", "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased in A-Z only; texts with fewer than k words are one
     shingle; null, empty and blank texts have none and are linked with nothing.
     component_id is the smallest id that confirmed links reach, and kept says that
-    it is the row's own. The id is a whole number and names one text: repeated rows
-    get the same result. Rows with a null id are never linked: their component_id
-    is null and they are kept. An empty table gives no rows; other columns are not
-    read.
+    it is the row's own. The id is a whole number; repeated rows get the same result,
+    and several texts under one id are linked each by itself. Rows with a null id are
+    never linked: their component_id is null and they are kept. An empty table gives
+    no rows; other columns are not read.
     """
-    bound_batches(docs.sparkSession)
-    rows_ = materialize(sketches(docs, id_col, text_col, k, bins, rows), "sketches")
-    # Equal sets are one node, named by its smallest id.
-    nodes = materialize(rows_.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node")), "nodes")
-    reps = rows_.join(nodes, (rows_["set_key"] == nodes["set_key"]) & (rows_["doc_id"] == nodes["node"])).select("node", "n_shingles", "bands").dropDuplicates(["node"])
-    members = reps.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    centre = F.min(F.struct("node", "n_shingles"))
-    buckets = materialize(members.groupBy("bucket").agg(centre.alias("c"), F.count("*").alias("n")).where("n > 1").select("bucket", "n", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("centre_size")), "buckets")
-    members = materialize(members.join(buckets, "bucket").select("bucket", "node", "n_shingles", "n", "centre", "centre_size"), "members")
-    pairs = materialize(members.where("node <> centre").where(f"100 * least(n_shingles, centre_size) >= {percent} * greatest(n_shingles, centre_size)").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
-    some = members.select(F.col("node").alias("n")).distinct()
-    texts = materialize(docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(some, F.col("node") == F.col("n"), "left_semi"), "texts")
-    links = materialize(confirm(pairs, texts, k, percent), "links")
-    comp = components(links)
-    # Members of buckets of three or more that are in several components.
-    at = members.where("n > 2").join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = at.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
-    unsettled = materialize(at.join(open_, "bucket").select(F.col("node").alias("n")).distinct(), "unsettled")
-    if not unsettled.isEmpty():
-        theirs = materialize(texts.join(unsettled, F.col("node") == F.col("n"), "left_semi"), "texts")
-        comp = settle(rarest_keys(theirs, k, percent), theirs, pairs, links, comp, k, percent)
-    named = materialize(nodes.join(comp, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp")), "named")
-    out = rows_.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    out = _classes(docs, id_col, text_col, k, percent, bins, rows)
+    own = F.coalesce("first.doc_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, all columns."""
-    gone = near_components(docs, id_col, text_col, **how).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs`` that stay: one document of each component, all columns.
+
+    It is the one of the smallest id and, among several texts of that id, of the least
+    md5; a row that is repeated as a whole counts as one document. Rows with a null id
+    and rows whose text is null or has no words are linked with nothing and stay. An
+    empty table stays empty; other columns, whatever their names, are passed on.
+    """
+    out = _classes(docs, id_col, text_col, k, percent, bins, rows)
+    gone = out.where(F.col("first.doc_id").isNotNull() & (F.col("first") != F.struct("doc_id", "text_key"))).select("doc_id", "text_key").distinct()
+    gone = materialize(gone, "gone")
+    return docs.join(gone, (docs[id_col] == gone["doc_id"]) & (F.md5(docs[text_col].cast("binary")) == gone["text_key"]), "left_anti")
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
