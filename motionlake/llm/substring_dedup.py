@@ -4,15 +4,18 @@ Texts are cut into blocks of a bounded number of words (each window of words sta
 in exactly one block), and equal blocks become one. Every window has an anchor, the
 run of ``gram`` words in it with the least hash, so equal windows have equal
 anchors. The index holds, for each anchor that occurs more than once, one reference
-block. A block is factored against every reference block its anchors lead to: from
-an anchor on, words are matched to both sides as far as they agree, and factors of
-a window's length or more are duplicate spans of the block and of its reference.
-Windows that reach over a factor's boundary differ from their reference; they can
-only equal other such windows, which is checked by counting their hashes.
+block. A block is parsed greedily, left to right, against all the reference blocks its
+anchors lead to: matches hold an anchor and reach to both sides as far as the words
+agree, and the next factor is the match that reaches farthest. Factors of a window's
+length or more are duplicate spans, and so are matches of that length over a boundary
+of factors. Windows that differ from the index's place of their anchor can only equal
+other such windows, which is checked by counting 128-bit digests of their words.
 """
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,55 +78,107 @@ def _anchors(blocks: DataFrame, window: int, gram: int) -> DataFrame:
     return blocks.mapInArrow(run, "anchor long, bid long, pos int, low int, high int")
 
 
-def _factors(pairs: DataFrame, window: int) -> DataFrame:
-    """Factor block d against reference r: rows of kind 0 are duplicate spans (bid, a, b),
-    rows of kind 1 windows (bid, a, hash) that no factor holds."""
+def _equal_runs(d: Words, r: Words, d0: int, r0: int, n: int) -> list[tuple[int, int]]:
+    """Longest runs (from, end) of equal words of d from d0 on and r from r0 on, n words each.
+    Words of equal hash count as equal only if the run's bytes are."""
+    same = np.zeros(n + 2, np.int8)
+    same[1:-1] = d.hash[d0 : d0 + n] == r.hash[r0 : r0 + n]
+    edges = np.diff(same)
+    out = []
+    for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
+        if d.text(d0 + a, d0 + b) == r.text(r0 + a, r0 + b):
+            out.append((a, b))
+            continue
+        at = a
+        for i in range(a, b + 1):
+            if i == b or d.word(d0 + i) != r.word(r0 + i):
+                out += [(at, i)] if i > at else []
+                at = i + 1
+    return out
+
+
+def parse(matches: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
+    """Greedy factors (from, end, match) of a block of ``length`` words, left to right: at each
+    word the match (from, end) that holds it and reaches farthest, or no match (-1) as far as
+    there is none."""
+    order = sorted(range(len(matches)), key=lambda m: matches[m][0])
+    out, at, turn, best = [], 0, 0, -1
+    while at < length:
+        while turn < len(order) and matches[order[turn]][0] <= at:
+            if best < 0 or matches[order[turn]][1] > matches[best][1]:
+                best = order[turn]
+            turn += 1
+        if best >= 0 and matches[best][1] > at:
+            out.append((at, matches[best][1], best))
+        else:
+            out.append((at, matches[order[turn]][0] if turn < len(order) else length, -1))
+        at = out[-1][1]
+    return out
+
+
+def _spans(matches: list[tuple[int, int]], factors: list[tuple[int, int, int]], window: int) -> list[tuple[int, int]]:
+    """Duplicate spans: factors of a window's length, and at each boundary of factors the
+    matches of that length that reach over it."""
+    out = [(a, b) for a, b, m in factors if m >= 0 and b - a >= window]
+    bounds = [a for a, _, _ in factors[1:]]
+    for a, b in matches:
+        if b - a >= window and bisect_right(bounds, a) < bisect_left(bounds, b):
+            out.append((a, b))
+    return out
+
+
+def _factors(blocks: DataFrame, window: int) -> DataFrame:
+    """Factor blocks (d, d_text, refs: array of (r, anchors, r_text)) against all their
+    reference blocks: rows of kind 0 are duplicate spans (bid, a, b) of a block or of a
+    reference, rows of kind 1 windows (bid, a, b, digest) that differ from the index's
+    place of their anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d_words, r_words = Words(batch.column(3)), Words(batch.column(4))
-            windows = d_words.runs(window)
-            second = mix(windows ^ _U(0x5851F42D4C957F2D)) ^ d_words.runs(window - 1)[: len(windows)]
-            kind, bid, low, high, h1, h2 = [], [], [], [], [], []
-            lists, offsets = batch.column(2).flatten(), np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))])
-            pos, shift, lows, highs = (lists.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-            d_ids, r_ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for i in range(batch.num_rows):
-                d0, d1, r0, r1 = d_words.first[i], d_words.first[i + 1], r_words.first[i], r_words.first[i + 1]
-                d, r = d_words.hash[d0:d1], r_words.hash[r0:r1]
-                mine = np.arange(offsets[i], offsets[i + 1])
-                for diagonal in np.unique(shift[mine]):
-                    these = mine[shift[mine] == diagonal]
-                    begin, end = max(0, -diagonal), min(len(d), len(r) - diagonal)
-                    # Factors: the longest runs of equal words on this diagonal.
-                    same = np.zeros(end - begin + 2, np.int8)
-                    same[1:-1] = d[begin:end] == r[begin + diagonal : end + diagonal]
-                    edges = np.diff(same)
-                    first, last = np.flatnonzero(edges == 1) + begin, np.flatnonzero(edges == -1) + begin
-                    at = np.unique(np.searchsorted(first, pos[these], "right") - 1)
-                    at = at[(at >= 0) & (last[at] - first[at] >= window)] if len(first) else at[:0]
-                    for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True):
-                        kind += (0, 0)
-                        bid += (d_ids[i], r_ids[i])
-                        low += (a, a + diagonal)
-                        high += (b, b + diagonal)
-                        h1 += (0, 0)
-                        h2 += (0, 0)
-                    n = highs[these] - lows[these] + 1
-                    p = np.repeat(lows[these] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    if len(at):
-                        j = np.searchsorted(first[at], p, "right") - 1
-                        p = p[(j < 0) | (p + window > last[at][j])]
-                    if len(p):
-                        kind += [1] * len(p)
-                        bid += [d_ids[i]] * len(p)
-                        low += p.tolist()
-                        high += (p + window).tolist()
-                        h1 += windows[d0 + p].view(np.int64).tolist()
-                        h2 += second[d0 + p].view(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((kind, pa.int32()), (bid, pa.int64()), (low, pa.int32()), (high, pa.int32()), (h1, pa.int64()), (h2, pa.int64()))], ["kind", "bid", "a", "b", "h1", "h2"])
-
-    return pairs.select("d", "r", "anchors", "d_text", "r_text").mapInArrow(run, "kind int, bid long, a int, b int, h1 long, h2 long")
+            refs = batch.column(2).flatten()
+            d_words, r_words = Words(batch.column(1)), Words(refs.field(2))
+            d_ids, r_ids = batch.column(0).to_numpy(zero_copy_only=False), refs.field(0).to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))])
+            marks = refs.field(1).flatten()
+            offsets = np.concatenate([[0], np.cumsum(refs.field(1).value_lengths().to_numpy(zero_copy_only=False))])
+            pos, shift, lows, highs = (marks.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            kind, bid, low, high, digest = [], [], [], [], []
+            for i, d in enumerate(d_ids.tolist()):
+                d0, size = d_words.first[i], d_words.first[i + 1] - d_words.first[i]
+                matches, open_ = [], []
+                for j in range(first[i], first[i + 1]):
+                    r0, r_size = r_words.first[j], r_words.first[j + 1] - r_words.first[j]
+                    mine = np.arange(offsets[j], offsets[j + 1])
+                    for diagonal in np.unique(shift[mine]).tolist():
+                        these = mine[shift[mine] == diagonal]
+                        begin = max(0, -diagonal)
+                        runs = np.array(_equal_runs(d_words, r_words, d0 + begin, r0 + begin + diagonal, max(0, min(size, r_size - diagonal) - begin)), np.int64).reshape(-1, 2) + begin
+                        at = np.unique(np.searchsorted(runs[:, 0], pos[these], "right") - 1)
+                        own = runs[at[(at >= 0)]]
+                        own = own[np.searchsorted(np.sort(pos[these]), own[:, 1]) > np.searchsorted(np.sort(pos[these]), own[:, 0])]
+                        matches += map(tuple, own.tolist())
+                        whole = own[own[:, 1] - own[:, 0] >= window]
+                        kind += [0] * len(whole)
+                        bid += [r_ids[j]] * len(whole)
+                        low += (whole[:, 0] + diagonal).tolist()
+                        high += (whole[:, 1] + diagonal).tolist()
+                        digest += [None] * len(whole)
+                        n = highs[these] - lows[these] + 1
+                        p = np.repeat(lows[these] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        if len(whole):
+                            in_ = np.searchsorted(whole[:, 0], p, "right") - 1
+                            p = p[(in_ < 0) | (p + window > whole[in_, 1])]
+                        open_ += p.tolist()
+                spans = _spans(matches, parse(matches, size), window)
+                kind += [0] * len(spans) + [1] * len(open_)
+                bid += [d] * (len(spans) + len(open_))
+                low += [a for a, _ in spans] + open_
+                high += [b for _, b in spans] + [a + window for a in open_]
+                digest += [None] * len(spans)
+                digest += [hashlib.blake2b(d_words.text(d0 + a, d0 + a + window), digest_size=16).digest() for a in open_]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((kind, pa.int32()), (bid, pa.int64()), (low, pa.int32()), (high, pa.int32()), (digest, pa.binary()))], ["kind", "bid", "a", "b", "digest"])
+
+    return blocks.select("d", "d_text", "refs").mapInArrow(run, "kind int, bid long, a int, b int, digest binary")
 
 
 def duplicate_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
@@ -139,12 +194,13 @@ def duplicate_spans(docs: DataFrame, text_col: str = "text", window: int = WINDO
     index = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.first("bid").alias("r"), F.first("pos").alias("r_pos")).where("n > 1").drop("n"), "index")
     found = anchors.join(index, "anchor").where("bid <> r or pos <> r_pos")
     pairs = materialize(found.groupBy(F.col("bid").alias("d"), "r").agg(F.collect_list(F.struct("pos", (F.col("r_pos") - F.col("pos")).alias("shift"), "low", "high")).alias("anchors")), "pairs")
-    left = pairs.join(unique.select(F.col("bid").alias("d"), F.col("text").alias("d_text")), "d")
-    both = left.join(unique.select(F.col("bid").alias("r"), F.col("text").alias("r_text")), "r")
-    parsed = materialize(_factors(both, window), "factors")
-    open_ = parsed.where("kind = 1").select("bid", "a", "b", "h1", "h2")
-    again = materialize(open_.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
-    spans = parsed.where("kind = 0").select("bid", "a", "b").union(open_.join(again, ["h1", "h2"]).select("bid", "a", "b"))
+    # A block has no more references than windows, so its references fit in one row.
+    with_r = pairs.join(unique.select(F.col("bid").alias("r"), F.col("text").alias("r_text")), "r").select("d", F.struct("r", "anchors", "r_text").alias("ref"))
+    with_d = with_r.join(unique.select(F.col("bid").alias("d"), F.col("text").alias("d_text")), "d")
+    parsed = materialize(_factors(with_d.groupBy("d").agg(F.first("d_text").alias("d_text"), F.collect_list("ref").alias("refs")), window), "factors")
+    open_ = parsed.where("kind = 1").select("bid", "a", "b", "digest")
+    again = materialize(open_.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    spans = parsed.where("kind = 0").select("bid", "a", "b").union(open_.join(again, "digest").select("bid", "a", "b"))
     whole = unique.where("copies > 1").select("bid", F.lit(0).alias("a"), F.lit(2**31 - 1).alias("b"))
     by_block = spans.union(whole).groupBy("bid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     by_key = materialize(unique.select("bid", "bk").join(by_block, "bid").select("bk", merged("spans").alias("spans")), "spans")
