@@ -5,9 +5,38 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .plans import catalog
+from .plans import catalog, configured
 from .registry import CATEGORIES, available
+from .sources import files
+
+
+def run_configs(given: argparse.Namespace) -> int:
+    """Feature vectors and run records of each configuration, in run folders under --out."""
+    if not given.frames or not (given.out or given.diagnose):
+        print("a configuration needs --frames, and --out or --diagnose")
+        return 1
+    spark = SparkSession.builder.getOrCreate()
+    frames = spark.read.parquet(given.frames) if given.frames.endswith(".parquet") else files.read_frames(spark, given.frames)
+    if given.sample:
+        some = frames.select("video_id").distinct().orderBy(F.xxhash64("video_id"), "video_id").limit(given.n)
+        frames = frames.join(some, "video_id", "left_semi")
+    known = spark.read.parquet(given.known) if given.known else None
+    for name in given.config or [n for n in configured.names() if n.startswith("group_")]:
+        over = {"detection": {"type": given.detection_source}} if given.detection_source else {}
+        config = configured.load(name, over)
+        if config.get("data_path") == "clip" or (config["detection"]["type"] == "ground_truth" and known is None):
+            print(f"{name}: left out ({'clip models are not built' if config.get('data_path') == 'clip' else 'no --known boxes'})")
+            continue
+        vectors = configured.video_vectors(frames, config, known)
+        if given.diagnose:
+            vectors.select("video_id", "indicator_tracks_present", "meta_n_traj_tracks").orderBy("video_id").show(50)
+            continue
+        run = files.write_run(spark, given.out, config, {"config": name, "n_videos": frames.select("video_id").distinct().count()})
+        vectors.write.json(f"{run}/features")
+        print(run)
+    return 0
 
 
 def main(args: list[str] | None = None) -> int:
@@ -17,7 +46,21 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--out", help="write JSON lines to this folder instead of showing rows")
     p.add_argument("--list-queries", action="store_true")
     p.add_argument("--list-components", action="store_true")
+    p.add_argument("--list-configs", action="store_true")
+    p.add_argument("--config", action="append", default=[], help="run a configuration over --frames; may be given several times")
+    p.add_argument("--all-groups", action="store_true", help="run every group_* configuration")
+    p.add_argument("--frames", help="a folder of gray frames (video/frame.pgm), or a Parquet table of frames")
+    p.add_argument("--known", help="a Parquet table of known boxes, for detection from ground truth")
+    p.add_argument("--detection-source", choices=["mog2", "ground_truth"])
+    p.add_argument("--sample", action="store_true", help="take --n videos only, chosen by a hash of their number")
+    p.add_argument("--n", type=int, default=5)
+    p.add_argument("--diagnose", action="store_true", help="show each video's number of frames and features only")
     given = p.parse_args(args)
+    if given.list_configs:
+        print("\n".join(configured.names()))
+        return 0
+    if given.config or given.all_groups:
+        return run_configs(given)
     if given.list_queries:
         print("\n".join(sorted(catalog.QUERIES)))
     if given.list_components:

@@ -65,15 +65,15 @@ def unsharp(frame: np.ndarray, strength: float = 1.5, sigma: float = 2.0) -> np.
 
 
 def wiener(frame: np.ndarray) -> np.ndarray:
-    """5 x 5 adaptive smoothing; noise is the mean of the variances under their 20 % point."""
-    box = np.full(5, 0.2)
-    f = frame.astype(float)
-    mean = spread(f, box)
-    var = spread(f * f, box) - mean * mean
-    low = var < np.percentile(var, 20)
-    noise = var[low].mean() if low.any() else 100.0
-    top = np.maximum(np.maximum(var, noise), 1e-12)
-    return np.clip(mean + np.maximum(0, var - noise) / top * (f - mean), 0, 255).astype(np.uint8)
+    """5 x 5 adaptive smoothing: what stands out of a pixel's surroundings is kept in proportion to how much
+    of their variance is not noise; noise is the mean of the variances below their 20 % point, or 100."""
+    f, box = frame.astype(float), np.full(5, 0.2)
+    around = spread(f, box)
+    variance = spread(f * f, box) - around**2
+    quiet = variance[variance < np.percentile(variance, 20)]
+    noise = quiet.mean() if quiet.size else 100.0
+    signal = np.clip(1 - noise / np.maximum(variance, max(noise, 1e-12)), 0, 1)
+    return np.clip(around + signal * (f - around), 0, 255).astype(np.uint8)
 
 
 def stretched(frame: np.ndarray) -> np.ndarray:
@@ -123,3 +123,42 @@ def orientation9(patch: np.ndarray) -> np.ndarray:
     gx, gy = gradients(patch)
     n, _ = np.histogram(np.arctan2(gy, gx) % (2 * np.pi), bins=9, range=(0, 2 * np.pi), weights=np.hypot(gx, gy))
     return n / (np.linalg.norm(n) + 1e-7)
+
+
+def strong_corners(frame: np.ndarray, most: int = 100, quality: float = 0.01, apart: int = 5) -> list[tuple[int, int]]:
+    """x, y of pixels whose 3 x 3 gradients change strongly in both directions (the lesser eigenvalue of
+    their moments): local maxima over ``quality`` of the strongest, in falling order, ``apart`` pixels or more."""
+    gx, gy = gradients(frame)
+    box = np.ones(3)
+    xx, yy, xy = spread(gx * gx, box), spread(gy * gy, box), spread(gx * gy, box)
+    strength = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
+    wide = np.pad(strength, 1, constant_values=-np.inf)
+    h, w = frame.shape
+    peak = strength >= np.max([wide[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
+    rows, cols = np.nonzero(peak & (strength > max(quality * strength.max(), 1e-9)))
+    kept: list[tuple[int, int]] = []
+    for i in np.argsort(-strength[rows, cols], kind="stable").tolist():
+        x, y = int(cols[i]), int(rows[i])
+        if all((x - a) ** 2 + (y - b) ** 2 >= apart * apart for a, b in kept):
+            kept.append((x, y))
+            if len(kept) == most:
+                break
+    return kept
+
+
+def ring_corners(frame: np.ndarray, threshold: int = 20, run: int = 9) -> list[tuple[int, int]]:
+    """x, y in reading order of pixels with ``run`` neighbours in a row, on the ring of radius 3, that are all
+    brighter or all darker by more than ``threshold``."""
+    h, w = frame.shape
+    if min(h, w) < 7:
+        return []
+    turn = np.arange(16) * np.pi / 8
+    dx, dy = np.rint(3 * np.cos(turn)).astype(int), np.rint(3 * np.sin(turn)).astype(int)
+    f = frame.astype(int)
+    ring = np.stack([f[3 + b : h - 3 + b, 3 + a : w - 3 + a] for a, b in zip(dx, dy, strict=True)]) - f[3 : h - 3, 3 : w - 3]
+    hit = np.zeros(ring.shape[1:], bool)
+    for side in (ring > threshold, ring < -threshold):
+        round_ = np.concatenate([side, side[: run - 1]])
+        hit |= np.lib.stride_tricks.sliding_window_view(round_, run, axis=0).all(-1).any(0)
+    rows, cols = np.nonzero(hit)
+    return [(int(c) + 3, int(r) + 3) for r, c in zip(rows, cols, strict=True)]

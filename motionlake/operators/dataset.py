@@ -56,8 +56,14 @@ def groups(manifest: DataFrame, by: Sequence[str] = ("activity", "distortion"),
 
 
 def group_names(manifest: DataFrame, by: Sequence[str] = ("activity", "distortion"), name: str = "series_name") -> DataFrame:
-    """Each group's names in order (a group's list is one row's array)."""
-    return manifest.groupBy(*by).agg(F.sort_array(F.collect_list(name)).alias("names"))
+    """Each group's names with their place in order, from 1: one row a name, so no group has to fit in a row."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(name, "video_id"))
+    return manifest.select(*by, F.col(name).alias("name"), place.cast("long").alias("place"))
+
+
+def distinct_values(manifest: DataFrame, col: str = "distortion") -> DataFrame:
+    """The values of a column, each once, without null."""
+    return manifest.where(F.col(col).isNotNull()).select(col).distinct()
 
 
 def sample_per_group(manifest: DataFrame, n: int, by: Sequence[str] = ("activity", "distortion"), order: Column | None = None) -> DataFrame:
@@ -88,15 +94,83 @@ def failure_reason(missing_file: Column, detection: Column, too_short: Column, t
     return F.when(missing_file, "file_missing").when(detection, "detection_failure").when(too_short, "track_too_short").when(tracking, "tracking_failure").when(feature, "feature_failure")
 
 
-def video_outcomes(manifest: DataFrame, detections: DataFrame, track_lengths: DataFrame, min_len: int = 30) -> DataFrame:
-    """Per video of the manifest: detections, tracks, frames, longest track, and why it failed."""
+def video_outcomes(manifest: DataFrame, detections: DataFrame, track_lengths: DataFrame, min_len: int = 30, features: DataFrame | None = None) -> DataFrame:
+    """Per video of the manifest: detections, tracks, frames, longest track, and why it failed.
+
+    ``features`` (video_id, n_valid_tracks) tells the tracks with features; a video that has
+    none, or isn't there, though it has tracks, failed in its features.
+    """
     det = detections.groupBy("video_id").agg(F.count("*").alias("n_det"), (F.max("frame_no") + 1).alias("n_frames"))
     trk = track_lengths.groupBy("video_id").agg(F.count("*").alias("n_tracks"), F.max("len").alias("longest"), F.sum("len").alias("points"))
     both = manifest.join(det, "video_id", "left").join(trk, "video_id", "left")
-    reason = failure_reason(F.col("n_frames").isNull(), F.coalesce("n_det", F.lit(0)) == 0, F.col("longest") < min_len, F.coalesce("n_tracks", F.lit(0)) == 0, F.lit(False))
+    if features is not None:
+        both = both.join(features.select("video_id", "n_valid_tracks"), "video_id", "left")
+    reason = failure_reason(F.col("n_frames").isNull(), F.coalesce("n_det", F.lit(0)) == 0, F.col("longest") < min_len, F.coalesce("n_tracks", F.lit(0)) == 0, F.lit(False) if features is None else F.coalesce("n_valid_tracks", F.lit(0)) == 0)
     return both.withColumn("reason", reason)
 
 
+#: Keys of a result that are no features.
+META = ("video", "video_id", "series_name", "activity", "distortion", "n_frames", "feature_count", "reason")
+
+
+def feature_keys(long: DataFrame, meta: Sequence[str] = META) -> DataFrame:
+    """key and its place from 1, in order: the union of all videos' keys without ``meta``; from rows (video_id, key, value)."""
+    keys = long.select("key").distinct().where(~F.col("key").isin(*meta))
+    return keys.withColumn("place", F.row_number().over(Window.orderBy("key")).cast("long"))  # one row per feature
+
+
+def missing_keys(long: DataFrame, meta: Sequence[str] = META) -> DataFrame:
+    """video_id, key: the union's keys that a video doesn't have, which count as 0.0."""
+    ids, keys = long.select("video_id").distinct(), feature_keys(long, meta).select("key")
+    return ids.join(keys).join(long.select("video_id", "key"), ["video_id", "key"], "left_anti")
+
+
+def feature_matrix(long: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row per video with a column per name, 0 where it is missing; names are given, so no job finds them."""
+    return long.groupBy("video_id").pivot("key", list(names)).agg(F.first("value")).na.fill(0.0, list(names))
+
+
+def with_indicators(features: DataFrame, manifest_or_results: DataFrame) -> DataFrame:
+    """All videos of the second table with their features, indicator_tracks_present (1.0 if the
+    video has any valid track) and meta_n_traj_tracks (how many); features of others are 0."""
+    names = [c for c in features.columns if c not in ("video_id", "n_valid_tracks")]
+    n = F.coalesce(F.col("n_valid_tracks").cast("double"), F.lit(0.0))
+    joined = manifest_or_results.select("video_id").join(features, "video_id", "left")
+    return joined.withColumns({"meta_n_traj_tracks": n, "indicator_tracks_present": F.when(n > 0, 1.0).otherwise(0.0)}).drop("n_valid_tracks").na.fill(0.0, names)
+
+
+def clip_dataset(manifest: DataFrame, present: DataFrame, target: str = "activity", per_class: int | None = None) -> DataFrame:
+    """Videos for clip models: those that exist, the first ``per_class`` of each class by id, with label and code."""
+    from .learn import encode_labels
+
+    rows = existing(manifest, present).where(F.col(target).isNotNull())
+    rows = rows if per_class is None else sample_per_group(rows, per_class, (target,), F.col("video_id"))
+    return encode_labels(rows.select("video_id", F.col(target).alias("label")), "label")
+
+
+def augmentation_plan(clips: DataFrame, epoch: int = 0, enlarge: float = 1.15, size: int = 112, jitter: float = 0.2) -> DataFrame:
+    """One row per clip: the crop, flip, brightness and contrast that all its frames share in this epoch.
+
+    Frames are enlarged to ``enlarge`` times ``size``, cropped to ``size`` at (top, left),
+    flipped for half of the clips, and scaled by 1 - jitter to 1 + jitter. All come
+    from digests of clip and epoch, so reruns and other machines agree.
+    """
+    room = int(size * enlarge) - size
+
+    def unit(name: str) -> Column:
+        digest = F.md5(F.concat(F.col("video_id").cast("string"), F.lit(f":{epoch}:{name}")).cast("binary"))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / 4294967296.0
+
+    scale = lambda name: 1 - jitter + 2 * jitter * unit(name)
+    return clips.select("video_id", F.floor(unit("top") * (room + 1)).cast("long").alias("top"), F.floor(unit("left") * (room + 1)).cast("long").alias("left"), (unit("flip") < 0.5).alias("flip"), scale("brightness").alias("brightness"), scale("contrast").alias("contrast"))
+
+
+def run_summary(outcomes: DataFrame) -> DataFrame:
+    """One row of a run's counts: videos, successes, failures, and the share of successes in percent."""
+    ok = F.count_if(F.col("reason").isNull())
+    return outcomes.agg(F.count("*").alias("n_videos"), ok.alias("n_successful"), F.count_if(F.col("reason").isNotNull()).alias("n_failed"), F.countDistinct("activity").alias("n_activities"), F.countDistinct("distortion").alias("n_distortions"), (ok / F.count("*") * 100).alias("success_rate"))
+
+
 def outcome_stats(outcomes: DataFrame, by: str = "distortion") -> DataFrame:
     """Per group: videos, successes, failures by reason, frames, tracks, mean length, success rate in percent."""
     failed = lambda r: F.count_if(F.col("reason") == r)

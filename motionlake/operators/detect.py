@@ -57,9 +57,12 @@ def nearest_next(detections: DataFrame, k: int = 2) -> DataFrame:
 
 
 def normalised_boxes(detections: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Boxes as shares of their video's width and height."""
+    """Boxes as shares of their video's width and height, in millionths, halves rounded up.
+
+    They are rounded as whole numbers, so that no binary fraction decides.
+    """
     sizes = manifest.select("video_id", "width", "height")
-    share = lambda c, by: (F.col(c) / F.col(by)).alias(f"n{c}")
+    share = lambda c, by: (F.expr(f"(2000000 * {c} + {by}) div (2 * {by})") / 1e6).alias(f"n{c}")
     return detections.join(sizes, "video_id").select("video_id", "det_id", share("x", "width"), share("y", "height"), share("w", "width"), share("h", "height"))
 
 

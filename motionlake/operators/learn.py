@@ -29,10 +29,16 @@ def training_viability(rows: DataFrame, label: str = "label", folds: int = 5, pe
 
 
 def encode_labels(rows: DataFrame, label: str) -> DataFrame:
-    """Adds code: the label's place among the distinct labels in order, from 0."""
-    named = rows.select(label).distinct()
-    coded = named.withColumn("code", (F.row_number().over(Window.orderBy(label)) - 1).cast("long"))  # one row per class
-    return rows.join(F.broadcast(coded), label)
+    """Adds code: the label's place among the distinct labels in order, from 0; rows without a label are left out.
+
+    Labels are dealt out in ranges; a label's place is that in its range and the number of
+    labels in the ranges before. The join is left to Spark, which broadcasts by size.
+    """
+    named = rows.where(F.col(label).isNotNull()).select(label).distinct().repartitionByRange(label).withColumn("_part", F.spark_partition_id())
+    before = named.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))  # one row per range
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(label)) - 1
+    coded = named.withColumn("_place", place).join(before, "_part").select(label, (F.col("_place") + F.col("_before")).cast("long").alias("code"))
+    return rows.join(coded, label)
 
 
 def stratified_folds(rows: DataFrame, label: str, id_col: str, folds: int = 5, order: Column | None = None) -> DataFrame:
@@ -136,6 +142,37 @@ def scores(rows: DataFrame, truth: str = "truth", predicted: str = "predicted")
     return per.agg((F.sum("hit") / F.sum("support")).alias("accuracy"), mean(precision).alias("precision"), mean(recall).alias("recall"), mean(f1).alias("f1"))
 
 
+def fold_predictions(vectors: DataFrame, label: str = "label", id_col: str = "vec_id", vec_col: str = "embedding", folds: int = 5, dims: tuple[int, int] | None = None, order: Column | None = None, train: bool = False) -> DataFrame:
+    """id, truth, predicted, fold, held_out: nearest-mean models, one per fold, over the dimensions ``dims``.
+
+    A fold's model is fitted to the rows of the other folds and predicts its own rows
+    (held_out) and, with ``train``, those too. Its class means come from sums by class
+    and fold, so rows are read once for all folds; the least squared distance wins, of
+    equals the smallest label. Rows with a null label or vector are left out.
+    """
+    dealt = stratified_folds(vectors.where(F.col(label).isNotNull() & F.col(vec_col).isNotNull()), label, id_col, folds, order)
+    long = dealt.select(F.col(id_col).alias("id"), F.col(label).alias("truth"), F.col("fold").alias("own"), F.posexplode(vec_col).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
+    if dims:
+        long = long.where((F.col("dim") >= dims[0]) & (F.col("dim") < dims[1]))
+    sums = long.groupBy(F.col("truth").alias("predicted"), "dim", "own").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    whole = sums.groupBy("predicted", "dim").agg(F.sum("s").alias("s_all"), F.sum("n").alias("n_all")).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long"))))
+    means = whole.join(sums.withColumnRenamed("own", "fold"), ["predicted", "dim", "fold"], "left").withColumn("left_n", F.col("n_all") - F.coalesce("n", F.lit(0))).where("left_n > 0")
+    means = means.select("predicted", "dim", "fold", ((F.col("s_all") - F.coalesce("s", F.lit(0.0))) / F.col("left_n")).alias("m"))
+    rows = long.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long")))) if train else long.withColumn("fold", F.col("own"))
+    far = rows.join(means, ["fold", "dim"]).groupBy("id", "truth", "own", "fold", "predicted").agg(F.sum((F.col("v") - F.col("m")) * (F.col("v") - F.col("m"))).alias("d"))
+    best = far.groupBy("id", "truth", "own", "fold").agg(F.min(F.struct("d", "predicted")).alias("b"))
+    return best.select("id", "truth", "b.predicted", "fold", (F.col("own") == F.col("fold")).alias("held_out"))
+
+
+def cv_summary(predictions: DataFrame) -> DataFrame:
+    """Per model, from rows (model, fold, held_out, truth, predicted): mean and population deviation over
+    folds of the held-out and of the training accuracy, and the overfit gap between the means."""
+    per = predictions.groupBy("model", "fold", "held_out").agg(F.avg((F.col("truth") == F.col("predicted")).cast("double")).alias("accuracy"))
+    of = lambda held, f: f(F.when(F.col("held_out") == held, F.col("accuracy")))
+    out = per.groupBy("model").agg(of(True, F.avg).alias("accuracy_mean"), of(True, F.stddev_pop).alias("accuracy_std"), of(False, F.avg).alias("train_mean"), of(False, F.stddev_pop).alias("train_std"))
+    return out.withColumn("overfit_gap", F.col("train_mean") - F.col("accuracy_mean"))
+
+
 def fold_summary(per_fold: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row: mean and population deviation of each column over folds."""
     return per_fold.agg(*(f(c).alias(f"{c}_{s}") for c in cols for s, f in (("mean", F.avg), ("std", F.stddev_pop))))

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import DB4, DB4_HIGH, hull, ring
-from .tracks import TRACK
+from .tracks import TRACK, curvature_features
 
 HULL = ["convex_hull_area", "compactness"]
+SHAPE = ["mean_curvature", "std_curvature", "turning_rate_rad_s", "convex_hull_area", "compactness", "path_efficiency"]
 WAVELET = ["dwt_energy_approx", "dwt_energy_detail1", "dwt_energy_detail2", "dwt_energy_detail3", "dwt_energy_total", "dwt_entropy"]
 BLOCK = 4096
 
@@ -52,6 +53,11 @@ def hull_features(points: DataFrame, block: int = BLOCK) -> DataFrame:
     return merged.mapInArrow(whole, ", ".join(["video_id long, track_id long", *(f"{n} double" for n in HULL)]))
 
 
+def shape_features(points: DataFrame, fps: float = 10.0) -> DataFrame:
+    """The six shape features of tracks of four points or more: curvature, turning, hull and path efficiency."""
+    return curvature_features(points, fps).join(hull_features(points), TRACK).select(*TRACK, *SHAPE)
+
+
 def _padded(speeds: DataFrame) -> DataFrame:
     """Rows (track, i, a, n): speeds reflected to a power of two n of 8 or more."""
     bits = F.greatest(F.lit(3), F.length(F.bin(F.col("len") - 1)))

@@ -8,7 +8,7 @@ are alive, not by the video. The stream form keeps the same state per video.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,73 +22,70 @@ OUT = "video_id long, frame_no long, det_id long, track_id long, hits int, cx lo
 
 
 class Tracker:
-    """Common part: ids from 0 in order of creation; tracks end after ``max_gap`` missed frames."""
+    """Common part: ids from 0 in order of creation; tracks end after ``max_gap`` missed frames.
+
+    What is known of the living tracks is held in arrays, one place a track, so a frame
+    is handled at once however many tracks there are.
+    """
 
     def __init__(self, max_gap: int = MAX_GAP):
         self.max_gap = max_gap
-        self.ids, self.missed, self.hits, self.boxes = [], [], [], np.zeros((0, 4))
+        self.ids, self.missed, self.hits, self.boxes = np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros((0, 4))
         self.next_id, self.frame = 0, None
 
-    def pairs(self, boxes: np.ndarray) -> list[tuple[int, int]]:
-        """(track place, box place) of the frame's matches."""
+    def pairs(self, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Track places and box places of the frame's matches."""
         raise NotImplementedError
 
     def begin(self) -> None:
         """Called for each frame before matching."""
 
-    def started(self, box: np.ndarray) -> None:
-        """Called for each new track."""
+    def started(self, boxes: np.ndarray) -> None:
+        """Called with the boxes of new tracks, the first of which gets ``next_id``."""
 
-    def matched(self, place: int, box: np.ndarray) -> None:
-        """Called for each match."""
+    def matched(self, places: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+        """Called for a frame's matches; the boxes that the tracks have from now on."""
+        return boxes[:, :4]
 
-    def ended(self, stay: list[int]) -> None:
+    def ended(self, stay: np.ndarray) -> None:
         """Called with the places of the tracks that stay."""
 
     def skip(self, frames: int) -> None:
         """Frames without any box."""
         for _ in range(min(frames, self.max_gap + 1)):
             self.begin()
-            self.missed = [m + 1 for m in self.missed]
+            self.missed += 1
             self._prune()
 
     def _prune(self) -> None:
-        stay = [i for i, m in enumerate(self.missed) if m <= self.max_gap]
+        stay = np.flatnonzero(self.missed <= self.max_gap)
         if len(stay) < len(self.ids):
-            self.ids, self.missed, self.hits = ([x[i] for i in stay] for x in (self.ids, self.missed, self.hits))
-            self.boxes = self.boxes[stay]
+            self.ids, self.missed, self.hits, self.boxes = self.ids[stay], self.missed[stay], self.hits[stay], self.boxes[stay]
             self.ended(stay)
 
     def update(self, frame: int, boxes: np.ndarray) -> tuple[list[int], list[int]]:
         """Track id and number of hits of each box of the next frame."""
         if self.frame is not None and frame > self.frame + 1:
             self.skip(frame - self.frame - 1)
-        first, self.frame = not self.ids, frame
+        self.frame = frame
         self.begin()
-        found = [] if first else self.pairs(boxes)
-        names, hits, used = [-1] * len(boxes), [1] * len(boxes), set()
-        for place, box in found:
-            self.matched(place, boxes[box])
-            self.boxes[place] = boxes[box, :4]
-            self.missed[place] = 0
-            self.hits[place] += 1
-            names[box], hits[box] = self.ids[place], self.hits[place]
-            used.add(place)
-        for place in range(len(self.ids)):
-            if place not in used:
-                self.missed[place] += 1
-        for box, name in enumerate(names):
-            if name < 0:
-                names[box] = self.next_id
-                self.ids.append(self.next_id)
-                self.missed.append(0)
-                self.hits.append(1)
-                self.boxes = np.vstack([self.boxes, boxes[box : box + 1, :4]])
-                self.started(boxes[box])
-                self.next_id += 1
-        if not first:
-            self._prune()
-        return names, hits
+        names, hits = np.full(len(boxes), -1), np.ones(len(boxes), int)
+        places, found = self.pairs(boxes) if len(self.ids) and len(boxes) else (np.zeros(0, int), np.zeros(0, int))
+        self.missed += 1
+        if len(places):
+            self.boxes[places] = self.matched(places, boxes[found])
+            self.missed[places] = 0
+            self.hits[places] += 1
+            names[found], hits[found] = self.ids[places], self.hits[places]
+        new = np.flatnonzero(names < 0)
+        if len(new):
+            self.started(boxes[new])
+            names[new] = np.arange(self.next_id, self.next_id + len(new))
+            self.next_id += len(new)
+            self.ids, self.missed, self.hits = np.append(self.ids, names[new]), np.append(self.missed, 0 * new), np.append(self.hits, 0 * new + 1)
+            self.boxes = np.vstack([self.boxes, boxes[new, :4]])
+        self._prune()
+        return names.tolist(), hits.tolist()
 
 
 def centres(boxes: np.ndarray) -> np.ndarray:
@@ -99,17 +96,30 @@ class Centroid(Tracker):
     """Nearest centres first, over all pairs; ties by track, then box."""
 
     def pairs(self, boxes):
-        d = np.hypot(*(centres(self.boxes)[:, None, :] - centres(boxes)[None, :, :]).transpose(2, 0, 1))
-        out, rows, cols = [], set(), set()
-        for at in np.argsort(d, axis=None, kind="stable").tolist():
-            r, c = divmod(at, d.shape[1])
-            if r not in rows and c not in cols:
-                out.append((r, c))
-                rows.add(r)
-                cols.add(c)
-                if len(out) == min(d.shape):
-                    break
-        return out
+        gap = centres(self.boxes)[:, None, :] - centres(boxes)[None, :, :]
+        d = np.hypot(gap[..., 0], gap[..., 1])
+        rows, cols = [], []
+        for _ in range(min(d.shape)):  # the least left, at first in reading order
+            r, c = divmod(int(d.argmin()), d.shape[1])
+            rows.append(r)
+            cols.append(c)
+            d[r], d[:, c] = np.inf, np.inf
+        return np.array(rows, int), np.array(cols, int)
+
+
+def best_overlaps(share: np.ndarray, above: float, bonus: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the assignment with the greatest total share that overlap by more than ``above``.
+
+    Only tracks and boxes that overlap something take part: the others add nothing to a
+    total, and there are at least as many on the longer side as the shorter one needs.
+    """
+    rows, cols = np.flatnonzero((share > 0).any(1)), np.flatnonzero((share > 0).any(0))
+    if not len(rows):
+        return rows, cols[:0]
+    own = share[np.ix_(rows, cols)]
+    cost = -own - (bonus[np.ix_(rows, cols)] if isinstance(bonus, np.ndarray) else 0.0)
+    found = np.array([(r, c) for r, c in assign(cost) if own[r, c] > above], int).reshape(-1, 2)
+    return rows[found[:, 0]], cols[found[:, 1]]
 
 
 class Overlap(Tracker):
@@ -123,56 +133,54 @@ class Overlap(Tracker):
         return self.boxes
 
     def pairs(self, boxes):
-        share = iou_matrix(self.expected(), boxes[:, :4])
-        return [(r, c) for r, c in assign(-share) if share[r, c] > self.above]
+        return best_overlaps(iou_matrix(self.expected(), boxes[:, :4]), self.above)
 
 
 class Sort(Overlap):
     """Overlap with boxes predicted by a constant-velocity Kalman filter per track.
 
     The state is centre, area, aspect and the speeds of the first three; a prediction
-    without a valid box falls back to the last box.
+    without a valid box falls back to the last box. All tracks' filters are one stack
+    of matrices.
     """
 
     MOVE = np.eye(7) + np.eye(7, k=4)
     NOISE = np.diag([0.03] * 4 + [0.0003] * 3)
-    SEEN = np.eye(4, 7)
     BLUR = np.diag([0.3, 0.3, 0.03, 0.03])
 
     def __init__(self, max_gap: int = MAX_GAP, above: float = 0.3):
         super().__init__(max_gap, above)
-        self.mean, self.cov = [], []
+        self.mean, self.cov = np.zeros((0, 7)), np.zeros((0, 7, 7))
 
     @staticmethod
-    def measured(box: np.ndarray) -> np.ndarray:
-        x, y, w, h = box[:4]
-        return np.array([x + w / 2, y + h / 2, w * h, w / h if h > 0 else 1.0])
+    def measured(boxes: np.ndarray) -> np.ndarray:
+        x, y, w, h = boxes[:, :4].T
+        return np.stack([x + w / 2, y + h / 2, w * h, np.where(h > 0, w / np.where(h > 0, h, 1), 1.0)], axis=1)
 
     def begin(self):
-        self.mean = [self.MOVE @ m for m in self.mean]
-        self.cov = [self.MOVE @ c @ self.MOVE.T + self.NOISE for c in self.cov]
+        self.mean = self.mean @ self.MOVE.T
+        self.cov = self.MOVE @ self.cov @ self.MOVE.T + self.NOISE
 
     def expected(self):
-        out = self.boxes.copy()
-        for i, m in enumerate(self.mean):
-            if m[2] > 0 and m[3] > 0:
-                w = np.sqrt(m[2] * m[3])
-                h = m[2] / w
-                out[i] = np.trunc([m[0] - w / 2, m[1] - h / 2, w, h])
-        return out
-
-    def started(self, box):
-        self.mean.append(np.append(self.measured(box), np.zeros(3)))
-        self.cov.append(np.eye(7) * 10.0)
-
-    def matched(self, place, box):
-        c = self.cov[place]
-        gain = c @ self.SEEN.T @ np.linalg.inv(self.SEEN @ c @ self.SEEN.T + self.BLUR)
-        self.mean[place] = self.mean[place] + gain @ (self.measured(box) - self.SEEN @ self.mean[place])
-        self.cov[place] = (np.eye(7) - gain @ self.SEEN) @ c
+        valid = (self.mean[:, 2] > 0) & (self.mean[:, 3] > 0)
+        area, aspect = np.where(valid, self.mean[:, 2], 1.0), np.where(valid, self.mean[:, 3], 1.0)
+        w = np.sqrt(area * aspect)
+        h = area / w
+        return np.where(valid[:, None], np.trunc(np.stack([self.mean[:, 0] - w / 2, self.mean[:, 1] - h / 2, w, h], axis=1)), self.boxes)
+
+    def started(self, boxes):
+        self.mean = np.vstack([self.mean, np.hstack([self.measured(boxes), np.zeros((len(boxes), 3))])])
+        self.cov = np.concatenate([self.cov, np.repeat(10.0 * np.eye(7)[None], len(boxes), axis=0)])
+
+    def matched(self, places, boxes):
+        c = self.cov[places]
+        gain = c[:, :, :4] @ np.linalg.inv(c[:, :4, :4] + self.BLUR)  # the first four of the state are what is seen
+        self.mean[places] += (gain @ (self.measured(boxes) - self.mean[places, :4])[..., None])[..., 0]
+        self.cov[places] = c - gain @ c[:, :4, :]
+        return boxes[:, :4]
 
     def ended(self, stay):
-        self.mean, self.cov = ([x[i] for i in stay] for x in (self.mean, self.cov))
+        self.mean, self.cov = self.mean[stay], self.cov[stay]
 
 
 class Focused(Overlap):
@@ -181,43 +189,63 @@ class Focused(Overlap):
     The model w answers a box's look p with w.p; after each match it takes a step down
     the gradient ``2 ((1 - eta) w.p - 1) p + 2 lam w``, longer the better the overlap.
     It starts from small weights that depend on the track's number only. Among pairs
-    of equal overlap the better answer wins. Boxes carry their look after x, y, w, h.
+    of equal overlap the better answer wins. Boxes carry their looks after x, y, w, h,
+    nine numbers for each of ``scales``; a matched track keeps the box, scaled about its
+    centre, whose look its model answers best (of equals the first).
     """
 
-    def __init__(self, max_gap: int = MAX_GAP, above: float = 0.3, eta: float = 0.5, lam: float = 1e-4, rate: float = 0.02):
+    def __init__(self, max_gap: int = MAX_GAP, above: float = 0.3, eta: float = 0.5, lam: float = 1e-4, rate: float = 0.02, scales: tuple[float, ...] = (1.0,)):
         super().__init__(max_gap, above)
-        self.eta, self.lam, self.rate, self.weights = eta, lam, rate, []
+        self.eta, self.lam, self.rate, self.scales, self.weights = eta, lam, rate, scales, np.zeros((0, LOOK))
+
+    def looks(self, boxes: np.ndarray) -> np.ndarray:
+        """[box, scale, look]; all zero where boxes carry none."""
+        out = np.zeros((len(boxes), len(self.scales), LOOK))
+        return boxes[:, 4:].reshape(out.shape) if boxes.shape[1] == 4 + out[0].size else out
+
+    def _plain(self, boxes: np.ndarray) -> np.ndarray:
+        return self.looks(boxes)[:, self.scales.index(1.0)]
 
     def pairs(self, boxes):
-        share = iou_matrix(self.expected(), boxes[:, :4])
-        answer = np.stack(self.weights) @ boxes[:, 4:].T if boxes.shape[1] > 4 else 0.0
-        return [(r, c) for r, c in assign(-share - 1e-9 * np.clip(answer, -1, 1)) if share[r, c] > self.above]
+        answer = np.clip(self.weights @ self._plain(boxes).T, -1, 1)
+        return best_overlaps(iou_matrix(self.expected(), boxes[:, :4]), self.above, 1e-9 * answer)
 
-    def started(self, box):
-        self.weights.append(np.random.default_rng(self.next_id).standard_normal(len(box) - 4) * 0.01)
+    def started(self, boxes):
+        new = [np.random.default_rng(self.next_id + i).standard_normal(LOOK) * 0.01 for i in range(len(boxes))]
+        self.weights = np.vstack([self.weights, *new])
 
-    def matched(self, place, box):
-        w, p = self.weights[place], box[4:]
-        step = self.rate * (0.5 + 0.5 * iou_matrix(self.boxes[place : place + 1], box[None, :4])[0, 0])
-        self.weights[place] = w - step * (2 * ((1 - self.eta) * float(w @ p) - 1) * p + 2 * self.lam * w)
+    def matched(self, places, boxes):
+        w, p = self.weights[places], self._plain(boxes)
+        best = np.einsum("bl,bsl->bs", w, self.looks(boxes)).argmax(1)
+        share = iou_matrix(self.boxes[places], boxes[:, :4]).diagonal()
+        slope = 2 * ((1 - self.eta) * (w * p).sum(1) - 1)
+        self.weights[places] = w - (self.rate * (0.5 + 0.5 * share))[:, None] * (slope[:, None] * p + 2 * self.lam * w)
+        return scaled(boxes[:, :4], np.array(self.scales)[best])
 
     def ended(self, stay):
-        self.weights = [self.weights[i] for i in stay]
+        self.weights = self.weights[stay]
 
 
-TRACKERS: dict[str, Callable[..., Tracker]] = {"centroid": Centroid, "iou_hungarian": Overlap, "sort": Sort, "tfcr": Focused}
 LOOK = 9
+TRACKERS: dict[str, Callable[..., Tracker]] = {"centroid": Centroid, "iou_hungarian": Overlap, "sort": Sort, "tfcr": Focused}
+
+
+def scaled(boxes: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Boxes scaled about their centres to whole pixels, at least 4 wide and high, from 0 on; by 1 unchanged."""
+    size = np.maximum(4, np.trunc(boxes[:, 2:] * by[:, None]))
+    corner = np.maximum(0, centres(boxes) - np.floor(size / 2))
+    return np.where((by == 1)[:, None], boxes, np.hstack([corner, size]))
 
 
-def stepped(tracker: Tracker, frame_no: np.ndarray, det_id: np.ndarray, box: np.ndarray) -> list[tuple]:
-    """Rows (frame_no, det_id, track_id, hits, cx, cy) of whole frames in order."""
-    out = []
+def stepped(tracker: Tracker, frame_no: np.ndarray, det_id: np.ndarray, box: np.ndarray) -> list[np.ndarray]:
+    """Columns frame_no, det_id, track_id, hits, cx, cy of whole frames in order."""
+    names, hits = [], []
     for start, stop in zip(*_runs(frame_no), strict=True):
-        part = box[start:stop]
-        names, hits = tracker.update(int(frame_no[start]), part)
-        mid = centres(part).astype(int)
-        out += [(int(frame_no[start]), int(det_id[start + i]), n, h, int(mid[i, 0]), int(mid[i, 1])) for i, (n, h) in enumerate(zip(names, hits, strict=True))]
-    return out
+        named, hit = tracker.update(int(frame_no[start]), box[start:stop])
+        names += named
+        hits += hit
+    mid = centres(box).astype(np.int64)
+    return [frame_no, det_id, np.array(names, np.int64), np.array(hits, np.int32), mid[:, 0], mid[:, 1]]
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,55 +258,51 @@ def track(detections: DataFrame, kind: str = "iou_hungarian", **how) -> DataFram
 
     Detections of a frame are taken in order of det_id; frame numbers without a
     detection are empty frames. Rows with a null video, frame or box are left out. The
-    appearance tracker reads ``look`` (nine numbers) if there is such a column.
+    appearance tracker reads ``look`` (nine numbers a scale) if there is such a column.
     """
-    make = TRACKERS[kind]
-    cols = ["video_id", "frame_no", "det_id", "x", "y", "w", "h"]
-    whole = [F.col(c).cast("long").alias(c) for c in cols]
-    if kind == "tfcr" and "look" in detections.columns:  # looks travel as millionths
-        whole += [F.coalesce(F.round(F.get("look", F.lit(i)) * 1e6), F.lit(0)).cast("long").alias(f"look{i}") for i in range(LOOK)]
-    ready = detections.select(*whole).na.drop()
+    return _tracked(detections, {kind: lambda: TRACKERS[kind](**how)}, LOOK * len(how.get("scales", (1.0,)))).drop("tracker")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        video, state, held = None, None, None
-        for batch in batches:
-            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
-            if held is not None:
-                rows = np.vstack([held, rows])
-            if not len(rows):
-                continue
-            # The last frame may go on in the next batch.
-            last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1))
-            whole = last[-1] + 1 if len(last) else 0
-            rows, held = rows[:whole], rows[whole:]
-            for part in _videos(rows):
-                if part[0, 0] != video:
-                    video, state = part[0, 0], make(**how)
-                yield _named(video, stepped(state, part[:, 1], part[:, 2], _boxes(part)))
-        if held is not None and len(held):
-            if held[0, 0] != video:
-                video, state = held[0, 0], make(**how)
-            yield _named(video, stepped(state, held[:, 1], held[:, 2], _boxes(held)))
 
-    return ready.repartition("video_id").sortWithinPartitions("video_id", "frame_no", "det_id").mapInArrow(run, OUT)
+def track_all(detections: DataFrame, kinds: Sequence[str] = tuple(TRACKERS)) -> DataFrame:
+    """The rows of ``track`` for each of ``kinds``, with a column tracker; the detections are
+    dealt out, sorted and read once."""
+    return _tracked(detections, {k: TRACKERS[k] for k in kinds}, LOOK)
 
 
-def _boxes(rows: np.ndarray) -> np.ndarray:
-    out = rows[:, 3:].astype(float)
-    out[:, 4:] /= 1e6
-    return out
+def _tracked(detections: DataFrame, makers: dict[str, Callable[[], Tracker]], looks: int) -> DataFrame:
+    cols = ["video_id", "frame_no", "det_id", "x", "y", "w", "h"]
+    whole = [F.col(c).cast("long").alias(c) for c in cols]
+    if "tfcr" in makers and "look" in detections.columns:  # looks travel as millionths
+        whole += [F.coalesce(F.round(F.get("look", F.lit(i)) * 1e6), F.lit(0)).cast("long").alias(f"look{i}") for i in range(looks)]
+    ready, width = detections.select(*whole).na.drop(), len(whole)
+
+    def named(video: int, states: dict[str, Tracker], rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        boxes = rows[:, 3:].astype(float)
+        boxes[:, 4:] /= 1e6
+        for kind, state in states.items():
+            found = stepped(state, rows[:, 1].copy(), rows[:, 2].copy(), boxes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), video)), *map(pa.array, found), pa.array([kind] * len(rows), pa.string())], [*(c.split()[0] for c in OUT.split(", ")), "tracker"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, states, held = None, {}, np.zeros((0, width), np.int64)
+        for batch in _ended(batches):
+            rows = held if batch is None else np.vstack([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+            # The last frame may go on in the next batch.
+            last = np.flatnonzero((rows[:, :2] != rows[-1:, :2]).any(1))
+            cut = len(rows) if batch is None else last[-1] + 1 if len(last) else 0
+            rows, held = rows[:cut], rows[cut:]
+            for start, stop in zip(*_runs(rows[:, 0]), strict=True) if len(rows) else ():
+                if rows[start, 0] != video:
+                    video, states = rows[start, 0], {k: make() for k, make in makers.items()}
+                yield from named(video, states, rows[start:stop])
 
-def _videos(rows: np.ndarray) -> Iterator[np.ndarray]:
-    if len(rows):
-        for start, stop in zip(*_runs(rows[:, 0]), strict=True):
-            yield rows[start:stop]
+    return ready.repartition("video_id").sortWithinPartitions("video_id", "frame_no", "det_id").mapInArrow(run, f"{OUT}, tracker string")
 
 
-def _named(video: int, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-    cols = [pa.array([int(video)] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))]
-    return pa.RecordBatch.from_arrays(cols, ["video_id", "frame_no", "det_id", "track_id", "hits", "cx", "cy"])
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, and None at the end."""
+    yield from batches
+    yield None
 
 
 def alive(tracked: DataFrame, frames: DataFrame | None = None, max_gap: int = MAX_GAP, min_hits: int = 1, most: int = MAX_POINTS) -> DataFrame:

@@ -136,15 +136,23 @@ def temporal_context(points: DataFrame, long: int = LONG_TRACK) -> DataFrame:
     )
 
 
-def tracker_metrics(tracks: DataFrame, frames: int, thresholds: tuple[int, ...] = (15, 30, 45, 60, 90)) -> DataFrame:
-    """Per video, from rows (video_id, track_id, len, disappeared): numbers, lengths, coverage, continuity."""
-    n = F.count("*")
+def missed_frames(points: DataFrame) -> DataFrame:
+    """video_id, track_id, len, disappeared and frames: how long ago a track was last seen at its
+    video's end, and the video's length, both counted by seq."""
+    per = points.groupBy(*TRACK).agg(F.count("*").alias("len"), F.max("seq").alias("last"))
+    end = per.groupBy("video_id").agg(F.max("last").alias("end"))
+    return per.join(end, "video_id").select(*TRACK, "len", (F.col("end") - F.col("last")).alias("disappeared"), (F.col("end") + 1).alias("frames"))
+
+
+def tracker_metrics(tracks: DataFrame, by: tuple[str, ...] = ("video_id",), thresholds: tuple[int, ...] = (15, 30, 45, 60, 90)) -> DataFrame:
+    """Per video, from rows (video_id, track_id, len, disappeared, frames): numbers, lengths, coverage, continuity."""
+    n, frames = F.count("*"), F.max("frames")
     agg = [n.alias("n_tracks"), F.avg("len").alias("mean_track_length"), F.percentile("len", F.lit(0.5)).alias("median_track_length"), F.stddev_pop("len").alias("std_track_length"), F.max("len").alias("max_track_length"), F.min("len").alias("min_track_length")]
     agg += [(F.sum("len") / (n * frames)).alias("track_coverage"), (n / frames).alias("tracks_per_frame")]
     for t in thresholds:
         agg += [F.count_if(F.col("len") >= t).alias(f"tracks_ge_{t}_frames"), (F.count_if(F.col("len") >= t) / n * 100).alias(f"tracks_ge_{t}_pct")]
     gaps = F.count_if(F.col("disappeared") > 0)
-    return tracks.groupBy("video_id").agg(*agg, gaps.alias("tracks_with_gaps"), (1 - gaps / n).alias("track_continuity"))
+    return tracks.groupBy(*by).agg(*agg, gaps.alias("tracks_with_gaps"), (1 - gaps / n).alias("track_continuity"))
 
 
 def length_percentiles(track_lengths: DataFrame) -> DataFrame:

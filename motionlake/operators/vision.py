@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import block_flow, boxes, cleaned
+from ..functions.images import laplacian_variance
+from ..functions.kernels import block_flow, boxes, cleaned, dilated, eroded
+from .tracking import MAX_POINTS, TRACKERS
 
 OUT = "video_id long, frame_no long, det_id long, x int, y int, w int, h int, area int, detector string"
 
@@ -34,29 +36,88 @@ class FrameDiff:
         return cleaned(d > max(self.least, int(1.5 * np.percentile(d, self.noise))))
 
 
+def foreground(raw: np.ndarray, shadow_weight: float = 0.0, close: int = 2, open_: int = 1) -> np.ndarray:
+    """The cleaned mask of a raw one (255 foreground, 127 shadow): shadows count not at all at
+    weight 0, fully at 1, and between only where closing the sure foreground covers them."""
+    sure, shadow = raw == 255, raw == 127
+    if shadow_weight >= 1:
+        sure = sure | shadow
+    elif shadow_weight > 0:
+        sure = sure | (shadow & eroded(dilated(sure)))
+    return cleaned(sure, close, open_)
+
+
 class Background:
-    """A running Gaussian per pixel: a stand-in with the same interface for a mixture model.
+    """A mixture of up to five Gaussians per pixel, learned recursively.
 
-    A pixel is foreground if its squared distance to the mean exceeds ``threshold``
-    variances; over dark or blurred frames the threshold is lower.
+    A pixel is background if it is within ``threshold`` variances of one of the heaviest
+    modes that make up nine tenths of the weight; foreground that is a darker shade of
+    such a mode, by half at most, is shadow. A mode within nine variances learns the pixel,
+    else a new one replaces the lightest; modes that the data don't support fade. Over
+    dark or blurred frames the threshold is lower.
     """
 
     name = "mog2"
-
-    def __init__(self, history: int = 20, threshold: float = 16.0, adaptive: bool = True):
-        self.rate, self.threshold, self.adaptive, self.mean, self.var = 1 / history, threshold, adaptive, None, None
+    #: Fixed values of the method: modes, share of background, variances, fading, darkest shadow.
+    MODES, SHARE, NEAR, FIRST, LEAST, MOST, FADE, DARKEST = 5, 0.9, 9.0, 15.0, 4.0, 75.0, 0.05, 0.5
+
+    def __init__(self, history: int = 20, threshold: float = 16.0, adaptive: bool = True, relaxed: float = 10.0, shadows: bool = True, shadow_weight: float = 0.0):
+        self.history, self.threshold, self.adaptive, self.relaxed, self.shadows, self.shadow_weight = history, threshold, adaptive, relaxed, shadows, shadow_weight
+        self.weight, self.mean, self.var, self.count = None, None, None, 0
+
+    def _fits(self, v: np.ndarray) -> bool:
+        return self.weight is not None and self.weight.shape[1:] == v.shape
+
+    def _faded(self) -> tuple[float, np.ndarray]:
+        rate = 1 / min(2 * (self.count + 1), self.history)
+        return rate, np.where(self.weight > 0, (1 - rate) * self.weight - rate * self.FADE, 0.0)
+
+    def classified(self, v: np.ndarray, threshold: float) -> np.ndarray:
+        """The raw mask of a frame by the model as it is; all foreground without one."""
+        if not self._fits(v):
+            return np.full(v.shape, 255, np.uint8)
+        weight = self._faded()[1]
+        alive, d2 = self.weight > 0, (v - self.mean) ** 2
+        heavy = alive & (np.cumsum(weight, axis=0) - weight < self.SHARE)
+        learns = alive & (d2 < self.NEAR * self.var)
+        until = np.where(learns.any(0), learns.argmax(0), self.MODES)  # later modes aren't asked
+        background = (heavy & (d2 < threshold * self.var) & (np.arange(self.MODES)[:, None, None] <= until)).any(0)
+        raw = np.where(background, 0, 255).astype(np.uint8)
+        if self.shadows:
+            shade = np.divide(v, self.mean, out=np.full(self.mean.shape, 2.0), where=self.mean > 0)
+            raw[~background & (heavy & (shade <= 1) & (shade >= self.DARKEST)).any(0)] = 127
+        return raw
+
+    def learn(self, v: np.ndarray) -> None:
+        if not self._fits(v):
+            self.weight, self.mean, self.var = np.zeros((self.MODES, *v.shape)), np.zeros((self.MODES, *v.shape)), np.full((self.MODES, *v.shape), self.FIRST)
+            self.count = 0
+        rate, weight = self._faded()
+        d2 = (v - self.mean) ** 2
+        learns = (self.weight > 0) & (d2 < self.NEAR * self.var)
+        own, any_ = learns & (np.cumsum(learns, axis=0) == 1), learns.any(0)  # the heaviest mode that is near
+        weight = np.where(own, weight + rate, weight)
+        step = np.divide(rate, weight, out=np.zeros_like(weight), where=own)
+        self.var = np.where(own, np.clip(self.var + step * (d2 - self.var), self.LEAST, self.MOST), self.var)
+        self.mean = self.mean + np.where(own, step * (v - self.mean), 0.0)
+        weight = np.where(weight < rate * self.FADE, 0.0, weight)
+        # A pixel near no mode takes the place of the lightest one.
+        fresh = np.zeros_like(own)
+        fresh[-1] = ~any_
+        total = np.where(fresh, 0.0, weight).sum(0)
+        weight = np.where(fresh, np.where(total > 0, rate, 1.0), weight * np.where(any_, 1.0, 1 - rate))
+        self.mean, self.var = np.where(fresh, v, self.mean), np.where(fresh, self.FIRST, self.var)
+        weight = weight / weight.sum(0)
+        order = np.argsort(-weight, axis=0, kind="stable")
+        self.weight, self.mean, self.var = (np.take_along_axis(x, order, 0) for x in (weight, self.mean, self.var))
+        self.count += 1
 
     def mask(self, frame: np.ndarray) -> np.ndarray:
         v = frame.astype(float)
-        if self.mean is None or self.mean.shape != v.shape:
-            self.mean, self.var = v.copy(), np.full(v.shape, 225.0)
-            return np.zeros(v.shape, bool)
-        d2 = (v - self.mean) ** 2
-        cut = 10.0 if self.adaptive and v.mean() < 60 else self.threshold
-        out = d2 > cut * self.var
-        self.mean += self.rate * (v - self.mean)
-        self.var = np.maximum(self.var + self.rate * (d2 - self.var), 15.0)
-        return cleaned(out)
+        poor = self.adaptive and (v.mean() < 60 or laplacian_variance(frame) < 100)
+        raw = self.classified(v, self.relaxed if poor else self.threshold)
+        self.learn(v)
+        return foreground(raw, self.shadow_weight)
 
 
 class Flow:
@@ -105,7 +166,7 @@ class Cascade:
 
 
 class Adaptive(Background):
-    """The background model, tried again with a lower threshold on frames whose mask is poor.
+    """The mixture model, tried again with a lower threshold on frames whose mask is poor.
 
     A mask's quality is that of its coverage, number and size of regions; it is mixed
     with a prior on how well tracking goes, which ``feedback`` moves. The second mask
@@ -115,8 +176,8 @@ class Adaptive(Background):
     name = "adaptive_mog2"
 
     def __init__(self, history: int = 20, threshold: float = 16.0, relaxed: float = 10.0, floor: float = 8.0, enough: float = 0.4, mask_weight: float = 0.7, ema: float = 0.8, least_area: int = 500):
-        super().__init__(history, threshold, adaptive=False)
-        self.relaxed, self.floor, self.enough, self.mask_weight, self.ema, self.least_area = relaxed, floor, enough, mask_weight, ema, least_area
+        super().__init__(history, threshold, adaptive=False, relaxed=relaxed)
+        self.floor, self.enough, self.mask_weight, self.ema, self.least_area = floor, enough, mask_weight, ema, least_area
         self.prior, self.sums = 1.0, dict.fromkeys(("frames", "mask_quality", "track_quality", "threshold", "triggered", "accepted"), 0.0)
 
     def feedback(self, lengths: list[int], matched: int, min_len: int = 5) -> None:
@@ -133,20 +194,20 @@ class Adaptive(Background):
         return clip(clip(1 - abs(covered - 0.02) / 0.23) * clip(1 - len(areas) / 30) * float(np.tanh(np.median(areas) / mask.size / 0.002)))
 
     def mask(self, frame: np.ndarray) -> np.ndarray:
-        mean, var = (None, None) if self.mean is None else (self.mean.copy(), self.var.copy())
-        first = super().mask(frame)
-        used, quality = self.threshold, self.quality(first)
+        v = frame.astype(float)
+        out = foreground(self.classified(v, self.threshold), self.shadow_weight)
+        used, quality = self.threshold, self.quality(out)
         combined = self.mask_weight * quality + (1 - self.mask_weight) * self.prior
-        out = first
-        if combined < self.enough and mean is not None and mean.shape == frame.shape:
+        if combined < self.enough:
             lowered = min(max(self.threshold - (self.threshold - self.relaxed) * (1 - combined / self.enough), self.floor), self.threshold)
-            again = cleaned((frame - mean) ** 2 > lowered * var)
+            again = foreground(self.classified(v, lowered), self.shadow_weight)
             self.sums["triggered"] += 1
             if self.quality(again) > quality:
                 out, used = again, lowered
                 self.sums["accepted"] += 1
-        for k, v in (("frames", 1), ("mask_quality", quality), ("track_quality", self.prior), ("threshold", used)):
-            self.sums[k] += v
+        self.learn(v)
+        for k, x in (("frames", 1), ("mask_quality", quality), ("track_quality", self.prior), ("threshold", used)):
+            self.sums[k] += x
         return out
 
     def diagnostics(self) -> dict[str, float]:
@@ -173,7 +234,8 @@ def stepped(state, frame: np.ndarray, least_area: int) -> tuple[str, list[tuple[
 
 
 def ground_truth(frames: DataFrame, known: DataFrame) -> DataFrame:
-    """Known boxes (video_id, frame_no, x, y, w, h) of the frames that there are, at most one a frame, as detections."""
+    """Known boxes (video_id, frame_no, x, y, w, h) of the frames that there are, at most one a
+    frame (the least in order of x, y, w, h), as detections; frames without one give no row."""
     one = known.groupBy("video_id", "frame_no").agg(F.min(F.struct("x", "y", "w", "h")).alias("b"))
     return frames.select("video_id", "frame_no").join(one, ["video_id", "frame_no"]).select(
         "video_id", "frame_no", F.lit(0).cast("long").alias("det_id"), *(F.col(f"b.{c}").cast("int").alias(c) for c in "xywh"), (F.col("b.w") * F.col("b.h")).cast("int").alias("area"), F.lit("ground_truth").alias("detector")
@@ -203,3 +265,76 @@ def detect(frames: DataFrame, kind: str = "cascaded_fallback", least_area: int =
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["video_id", "frame_no", "det_id", "x", "y", "w", "h", "area", "detector"])
 
     return ready.repartition("video_id").sortWithinPartitions("video_id", "frame_no").mapInArrow(run, OUT)
+
+
+TRACKED = "video_id long, frame_no long, det_id long, track_id long, hits int, x int, y int, w int, h int, detector string, note string, value double"
+DIAGNOSTICS = ("avg_mask_quality", "avg_track_quality", "avg_threshold_used", "adaptive_trigger_rate", "rerun_accept_rate", "n_frames")
+
+
+def detect_and_track(frames: DataFrame, detector: str = "adaptive_mog2", tracker: str = "centroid", least_area: int = 500) -> DataFrame:
+    """Detector and tracker of each video step by step together: one row per box, and notes.
+
+    After each frame the detector, if it has ``feedback``, is told the lengths of the living
+    tracks and how many of them were matched, so it knows of a frame when it sees the
+    next. A row with a ``note`` and null box tells a diagnostic of the video's detector
+    (with its value), or at which of the video's frames the cascade went from one detector
+    to another ("mog2>dense_flow"). Frames whose bytes don't fit their size are skipped.
+    """
+    make = Cascade if detector == Cascade.name else DETECTORS[detector]
+    ready = frames.selectExpr("cast(video_id as long) video_id", "cast(frame_no as long) frame_no", "cast(height as int) height", "cast(width as int) width", "pixels").na.drop()
+    names = [c.split()[0] for c in TRACKED.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 5 + [pa.string(), pa.string(), pa.float64()]
+
+    def notes(video: int | None, state) -> list[tuple]:
+        switches = [(video, frame, *[None] * 7, state.name, f"{a}>{b}", None) for frame, a, b in getattr(state, "switches", [])]
+        told = state.diagnostics() if hasattr(state, "diagnostics") else {}
+        return switches + [(video, *[None] * 8, state.name, k, float(v)) for k, v in told.items()]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, state, tracks = None, None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for v, no, h, w, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if v != video:
+                    out += notes(video, state) if state else []
+                    video, state, tracks = v, make(), TRACKERS[tracker]()
+                if len(raw) != h * w:
+                    continue
+                name, found = stepped(state, np.frombuffer(raw, np.uint8).reshape(h, w), least_area)
+                ids, hits = tracks.update(no, np.array([b[:4] for b in found], float).reshape(-1, 4))
+                if hasattr(state, "feedback"):
+                    state.feedback(np.minimum(tracks.hits, MAX_POINTS).tolist(), int((tracks.missed == 0).sum()))
+                out += [(v, no, i, t, n, *b[:4], name, None, None) for i, (t, n, b) in enumerate(zip(ids, hits, found, strict=True))]
+            yield packed(out)
+        if state:
+            yield packed(notes(video, state))
+
+    return ready.repartition("video_id").sortWithinPartitions("video_id", "frame_no").mapInArrow(run, TRACKED)
+
+
+def adaptive_diagnostics(tracked: DataFrame) -> DataFrame:
+    """One row per video of ``detect_and_track``'s diagnostics."""
+    return tracked.where(F.col("note").isin(*DIAGNOSTICS)).groupBy("video_id").pivot("note", list(DIAGNOSTICS)).agg(F.first("value"))
+
+
+def diagnostics_means(per_video: DataFrame) -> DataFrame:
+    """One row: each diagnostic's mean over videos, and the number of videos."""
+    return per_video.agg(F.count("*").alias("n_videos"), *(F.avg(c).alias(c) for c in DIAGNOSTICS))
+
+
+def switch_log(tracked: DataFrame) -> DataFrame:
+    """video_id, frame (counted from 1), detector_from, detector_to of the cascade's switches."""
+    ends = F.split("note", ">")
+    return tracked.where(F.col("note").contains(">")).select("video_id", F.col("frame_no").alias("frame"), ends[0].alias("detector_from"), ends[1].alias("detector_to"))
+
+
+def overlay(tracked: DataFrame) -> DataFrame:
+    """What an annotated video shows of each frame: its boxes with their track's label and
+    length so far, whether that track is the video's longest, and the frame's number of boxes."""
+    rows = tracked.where("track_id is not null")
+    longest = rows.groupBy("video_id").agg(F.min(F.struct((-F.col("hits")).alias("n"), "track_id")).alias("best")).select("video_id", F.col("best.track_id").alias("longest"))
+    n = F.count("*").over(Window.partitionBy("video_id", "frame_no"))
+    return rows.join(longest, "video_id").select("video_id", "frame_no", "track_id", "x", "y", "w", "h", F.format_string("ID %d", "track_id").alias("label"), F.col("hits").alias("length"), (F.col("track_id") == F.col("longest")).alias("is_longest"), n.alias("n_boxes"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import rounded
-from ..operators import dataset, detect, frames, learn, tracks
-from ..sources import views
+from ..operators import dataset, detect, frames, learn, shapes, tracks, vision
+from ..sources import files, views
 from ..streaming import events as event_windows
 from . import oracle, programs
 
@@ -37,7 +37,7 @@ def _frames(f):
 
 
 def _video():
-    return F.col("frame_no") % 10
+    return views.frame_video()
 
 
 def _quality(spark, d):
@@ -49,12 +49,13 @@ def _steps(spark, d):
 
 
 def _outcomes(spark, d):
-    return dataset.video_outcomes(views.manifest(spark, d), views.detections(spark, d), tracks.lengths(views.track_points(spark, d)))
+    points = views.track_points(spark, d)
+    features = tracks.pool(tracks.kinematics_features(points), tracks.KINEMATICS)
+    return dataset.video_outcomes(views.manifest(spark, d), views.detections(spark, d), tracks.lengths(points), features=features)
 
 
 def _metrics(spark, d):
-    points = views.track_points(spark, d)
-    return tracks.tracker_metrics(tracks.lengths(points).withColumn("disappeared", F.col("track_id") % 3), 100)
+    return tracks.tracker_metrics(tracks.missed_frames(views.track_points(spark, d)))
 
 
 def _blobs(spark, d):
@@ -78,10 +79,16 @@ def _knn_votes(spark, d):
 
 
 def _predictions(spark, d):
-    """Three fixed pseudo-models over the labelled vectors."""
-    rows = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("truth"))
-    said = [F.struct(F.lit(f"m{m}").alias("model"), F.when(F.col("id") % (m + 2) == 0, (F.col("truth") + m) % 10).otherwise(F.col("truth")).alias("label")) for m in (1, 2, 3)]
-    return rows.select("id", "truth", F.explode(F.array(*said)).alias("s")).select("id", "truth", "s.model", "s.label")
+    """Out-of-fold labels of three nearest-mean models: of all dimensions, of the first and of the last half."""
+    return _models(spark, d, False).select("id", "truth", "model", F.col("predicted").alias("label"))
+
+
+def _models(spark, d, train):
+    vectors, out = views.table(spark, d, "embeddings"), None
+    for name, dims in {"all": None, "first": (0, 32), "last": (32, 64)}.items():
+        part = learn.fold_predictions(vectors, dims=dims, order=F.col("vec_id"), train=train).withColumn("model", F.lit(name))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def _ema_vote(spark, d):
@@ -108,9 +115,57 @@ def _folds(spark, d):
 
 
 def _cv_summary(spark, d):
-    said = _predictions(spark, d).withColumn("fold", F.col("id") % 5)
-    per = said.groupBy("model", "fold").agg(F.avg((F.col("label") == F.col("truth")).cast("double")).alias("accuracy"))
-    return per.groupBy("model").agg(F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"))
+    return learn.cv_summary(_models(spark, d, True))
+
+
+def _long_features(spark, d):
+    """Features of videos as rows (video_id, key, value), with some keys that are none."""
+    points = views.track_points(spark, d)
+    wide = tracks.pool(tracks.curvature_features(points), tracks.CURVATURE).join(tracks.temporal_context(points), "video_id")
+    named = wide.select("video_id", *(F.col(c).cast("double").alias(c) for c in wide.columns if c != "video_id"), F.lit(1.0).alias("feature_count"))
+    long = named.unpivot("video_id", [c for c in named.columns if c != "video_id"], "key", "value").where("value is not null")
+    return long.where(~((F.col("video_id") % 3 == 1) & F.col("key").startswith("temporal")))  # some videos lack a family
+
+
+#: The features that feature_matrix lays out; a fixed list, as a fitted model has.
+_MATRIX = ["mean_curvature_mean", "mean_curvature_max", "path_efficiency_mean", "temporal_n_tracks", "temporal_mean_track_len"]
+
+
+def _vector(spark, d, families):
+    """One row per video: all pooled features of ``families``, temporal context, metadata and indicators."""
+    points = views.track_points(spark, d)
+    made = {"trajectory": (tracks.trajectory_features, tracks.TRAJECTORY), "circular_motion": (tracks.circular_features, tracks.CIRCULAR), "kinematics": (tracks.kinematics_features, tracks.KINEMATICS), "shape": (shapes.shape_features, shapes.SHAPE), "wavelet": (shapes.wavelet_features, shapes.WAVELET), "interaction": (tracks.interaction_features, tracks.INTERACTION)}
+    per, names = None, []
+    for family in families:
+        f, own = made[family]
+        per = f(points) if per is None else per.join(f(points), tracks.TRACK, "full")
+        names += own
+    pooled = tracks.pool(per, names).join(tracks.temporal_context(points), "video_id")
+    seen = points.groupBy("video_id").agg((F.max("seq") + 1).alias("n_frames"))
+    return _coarse(dataset.with_metadata(dataset.with_indicators(pooled, seen).join(seen, "video_id"), views.manifest(spark, d)).drop("n_frames"), 0)
+
+
+def _coarse(df, digits):
+    """Wavelet energies, which are large, rounded to fewer digits, so that they compare across engines."""
+    return df.withColumns({c: F.round(c, digits) for c in df.columns if c.startswith("dwt_energy")})
+
+
+def _ground_truth(spark, d):
+    boxes = views.detections(spark, d)
+    known = boxes.where("det_id % 3 = 0")  # the boxes that a text names
+    found = vision.ground_truth(detect.sample_frames(boxes, 2).select("video_id", "frame_no").distinct(), known)
+    return found.select("video_id", "frame_no", "x", "y", "w", "h", "area")
+
+
+#: Patterns of a video's ground-truth text, the earliest that fits wins.
+_PATTERNS = ["%_gt.txt", "%groundtruth%", "%.txt"]
+
+
+def _truth_files(spark, d):
+    names = views.manifest(spark, d)
+    kinds = F.array(F.lit(".txt"), F.when(F.col("video_id") % 2 == 0, "_groundtruth.csv"), F.when(F.col("video_id") % 3 == 0, "_gt.txt"), F.when(F.col("video_id") % 5 == 0, "_a_gt.txt"), F.lit(".mp4"))
+    listed = names.select("video_id", "series_name", F.explode(kinds).alias("end")).where("end is not null and (video_id % 7 > 0 or end = '.mp4')")
+    return files.first_match(listed.select("video_id", F.concat("series_name", "end").alias("file")), _PATTERNS)
 
 
 _RAW = {
@@ -140,7 +195,8 @@ _RAW = {
     "min_length_report": lambda s, d: dataset.min_length_report(views.manifest(s, d)),
     "sampling_steps": lambda s, d: dataset.sampling_steps(views.manifest(s, d)),
     "group_manifest": lambda s, d: dataset.groups(views.manifest(s, d)),
-    "group_names": lambda s, d: dataset.group_names(views.manifest(s, d), ("activity",)).select("activity", F.size("names").alias("n"), F.array_join("names", "|").alias("names")),
+    "group_names": lambda s, d: dataset.group_names(views.manifest(s, d), ("activity",)),
+    "distinct_distortions": lambda s, d: dataset.distinct_values(views.manifest(s, d)),
     "group_sample": lambda s, d: dataset.sample_per_group(views.manifest(s, d), 2, order=F.col("video_id")),
     "missing_videos_anti": lambda s, d: dataset.missing(views.manifest(s, d), views.detections(s, d)).select("video_id", "series_name"),
     "existing_videos_semi": lambda s, d: dataset.existing(views.manifest(s, d), views.detections(s, d)).select("video_id", "series_name"),
@@ -148,6 +204,20 @@ _RAW = {
     "failure_reason": lambda s, d: _outcomes(s, d).select("video_id", "n_det", "n_frames", "n_tracks", "longest", "reason"),
     "detector_stats_by_group": lambda s, d: dataset.outcome_stats(_outcomes(s, d)),
     "failures_by_class": lambda s, d: dataset.failures_by_class(_outcomes(s, d)),
+    "run_summary": lambda s, d: dataset.run_summary(_outcomes(s, d)),
+    "failure_taxonomy": lambda s, d: _outcomes(s, d).where("reason is not null").select("series_name", "activity", "distortion", "reason"),
+    "feature_keys": lambda s, d: dataset.feature_keys(_long_features(s, d)),
+    "missing_feature_keys": lambda s, d: dataset.missing_keys(_long_features(s, d)),
+    "feature_matrix": lambda s, d: dataset.feature_matrix(_long_features(s, d), _MATRIX),
+    "clip_dataset": lambda s, d: dataset.clip_dataset(views.manifest(s, d), views.detections(s, d), per_class=3),
+    "augmentation_plan": lambda s, d: dataset.augmentation_plan(views.manifest(s, d)),
+    "ground_truth_boxes": _ground_truth,
+    "ground_truth_files": _truth_files,
+    "shape_features": _points(shapes.shape_features),
+    "hull_features": _points(shapes.hull_features),
+    "wavelet_features": lambda s, d: _coarse(shapes.wavelet_features(views.track_points(s, d)), 2),
+    "video_vector_a": lambda s, d: _vector(s, d, ["trajectory"]),
+    "video_vector_all": lambda s, d: _vector(s, d, ["trajectory", "circular_motion", "kinematics", "shape", "wavelet", "interaction"]),
     "class_distribution": lambda s, d: learn.class_distribution(views.table(s, d, "embeddings")),
     "class_weights": lambda s, d: learn.class_weights(views.table(s, d, "labels"), "toxic"),
     "training_viability": lambda s, d: learn.training_viability(views.table(s, d, "embeddings")),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators import tracks
+from ..functions import kernels
+from ..operators import shapes, tracks
 from ..sources.views import VIEW_SQL
 
 PI = "pi()"
@@ -51,8 +52,8 @@ trk AS (SELECT video_id, count(*) AS n_tracks, max(len) AS longest, CAST(sum(len
 outcomes AS (
   SELECT m.*, n_det, n_frames, n_tracks, longest, points,
          CASE WHEN n_frames IS NULL THEN 'file_missing' WHEN coalesce(n_det, 0) = 0 THEN 'detection_failure' WHEN longest < 30 THEN 'track_too_short'
-              WHEN coalesce(n_tracks, 0) = 0 THEN 'tracking_failure' END AS reason
-  FROM manifest m LEFT JOIN det USING (video_id) LEFT JOIN trk USING (video_id))"""
+              WHEN coalesce(n_tracks, 0) = 0 THEN 'tracking_failure' WHEN coalesce(n_valid, 0) = 0 THEN 'feature_failure' END AS reason
+  FROM manifest m LEFT JOIN det USING (video_id) LEFT JOIN trk USING (video_id) LEFT JOIN (SELECT video_id, count(*) AS n_valid FROM lens WHERE len >= 5 GROUP BY video_id) v USING (video_id))"""
 KNN = """vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 near AS (
   SELECT q.vec_id AS id, b.vec_id AS other, b.label, list_distance(q.v, b.v) AS distance,
@@ -62,10 +63,17 @@ votes AS (
   SELECT id, label AS predicted FROM (SELECT id, label, count(*) AS n FROM near GROUP BY id, label)
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1),
 judged AS (SELECT id, predicted, e.label AS truth FROM votes JOIN embeddings e ON e.vec_id = id)"""
-SAID = """said AS (
-  SELECT vec_id AS id, e.label AS truth, 'm' || m AS model,
-         CASE WHEN vec_id % (m + 2) = 0 THEN (e.label + m) % 10 ELSE e.label END AS label
-  FROM embeddings e, (VALUES (1), (2), (3)) t(m))"""
+MODELS = """long AS (
+  SELECT id, truth, own, dim, CAST(v AS DOUBLE) AS v FROM (
+    SELECT vec_id AS id, label AS truth, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 5 AS own, embedding FROM embeddings),
+  LATERAL (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim)),
+models(model, low, high) AS (VALUES ('all', 0, 64), ('first', 0, 32), ('last', 32, 64)),
+means AS (SELECT k AS fold, truth AS predicted, dim, avg(v) AS m FROM long, range(5) f(k) WHERE own <> k GROUP BY 1, 2, 3),
+far AS (
+  SELECT model, id, truth, own, fold, predicted, sum((v - m) * (v - m)) AS d FROM long JOIN means USING (dim) JOIN models ON dim >= low AND dim < high {which}
+  GROUP BY ALL),
+said AS (SELECT model, id, truth, fold, own = fold AS held_out, predicted AS label FROM far QUALIFY row_number() OVER (PARTITION BY model, id, fold ORDER BY d, predicted) = 1)"""
+SAID, SAID_ALL = MODELS.format(which="WHERE own = fold"), MODELS.format(which="")
 MIRROR = lambda e: f"CASE WHEN {e} < 0 THEN -({e}) WHEN {e} > 7 THEN 14 - ({e}) ELSE {e} END"
 
 
@@ -88,7 +96,7 @@ quality AS (
   JOIN (SELECT frame_no, avg(d) AS brenner FROM (SELECT frame_no, abs(v - lag(v) OVER (PARTITION BY frame_no, r ORDER BY c)) AS d FROM pixels) GROUP BY frame_no) USING (frame_no))"""
 POOL_BINS = """
 SELECT video_id, bin, {mean}, {std} FROM (
-  SELECT f.frame_no % 10 AS video_id, CAST(b.bin AS BIGINT) AS bin, coalesce(h.n, 0) / (t.n + 1e-7) AS share
+  SELECT f.frame_no // 50 AS video_id, CAST(b.bin AS BIGINT) AS bin, coalesce(h.n, 0) / (t.n + 1e-7) AS share
   FROM (SELECT DISTINCT frame_no FROM hist) f CROSS JOIN (SELECT unnest(range({n})) AS bin) b
   LEFT JOIN hist h ON h.frame_no = f.frame_no AND h.bin = b.bin
   JOIN (SELECT frame_no, sum(n) AS n FROM hist GROUP BY frame_no) t ON t.frame_no = f.frame_no) GROUP BY video_id, bin"""
@@ -101,7 +109,7 @@ hist AS (
   SELECT frame_no, CASE WHEN bit_count(xor(code, (code >> 1) | ((code & 1) << 7))) <= 2 THEN bit_count(code) ELSE 9 END AS bin, CAST(count(*) AS DOUBLE) AS n
   FROM code GROUP BY 1, 2)"""
 DIFF = """diff AS (
-  SELECT frame_no % 10 AS video_id, frame_no, abs(v - lag(v) OVER (PARTITION BY frame_no % 10, r, c ORDER BY frame_no)) AS d FROM pixels),
+  SELECT frame_no // 50 AS video_id, frame_no, abs(v - lag(v) OVER (PARTITION BY frame_no // 50, r, c ORDER BY frame_no)) AS d FROM pixels),
 change AS (
   SELECT video_id, frame_no, avg(d) AS mean_change, greatest(25, CAST(floor(quantile_cont(d, CAST(0.75 AS DOUBLE)) * CAST(1.5 AS DOUBLE)) AS BIGINT)) AS threshold, list(d) AS ds
   FROM diff WHERE d IS NOT NULL GROUP BY video_id, frame_no)"""
@@ -144,7 +152,8 @@ FROM seen GROUP BY video_id, track_id"""),
 SELECT video_id, {r("count(*)", "temporal_n_tracks")}, {r("count_if(len >= 15)", "temporal_n_long_tracks")}, {r("stddev_pop(len)", "temporal_spread")}, {r("any_value((sx + sy) / 2)", "temporal_spatial_spread")},
        {r("count_if(len >= 15) * (count_if(len >= 15) - 1) / 2", "temporal_overlap_count")}, {r("sum(len) / any_value(f)", "temporal_tracks_per_frame")}, {r("avg(len)", "temporal_mean_track_len")}, {r("max(len)", "temporal_max_track_len")}
 FROM lens JOIN (SELECT video_id, stddev_pop(x) AS sx, stddev_pop(y) AS sy, max(seq) + 1 AS f FROM track_points GROUP BY video_id) USING (video_id) GROUP BY video_id"""),
-    "tracker_metrics": query("track_points", LEN, "SELECT video_id, count(*) AS n_tracks, " + ", ".join([r("avg(len)", "mean_track_length"), r("quantile_cont(len, CAST(0.5 AS DOUBLE))", "median_track_length"), r("stddev_pop(len)", "std_track_length"), "max(len) AS max_track_length", "min(len) AS min_track_length", r("sum(len) / (count(*) * 100)", "track_coverage"), r("count(*) / 100", "tracks_per_frame")] + [f"count_if(len >= {t})::BIGINT AS tracks_ge_{t}_frames, {r(f'count_if(len >= {t}) / count(*) * 100', f'tracks_ge_{t}_pct')}" for t in (15, 30, 45, 60, 90)] + ["count_if(track_id % 3 > 0)::BIGINT AS tracks_with_gaps", r("1 - count_if(track_id % 3 > 0) / count(*)", "track_continuity")]) + " FROM lens GROUP BY video_id"),
+    "tracker_metrics": query("track_points", """per AS (SELECT video_id, track_id, count(*) AS len, max(seq) AS last FROM track_points GROUP BY video_id, track_id),
+lens AS (SELECT *, max(last) OVER (PARTITION BY video_id) - last AS disappeared, max(last) OVER (PARTITION BY video_id) + 1 AS frames FROM per)""", "SELECT video_id, count(*) AS n_tracks, " + ", ".join([r("avg(len)", "mean_track_length"), r("quantile_cont(len, CAST(0.5 AS DOUBLE))", "median_track_length"), r("stddev_pop(len)", "std_track_length"), "max(len) AS max_track_length", "min(len) AS min_track_length", r("sum(len) / (count(*) * max(frames))", "track_coverage"), r("count(*) / max(frames)", "tracks_per_frame")] + [f"count_if(len >= {t})::BIGINT AS tracks_ge_{t}_frames, {r(f'count_if(len >= {t}) / count(*) * 100', f'tracks_ge_{t}_pct')}" for t in (15, 30, 45, 60, 90)] + ["count_if(disappeared > 0)::BIGINT AS tracks_with_gaps", r("1 - count_if(disappeared > 0) / count(*)", "track_continuity")]) + " FROM lens GROUP BY video_id"),
     "length_percentiles": query("track_points", LEN, "SELECT " + ", ".join(r(f"quantile_cont(len, CAST({p / 100} AS DOUBLE))", f"percentile_{p}") for p in (10, 25, 50, 75, 90)) + " FROM lens"),
     "length_retention": query("track_points", LEN + """,
 kept AS (
@@ -170,7 +179,7 @@ pairs AS (
   SELECT a.video_id, a.frame_no, a.det_id AS det_a, b.det_id AS det_b, sqrt(CAST((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) AS DOUBLE)) AS distance
   FROM c a JOIN c b ON a.video_id = b.video_id AND a.frame_no + 1 = b.frame_no)""", f"""
 SELECT video_id, frame_no, det_a, det_b, {r("distance", "distance")}, row_number() OVER (PARTITION BY video_id, frame_no, det_a ORDER BY distance, det_b) AS place FROM pairs QUALIFY place <= 2"""),
-    "bbox_normalise": query("detections manifest", "", "SELECT video_id, det_id, " + ", ".join(r(f"{c} / CAST({s} AS DOUBLE)", f"n{c}") for c, s in (("x", "width"), ("y", "height"), ("w", "width"), ("h", "height"))) + " FROM detections JOIN manifest USING (video_id)"),
+    "bbox_normalise": query("detections manifest", "", "SELECT video_id, det_id, " + ", ".join(f"(2000000 * {c} + {s}) // (2 * {s}) / CAST(1000000 AS DOUBLE) AS n{c}" for c, s in (("x", "width"), ("y", "height"), ("w", "width"), ("h", "height"))) + " FROM detections JOIN manifest USING (video_id)"),
     "frame_sampling": query("detections", "", "SELECT * FROM detections WHERE frame_no % 5 = 0"),
     "clip_indices": query("detections", "n AS (SELECT video_id, max(frame_no) + 1 AS n_frames FROM detections GROUP BY video_id)", """
 SELECT video_id, n_frames, CAST(i AS BIGINT) AS slot, CAST(CASE WHEN n_frames >= 16 THEN floor(i * (n_frames - 1) / CAST(15 AS DOUBLE)) ELSE least(i, n_frames - 1) END AS BIGINT) AS frame_no FROM n, range(16) t(i)"""),
@@ -182,7 +191,8 @@ SELECT video_id, n_frames, CAST(i AS BIGINT) AS slot, CAST(CASE WHEN n_frames >=
 SELECT video_id, frames, CASE WHEN frames > 100 THEN greatest(1, frames // 100) ELSE 1 END::BIGINT AS step,
        least(30, greatest(10, CAST(floor(frames * CAST(0.6 AS DOUBLE)) AS BIGINT)))::BIGINT AS reference_len FROM n"""),
     "group_manifest": query("manifest", "", "SELECT activity, distortion, count(*) AS n, min(series_name) AS first_name, max(series_name) AS last_name FROM manifest GROUP BY activity, distortion"),
-    "group_names": query("manifest", "", "SELECT activity, count(*) AS n, string_agg(series_name, '|' ORDER BY series_name) AS names FROM manifest GROUP BY activity"),
+    "group_names": query("manifest", "", "SELECT activity, series_name AS name, row_number() OVER (PARTITION BY activity ORDER BY series_name, video_id) AS place FROM manifest"),
+    "distinct_distortions": query("manifest", "", "SELECT DISTINCT distortion FROM manifest WHERE distortion IS NOT NULL"),
     "group_sample": query("manifest", "", f"SELECT video_id, series_name, activity, distortion, {r('fps', 'fps')}, {r('duration_s', 'duration_s')}, width, height FROM manifest QUALIFY row_number() OVER (PARTITION BY activity, distortion ORDER BY video_id) <= 2"),
     "missing_videos_anti": query("manifest detections", "", "SELECT video_id, series_name FROM manifest WHERE video_id NOT IN (SELECT video_id FROM detections)"),
     "existing_videos_semi": query("manifest detections", "", "SELECT video_id, series_name FROM manifest WHERE video_id IN (SELECT video_id FROM detections)"),
@@ -198,6 +208,22 @@ FROM outcomes GROUP BY distortion"""),
     "failures_by_class": query("manifest detections track_points", OUT, """
 SELECT activity, count(*) AS n_failed, string_agg(CASE WHEN place <= 3 THEN CAST(video_id AS VARCHAR) END, ',' ORDER BY video_id) AS shown
 FROM (SELECT *, row_number() OVER (PARTITION BY activity ORDER BY video_id) AS place FROM outcomes WHERE reason IS NOT NULL) GROUP BY activity"""),
+    "run_summary": query("manifest detections track_points", OUT, f"""
+SELECT count(*) AS n_videos, count_if(reason IS NULL)::BIGINT AS n_successful, count_if(reason IS NOT NULL)::BIGINT AS n_failed, count(DISTINCT activity) AS n_activities, count(DISTINCT distortion) AS n_distortions, {r("count_if(reason IS NULL) / count(*) * 100", "success_rate")} FROM outcomes"""),
+    "failure_taxonomy": query("manifest detections track_points", OUT, "SELECT series_name, activity, distortion, reason FROM outcomes WHERE reason IS NOT NULL"),
+    "clip_dataset": query("manifest detections", """picked AS (
+  SELECT video_id, activity AS label FROM manifest WHERE video_id IN (SELECT video_id FROM detections) AND activity IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY activity ORDER BY video_id) <= 3)""", "SELECT video_id, label, dense_rank() OVER (ORDER BY label) - 1 AS code FROM picked"),
+    "augmentation_plan": query("manifest", "u AS (SELECT video_id, " + ", ".join(f"CAST('0x' || substr(md5(video_id || ':0:{n}'), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS {n}" for n in ("top", "left_", "flip", "brightness", "contrast")).replace(":0:left_", ":0:left") + " FROM manifest)", f"""
+SELECT video_id, CAST(floor(top * 17) AS BIGINT) AS top, CAST(floor(left_ * 17) AS BIGINT) AS "left", flip < 0.5 AS flip, {r("0.8 + 0.4 * brightness", "brightness")}, {r("0.8 + 0.4 * contrast", "contrast")} FROM u"""),
+    "ground_truth_boxes": query("detections", "", """
+SELECT video_id, frame_no, b.x AS x, b.y AS y, b.w AS w, b.h AS h, b.w * b.h AS area
+FROM (SELECT video_id, frame_no, min({'x': x, 'y': y, 'w': w, 'h': h}) AS b FROM detections WHERE det_id % 3 = 0 AND frame_no % 2 = 0 GROUP BY video_id, frame_no)"""),
+    "ground_truth_files": query("manifest", """listed AS (
+  SELECT video_id, series_name || e AS file FROM (
+    SELECT video_id, series_name, unnest(['.txt', CASE WHEN video_id % 2 = 0 THEN '_groundtruth.csv' END, CASE WHEN video_id % 3 = 0 THEN '_gt.txt' END, CASE WHEN video_id % 5 = 0 THEN '_a_gt.txt' END, '.mp4']) AS e FROM manifest)
+  WHERE e IS NOT NULL AND (video_id % 7 > 0 OR e = '.mp4')),
+ranked AS (SELECT *, CASE WHEN file LIKE '%\\_gt.txt' ESCAPE '\\' THEN 0 WHEN file LIKE '%groundtruth%' THEN 1 WHEN file LIKE '%.txt' THEN 2 END AS rank FROM listed)""", "SELECT video_id, file FROM ranked WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY rank, file) = 1"),
     "class_distribution": "SELECT label::BIGINT AS label, count(*) AS n FROM embeddings GROUP BY label",
     "class_weights": f"""WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY toxic)
 SELECT toxic::BIGINT AS toxic, n, {r("(SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n)", "balanced")}, {r("(1 / n) / (SELECT sum(1 / n) FROM c)", "inverse")}, {r("(SELECT max(n) FROM c) / n", "to_largest")} FROM c""",
@@ -221,9 +247,10 @@ cls AS (
   LEFT JOIN (SELECT predicted AS c, count(*) AS called FROM judged GROUP BY predicted) p USING (c)),
 pr AS (SELECT *, CASE WHEN called > 0 THEN hit / called ELSE 0 END AS p, hit / support AS q FROM cls)""", f"""
 SELECT {r("sum(hit) / sum(support)", "accuracy")}, {r("sum(p * support) / sum(support)", "precision")}, {r("sum(q * support) / sum(support)", "recall")}, {r("sum(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END * support) / sum(support)", "f1")} FROM pr"""),
-    "cv_summary": query("", SAID, f"""
-SELECT model, {r("avg(accuracy)", "accuracy_mean")}, {r("stddev_pop(accuracy)", "accuracy_std")}
-FROM (SELECT model, id % 5 AS fold, avg(CAST(label = truth AS INT)) AS accuracy FROM said GROUP BY 1, 2) GROUP BY model"""),
+    "cv_summary": query("", SAID_ALL, f"""
+SELECT model, {r("avg(accuracy) FILTER (held_out)", "accuracy_mean")}, {r("stddev_pop(accuracy) FILTER (held_out)", "accuracy_std")}, {r("avg(accuracy) FILTER (NOT held_out)", "train_mean")}, {r("stddev_pop(accuracy) FILTER (NOT held_out)", "train_std")},
+       {r("avg(accuracy) FILTER (NOT held_out) - avg(accuracy) FILTER (held_out)", "overfit_gap")}
+FROM (SELECT model, fold, held_out, avg(CAST(label = truth AS INT)) AS accuracy FROM said GROUP BY 1, 2, 3) GROUP BY model"""),
     "majority_vote": query("", SAID, """
 SELECT id, label::BIGINT AS predicted FROM (SELECT id, label, count(*) AS n FROM said GROUP BY id, label) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1"""),
     "ema_vote": query("", SAID + """,
@@ -239,7 +266,7 @@ ORDER BY b / w DESC, dim LIMIT 10""",
     "distortion_label": query("pixels", QUALITY, f"""
 SELECT frame_no, CASE WHEN laplacian_var < 100 AND (brightness < 60 OR brightness > 195) THEN 'blurry+exposure' WHEN laplacian_var < 100 THEN 'blurry' WHEN brightness < 60 THEN 'underexposed' WHEN brightness > 195 THEN 'overexposed' ELSE 'pristine' END AS distortion_type,
        laplacian_var < 100 AS is_blurry, {r("1 - least(laplacian_var / 500, 1)", "blur_score")} FROM quality"""),
-    "diagnostic_pool": query("pixels", QUALITY, "SELECT frame_no % 10 AS video_id, " + ", ".join(r(f"{f}({c})", f"diag_{n}_{s}") for n, c in (("laplacian", "laplacian_var"), ("tenengrad", "tenengrad"), ("brenner", "brenner")) for s, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + f""", {r("avg(brightness)", "diag_brightness_mean")}, {r("var_pop(brightness)", "diag_brightness_var")}, {r("max(brightness) - min(brightness)", "diag_dynamic_range")}, {r("count_if(laplacian_var < 50) / count(*)", "diag_low_contrast_ratio")} FROM quality GROUP BY 1"""),
+    "diagnostic_pool": query("pixels", QUALITY, "SELECT frame_no // 50 AS video_id, " + ", ".join(r(f"{f}({c})", f"diag_{n}_{s}") for n, c in (("laplacian", "laplacian_var"), ("tenengrad", "tenengrad"), ("brenner", "brenner")) for s, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + f""", {r("avg(brightness)", "diag_brightness_mean")}, {r("var_pop(brightness)", "diag_brightness_var")}, {r("max(brightness) - min(brightness)", "diag_dynamic_range")}, {r("count_if(laplacian_var < 50) / count(*)", "diag_low_contrast_ratio")} FROM quality GROUP BY 1"""),
     "lbp_uniform": query("pixels", LBP, POOL_BINS.format(n=10, mean=r("avg(share)", "mean"), std=r("stddev_pop(share)", "std"))),
     "orientation_hist": query("pixels", GRADIENT + """,
 hist AS (
@@ -261,3 +288,81 @@ SELECT sec - sec % 86400 - back AS start, count(*) AS n, {r("avg(value)", "mean_
   SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR > ts THEN 0 ELSE 1 END AS fresh FROM events),
 runs AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM marked)""", "SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM runs GROUP BY user_id, run"),
 }
+#: The registered components, told anew.
+_NAMES = {
+    "preprocessor": "passthrough standard distortion_aware", "detector": "frame_diff mog2 adaptive_mog2 dense_flow cascaded_fallback ground_truth", "tracker": "centroid iou_hungarian sort tfcr",
+    "feature": "trajectory circular_motion kinematics shape hull wavelet interaction", "model": "decision_tree random_forest boosted_trees linear_svm",
+}
+SQL["components"] = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{n}')" for c, own in _NAMES.items() for n in own.split()) + ") t(category, name)"
+SQL["hull_features"] = query("track_points", """sized AS (SELECT video_id, track_id, count(*) AS n FROM track_points GROUP BY video_id, track_id HAVING count(*) >= 4),
+p AS (SELECT DISTINCT video_id, track_id, CAST(round(x * 100) AS BIGINT) AS x, CAST(round(y * 100) AS BIGINT) AS y FROM track_points),
+-- An edge has all points on its left, and those on its line between its ends.
+edge AS (
+  SELECT a.video_id, a.track_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.video_id = b.video_id AND a.track_id = b.track_id AND (a.x <> b.x OR a.y <> b.y)
+  JOIN p c ON c.video_id = a.video_id AND c.track_id = a.track_id
+  GROUP BY ALL HAVING bool_and(CASE WHEN (b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) THEN (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) <= 0
+                                    ELSE (b.x - a.x) * (c.y - a.y) > (b.y - a.y) * (c.x - a.x) END)),
+hull AS (SELECT video_id, track_id, sum(ax * by_ - bx * ay) / CAST(20000 AS DOUBLE) AS area, sum(sqrt(CAST((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) AS DOUBLE))) / 100 AS around FROM edge GROUP BY video_id, track_id)""", f"""
+SELECT video_id, track_id, {r("coalesce(area, 0)", "convex_hull_area")}, {r("CASE WHEN around > 0 THEN 4 * pi() * area / (around * around) ELSE 0 END", "compactness")} FROM sized LEFT JOIN hull USING (video_id, track_id)""")
+
+
+def _wavelet_level(before: str, name: str) -> str:
+    """One level of a db4 decomposition: rows (track, n, i, a, d) from rows (track, n, i, a), mirrored at both ends."""
+    taps = ", ".join(f"({j}, {low!r}::DOUBLE, {high!r}::DOUBLE)" for j, (low, high) in enumerate(zip(kernels.DB4.tolist(), kernels.DB4_HIGH.tolist(), strict=True)))
+    place = "(2 * m.i + 1 - j)"
+    mirrored = f"CASE WHEN {place} < 0 THEN -1 - {place} WHEN {place} >= b.n THEN 2 * b.n - 1 - {place} ELSE {place} END"
+    return f"""{name} AS (
+  SELECT video_id, track_id, (n + 7) // 2 AS n, i, sum(a * low) AS a, sum(a * high) AS d FROM (
+    SELECT b.video_id, b.track_id, b.n, m.i, low, high, {mirrored} AS k
+    FROM (SELECT DISTINCT video_id, track_id, n FROM {before}) b, LATERAL (SELECT unnest(range((b.n + 7) // 2)) AS i) m, (VALUES {taps}) t(j, low, high)) q
+  JOIN (SELECT video_id, track_id, i AS k, a FROM {before}) s USING (video_id, track_id, k) GROUP BY video_id, track_id, n, i)"""
+
+
+SQL["wavelet_features"] = query("track_points", f"""{STEPS},
+v AS (SELECT video_id, track_id, seq - 1 AS i, speed * 10 AS a, count(*) OVER w AS len FROM steps WHERE seq > 0 WINDOW w AS (PARTITION BY video_id, track_id)),
+sized AS (SELECT DISTINCT video_id, track_id, len, CAST(pow(2, ceil(log2(greatest(len, 8)))) AS BIGINT) AS n FROM v WHERE len >= 14),
+padded AS (
+  SELECT z.video_id, z.track_id, z.n, z.i, a FROM (
+    SELECT video_id, track_id, n, len, i, CASE WHEN i % (2 * (len - 1)) < len THEN i % (2 * (len - 1)) ELSE 2 * (len - 1) - i % (2 * (len - 1)) END AS k FROM sized, LATERAL (SELECT unnest(range(n)) AS i)) z
+  JOIN v ON v.video_id = z.video_id AND v.track_id = z.track_id AND v.i = z.k),
+{_wavelet_level("padded", "one")},
+{_wavelet_level("one", "two")},
+{_wavelet_level("two", "three")},
+e AS (
+  SELECT video_id, track_id, e0, e1, e2, e3 FROM (SELECT video_id, track_id, sum(a * a) AS e0, sum(d * d) AS e1 FROM three GROUP BY video_id, track_id)
+  JOIN (SELECT video_id, track_id, sum(d * d) AS e2 FROM two GROUP BY video_id, track_id) USING (video_id, track_id) JOIN (SELECT video_id, track_id, sum(d * d) AS e3 FROM one GROUP BY video_id, track_id) USING (video_id, track_id)),
+t AS (SELECT *, e0 + e1 + e2 + e3 AS total FROM e)""", f"""
+SELECT video_id, track_id, {", ".join(f"round({c}, 2) AS dwt_energy_{n}" for c, n in (("e0", "approx"), ("e1", "detail1"), ("e2", "detail2"), ("e3", "detail3"), ("total", "total")))},
+       {r("-(" + " + ".join(f"e{i} / (total + 1e-10) * ln(e{i} / (total + 1e-10) + 1e-10)" for i in range(4)) + ")", "dwt_entropy")} FROM t""")
+SQL["shape_features"] = f"SELECT * FROM ({SQL['shape_curvature']}) c JOIN ({SQL['hull_features']}) h USING (video_id, track_id)"
+
+_POOLED = [("trajectory_track", tracks.TRAJECTORY), ("circular_motion", tracks.CIRCULAR), ("kinematics", tracks.KINEMATICS), ("shape_features", shapes.SHAPE), ("wavelet_features", shapes.WAVELET), ("interaction", tracks.INTERACTION)]
+
+
+def _vector(families: list[tuple[str, list[str]]]) -> str:
+    """All families' features pooled per video, temporal context, metadata and indicators; from the queries above."""
+    names = [n for _, own in families for n in own]
+    per = f"({SQL[families[0][0]]}) f0" + "".join(f" FULL JOIN ({SQL[q]}) f{i} USING (video_id, track_id)" for i, (q, _) in enumerate(families) if i)
+    pooled = ", ".join(f"coalesce({f}({n}), 0) AS {n}_{s}" for n in names for s, f in (("mean", "avg"), ("max", "max"), ("std", "stddev_pop")))
+    kept = ", ".join(f"round({n}_{s}, 0) AS {n}_{s}" if n.startswith("dwt_energy") else r(f"{n}_{s}", f"{n}_{s}") for n in names for s in ("mean", "max", "std"))
+    temporal = ["temporal_n_tracks", "temporal_n_long_tracks", "temporal_spread", "temporal_spatial_spread", "temporal_overlap_count", "temporal_tracks_per_frame", "temporal_mean_track_len", "temporal_max_track_len"]
+    rate = "CASE WHEN fps > 0 THEN fps ELSE 10 END"
+    return query("track_points manifest", f"""per AS (SELECT * FROM {per}),
+pooled AS (SELECT video_id, count(*) AS valid, {pooled} FROM per GROUP BY video_id),
+seen AS (SELECT video_id, max(seq) + 1 AS n_frames FROM track_points GROUP BY video_id)""", f"""
+SELECT video_id, {kept}, {", ".join(r(n, n) for n in temporal)}, {r("valid", "meta_n_traj_tracks")}, {r("1", "indicator_tracks_present")},
+       {r("n_frames", "meta_num_frames")}, {r(rate, "meta_fps")}, {r(f"coalesce(duration_s, n_frames / greatest({rate}, 1))", "meta_duration_sec")}
+FROM seen JOIN pooled USING (video_id) JOIN ({SQL["temporal_context"]}) t USING (video_id) LEFT JOIN manifest USING (video_id)""")
+
+
+SQL["video_vector_a"], SQL["video_vector_all"] = _vector(_POOLED[:1]), _vector(_POOLED)
+_WIDE = f"""c AS (
+  SELECT video_id, {", ".join(f"{f}({n}) AS {n}_{s}" for n in tracks.CURVATURE for s, f in (("mean", "avg"), ("max", "max"), ("std", "stddev_pop")))}, count(*) AS n_valid_tracks FROM ({SQL["shape_curvature"]}) GROUP BY video_id),
+wide AS (SELECT *, 1 AS feature_count FROM c JOIN ({SQL["temporal_context"]}) t USING (video_id)),
+long AS (
+  SELECT video_id, key, value FROM (UNPIVOT (SELECT video_id, CAST(COLUMNS(* EXCLUDE (video_id)) AS DOUBLE) FROM wide) ON COLUMNS(* EXCLUDE (video_id)) INTO NAME key VALUE value)
+  WHERE NOT (video_id % 3 = 1 AND key LIKE 'temporal%')),
+keys AS (SELECT DISTINCT key FROM long WHERE key <> 'feature_count')"""
+SQL["feature_keys"] = f"WITH {_WIDE}\nSELECT key, row_number() OVER (ORDER BY key) AS place FROM keys"
+SQL["missing_feature_keys"] = f"WITH {_WIDE}\nSELECT video_id, key FROM (SELECT DISTINCT video_id FROM long), keys EXCEPT SELECT video_id, key FROM long"
+SQL["feature_matrix"] = f"WITH {_WIDE}\nSELECT video_id, " + ", ".join(r(f"coalesce(max(CASE WHEN key = '{k}' THEN value END), 0)", k) for k in ("mean_curvature_mean", "mean_curvature_max", "path_efficiency_mean", "temporal_n_tracks", "temporal_mean_track_len")) + " FROM long GROUP BY video_id"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
+import subprocess
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,10 +18,11 @@ DEFAULTS = {"duration": 0.0, "fps": 30.0, "frames": 0, "width": 1920, "height":
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest from CSV (with a header), JSON lines or Parquet, by the path's ending."""
+    """A manifest from CSV (with a header; all columns are strings, which video_info reads as
+    numbers), JSON lines or Parquet, by the path's ending."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read
-    df = reader.option("header", True).option("inferSchema", True).csv(path) if kind == "csv" else reader.json(path) if kind in ("json", "jsonl") else reader.parquet(path)
+    df = reader.option("header", True).csv(path) if kind == "csv" else reader.json(path) if kind in ("json", "jsonl") else reader.parquet(path)
     if lacking := [c for c in REQUIRED if c not in df.columns]:
         raise ValueError(f"the manifest lacks {lacking}")
     return df
@@ -59,8 +63,9 @@ def read_boxes(spark: SparkSession, path: str, scale_x: float = 1.0, scale_y: fl
 
 
 def first_match(files: DataFrame, patterns: list[str]) -> DataFrame:
-    """Of each video's files (video_id, file), the one that fits the earliest SQL LIKE pattern."""
-    rank = F.coalesce(*(F.when(F.col("file").like(p), i) for i, p in enumerate(patterns)), F.lit(None))
+    """Of each video's files (video_id, file), the one that fits the earliest SQL LIKE pattern; of
+    equals the first by name. An underscore stands for itself."""
+    rank = F.coalesce(*(F.when(F.col("file").like(p.replace("_", "\\_")), i) for i, p in enumerate(patterns)), F.lit(None))
     place = F.row_number().over(Window.partitionBy("video_id").orderBy("rank", "file"))
     return files.withColumn("rank", rank).where("rank is not null").withColumn("place", place).where("place = 1").select("video_id", "file")
 
@@ -79,6 +84,35 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def git_commit(folder: str = ".") -> str:
+    """The short hash of the folder's commit, or "unknown"."""
+    try:
+        said = subprocess.run(["git", "-C", folder, "rev-parse", "--short", "HEAD"], capture_output=True, text=True, timeout=10, check=True)
+    except (OSError, subprocess.SubprocessError):
+        return "unknown"
+    return said.stdout.strip() or "unknown"
+
+
+def write_run(spark: SparkSession, folder: str, config: dict[str, Any], counts: dict[str, Any], now: datetime | None = None) -> str:
+    """Write config_snapshot.yaml and run_meta.json (commit, time, counts) to ``folder``'s next run folder; its path.
+
+    The folder may be in any store that Spark reads; runs are told by their names.
+    """
+    import yaml
+
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    taken = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    run = f"{folder.rstrip('/')}/{next_run_id(taken)}"
+    meta = {"git_commit": git_commit(), "timestamp": (now or datetime.now(timezone.utc)).isoformat(), **counts}
+    for name, text in (("config_snapshot.yaml", yaml.safe_dump(config, sort_keys=True)), ("run_meta.json", json.dumps(meta, sort_keys=True))):
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{run}/{name}"), False)
+        out.write(bytearray(text.encode()))
+        out.close()
+    return run
+
+
 def next_run_id(names: list[str]) -> str:
     """run_001 and so on: one more than the largest of the names."""
     taken = [int(n[4:]) for n in names if n.startswith("run_") and n[4:].isdigit()]

@@ -14,22 +14,27 @@ def _plain(rows, names):
     def one(v):
         if v is None or (isinstance(v, float) and math.isnan(v)):
             return "null"
-        return f"{v:.5f}" if isinstance(v, float) else str(v)
+        return f"{v:.6f}" if isinstance(v, float) else str(v)
 
     return sorted(tuple(one(r[n]) for n in names) for r in rows)
 
 
 @pytest.fixture(scope="module")
-def engine(sf_dir):
+def larger(sf_dir):
+    return sf_dir.replace("sf0.001", "sf0.01")
+
+
+@pytest.fixture(scope="module")
+def engine(larger):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{larger}/{t}.parquet'")
     return con
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
-def test_query_equals_sql(spark, sf_dir, engine, name):
-    got = catalog.QUERIES[name](spark, sf_dir)
+def test_query_equals_sql(spark, larger, engine, name):
+    got = catalog.QUERIES[name](spark, larger)
     want = engine.execute(catalog.ORACLE_SQL[name])
     names = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(names)
@@ -37,9 +42,10 @@ def test_query_equals_sql(spark, sf_dir, engine, name):
     assert _plain([r.asDict() for r in got.collect()], sorted(names)) == _plain(rows, sorted(names))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - {"model_out_of_fold"}))
 def test_query_runs(spark, sf_dir, name):
-    assert catalog.QUERIES[name](spark, sf_dir).count() > 0 or name.startswith("detect_")
+    rows = catalog.QUERIES[name](spark, sf_dir)
+    assert rows.count() > 0 and sorted(map(repr, rows.collect())) == sorted(map(repr, catalog.QUERIES[name](spark, sf_dir).collect()))
 
 
 def test_partitioning_does_not_matter(spark, sf_dir):
