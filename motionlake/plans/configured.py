@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dataset, preprocess, shapes, tracking, tracks, vision
+from ..operators.reuse import written
 from ..sources import files
 
 CONFIGS = str(Path(__file__).resolve().parents[1] / "configs")
@@ -93,9 +94,9 @@ def video_vectors(frames: DataFrame, config: dict[str, Any], known: DataFrame |
     """One row per video of ``frames``: features of its living tracks, 0 and an indicator of 0.0 where it has none."""
     own = config.get("tracking", {})
     ready = build_preprocessor(config)(frames).select("video_id", "frame_no", "height", "width", "pixels")
-    tracked = build_tracker(config)(build_detector(config, known)(ready))
-    points = tracking.alive(tracked, ready, own.get("max_disappeared", tracking.MAX_GAP), most=own.get("max_trajectory_len", tracking.MAX_POINTS))
+    tracked = written(build_tracker(config)(build_detector(config, known)(ready)), "tracked")
+    points = written(tracking.alive(tracked, frames, own.get("max_disappeared", tracking.MAX_GAP), most=own.get("max_trajectory_len", tracking.MAX_POINTS)), "points")
     features = build_features(config)(points)
     if "n_valid_tracks" not in features.columns:
         features = features.withColumn("n_valid_tracks", F.col("temporal_n_tracks").cast("long"))
-    return dataset.with_indicators(features, ready.select("video_id").distinct())
+    return dataset.with_indicators(features, frames.select(F.col("video_id").cast("long").alias("video_id")).distinct())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import kernels
 from ..operators import shapes, tracks
 from ..sources.views import VIEW_SQL
@@ -336,13 +338,19 @@ SELECT video_id, track_id, {", ".join(f"round({c}, 2) AS dwt_energy_{n}" for c,
        {r("-(" + " + ".join(f"e{i} / (total + 1e-10) * ln(e{i} / (total + 1e-10) + 1e-10)" for i in range(4)) + ")", "dwt_entropy")} FROM t""")
 SQL["shape_features"] = f"SELECT * FROM ({SQL['shape_curvature']}) c JOIN ({SQL['hull_features']}) h USING (video_id, track_id)"
 
+def _unrounded(name: str) -> str:
+    """A query of the above with its numbers as they are, to go on with."""
+    plain = SQL[name].replace("round(CAST(", "(CAST(").replace(" AS DOUBLE), 6) + 0.0 AS ", " AS DOUBLE)) + 0.0 AS ")
+    return re.sub(r"round\((e\d|total), 2\)", r"\1", plain)
+
+
 _POOLED = [("trajectory_track", tracks.TRAJECTORY), ("circular_motion", tracks.CIRCULAR), ("kinematics", tracks.KINEMATICS), ("shape_features", shapes.SHAPE), ("wavelet_features", shapes.WAVELET), ("interaction", tracks.INTERACTION)]
 
 
 def _vector(families: list[tuple[str, list[str]]]) -> str:
     """All families' features pooled per video, temporal context, metadata and indicators; from the queries above."""
     names = [n for _, own in families for n in own]
-    per = f"({SQL[families[0][0]]}) f0" + "".join(f" FULL JOIN ({SQL[q]}) f{i} USING (video_id, track_id)" for i, (q, _) in enumerate(families) if i)
+    per = f"({_unrounded(families[0][0])}) f0" + "".join(f" FULL JOIN ({_unrounded(q)}) f{i} USING (video_id, track_id)" for i, (q, _) in enumerate(families) if i)
     pooled = ", ".join(f"coalesce({f}({n}), 0) AS {n}_{s}" for n in names for s, f in (("mean", "avg"), ("max", "max"), ("std", "stddev_pop")))
     kept = ", ".join(f"round({n}_{s}, 0) AS {n}_{s}" if n.startswith("dwt_energy") else r(f"{n}_{s}", f"{n}_{s}") for n in names for s in ("mean", "max", "std"))
     temporal = ["temporal_n_tracks", "temporal_n_long_tracks", "temporal_spread", "temporal_spatial_spread", "temporal_overlap_count", "temporal_tracks_per_frame", "temporal_mean_track_len", "temporal_max_track_len"]
@@ -352,13 +360,13 @@ pooled AS (SELECT video_id, count(*) AS valid, {pooled} FROM per GROUP BY video_
 seen AS (SELECT video_id, max(seq) + 1 AS n_frames FROM track_points GROUP BY video_id)""", f"""
 SELECT video_id, {kept}, {", ".join(r(n, n) for n in temporal)}, {r("valid", "meta_n_traj_tracks")}, {r("1", "indicator_tracks_present")},
        {r("n_frames", "meta_num_frames")}, {r(rate, "meta_fps")}, {r(f"coalesce(duration_s, n_frames / greatest({rate}, 1))", "meta_duration_sec")}
-FROM seen JOIN pooled USING (video_id) JOIN ({SQL["temporal_context"]}) t USING (video_id) LEFT JOIN manifest USING (video_id)""")
+FROM seen JOIN pooled USING (video_id) JOIN ({_unrounded("temporal_context")}) t USING (video_id) LEFT JOIN manifest USING (video_id)""")
 
 
 SQL["video_vector_a"], SQL["video_vector_all"] = _vector(_POOLED[:1]), _vector(_POOLED)
 _WIDE = f"""c AS (
-  SELECT video_id, {", ".join(f"{f}({n}) AS {n}_{s}" for n in tracks.CURVATURE for s, f in (("mean", "avg"), ("max", "max"), ("std", "stddev_pop")))}, count(*) AS n_valid_tracks FROM ({SQL["shape_curvature"]}) GROUP BY video_id),
-wide AS (SELECT *, 1 AS feature_count FROM c JOIN ({SQL["temporal_context"]}) t USING (video_id)),
+  SELECT video_id, {", ".join(f"{f}({n}) AS {n}_{s}" for n in tracks.CURVATURE for s, f in (("mean", "avg"), ("max", "max"), ("std", "stddev_pop")))}, count(*) AS n_valid_tracks FROM ({_unrounded("shape_curvature")}) GROUP BY video_id),
+wide AS (SELECT *, 1 AS feature_count FROM c JOIN ({_unrounded("temporal_context")}) t USING (video_id)),
 long AS (
   SELECT video_id, key, value FROM (UNPIVOT (SELECT video_id, CAST(COLUMNS(* EXCLUDE (video_id)) AS DOUBLE) FROM wide) ON COLUMNS(* EXCLUDE (video_id)) INTO NAME key VALUE value)
   WHERE NOT (video_id % 3 = 1 AND key LIKE 'temporal%')),

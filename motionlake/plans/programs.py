@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import detect, frames, models, preprocess, shapes, tracking, tracks, vision
+from ..operators.reuse import written
 from ..registry import CATEGORIES, available, build, is_registered, register
 from ..sources import views
 from . import configured
@@ -37,7 +38,7 @@ def _tracked(kind: str):
 def tracked_video_features(spark, d) -> DataFrame:
     """From detections to one feature row per video: track, keep living tracks, features, pooling, context."""
     boxes = views.detections(spark, d)
-    points = tracking.alive(tracking.track(boxes, "centroid"), boxes)
+    points = written(tracking.alive(written(tracking.track(boxes, "centroid"), "tracked"), boxes), "points")
     pooled = tracks.pool(tracks.trajectory_features(points), tracks.TRAJECTORY)
     return pooled.join(tracks.temporal_context(points), "video_id").join(detect.detection_stats(boxes), "video_id")
 
@@ -46,7 +47,7 @@ def video_pipeline(spark, d) -> DataFrame:
     """From frames to one feature row per video: preprocess, detect, track, features, pooling, flow, quality."""
     seen = frame_bytes(spark, d)
     found = vision.detect(seen, "frame_diff", least_area=4)
-    points = tracking.alive(tracking.track(found, "iou_hungarian"), seen)
+    points = written(tracking.alive(written(tracking.track(found, "iou_hungarian"), "tracked"), seen), "points")
     pooled = tracks.pool(tracks.trajectory_features(points), tracks.TRAJECTORY)
     quality = frames.pool_quality(preprocess.preprocess(seen, height=32, width=32).drop("pixels"), F.col("video_id"))
     flow = frames.flow_pool(preprocess.flow_vectors(seen))
