@@ -374,3 +374,41 @@ keys AS (SELECT DISTINCT key FROM long WHERE key <> 'feature_count')"""
 SQL["feature_keys"] = f"WITH {_WIDE}\nSELECT key, row_number() OVER (ORDER BY key) AS place FROM keys"
 SQL["missing_feature_keys"] = f"WITH {_WIDE}\nSELECT video_id, key FROM (SELECT DISTINCT video_id FROM long), keys EXCEPT SELECT video_id, key FROM long"
 SQL["feature_matrix"] = f"WITH {_WIDE}\nSELECT video_id, " + ", ".join(r(f"coalesce(max(CASE WHEN key = '{k}' THEN value END), 0)", k) for k in ("mean_curvature_mean", "mean_curvature_max", "path_efficiency_mean", "temporal_n_tracks", "temporal_mean_track_len")) + " FROM long GROUP BY video_id"
+SQL["preprocess_passthrough"] = """SELECT vec_id // 50 AS video_id, vec_id::BIGINT AS frame_no, 32 AS height, 32 AS width, NULL::DOUBLE AS blur_score, NULL::DOUBLE AS brightness, NULL::DOUBLE AS laplacian_var,
+       NULL::DOUBLE AS tenengrad, NULL::DOUBLE AS brenner, NULL::VARCHAR AS distortion_type, false AS enhanced FROM embeddings"""
+#: Frame by frame: of a frame's three boxes and all living tracks the nearest pair is taken, then the next, three times.
+SQL["track_centroid"] = f"""WITH RECURSIVE {VIEW_SQL["detections"]},
+frames AS (SELECT video_id, frame_no, list({{'det': det_id, 'x': x + w // 2, 'y': y + h // 2}} ORDER BY det_id) AS boxes FROM detections GROUP BY video_id, frame_no),
+run AS (
+  SELECT video_id, frame_no, boxes, list_transform(boxes, lambda b, j: {{'id': j - 1, 'hits': 1::BIGINT}}) AS named, list_transform(boxes, lambda b, j: {{'id': j - 1, 'x': b.x, 'y': b.y, 'missed': 0::BIGINT, 'hits': 1::BIGINT}}) AS tracks, len(boxes) AS fresh
+  FROM frames WHERE frame_no = 0
+  UNION ALL
+  SELECT video_id, frame_no, boxes, named,
+         list_filter(list_concat(
+           list_transform(tracks, lambda t, i: CASE WHEN list_contains(rows, i) THEN {{'id': t.id, 'x': boxes[cols[list_position(rows, i)]].x, 'y': boxes[cols[list_position(rows, i)]].y, 'missed': 0::BIGINT, 'hits': t.hits + 1}}
+                                                 ELSE {{'id': t.id, 'x': t.x, 'y': t.y, 'missed': t.missed + 1, 'hits': t.hits}} END),
+           list_transform(list_filter(list_transform(boxes, lambda b, j: {{'id': named[j].id, 'x': b.x, 'y': b.y, 'missed': 0::BIGINT, 'hits': 1::BIGINT, 'j': j}}), lambda t: NOT list_contains(cols, t.j)),
+                          lambda t: {{'id': t.id, 'x': t.x, 'y': t.y, 'missed': t.missed, 'hits': t.hits}})), lambda t: t.missed <= 30) AS tracks,
+         fresh + len(boxes) - len(cols) AS fresh
+  FROM (
+    SELECT *, list_transform(boxes, lambda b, j: CASE WHEN list_contains(cols, j) THEN {{'id': tracks[rows[list_position(cols, j)]].id, 'hits': tracks[rows[list_position(cols, j)]].hits + 1}}
+                                              ELSE {{'id': fresh + j - 1 - len(list_filter(cols, lambda c: c < j)), 'hits': 1::BIGINT}} END) AS named
+    FROM (
+      SELECT *, list_transform(picks, lambda e: e.i) AS rows, list_transform(picks, lambda e: e.j) AS cols FROM (
+        SELECT *, list_filter([one, two, list_aggregate(list_filter(after, lambda e: two IS NOT NULL AND e.i <> two.i AND e.j <> two.j), 'min')], lambda e: e IS NOT NULL) AS picks FROM (
+          SELECT *, list_aggregate(after, 'min') AS two FROM (
+            SELECT *, list_filter(pairs, lambda e: e.i <> one.i AND e.j <> one.j) AS after FROM (
+              SELECT *, list_aggregate(pairs, 'min') AS one FROM (
+                SELECT f.video_id, f.frame_no, f.boxes, r.tracks, r.fresh,
+                       flatten(list_transform(r.tracks, lambda t, i: list_transform(f.boxes, lambda b, j: {{'d': (t.x - b.x) * (t.x - b.x) + (t.y - b.y) * (t.y - b.y), 'i': i, 'j': j}}))) AS pairs
+                FROM run r JOIN frames f ON f.video_id = r.video_id AND f.frame_no = r.frame_no + 1))))))))
+SELECT video_id, frame_no, b.det AS det_id, n.id::BIGINT AS track_id, n.hits::INT AS hits, b.x::BIGINT AS cx, b.y::BIGINT AS cy FROM (SELECT video_id, frame_no, unnest(boxes) AS b, unnest(named) AS n FROM run)"""
+_LIVING = f"""{VIEW_SQL["detections"]},
+tracked AS ({SQL["track_centroid"]}),
+track_points AS (
+  SELECT t.video_id, t.track_id, row_number() OVER (PARTITION BY t.video_id, t.track_id ORDER BY frame_no) - 1 AS seq, CAST(cx AS DOUBLE) AS x, CAST(cy AS DOUBLE) AS y
+  FROM tracked t JOIN (SELECT video_id, track_id, max(frame_no) AS last FROM tracked GROUP BY ALL) USING (video_id, track_id) JOIN (SELECT video_id, max(frame_no) AS until FROM detections GROUP BY ALL) USING (video_id)
+  WHERE until - last <= 30)"""
+_OF_LIVING = {q: SQL[q].replace(VIEW_SQL["track_points"], _LIVING) for q in ("trajectory_video", "temporal_context")}
+SQL["tracked_video_features"] = f"""SELECT * FROM ({_OF_LIVING["trajectory_video"]}) a JOIN ({_OF_LIVING["temporal_context"]}) b USING (video_id)
+JOIN ({SQL["detection_stats"].replace("count_if(w * h >= 1500)", "count(*)")}) c USING (video_id)"""
