@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from .common import bound_batches, crc_mod, materialize, table
 from .hashindex import HashTable
 
-ORDER, BITS = 4, 12  # characters of a run; bits of a character's number
+ORDER, BITS = 4, 16  # characters of a run; bits of a character's number: 65,534 letters, more than scripts in use have
 #: The model is fitted to a sample of about so many characters of each language at most.
 SAMPLE_CHARS = 4_000_000
+_HASH = 1 << 40
 _U = np.uint64
 _PART = 1 << 18
 
@@ -228,14 +229,20 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     Of a language with more than ``sample_chars`` characters, rows are chosen by a hash
     of id and text so that about so many remain: the sample, and so what the driver
-    gets, is bounded by the number of languages. An eighth of the rows is held back
-    for calibration. Without any row the model knows no language.
+    gets, is bounded by the number of languages. Its row of the least hash among those
+    with a letter is always learned, so no language with a letter is lost, however few
+    or long its rows are. An eighth of the other rows is held back for calibration.
+    Repeated rows count as often as they are there. Without any row the model knows no
+    language. The table of runs has a column for each language: it suits tens of
+    languages, not thousands.
     """
     bound_batches(docs.sparkSession, rows=1000, mb=4)
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("lang"), id_col, text_col), F.lit(1 << 20)).alias("h"))
-    share = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).select(F.col("lang").alias("l"), (F.lit(float(sample_chars)) / F.greatest("chars", F.lit(1))).alias("share"))
-    share = materialize(share, "shares")
-    sample = materialize(rows.join(share, F.col("lang") == F.col("l")).where(F.col("h") < F.col("share") * (1 << 20)).select("lang", "text", (F.col("h") % 8 == 0).alias("held")), "sample")
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("lang"), id_col, text_col), F.lit(_HASH)).alias("h"))
+    share = (F.lit(float(sample_chars)) / F.greatest(F.sum(F.length("text")), F.lit(1))).alias("share")
+    shares = materialize(rows.groupBy(F.col("lang").alias("l")).agg(share, F.min(F.when(F.col("text").rlike(r"\p{L}"), F.col("h"))).alias("least")), "shares")
+    always = F.coalesce(F.col("h") == F.col("least"), F.lit(False))
+    chosen = rows.join(shares, F.col("lang") == F.col("l")).where((F.col("h") < F.col("share") * _HASH) | always)
+    sample = materialize(chosen.select("lang", "text", ((F.col("h") % 8 == 0) & ~always).alias("held")), "sample")
     learned = sample.where("not held")
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
