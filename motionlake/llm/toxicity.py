@@ -3,7 +3,7 @@
 Features are the distinct words of a text and their beginnings of 4 to 8 letters.
 Spark counts each feature's texts by label; those that tell the labels apart best
 become the model's features, and a logistic model is fitted to them. For sentences
-that name an identity term, the same sentence with another term of its group is a
+that name an identity term, the same sentence with each other term of its group is a
 counterfactual, and the fit penalises the squared difference of the two scores, so
 that a neutral mention of a group does not look toxic.
 """
@@ -27,6 +27,7 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("black", "white", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual"),
     ("immigrants", "refugees", "locals"), ("deaf", "blind", "disabled"), ("old", "young"),
 )
+#: Bounds of what the model is fitted on; parameters of fit(), which documents them.
 SAMPLE_ROWS, MAX_FEATURES, MIN_TEXTS, MIN_G2 = 30_000, 4_096, 4, 24.0
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -39,7 +40,7 @@ def word_features(word: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """weights: feature -> weight, at most MAX_FEATURES of them."""
+    """weights: feature -> weight."""
 
     bias: float = -50.0
     weights: dict[str, float] = field(default_factory=dict)
@@ -79,10 +80,11 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def _design(rows: DataFrame, features: Sequence[str], groups: Sequence[Sequence[str]]) -> DataFrame:
-    """Feature numbers of each text (kind 0), and of sentences with an identity term and
-    of their counterfactuals (kinds 1 and 2, in pairs that share ``pair``)."""
+    """Feature numbers of each text (kind 0), and in pairs of sentences with an identity
+    term and of their counterfactuals (kinds 1 and 2): one for each number of places by
+    which terms move on in their groups, until all have been everything else."""
     number = {f: i for i, f in enumerate(features)}
-    other = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
+    place = {t: (g, i) for g in groups for i, t in enumerate(g)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +93,12 @@ def _design(rows: DataFrame, features: Sequence[str], groups: Sequence[Sequence[
                 text = text.lower()
                 ids = lambda words: sorted({number[f] for w in set(words) for f in word_features(w) if f in number})
                 out.append((0, label, ids(_WORD.findall(text))))
-                for sentence in _SENTENCE.split(text) if any(t in text for t in other) else []:
+                for sentence in _SENTENCE.split(text) if any(t in text for t in place) else []:
                     words = _WORD.findall(sentence)
-                    if any(w in other for w in words):
-                        out += [(1, label, ids(words)), (2, label, ids([other.get(w, w) for w in words]))]
+                    own = ids(words)
+                    for by in range(1, max((len(place[w][0]) for w in words if w in place), default=1)):
+                        swapped = [place[w][0][(place[w][1] + by) % len(place[w][0])] if w in place else w for w in words]
+                        out += [(1, label, own), (2, label, ids(swapped))] if swapped != words else []
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int32())))], ["kind", "label", "ids"])
 
     return rows.select("text", "label").mapInArrow(run, "kind int, label int, ids array<int>")
@@ -105,28 +109,36 @@ def _csr(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _minimise(x: list[np.ndarray], y: np.ndarray, pairs: tuple[list[np.ndarray], list[np.ndarray]], n: int, ridge: float, fair: float, turns: int = 400) -> tuple[float, np.ndarray]:
-    """Adam on the mean log loss + ridge + fair * mean squared score change of the pairs."""
+    """Adam on the mean log loss + ridge / 2 * squared weights + fair * mean squared
+    difference of the pairs' scores (probabilities); the last turns take ever smaller steps."""
     row, col = _csr(x)
     (ra, ca), (rb, cb) = _csr(pairs[0]), _csr(pairs[1])
     w = np.zeros(n + 1)
     w[n] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     m, v = np.zeros_like(w), np.zeros_like(w)
+    logistic = lambda row, col, k: 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], k) + w[n], -50, 50)))
     for t in range(1, turns + 1):
-        p = 1 / (1 + np.exp(-(np.bincount(row, w[col], len(x)) + w[n])))
-        d = (p - y) / len(y)
+        d = (logistic(row, col, len(x)) - y) / len(y)
         g = np.append(np.bincount(col, d[row], n), d.sum())
         g[:n] += ridge * w[:n]
         if k := len(pairs[0]):
-            gap = 2 * fair * (np.bincount(ra, w[ca], k) - np.bincount(rb, w[cb], k)) / k
-            g[:n] += np.bincount(ca, gap[ra], n) - np.bincount(cb, gap[rb], n)
+            a, b = logistic(ra, ca, k), logistic(rb, cb, k)
+            gap = 2 * fair * (a - b) / k
+            ga, gb = gap * a * (1 - a), gap * b * (1 - b)
+            g[:n] += np.bincount(ca, ga[ra], n) - np.bincount(cb, gb[rb], n)
+            g[n] += (ga - gb).sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        rate = 0.1 * min(1.0, 4 * (1 - t / (turns + 1)))
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return float(w[n]), w[:n]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", groups: Sequence[Sequence[str]] = IDENTITY_GROUPS, fair: float = 1.0, ridge: float = 1e-4, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", groups: Sequence[Sequence[str]] = IDENTITY_GROUPS, fair: float = 10.0, ridge: float = 1e-4, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, min_texts: int = MIN_TEXTS, min_g2: float = MIN_G2) -> ToxicityModel:
     """Fit on the labelled rows, or where these are over ``sample_rows``, on about so many,
-    chosen by a hash of the id; the driver gets their feature numbers only.
+    chosen by a hash of the id; the driver gets their feature numbers only. The model's
+    features are those that ``min_texts`` of these rows have and whose log-likelihood
+    ratio with the label is ``min_g2`` or more (24: about one in a million by chance), of
+    more than ``max_features`` the telling ones. Scoring reads all words of all texts.
 
     Rows with null text count as empty, rows with null label are left out; an id that
     is labelled more than once counts as toxic if any label says so. Without rows of
@@ -153,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total, a, b = float(pos + neg), F.col("pos"), F.col("neg")
     have, lack = a + b, F.lit(total) - a - b
     g2 = 2 * (cell(a, have * pos / total) + cell(b, have * neg / total) + cell(pos - a, lack * pos / total) + cell(neg - b, lack * neg / total))
-    best = _counts(rows).where(have >= MIN_TEXTS).withColumn("g2", g2).where(F.col("g2") >= MIN_G2)
-    features = [r["feature"] for r in best.orderBy(F.desc("g2"), "feature").limit(MAX_FEATURES).collect()]
+    best = _counts(rows).where(have >= min_texts).withColumn("g2", g2).where(F.col("g2") >= min_g2)
+    features = [r["feature"] for r in best.orderBy(F.desc("g2"), "feature").limit(max_features).collect()]
     design = _design(rows, features, groups).toArrow()
     kind, label = (design.column(c).to_numpy() for c in ("kind", "label"))
     ids = [np.array(x, np.int64) for x in design.column("ids").to_pylist()]
