@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import WORD, materialize, table, unused
 
 WEIGHTS = (5, 2, 1)
 _STEPS = 1024
@@ -53,34 +53,40 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["source"].eqNullSafe(b["source"])
 
 
-def dual_rates(hist: DataFrame, targets: DataFrame, cap: float = 2.0, steps: int = 20, tolerance: float = 1e-7) -> DataFrame:
-    """Return source, scale and lambda from rows (source, size, n) and targets.
+def _exact(x: Column) -> Column:
+    """A sum of ``x`` in whole units of 1e-8, so that the order of rows doesn't count."""
+    return F.sum(x.cast("decimal(30,8)")).cast("double")
+
+
+def dual_rates(hist: DataFrame, targets: DataFrame, cap: float = 2.0, steps: int = 100, tolerance: float = 1e-7) -> DataFrame:
+    """Return source, scale and lam from rows (source, size, n) and targets.
 
     Newton steps on each source's convex dual, kept within a bracket that each
     gradient's sign narrows; ends when every source's words are within
-    ``tolerance`` of its target.
+    ``tolerance`` of its target, and raises an error if that takes over ``steps``.
+    A target between 0 and ``cap`` times the source's size always has a solution:
+    the bracket's ends take the rates of all sizes to 0 and to the cap.
     """
     scale = hist.groupBy("source").agg(F.max("size").cast("double").alias("scale"))
     full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
-    now = targets.join(scale.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        "source", "target", F.greatest("scale", F.lit(1.0)).alias("scale"), full.alias("full"), F.lit(-700.0).alias("low"), F.lit(700.0).alias("high"), F.lit(0.0).alias("lam"), F.lit(False).alias("done")
-    )
-    now = materialize(now, "dual")
+    now = targets.join(scale.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", "target", F.greatest("scale", F.lit(1.0)).alias("scale"), full.alias("full"))
+    now = materialize(now.select("*", (-700 * F.col("scale")).alias("low"), (700 * F.col("scale")).alias("high"), F.lit(0.0).alias("lam"), F.lit(False).alias("done")), "dual")
     for _ in range(steps):
         x, size = F.col("size") / F.col("scale"), F.col("size").cast("double") * F.col("n")
-        rate = F.exp(F.col("lam") * x)
+        rate = F.exp(F.least(F.col("lam") * x, F.lit(700.0)))
         at = hist.alias("h").join(now.alias("d"), F.col("h.source").eqNullSafe(F.col("d.source")))
-        sums = at.groupBy("d.source").agg(F.sum(size * F.least(F.lit(cap), rate)).alias("got"), F.sum(F.when(rate < cap, size * x * rate)).alias("slope"), *(F.first(c).alias(c) for c in ("target", "scale", "full", "low", "high", "lam")))
+        sums = at.groupBy("d.source").agg(_exact(size * F.least(F.lit(cap), rate)).alias("got"), _exact(F.when(rate < cap, size * x * rate)).alias("slope"), *(F.first(c).alias(c) for c in ("target", "scale", "full", "low", "high", "lam")))
         gap = F.col("got") - F.col("target")
         done = F.col("full") | (F.abs(gap) <= tolerance * F.greatest("target", F.lit(1.0)))
         low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
         step = F.col("lam") - gap / F.col("slope")
         inside = (F.col("slope") > 0) & (step > low) & (step < high)
-        nxt = F.when(done, F.col("lam")).when(inside, step).otherwise((low + high) / 2)
+        middle = F.sinh((F.asinh(low) + F.asinh(high)) / 2)  # halves the bracket's order of magnitude
+        nxt = F.when(done, F.col("lam")).when(inside, step).otherwise(middle)
         now = materialize(sums.select("source", "target", "scale", "full", low.alias("low"), high.alias("high"), F.round(nxt, 10).alias("lam"), done.alias("done")), "dual")
         if now.where("not done").isEmpty():
-            break
-    return now.select("source", "scale", F.when(F.col("full"), 1e9).otherwise(F.col("lam")).alias("lam"))
+            return now.select("source", "scale", F.when(F.col("full"), 1e9).otherwise(F.col("lam")).alias("lam"))
+    raise ArithmeticError(f"{now.where('not done').count()} sources did not meet their targets in {steps} Newton steps")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, fixes: int = 8) -> DataFrame:
@@ -91,7 +97,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     that comes last; repeated rows share one hash and so one number of copies; an
     empty table gives no rows. Other columns are not read. At most ``fixes`` documents
     of a source (never rows without an id) are changed by a copy to come nearer to its
-    target. Reruns agree: all choices depend on the id and on exact sums.
+    target; rows that agree in id, size and source change together. Reruns agree: all
+    choices depend on these three and on exact sums.
     """
     sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     targets = materialize(source_targets(sized, weights, share, float(cap)), "targets")
@@ -124,31 +131,56 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies = F.least(F.lit(cap), F.col("base") + F.when(F.col("margin") >= F.col("low"), 1).otherwise(0)).cast("int")
     rounded = materialize(ready.alias("r").join(found.select("source", "low").alias("f"), F.col("r.source").eqNullSafe(F.col("f.source"))).select("doc_id", "size", "r.source", "source_size", "target", "rate", copies.alias("copies")), "rounded")
     # What is left of a source's need goes, turn by turn, to the document whose size is nearest to it.
-    changes = rounded.select(F.col("doc_id").alias("_id"), F.lit(0).alias("change")).limit(0)
+    changes = rounded.select(F.col("doc_id").alias("i"), F.col("size").alias("s"), F.col("source").alias("o"), F.lit(0).alias("change")).limit(0)
     out = F.col("copies") + F.coalesce("change", F.lit(0))
+    its_change = (F.col("doc_id") == F.col("i")) & (F.col("size") == F.col("s")) & F.col("source").eqNullSafe(F.col("o"))
     for _ in range(fixes):
-        now = rounded.join(changes, F.col("doc_id") == F.col("_id"), "left").withColumn("copies", out)
+        now = rounded.join(changes, its_change, "left").withColumn("copies", out)
         off = materialize(now.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off")), "off")
         can = F.when(F.col("off") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & F.col("doc_id").isNotNull() & (F.abs(F.abs("off") - F.col("size")) < F.abs("off"))
         at = now.alias("r").join(off.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source"))).where(can)
-        nearest = at.groupBy("r.source").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("size")).alias("by"), F.xxhash64("doc_id").alias("order"), "doc_id", F.signum("off").cast("int").alias("change"))).alias("m"))
-        change = materialize(nearest.select(F.col("m.doc_id").alias("_id"), F.col("m.change").alias("change")), "change")
+        nearest = at.groupBy("r.source").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("size")).alias("by"), F.xxhash64("doc_id").alias("order"), "doc_id", "size", F.signum("off").cast("int").alias("change"))).alias("m"))
+        change = materialize(nearest.select(F.col("m.doc_id").alias("i"), F.col("m.size").alias("s"), F.col("source").alias("o"), F.col("m.change").alias("change")), "change")
         if change.isEmpty():
             break
-        changes = materialize(changes.union(change).groupBy("_id").agg(F.sum("change").cast("int").alias("change")), "changes")
-    fixed = rounded.join(changes, F.col("doc_id") == F.col("_id"), "left")
+        changes = materialize(changes.union(change).groupBy("i", "s", "o").agg(F.sum("change").cast("int").alias("change")), "changes")
+    fixed = rounded.join(changes, its_change, "left")
     return fixed.select("doc_id", "size", "source", "source_size", "target", "rate", out.alias("copies"), (out * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it."""
-    names = ["_mix_id", "_mix_size", "_mix_source"]  # rows that agree in these have the same copies
-    copies = mix(docs, id_col, text_col, source_col, **how).where("copies > 0").select(F.col("doc_id").alias(names[0]), F.col("size").alias(names[1]), F.col("source").alias(names[2]), F.col("copies").alias("_mix_copies")).distinct()
-    own = [F.col(id_col), word_count(F.col(text_col)), F.col(source_col).cast("string")]
-    same = own[0].eqNullSafe(F.col(names[0])) & own[1].eqNullSafe(F.col(names[1])) & own[2].eqNullSafe(F.col(names[2]))
-    rows = docs.join(copies, same)
-    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*docs.columns)
+    """``docs`` with each row repeated as often as the mix takes it, all columns.
+
+    A row's copies are those of its id, size and source, also where the id is null, names
+    several texts or is repeated as a whole; rows without words stay once, null sources
+    are one source, an empty table stays empty, and other columns, whatever their names,
+    are passed on.
+    """
+    copies = materialize(mix(docs, id_col, text_col, source_col, **how).where("copies > 0").select("doc_id", "size", "source", "copies").distinct(), "copies")
+    same = docs[id_col].eqNullSafe(copies["doc_id"]) & (word_count(docs[text_col]) == copies["size"]) & docs[source_col].cast("string").eqNullSafe(copies["source"])
+    turn = unused(docs, "copy")
+    return docs.join(copies, same).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), copies["copies"])).alias(turn)).drop(turn)
 
 
 def op7_entropy_mix(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("rate", 9).alias("rate"))
+
+
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    """The columns of op7_entropy_mix that SQL can state."""
+    return op7_entropy_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+MIX_TARGETS_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight FROM d GROUP BY source),
+-- The words per weight rise as sources stop at twice their size.
+r AS (
+  SELECT 0 AS turn, 0.0::DOUBLE AS level
+  UNION ALL
+  SELECT turn + 1, (SELECT (1.5 * sum(source_size) - coalesce(sum(CASE WHEN weight * r.level >= 2 * source_size THEN 2 * source_size END), 0)) / nullif(sum(CASE WHEN weight * r.level < 2 * source_size THEN weight END), 0) FROM s)
+  FROM r WHERE turn < 50 AND level IS NOT NULL),
+t AS (SELECT max(level) AS level FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(least(weight * t.level, 2 * source_size), 3) AS target
+FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source, t
+"""
