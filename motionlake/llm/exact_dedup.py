@@ -13,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, unused
 
 #: A chunk ends after one of these four-letter shapes (about one place in 600 in
 #: Latin script), but not within its first 64 characters nor beyond 4,100.
-CHUNK = r"(?s).{60,4096}?[aeo][nrst][dg][aeiou]|.{1,4096}"
+CHUNK = r"(?s).{60,4096}?(?:[aeo][nrst][dg][aeiou]|([^\x00-\x7F]).\1)|.{1,4096}"
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -70,19 +70,26 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Whole rows move once, to meet the ids that stay. Only rows without an id or with
     one that several rows have (seldom any) move again, and are told apart by text.
+    Null texts are copies of empty ones. An empty table stays empty; other columns,
+    whatever their names, are passed on.
     """
-    groups = materialize(exact_groups(docs, id_col, text_col).select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), "kept"), "kept")
-    kept = groups.where("kept").select("_kept_id", "_kept_sha")
-    ids = groups.groupBy("_kept_id").agg(F.count("*").alias("_rows"), F.max("kept").alias("_kept")).where("_kept")
-    ids = materialize(ids.select("_kept_id", ((F.col("_rows") > 1) | F.col("_kept_id").isNull()).alias("_odd")), "kept_ids")
-    of = lambda which: docs.join(ids.where(which), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    if ids.where("_odd").isEmpty():
+    groups = materialize(exact_groups(docs, id_col, text_col).select("doc_id", "text_sha256", "kept"), "kept")
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept")).where("kept")
+    ids = materialize(ids.select("doc_id", ((F.col("rows") > 1) | F.col("doc_id").isNull()).alias("odd")), "kept_ids")
+
+    def of(which: str) -> DataFrame:
+        some = ids.where(which)
+        return docs.join(some, docs[id_col].eqNullSafe(some["doc_id"]), "left_semi")
+
+    if ids.where("odd").isEmpty():
         return of("true")
-    odd = of("_odd").withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    odd = odd.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    longest = Window.partitionBy(F.col(id_col), "_sha").orderBy(F.desc(F.length(F.col(text_col))))
-    odd = odd.withColumn("_place", F.row_number().over(longest)).where("_place = 1")
-    return of("not _odd").unionByName(odd.drop("_place", "_sha"))
+    sha, place = unused(docs, "sha"), unused(docs, "place")
+    odd = of("odd").withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    kept = groups.where("kept").select("doc_id", "text_sha256").distinct()
+    odd = odd.join(kept, odd[id_col].eqNullSafe(kept["doc_id"]) & (odd[sha] == kept["text_sha256"]), "left_semi")
+    longest = Window.partitionBy(F.col(id_col), sha).orderBy(F.desc(F.length(F.col(text_col))))
+    odd = odd.withColumn(place, F.row_number().over(longest)).where(F.col(place) == 1)
+    return of("not odd").unionByName(odd.drop(place, sha))
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
