@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; the one before is
 written as Parquet and read again as its docs. All stages but the last return the
-columns of documents.
+columns of documents, whatever these are named; an empty table stays empty in all.
 """
 
 from __future__ import annotations
@@ -14,28 +14,47 @@ from motionlake.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the counterfactual-regularised classifier calls toxic go."""
+    """Documents that the counterfactual-regularised classifier calls toxic go.
+
+    Null and empty texts are scored like any text. Rows with a null id stay or go by
+    their text but teach nothing; repeated rows are judged alike.
+    """
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal chunk recipes, the longest stays."""
+    """Of documents with equal chunk recipes, the longest stays, then the one of the smallest id.
+
+    Null and empty texts are equal; a null id comes after all others; of rows that are
+    repeated as a whole one stays.
+    """
     return exact_dedup.drop_exact(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
+    """One document of each near-duplicate component stays, that of the smallest id.
+
+    Texts without words and rows with a null id are linked with nothing and stay; ties of
+    one id go to the text of the least md5; rows repeated as a whole stay or go together.
+    """
     return minhash.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that sources meet their target words."""
+    """Documents are repeated or left out so that sources meet their target words.
+
+    Null sources are one source; rows without words stay once; rows that agree in id, size
+    and source, null ids included, are taken equally often.
+    """
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row of the mix: doc_id, source, ids."""
-    return bpe.encoded(docs)
+    """Token ids of each row of the mix: doc_id, source, ids.
+
+    A null or empty text has no ids; each repetition of a row is encoded.
+    """
+    return bpe.bpe_encode(docs, bpe.default_vocabulary(), keep=["source"])
 
 
 STAGES = [

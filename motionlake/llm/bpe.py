@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import bound_batches, table
 
@@ -55,9 +56,27 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _refuse_other_kinds(spec: dict) -> None:
+    """Raise a ValueError for a file whose settings this encoder doesn't follow."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [f"normalizer {spec['normalizer']}"] if spec.get("normalizer") else []
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        wrong.append(f"pre_tokenizer {pre}")
+    if model.get("type", "BPE") != "BPE":
+        wrong.append(f"model {model['type']}")
+    wrong += [f"model.{k} {model[k]}" for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    for token in spec["added_tokens"]:
+        if any(token.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) or regex.search(rf"[{WHITE}]", token["content"]):
+            wrong.append(f"added token {token['content']!r}")
+    if wrong:
+        raise ValueError("only plain byte-level BPE files are read, not " + ", ".join(wrong))
+
+
 def load_vocabulary(path: str) -> Vocabulary:
+    """The tables of a tokenizers JSON file of plain byte-level BPE; others are refused."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    _refuse_other_kinds(spec)
     letters = _byte_letters()
     vocab = spec["model"]["vocab"]
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -236,8 +255,9 @@ def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray, codes: np.nda
     return pool[at + np.arange(len(at))]
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str | Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return doc_id and ids (array<int>) for each row; a null text has no ids.
+def bpe_encode(docs: DataFrame, vocabulary: str | Vocabulary, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Return doc_id, the columns ``keep`` and ids (array<int>) for each row; a null text
+    has no ids.
 
     Special tokens' strings become their ids; none are added. Repeated rows repeat;
     an empty table gives no rows; other columns are not read. ``vocabulary`` is a
@@ -253,10 +273,11 @@ def bpe_encode(docs: DataFrame, vocabulary: str | Vocabulary, id_col: str = "doc
         for batch in batches:
             ids, n = encoder.encode(batch.column(1).to_pylist())
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["doc_id", *keep, "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    kinds = [("doc_id", docs.schema[id_col].dataType), *((c, docs.schema[c].dataType) for c in keep)]
+    schema = StructType([StructField(c, kind) for c, kind in kinds] + [StructField("ids", ArrayType(IntegerType()))])
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep).mapInArrow(run, schema)
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str | Vocabulary, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
