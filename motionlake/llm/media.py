@@ -1,8 +1,8 @@
 """Media columns: interleaved sequences of text and media references.
 
 HTML is parsed into an ordered sequence of text and media-reference structs; a
-reference keeps its position and its caption. Media are stored once as bytes with a
-digest; a join on the digest resolves references, and moves only what was read from
+reference keeps its position and its caption. Media are stored once for each digest, as
+bytes; a join on the digest resolves references, and moves only what was read from
 the stored bytes (sizes, checks, features), never the bytes themselves.
 """
 
@@ -32,6 +32,7 @@ BLOCK = {
 }
 MEDIA = {"img", "audio", "video", "source", "embed"}
 WIDTH = 64
+COPIES = 200_000  # ids and digests, about 25 MB
 _BLANK = re.compile(r"\s+")
 _ITEM = "position int, kind string, text string, ref string, digest string, caption string"
 _ITEM_TYPE = pa.struct([("position", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "ref", "digest", "caption"))])
@@ -155,7 +156,10 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def inline_media(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Return digest and media (bytes) of the ``data:`` references of pages, each digest once."""
+    """Return digest and media (bytes) of the ``data:`` references of pages, each digest once.
+
+    Null and empty pages and references that can't be decoded have none.
+    """
     bound_batches(pages.sparkSession, rows=500, mb=4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,12 +175,25 @@ def inline_media(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def resolved(sequences_: DataFrame, known: DataFrame) -> DataFrame:
-    """One row per media reference: doc_id, position, ref, caption and the columns of
-    ``known`` (one row per digest) for its digest; null where the digest isn't known."""
-    refs = sequences_.select("doc_id", F.explode("items").alias("item")).where("item.kind = 'media'").select("doc_id", "item.position", "item.ref", "item.caption", "item.digest")
+    """One row per media reference: doc_id, n_items (of its page), position, ref, caption and
+    the columns of ``known`` (one row per digest) for its digest.
+
+    ``known``'s columns are null where the digest is null or not known; pages without
+    media have no row, repeated pages repeat theirs, and an empty table gives none.
+    """
+    refs = sequences_.select("doc_id", F.size("items").alias("n_items"), F.explode("items").alias("item")).where("item.kind = 'media'").select("doc_id", "n_items", "item.position", "item.ref", "item.caption", "item.digest")
     return refs.join(known, "digest", "left")
 
 
+def page_sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """One row per page: doc_id, n_items, n_media, n_chars (of all text items) and texts_sha256
+    (of the text items joined by LF); a null or empty page has no items."""
+    items = F.col("items")
+    texts = F.transform(F.filter(items, lambda i: i["kind"] == "text"), lambda i: i["text"])
+    joined = F.array_join(texts, "\n")
+    return sequences(pages, id_col, html_col).select("doc_id", F.size(items).alias("n_items"), (F.size(items) - F.size(texts)).alias("n_media"), F.length(joined).alias("n_chars"), F.sha2(joined, 256).alias("texts_sha256"))
+
+
 def gray_map(text: Column) -> Column:
     """A text's UTF-8 bytes, padded by 0 to a positive multiple of 64, as a binary gray
     map of 8-bit samples, 64 to a row; its comment tells the number of text bytes."""
@@ -189,9 +206,22 @@ def gray_map(text: Column) -> Column:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write every text as media: doc_id, digest (sha256 of the stored form) and media."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), gray_map(F.col(text_col)).alias("media"))
-    return materialize(rows.select("doc_id", F.sha2("media", 256).alias("digest"), "media"), "media")
+    """Write the texts as media, each digest once: digest (sha256 of the stored form) and media.
+
+    A null text is stored as an empty one. Of equal texts that of the smallest id is
+    written, ids before null; only a row that is repeated as a whole, id and text, is
+    written as often. An empty table writes none; other columns are not read. The other
+    copies' ids are broadcast if they are ``COPIES`` at most, else joined by a shuffle.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), gray_map(F.col(text_col)).alias("media")).select("doc_id", F.sha2("media", 256).alias("digest"), "media")
+    named = materialize(rows.select("doc_id", "digest"), "digests")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    several = named.groupBy(F.col("digest").alias("d")).agg(first, F.count("*").alias("n")).where("n > 1")
+    copies = named.join(several, F.col("digest") == F.col("d")).where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("doc_id", "digest").distinct()
+    copies = materialize(copies, "copies")
+    if copies.count() <= COPIES:
+        copies = F.broadcast(copies)
+    return materialize(rows.join(copies, rows["doc_id"].eqNullSafe(copies["doc_id"]) & (rows["digest"] == copies["digest"]), "left_anti").select("digest", "media"), "media")
 
 
 def read_gray_map(media: bytes) -> tuple[int, np.ndarray]:
@@ -217,7 +247,11 @@ def describe(samples: np.ndarray) -> str:
 
 def features(stored: DataFrame) -> DataFrame:
     """One row per digest, from the stored bytes: n_bytes, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, feature."""
+    tail_crc32, media_bytes, media_sha256, feature.
+
+    Media that are no gray maps of ``gray_map``'s kind raise a ValueError; null media and
+    an empty table give no rows, a digest that is stored again gives one.
+    """
     bound_batches(stored.sparkSession)
     names = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -232,18 +266,49 @@ def features(stored: DataFrame) -> DataFrame:
                 rows.append((digest, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(samples)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-    read = stored.select("digest", "media").mapInArrow(run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    read = stored.where("media is not null").select("digest", "media").mapInArrow(run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return read.groupBy("digest").agg(*(F.first(n).alias(n) for n in names[1:]))
 
 
-def document_pages(stored: DataFrame) -> DataFrame:
-    """A page for each stored text, which refers to it by digest and names its document."""
-    named = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return stored.select("doc_id", F.concat(F.lit("<article><p>Document "), named, F.lit('</p><figure><img src="sha256:'), "digest", F.lit('" alt="text"><figcaption>'), named, F.lit("</figcaption></figure></article>")).alias("html"))
+def document_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """An HTML page (doc_id, html) for each text: its lines as paragraphs and, after the
+    first one, a figure that refers to the stored text by digest and has the id as caption.
+
+    A null text is an empty line, a null id an empty caption; repeated rows repeat.
+    """
+    named = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    figure = F.concat(F.lit('</p><figure><img src="sha256:'), F.sha2(gray_map(F.col(text_col)), 256), F.lit('" alt="text"><figcaption>'), named, F.lit("</figcaption></figure>"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    lines = F.split(text, "\n")
+    rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    return docs.select(F.col(id_col).alias("doc_id"), F.concat(F.lit("<article><p>"), F.get(lines, F.lit(0)), figure, F.array_join(rest, ""), F.lit("</article>")).alias("html"))
 
 
 def op3_media(spark, sf_dir: str) -> DataFrame:
-    stored = store(table(spark, sf_dir, "documents"))
-    known = materialize(features(stored), "features")
-    out = resolved(sequences(document_pages(stored), "doc_id"), known)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    docs = table(spark, sf_dir, "documents")
+    known = materialize(features(store(docs)), "features")
+    out = resolved(sequences(document_pages(docs), "doc_id"), known)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_items", "position", "caption")
+
+
+def media_digests(spark, sf_dir: str) -> DataFrame:
+    """The columns of op3_media that SQL can state."""
+    return op3_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256", "caption")
+
+
+def media_pages(spark, sf_dir: str) -> DataFrame:
+    """What the table of web pages holds as interleaved sequences."""
+    return page_sequences(table(spark, sf_dir, "pages")).withColumnRenamed("doc_id", "page_id")
+
+
+MEDIA_DIGESTS_SQL = r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+n AS (SELECT doc_id, raw, octet_length(raw) AS n, greatest(1, CAST(ceil(octet_length(raw) / 64.0) AS BIGINT)) AS h FROM b),
+p AS (SELECT doc_id, n, h, raw || unhex(repeat('00', CAST(h * 64 - n AS BIGINT))) AS payload FROM n),
+m AS (SELECT doc_id, n, h, payload, encode('P5' || chr(10) || '# ' || n || chr(10) || '64 ' || h || chr(10) || '255' || chr(10)) || payload AS media FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(h * 64 AS BIGINT) AS payload_bytes, sha256(payload) AS payload_sha256,
+       CAST(octet_length(media) AS BIGINT) AS media_bytes, sha256(media) AS media_sha256, CAST(doc_id AS VARCHAR) AS caption
+FROM m
+"""

@@ -15,10 +15,15 @@ QUERIES = {
     "op8_ppm": ppm.op8_ppm,
     "op9_language": langid.op9_language,
     "op10_bpe": bpe.op10_bpe,
+    "media_digests": media.media_digests,
+    "media_pages": media.media_pages,
+    "mix_targets": mixing.mix_targets,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op2_minhash": minhash.OP2_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op6_chat": chat.OP6_SQL,
+    "media_digests": media.MEDIA_DIGESTS_SQL,
+    "mix_targets": mixing.MIX_TARGETS_SQL,
 }
