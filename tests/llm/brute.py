@@ -175,3 +175,38 @@ def kneser_ney(texts_by_lang, order, symbol_count):
         return max(here.get(gram, 0) - d, 0) / total + d * len(here) / total * prob(grams, gram[1:])
 
     return {lang: (lambda gram, g=grams: prob(g, gram)) for lang, grams in models.items()}
+
+
+def gray_feature(payload: bytes) -> str:
+    """Mean, deviation, entropy and mean change along rows of 64 of a payload's bytes."""
+    n = len(payload)
+    mean = sum(payload) / n
+    sd = math.sqrt(sum((x - mean) ** 2 for x in payload) / n)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(payload).values())
+    change = sum(abs(payload[i] - payload[i + 1]) for i in range(n - 1) if i % 64 != 63) / (n // 64 * 63)
+    return f"mean={mean:.6f};sd={sd:.6f};entropy={entropy:.6f};change={change:.6f}"
+
+
+def toxic_features(rows, min_texts, min_g2):
+    """rows: (text, label). The features whose log-likelihood ratio with the label is enough."""
+    pos, neg = Counter(), Counter()
+    for text, label in rows:
+        words = set(re.findall(r"[^\W_]+", text.lower()))
+        (pos if label else neg).update({f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in range(4, 9) if len(w) >= n})
+    n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    out = {}
+    for f in {*pos, *neg}:
+        a, b = pos[f], neg[f]
+        cells = [(a, (a + b) * n1), (b, (a + b) * n0), (n1 - a, (n1 + n0 - a - b) * n1), (n0 - b, (n1 + n0 - a - b) * n0)]
+        g2 = 2 * sum(k * math.log(k * (n1 + n0) / e) for k, e in cells if k)
+        if a + b >= min_texts and g2 >= min_g2:
+            out[f] = g2
+    return out
+
+
+def fair_loss(bias, weights, texts, pairs, ridge, fair):
+    """texts: (features, label); pairs: two feature sets each. The objective of the toxicity model."""
+    score = lambda fs: 1 / (1 + math.exp(-bias - sum(weights[f] for f in fs)))
+    loss = -sum(math.log(score(f) if y else 1 - score(f)) for f, y in texts) / len(texts)
+    change = sum((score(a) - score(b)) ** 2 for a, b in pairs) / max(len(pairs), 1)
+    return loss + ridge / 2 * sum(w * w for w in weights.values()) + fair * change

@@ -1,5 +1,7 @@
 """The numbered queries against plain versions, over whole small tables."""
 
+import html
+import re
 import zlib
 
 import brute
@@ -37,7 +39,9 @@ def test_op3(spark, sf_dir, docs):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), brute.sha(payload), zlib.crc32(payload[-64:]))
         stored = b"P5\n# %d\n64 %d\n255\n" % (len(raw), len(payload) // 64) + payload
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), brute.sha(stored))
-        assert (r["position"], r["caption"]) == (1, str(doc_id))
+        shown = [bool(re.sub(r"\s+", " ", line).strip()) for line in (text or "").split("\n")]
+        assert (r["n_items"], r["position"], r["caption"]) == (1 + sum(shown), int(shown[0]), str(doc_id))
+        assert r["feature"] == brute.gray_feature(payload)
 
 
 def test_op4(spark, sf_dir, docs):
@@ -130,3 +134,27 @@ def test_op5_separates_toxic(spark, sf_dir):
     assert auc > 0.9, auc
     assert sum(p for _, t, p in rows if not t) <= 0.02 * len(neg)
     assert sum(p for _, t, p in rows if t) >= 0.7 * len(pos)
+
+
+@pytest.mark.parametrize("name", ["media_digests", "mix_targets"])
+def test_reduced_columns_match_sql(spark, sf_dir, name):
+    want = duckdb.sql(queries.ORACLE_SQL[name].replace("FROM documents", f"FROM '{sf_dir}/documents.parquet'"))
+    rows = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(rows.columns) == sorted(want.columns)
+    assert got(spark, sf_dir, name, *want.columns) == sorted(want.fetchall())
+
+
+def test_media_pages(spark, sf_dir):
+    """Against a plain reading of these pages, which close what matters here."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").collect()
+    out = {r["page_id"]: r for r in queries.QUERIES["media_pages"](spark, sf_dir).collect()}
+    assert sorted(out) == sorted(r["page_id"] for r in pages)
+    for r in pages:
+        body = re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>", "", r["html"] or "")
+        body = re.sub(r"(?is)<(script|style|noscript|template|title)\b.*?</\1>", "", body)
+        body = re.sub(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", "\x1e", body)
+        body = re.sub(r"(?s)<[a-zA-Z/][^>]*>", "", body)
+        texts = [t for t in (re.sub(r"\s+", " ", html.unescape(x)).strip() for x in body.split("\x1e")) if t]
+        got_ = out[r["page_id"]]
+        assert (got_["n_items"], got_["n_media"], got_["n_chars"]) == (len(texts), 0, len("\n".join(texts)))
+        assert got_["texts_sha256"] == brute.sha("\n".join(texts))

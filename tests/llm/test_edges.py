@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, and extra columns with clashing names."""
 
+import math
 import random
 
 import brute
@@ -77,12 +78,63 @@ def test_near_on_tangled_groups(spark, seed):
     assert some(minhash.near_components(docs).collect(), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(rows), key=repr)
 
 
+def thue_morse(n):
+    """The first n letters of the Thue-Morse word over ab, and the same with a and b swapped."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_texts_are_told_apart(spark):
+    """Words of one letter pattern, and texts of one word pattern, that a polynomial hash takes for equal."""
+    x, y = thue_morse(1024)
+    head = [f"h{i}" for i in range(40)]
+    rows = [(1, x), (2, y), (3, " ".join(x)), (4, " ".join(y)), (5, " ".join([*head, x, *head[::-1]])), (6, " ".join([*head[::-1], y, *head]))]
+    rows += [(7, " ".join([x] * 40)), (8, " ".join([y] * 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert some(minhash.near_components(docs).collect(), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(rows))
+    got = some(substring_dedup.drop_repeats(docs).withColumn("sha", F.sha2("kept", 256)).collect(), "doc_id", "n_words", "n_removed", "sha")
+    assert got == sorted(brute.repeats(rows))
+
+
+def test_near_where_ids_name_several_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, far = " ".join([*base[:-1], "x"]), " ".join(f"q{i}" for i in range(60))
+    base = " ".join(base)
+    rows = [(1, base), (2, near), (2, far), (3, base), (3, base), (4, None), (4, ""), (None, base), (1, near), (5, far.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("text_key", "first", "set_key", "_node", "comp")})
+    kept = minhash.drop_near(docs)
+    assert kept.columns == docs.columns
+    first = min([base, near], key=lambda t: brute.hashlib.md5(t.encode()).hexdigest())
+    assert some(kept.collect(), "doc_id", "text") == sorted([(1, first), (2, far), (4, None), (4, ""), (None, base)], key=repr)
+
+
+def test_candidates_stay_linear_in_a_group(spark, monkeypatch):
+    """One family of edited copies: twice the copies, no more than twice the compared pairs a copy."""
+    seen: list[int] = []
+    real = minhash.confirm
+    monkeypatch.setattr(minhash, "confirm", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+    each = {}
+    for n in (100, 400):
+        rng = random.Random(7)
+        base = [f"v{i}" for i in range(200)]
+        rows = []
+        for i in range(n):
+            copy = list(base)
+            for _ in range(3):
+                copy[rng.randrange(200)] = f"x{rng.randrange(10**9)}"
+            rows.append((i, " ".join(copy)))
+        seen.clear()
+        out = minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r["component_id"] for r in out.collect()} == {0}
+        each[n] = sum(seen) / n
+    assert each[400] <= 1.2 * each[100] and each[400] < 4, each
+
+
 def test_settling_finds_links_that_stars_miss(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(f"g{rng.randrange(60)}" for _ in range(30))) for i in range(20)] + [(100 + i, " ".join(f"q{j}" for j in range(i, i + 30))) for i in range(40)]
     texts = spark.createDataFrame(rows, "node long, text string")
-    empty = texts.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-    comp = minhash.settle(minhash.rarest_keys(texts, 5, 75), texts, empty, empty, texts.select("node", F.col("node").alias("comp")).where("false"), 5, 75)
+    comp = minhash.settle(minhash.rarest_keys(texts, 5, 75), texts, None, None, 5, 75)
     found = {r["node"]: r["comp"] for r in comp.collect()}
     for node, _, want, _ in brute.near(rows):
         assert found.get(node, node) == want
@@ -90,8 +142,10 @@ def test_settling_finds_links_that_stars_miss(spark):
 
 def test_media(docs, none):
     stored = media.store(docs)
-    got = media.resolved(media.sequences(media.document_pages(stored), "doc_id"), media.features(stored)).collect()
+    assert stored.count() == len({t or "" for _, t in ROWS}) + 1  # one row is there twice
+    got = media.resolved(media.sequences(media.document_pages(docs), "doc_id"), media.features(stored)).collect()
     assert sorted((r["n_bytes"] for r in got)) == sorted(len((t or "").encode()) for _, t in ROWS)
+    assert media.store(none).count() == 0 and media.page_sequences(none, "doc_id", "text").count() == 0
     assert media.sequences(none.withColumn("html", F.col("text")), "doc_id").count() == 0
 
 
@@ -139,6 +193,13 @@ def test_repeats_on_woven_passages(spark, seed):
         assert got == sorted(brute.repeats(rows), key=repr)
 
 
+def test_greedy_parse():
+    assert substring_dedup.parse([], 5) == [(0, 5, -1)] and substring_dedup.parse([], 0) == []
+    matches = [(2, 6), (3, 9), (4, 7), (12, 14)]
+    assert substring_dedup.parse(matches, 15) == [(0, 2, -1), (2, 6, 0), (6, 9, 1), (9, 12, -1), (12, 14, 3), (14, 15, -1)]
+    assert sorted(substring_dedup._spans(matches, substring_dedup.parse(matches, 15), 4)) == [(2, 6), (3, 9)]
+
+
 def test_toxicity(spark, docs, none):
     marks = "doc_id long, toxic int"
     for labels in ([], [(1, 1)], [(1, 0), (2, 0)], [(1, 1), (1, 0), (6, 0), (None, 1), (7, None)]):
@@ -263,3 +324,78 @@ def test_mixed_rows_meet_their_own_copies(spark):
     want = sorted(((r.doc_id, r["size"], r.source) for r in mixing.mix(docs).collect() for _ in range(r.copies)), key=repr)
     got = sorted(((r.doc_id, len(r.text.split()), r.source) for r in mixing.mixed(docs).collect()), key=repr)
     assert got == want
+
+
+def test_mixed_keeps_its_cap_where_an_id_names_several_texts(spark):
+    rows = [(1, "w " * 5, "s"), (1, "w " * 500, "s"), (2, "w " * 7, "s"), (None, "w " * 9, "s"), (None, "w " * 90, None), (3, None, None), (3, "", "s"), (4, "w " * 40, "t"), (4, "w " * 40, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("copies", "copy", "size", "_mix_id", "rate")})
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = some(out.collect(), "doc_id", "text", "source")
+    assert all(got.count(r) <= 2 * rows.count(r) for r in got) and {r for r in got} <= set(rows)
+    assert (3, None, None) in got and (3, "", "s") in got
+
+
+def test_rates_meet_a_dual_solved_elsewhere(spark):
+    """One document a thousand times the others: rates against a plain bisection of the dual."""
+    sizes = {"a": [300] * 50 + [1_000_000], "b": [7, 11, 13, 500, 900], "c": [5] * 3}
+    rows = [(100 * k + i, "w " * n, s) for k, (s, own) in enumerate(sizes.items()) for i, n in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, weights=(1, 2, 4)).collect()
+    for s, own in sizes.items():
+        target = next(r["target"] for r in out if r["source"] == s)
+        low, high = -800.0, 800.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            if sum(n * min(2.0, math.exp(min(700, mid * n))) for n in own) < target:
+                low = mid
+            else:
+                high = mid
+        for r in out:
+            if r["source"] == s:
+                full = target >= 2 * sum(own) * (1 - 1e-9)
+                assert r["rate"] == pytest.approx(2.0 if full else min(2.0, math.exp(min(700, low * r["size"]))), abs=1e-4), (s, r)
+
+
+def test_chunks_are_content_defined_in_other_scripts(spark):
+    rng = random.Random(2)
+    for letters in ("αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x4E80)))):
+        text = "".join(rng.choice(letters) for _ in range(40_000))
+        docs = spark.createDataFrame([(1, text), (2, text[:50] + "!" + text[50:])], "doc_id long, text string")
+        one, two = (set(r["recipe"]) for r in exact_dedup.recipes(docs).orderBy("doc_id").collect())
+        assert len(one & two) >= 0.95 * len(one) and len(one) > 20
+
+
+def test_stages_with_clashing_columns_and_null_ids(spark, sf_dir):
+    rows = [(None, "a b c d e f g", "en", None, 1), (None, "a b c d e f g", "en", None, 1), (1, None, "en", "s", 0), (2, "x y z " * 30, None, "s", 0), (2, "other text " * 30, "en", "s", 0), (2, "other text " * 30, "en", "s", 0), (3, "X y z " * 30, "de", "t", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in CLASH if c != "n_chars"} | {c: F.lit(1) for c in ("_kept_id", "_sha", "_place", "_gone_id", "_mix_id", "_mix_copies", "first", "text_key", "comp", "place", "sha", "odd")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialize(stage(spark, docs, sf_dir), "stage")
+        assert out.columns == docs.columns, name
+        docs = out
+    assert some(docs.select("doc_id").distinct().collect(), "doc_id")[-1] == (None,)
+    encoded = corpus_pipeline.encode(spark, docs, sf_dir)
+    assert encoded.columns == ["doc_id", "source", "ids"] and encoded.count() == docs.count()
+
+
+def test_bpe_refuses_other_tokenizers(tmp_path):
+    import json
+
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    odd = [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 1, "content": "<a b>"}]}, {"added_tokens": [{"id": 1, "content": "<a>", "lstrip": True}]}, {"model": spec["model"] | {"byte_fallback": True}}]
+    for change in odd:
+        path = tmp_path / "odd.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="plain byte-level BPE"):
+            bpe.load_vocabulary(str(path))
+
+
+def test_bpe_of_a_long_text_without_white_space(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    rng = random.Random(4)
+    rows = [(1, "".join(rng.choice("abcdefgh") for _ in range(60_000))), (2, "x" * 50_000), (3, "1" * 20_000 + "!" * 20_000)]
+    got = {r["doc_id"]: r["ids"] for r in bpe.bpe_encode(spark.createDataFrame(rows, "doc_id long, text string"), bpe.default_vocabulary()).collect()}
+    assert got == {i: t.encode(x, add_special_tokens=False).ids for i, x in rows}

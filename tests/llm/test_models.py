@@ -1,11 +1,13 @@
 """The models against plain versions on small texts."""
 
+import random
+
 import numpy as np
 import pytest
-from brute import crc, kneser_ney, ppm_scores
+from brute import base_scores, crc, fair_loss, kneser_ney, ppm_scores, toxic_features
 from pyspark.sql import functions as F
 
-from motionlake.llm import langid, ppm
+from motionlake.llm import langid, ppm, toxicity
 from motionlake.llm.common import crc_mod
 
 TEXTS = ["the cat sat on the mat", "the dog sat on a log", "A cat and a dog", "", None, "  tabs\tand\nlines  ", "la maison est là", "zzz", "the cat sat on the mat", "catalogue of mats and logs", "el perro y el gato", "one"]
@@ -15,7 +17,7 @@ def frame(spark):
     return spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("order", [0, 2, 5])
+@pytest.mark.parametrize("order", [0, 2, 5, ppm.ORDER])
 def test_ppm_matches_a_plain_coder(spark, order):
     train = lambda i: crc(i) % 3 != 0
     want = ppm_scores(list(enumerate(TEXTS)), train, order)
@@ -80,3 +82,70 @@ def test_language_edges(spark):
     assert [got[i]["lang_pred"] for i in (1, 2, 3, 4, None)] == ["und", "und", "und", "es", "en"]
     none = langid.fit(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
+
+
+def test_no_language_is_lost(spark):
+    """Languages of one row, of long rows, and scripts of thousands of letters beside small ones."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k, j: "".join(letters[(k * 7 + j * (k + 3) + i * i) % 26] for i in range(3 + j % 4))
+    text = lambda k, n: " ".join(word(k, j) for j in range(n))
+    rows = [(k, text(k, 40), f"l{k:02}") for k in range(60)] + [(100 + i, "the cat and the dog sat on the mat", "en") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.fit(docs).langs) == 61
+    long = spark.createDataFrame([(k, text(k, 1200), f"l{k:02}") for k in range(40)], docs.schema)
+    assert len(langid.fit(long, sample_chars=1000).langs) == 40
+    han = "".join(chr(c) for c in range(0x4E00, 0x9FA0))
+    wide = spark.createDataFrame([(1, han, "zh"), (2, "\u13a0\u13a1\u13a2 \u13a3\u13a4", "chr"), (3, "\u1401\u1402\u1403 \u1404", "iu"), (4, None, "xx"), (5, "123", "yy")], docs.schema)
+    model = langid.fit(wide)
+    assert model.langs == ["chr", "iu", "zh"]
+    asked = spark.createDataFrame([(1, "\u13a1\u13a2"), (2, "\u1402\u1403"), (3, han[500:520])], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked, model).collect()} == {1: "chr", 2: "iu", 3: "zh"}
+
+
+def test_base_score_counts_the_end_whatever_is_frequent(spark):
+    rows = [(1, "a a a b b b c c c d d d"), (2, "a b c d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for frequent in (1, 2, 100):
+        for r in ppm.score(docs, F.lit(True), order=2, frequent=frequent).collect():
+            want = next(w for w in base_scores(rows, lambda i: True) if w[0] == r["doc_id"])
+            assert (r["n_tokens"], r["n_known"]) == want[1:3] and r["base_score"] == pytest.approx(want[4])
+
+
+def test_toxicity_fit_matches_a_plain_one(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(160):
+        words = [rng.choice("river stone market letter garden winter".split()) for _ in range(6)]
+        if i % 2:
+            words[rng.randrange(6)] = rng.choice(["scum", "vermin"])
+        if rng.random() < 0.6:
+            words.insert(0, "women" if rng.random() < (0.8 if i % 2 else 0.2) else "men")
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    how = {"ridge": 0.01, "fair": 2.0}
+    model = toxicity.fit(docs, labels, min_g2=5.0, **how)
+    assert set(model.weights) == set(toxic_features([r[1:] for r in rows], toxicity.MIN_TEXTS, 5.0))
+    of = lambda words: [f for f in {f for w in words for f in toxicity.word_features(w)} if f in model.weights]
+    swap = {"women": "men", "men": "women"}
+    texts = [(of(t.split()), y) for _, t, y in rows]
+    pairs = [(of(t.split()), of([swap.get(w, w) for w in t.split()])) for _, t, _ in rows if set(t.split()) & set(swap)]
+    loss = lambda b, w: fair_loss(b, w, texts, pairs, **how)
+    bias, weights, best = 0.0, dict.fromkeys(model.weights, 0.0), None
+    step = 2.0
+    for _ in range(300):  # gradient descent with numeric slopes
+        here = loss(bias, weights)
+        slope = {f: (loss(bias, weights | {f: w + 1e-5}) - here) / 1e-5 for f, w in weights.items()}
+        at_bias = (loss(bias + 1e-5, weights) - here) / 1e-5
+        while step > 1e-4:
+            new = bias - step * at_bias, {f: w - step * slope[f] for f, w in weights.items()}
+            if loss(*new) < here:
+                bias, weights = new
+                step *= 1.3
+                break
+            step /= 2
+        best = loss(bias, weights)
+    assert loss(model.bias, model.weights) <= best + 1e-3
+    unfair = toxicity.fit(docs, labels, min_g2=5.0, ridge=0.01, fair=0.0)
+    change = lambda m: sum(abs(m.scorer()(t) - m.scorer()(" ".join(swap.get(w, w) for w in t.split()))) for _, t, _ in rows)
+    assert change(model) < 0.7 * change(unfair)
