@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .common import bound_batches, crc_mod, materialize, table
 from .hashindex import HashTable
 
-ORDER, MAX_NODES, SHORT, FREQUENT, LONGEST = 6, 1_000_000, 100_000, 250_000, 64
+ORDER, MAX_NODES, SHORT, FREQUENT, LONGEST = 6, 3_000_000, 100_000, 250_000, 64
 _PART = 250_000  # keys that a task of resolved() holds
-_WORDS, _HELD, _KEYS = 400_000, 3_000_000, 1_500_000  # what a task holds before it passes counts on
+_WORDS, _HELD, _KEYS = 200_000, 1_600_000, 800_000  # what a task holds before it passes counts on
 _U = np.uint64
 
 
@@ -333,7 +333,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     del top, totals
     words = stats.where(F.col("key").isNull()).select("word", "n")
     least = cut_at([(r["level"], r["short"]) for r in sizes], frequent)
-    top = words.where((F.col("n") >= least) & (F.length("word") <= LONGEST)).toArrow()
+    # The end of a text is always at hand, however many words are more frequent.
+    top = words.where((F.col("n") >= least) & (F.length("word") <= LONGEST) | (F.col("word") == F.lit(b"\n"))).toArrow()
     common = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), np.log10(top.column("n").to_numpy() + 0.1).tolist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
