@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table, unused
+from .common import WORD, materialize, table
 
 WEIGHTS = (5, 2, 1)
 _STEPS = 1024
@@ -89,26 +89,28 @@ def dual_rates(hist: DataFrame, targets: DataFrame, cap: float = 2.0, steps: int
     raise ArithmeticError(f"{now.where('not done').count()} sources did not meet their targets in {steps} Newton steps")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, fixes: int = 8) -> DataFrame:
-    """One row per input row: doc_id, size, source, source_size, target, rate, copies, taken.
+_ITS_CHANGE = "doc_id = i and size = s and source <=> o"
 
-    ``taken = copies * size`` and ``copies <= cap``. Null texts have size 0, and
-    rows of size 0 get one copy (they take no words); null sources form one source
-    that comes last; repeated rows share one hash and so one number of copies; an
-    empty table gives no rows. Other columns are not read. At most ``fixes`` documents
-    of a source (never rows without an id) are changed by a copy to come nearer to its
-    target; rows that agree in id, size and source change together. Reruns agree: all
-    choices depend on these three and on exact sums.
-    """
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+
+def _rate(cap: int) -> Column:
+    """A row's rate, by its size and its source's dual variable."""
+    return F.when(F.col("size") == 0, 1.0).otherwise(F.round(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(700.0)))), 9))
+
+
+def _margin(cap: int) -> Column:
+    """By how much a row's rate is above a whole number and a hash of its id; null where it can't have one copy more."""
+    u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id"), 12) / F.lit(float(1 << 52))
+    return F.when((F.col("size") > 0) & (F.floor("rate") < cap), F.col("rate") - F.floor("rate") - u)
+
+
+def _rules(sized: DataFrame, weights: tuple[int, ...], share: float, cap: int, fixes: int) -> tuple[DataFrame, DataFrame]:
+    """What tells each row's copies: per source (source, source_size, target, scale, lam, low), where low is
+    the least margin that gets a copy more; and at most ``fixes`` changes a source (i, s, o, change)."""
     targets = materialize(source_targets(sized, weights, share, float(cap)), "targets")
     hist = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     dual = dual_rates(hist, targets, float(cap))
     plan = materialize(targets.alias("t").join(dual.alias("d"), F.col("t.source").eqNullSafe(F.col("d.source"))).select("t.*", "scale", "lam"), "plan")
-    rate = F.when(F.col("size") == 0, 1.0).otherwise(F.round(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(700.0)))), 9))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id"), 12) / F.lit(float(1 << 52))
-    base = F.floor("rate")
-    ready = sized.alias("a").join(plan.alias("p"), F.col("a.source").eqNullSafe(F.col("p.source"))).select("doc_id", "a.source", "size", "source_size", "target", rate.alias("rate")).withColumn("base", base).withColumn("margin", F.when((F.col("size") > 0) & (F.col("base") < cap), F.col("rate") - F.col("base") - u))
+    ready = sized.alias("a").join(plan.alias("p"), F.col("a.source").eqNullSafe(F.col("p.source"))).select("doc_id", "a.source", "size", "target", _rate(cap).alias("rate")).withColumn("base", F.floor("rate")).withColumn("margin", _margin(cap))
     ready = materialize(ready, "rates")
     whole = ready.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("base"))).alias("need"))
     # Threshold search: (low, width) is the bucket of margins within which a source's need is met.
@@ -128,14 +130,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         none = F.col("s0").isNull()
         nxt = nxt.withColumn("s0", F.lit(1))
         found = materialize(found.join(nxt, F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.when(none, F.col("need")).otherwise(F.col("need") - F.col("a")).alias("need"), F.when(none, F.col("low") + F.col("width")).otherwise(F.col("l")).alias("low"), F.when(none, 0.0 if last else 1e-9).otherwise(F.col("w")).alias("width")), "threshold")
+    rule = materialize(plan.alias("p").join(found.select("source", "low").alias("f"), F.col("p.source").eqNullSafe(F.col("f.source"))).select("p.*", "low"), "rule")
     copies = F.least(F.lit(cap), F.col("base") + F.when(F.col("margin") >= F.col("low"), 1).otherwise(0)).cast("int")
-    rounded = materialize(ready.alias("r").join(found.select("source", "low").alias("f"), F.col("r.source").eqNullSafe(F.col("f.source"))).select("doc_id", "size", "r.source", "source_size", "target", "rate", copies.alias("copies")), "rounded")
+    rounded = materialize(ready.alias("r").join(found.select("source", "low").alias("f"), F.col("r.source").eqNullSafe(F.col("f.source"))).select("doc_id", "size", "r.source", "target", copies.alias("copies")), "rounded")
     # What is left of a source's need goes, turn by turn, to the document whose size is nearest to it.
     changes = rounded.select(F.col("doc_id").alias("i"), F.col("size").alias("s"), F.col("source").alias("o"), F.lit(0).alias("change")).limit(0)
-    out = F.col("copies") + F.coalesce("change", F.lit(0))
-    its_change = (F.col("doc_id") == F.col("i")) & (F.col("size") == F.col("s")) & F.col("source").eqNullSafe(F.col("o"))
     for _ in range(fixes):
-        now = rounded.join(changes, its_change, "left").withColumn("copies", out)
+        now = rounded.join(changes, F.expr(_ITS_CHANGE), "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
         off = materialize(now.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off")), "off")
         can = F.when(F.col("off") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & F.col("doc_id").isNotNull() & (F.abs(F.abs("off") - F.col("size")) < F.abs("off"))
         at = now.alias("r").join(off.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source"))).where(can)
@@ -144,11 +145,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         if change.isEmpty():
             break
         changes = materialize(changes.union(change).groupBy("i", "s", "o").agg(F.sum("change").cast("int").alias("change")), "changes")
-    fixed = rounded.join(changes, its_change, "left")
-    return fixed.select("doc_id", "size", "source", "source_size", "target", "rate", out.alias("copies"), (out * F.col("size")).alias("taken"))
+    return rule, changes
+
+
+def _with_copies(rows: DataFrame, rule: DataFrame, changes: DataFrame, cap: int) -> DataFrame:
+    """``rows`` (doc_id, size, source, ...) with source_size, target, rate and copies.
+
+    Rows meet a row per source and a few changes a source, so they stay where they are
+    as long as these tables are small enough for Spark to broadcast them.
+    """
+    own = rule.withColumnRenamed("source", "of")
+    rated = rows.join(own, rows["source"].eqNullSafe(own["of"])).withColumn("rate", _rate(cap)).withColumn("margin", _margin(cap))
+    copies = F.least(F.lit(cap), F.floor("rate") + F.when(F.col("margin") >= F.col("low"), 1).otherwise(0)).cast("int")
+    return rated.join(changes, F.expr(_ITS_CHANGE), "left").withColumn("copies", copies + F.coalesce("change", F.lit(0))).drop("of", "scale", "lam", "low", "margin", "i", "s", "o", "change")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, fixes: int = 8) -> DataFrame:
+    """One row per input row: doc_id, size, source, source_size, target, rate, copies, taken.
+
+    ``taken = copies * size`` and ``copies <= cap``. Null texts have size 0, and
+    rows of size 0 get one copy (they take no words); null sources form one source
+    that comes last; repeated rows share one hash and so one number of copies; an
+    empty table gives no rows. Other columns are not read. At most ``fixes`` documents
+    of a source (never rows without an id) are changed by a copy to come nearer to its
+    target; rows that agree in id, size and source change together. Reruns agree: all
+    choices depend on these three and on exact sums.
+    """
+    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    out = _with_copies(sized, *_rules(sized, weights, share, cap, fixes), cap)
+    return out.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, fixes: int = 8) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it, all columns.
 
     A row's copies are those of its id, size and source, also where the id is null, names
@@ -156,10 +184,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     are one source, an empty table stays empty, and other columns, whatever their names,
     are passed on.
     """
-    copies = materialize(mix(docs, id_col, text_col, source_col, **how).where("copies > 0").select("doc_id", "size", "source", "copies").distinct(), "copies")
-    same = docs[id_col].eqNullSafe(copies["doc_id"]) & (word_count(docs[text_col]) == copies["size"]) & docs[source_col].cast("string").eqNullSafe(copies["source"])
-    turn = unused(docs, "copy")
-    return docs.join(copies, same).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), copies["copies"])).alias(turn)).drop(turn)
+    keys = [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")]
+    rules = _rules(materialize(docs.select(*keys), "sizes"), weights, share, cap, fixes)
+    rows = _with_copies(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *keys), *rules, cap).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op7_entropy_mix(spark, sf_dir: str) -> DataFrame:
