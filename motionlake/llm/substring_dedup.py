@@ -78,23 +78,28 @@ def _anchors(blocks: DataFrame, window: int, gram: int) -> DataFrame:
     return blocks.mapInArrow(run, "anchor long, bid long, pos int, low int, high int")
 
 
-def _equal_runs(d: Words, r: Words, d0: int, r0: int, n: int) -> list[tuple[int, int]]:
-    """Longest runs (from, end) of equal words of d from d0 on and r from r0 on, n words each.
-    Words of equal hash count as equal only if the run's bytes are."""
+def _equal_runs(d: Words, r: Words, d0: int, r0: int, n: int, least: int) -> tuple[list[tuple[int, int]], bool]:
+    """Runs (from, end) of ``least`` or more equal words of d from d0 on and r from r0 on, n words each,
+    as long as can be; and whether all that have equal hashes are.
+
+    Words of equal hash count as equal only if the run's bytes are.
+    """
     same = np.zeros(n + 2, np.int8)
     same[1:-1] = d.hash[d0 : d0 + n] == r.hash[r0 : r0 + n]
-    edges = np.diff(same)
-    out = []
-    for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
+    edges = (same[1:] != same[:-1]).nonzero()[0]
+    begin, end = edges[::2], edges[1::2]
+    long = end - begin >= least
+    out, sure = [], True
+    for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True):
         if d.text(d0 + a, d0 + b) == r.text(r0 + a, r0 + b):
             out.append((a, b))
             continue
-        at = a
+        at, sure = a, False
         for i in range(a, b + 1):
             if i == b or d.word(d0 + i) != r.word(r0 + i):
-                out += [(at, i)] if i > at else []
+                out += [(at, i)] if i - at >= least else []
                 at = i + 1
-    return out
+    return out, sure
 
 
 def parse(matches: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
@@ -131,52 +136,56 @@ def _factors(blocks: DataFrame, window: int) -> DataFrame:
     """Factor blocks (d, d_text, refs: array of (r, anchors, r_text)) against all their
     reference blocks: rows of kind 0 are duplicate spans (bid, a, b) of a block or of a
     reference, rows of kind 1 windows (bid, a, b, digest) that differ from the index's
-    place of their anchor."""
+    place of their anchor. Matches shorter than a window can't become spans and are left
+    to the literals between the factors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             refs = batch.column(2).flatten()
             d_words, r_words = Words(batch.column(1)), Words(refs.field(2))
             d_ids, r_ids = batch.column(0).to_numpy(zero_copy_only=False), refs.field(0).to_numpy(zero_copy_only=False)
-            first = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))])
+            row = np.repeat(np.arange(len(d_ids)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))  # of each reference
             marks = refs.field(1).flatten()
-            offsets = np.concatenate([[0], np.cumsum(refs.field(1).value_lengths().to_numpy(zero_copy_only=False))])
-            pos, shift, lows, highs = (marks.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-            kind, bid, low, high, digest = [], [], [], [], []
-            for i, d in enumerate(d_ids.tolist()):
-                d0, size = d_words.first[i], d_words.first[i + 1] - d_words.first[i]
-                matches, open_ = [], []
-                for j in range(first[i], first[i + 1]):
-                    r0, r_size = r_words.first[j], r_words.first[j + 1] - r_words.first[j]
-                    mine = np.arange(offsets[j], offsets[j + 1])
-                    for diagonal in np.unique(shift[mine]).tolist():
-                        these = mine[shift[mine] == diagonal]
-                        begin = max(0, -diagonal)
-                        runs = np.array(_equal_runs(d_words, r_words, d0 + begin, r0 + begin + diagonal, max(0, min(size, r_size - diagonal) - begin)), np.int64).reshape(-1, 2) + begin
-                        at = np.unique(np.searchsorted(runs[:, 0], pos[these], "right") - 1)
-                        own = runs[at[(at >= 0)]]
-                        own = own[np.searchsorted(np.sort(pos[these]), own[:, 1]) > np.searchsorted(np.sort(pos[these]), own[:, 0])]
-                        matches += map(tuple, own.tolist())
-                        whole = own[own[:, 1] - own[:, 0] >= window]
-                        kind += [0] * len(whole)
-                        bid += [r_ids[j]] * len(whole)
-                        low += (whole[:, 0] + diagonal).tolist()
-                        high += (whole[:, 1] + diagonal).tolist()
-                        digest += [None] * len(whole)
-                        n = highs[these] - lows[these] + 1
-                        p = np.repeat(lows[these] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        if len(whole):
-                            in_ = np.searchsorted(whole[:, 0], p, "right") - 1
-                            p = p[(in_ < 0) | (p + window > whole[in_, 1])]
-                        open_ += p.tolist()
-                spans = _spans(matches, parse(matches, size), window)
-                kind += [0] * len(spans) + [1] * len(open_)
-                bid += [d] * (len(spans) + len(open_))
-                low += [a for a, _ in spans] + open_
-                high += [b for _, b in spans] + [a + window for a in open_]
-                digest += [None] * len(spans)
-                digest += [hashlib.blake2b(d_words.text(d0 + a, d0 + a + window), digest_size=16).digest() for a in open_]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((kind, pa.int32()), (bid, pa.int64()), (low, pa.int32()), (high, pa.int32()), (digest, pa.binary()))], ["kind", "bid", "a", "b", "digest"])
+            ref = np.repeat(np.arange(len(r_ids)), refs.field(1).value_lengths().to_numpy(zero_copy_only=False))  # of each anchor
+            shift, low, high = (marks.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 3))
+            # All windows of all anchors at once: which are those of the index's place?
+            n = high - low + 1
+            own = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + low[own]
+            d_at, place = d_words.first[row[ref[own]]] + at, at + shift[own]
+            inside = (place >= 0) & (place + window <= np.diff(r_words.first)[ref[own]])
+            equal = np.zeros(len(own), bool)
+            equal[inside] = d_words.runs(window)[d_at[inside]] == r_words.runs(window)[(r_words.first[ref[own]] + place)[inside]]
+            matches: dict[int, list[tuple[int, int]]] = {}
+            found: list[tuple[int, int, int]] = []  # spans: id, from, end
+            # Matches reach along a diagonal as far as words agree.
+            held = np.flatnonzero(equal)
+            lines, line = np.unique(ref[own[held]] << 32 | shift[own[held]] + (1 << 31), return_inverse=True)
+            starts, ends, sizes, r_sizes = d_words.first.tolist(), r_words.first.tolist(), np.diff(d_words.first).tolist(), np.diff(r_words.first).tolist()
+            for k, (j, diagonal) in enumerate(zip((lines >> 32).tolist(), ((lines & 0xFFFFFFFF) - (1 << 31)).tolist(), strict=True)):
+                i = int(row[j])
+                begin = max(0, -diagonal)
+                runs, sure = _equal_runs(d_words, r_words, starts[i] + begin, ends[j] + begin + diagonal, min(sizes[i], r_sizes[j] - diagonal) - begin, window)
+                runs = [(a + begin, b + begin) for a, b in runs]
+                matches.setdefault(i, []).extend(runs)
+                found += [(int(r_ids[j]), a + diagonal, b + diagonal) for a, b in runs]
+                if not sure:  # windows that were equal by hash alone
+                    mine = held[line == k]
+                    equal[[m for m in mine.tolist() if not any(a <= at[m] and at[m] + window <= b for a, b in runs)]] = False
+            for i, own_matches in matches.items():
+                size = int(d_words.first[i + 1] - d_words.first[i])
+                found += [(int(d_ids[i]), a, b) for a, b in _spans(own_matches, parse(own_matches, size), window)]
+            open_ = np.flatnonzero(~equal)
+            data, begins = d_words.packed
+            digests = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(begins[d_at[open_]].tolist(), begins[d_at[open_] + window].tolist(), strict=True)]
+            ids, a, b = (np.array([f[i] for f in found], np.int64) for i in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.array([0, 1], np.int32), [len(found), len(open_)])), pa.array(np.concatenate([ids, d_ids[row[ref[own[open_]]]]])), pa.array(np.concatenate([a, at[open_]]).astype(np.int32)),
+                    pa.array(np.concatenate([b, at[open_] + window]).astype(np.int32)), pa.array([None] * len(found) + digests, pa.binary()),
+                ], ["kind", "bid", "a", "b", "digest"],
+            )
 
     return blocks.select("d", "d_text", "refs").mapInArrow(run, "kind int, bid long, a int, b int, digest binary")
 
