@@ -216,7 +216,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.col(id_col).alias("doc_id"), gray_map(F.col(text_col)).alias("media")).select("doc_id", F.sha2("media", 256).alias("digest"), "media")
     named = materialize(rows.select("doc_id", "digest"), "digests")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    several = named.groupBy(F.col("digest").alias("d")).agg(first, F.count("*").alias("n")).where("n > 1")
+    several = materialize(named.groupBy(F.col("digest").alias("d")).agg(first, F.count("*").alias("n")).where("n > 1"), "several")
     copies = named.join(several, F.col("digest") == F.col("d")).where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("doc_id", "digest").distinct()
     copies = materialize(copies, "copies")
     if copies.count() <= COPIES:
