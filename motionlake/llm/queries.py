@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, chat, exact_dedup, langid, media, minhash, mixing, ppm, substring_dedup, toxicity
+from . import bpe, centroids, chat, exact_dedup, langid, media, minhash, mixing, ppm, substring_dedup, toxicity, trie
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ppm": ppm.op8_ppm,
     "op9_language": langid.op9_language,
     "op10_bpe": bpe.op10_bpe,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_centroids": centroids.op12_centroids,
     "media_digests": media.media_digests,
     "media_pages": media.media_pages,
@@ -25,6 +26,7 @@ ORACLE_SQL = {
     "op2_minhash": minhash.OP2_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op6_chat": chat.OP6_SQL,
+    "op11_prefix_trie": trie.OP11_SQL,
     "op12_centroids": centroids.OP12_SQL,
     "media_digests": media.MEDIA_DIGESTS_SQL,
     "mix_targets": mixing.MIX_TARGETS_SQL,
