@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, chat, exact_dedup, langid, media, minhash, mixing, ppm, substring_dedup, toxicity, trie
+from . import bpe, centroids, chat, exact_dedup, langid, mainblocks, media, minhash, mixing, ppm, substring_dedup, toxicity, trie
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
     "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_centroids": centroids.op12_centroids,
+    "op13_main_text": mainblocks.op13_main_text,
     "media_digests": media.media_digests,
     "media_pages": media.media_pages,
     "mix_targets": mixing.mix_targets,
