@@ -5,7 +5,7 @@ the uniform rate 1 under ``sum(r * size) = target`` and ``0 <= r <= cap``; the
 solution is ``min(cap, exp(lambda * size / scale))`` with one dual variable per
 source. Newton steps for all sources run at once over the exact size histogram.
 The rates are rounded to copies by comparing their fractions with a hash of the
-id; a threshold per source, found by three passes of ever finer buckets, and a few
+row's name; a threshold per source, found by three passes of ever finer buckets, and a few
 last documents make the rounded words meet the target to a few words.
 """
 
@@ -89,7 +89,8 @@ def dual_rates(hist: DataFrame, targets: DataFrame, cap: float = 2.0, steps: int
     raise ArithmeticError(f"{now.where('not done').count()} sources did not meet their targets in {steps} Newton steps")
 
 
-_ITS_CHANGE = "doc_id = i and size = s and source <=> o"
+_ITS_CHANGE = "doc_id <=> i and size = s and source <=> o and twin <=> t"
+_KEYS = ["doc_id", "source", "size"]
 
 
 def _rate(cap: int) -> Column:
@@ -98,19 +99,43 @@ def _rate(cap: int) -> Column:
 
 
 def _margin(cap: int) -> Column:
-    """By how much a row's rate is above a whole number and a hash of its id; null where it can't have one copy more."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id"), 12) / F.lit(float(1 << 52))
+    """By how much a row's rate is above a whole number and a hash of its name; null where it can't have one copy more.
+
+    A row's name is its id and, where several rows agree in id, source and size, its ``twin``.
+    """
+    u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id", "twin"), 12) / F.lit(float(1 << 52))
     return F.when((F.col("size") > 0) & (F.floor("rate") < cap), F.col("rate") - F.floor("rate") - u)
 
 
+def _twins(docs: DataFrame, keys: list[Column], text_col: str, keep: list[Column]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``docs`` with doc_id, source, size and twin, as (those whose three keys no other row has, the others).
+
+    A twin is the digest of the text and the row's place among those that agree in it too:
+    rows of one id, or of none, are so rounded each on its own. Only they are moved; the
+    second is None where there are none.
+    """
+    sized = materialize(docs.select(*keys), "keys")
+    several = materialize(sized.groupBy(*_KEYS).count().where("count > 1").select(*(F.col(k).alias(f"_{k}") for k in _KEYS)), "several")
+    rows = docs.select(*keep, *keys)
+    if several.isEmpty():
+        return rows.withColumn("twin", F.lit(None).cast("string")), None
+    same = [rows[k].eqNullSafe(several[f"_{k}"]) for k in _KEYS]
+    alone = rows.join(several, same, "left_anti").withColumn("twin", F.lit(None).cast("string"))
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    named = docs.select(*keep, *keys, digest.alias("_digest"))
+    odd = named.join(several, [named[k].eqNullSafe(several[f"_{k}"]) for k in _KEYS], "left_semi")
+    place = F.row_number().over(Window.partitionBy(*_KEYS, "_digest").orderBy(F.lit(0)))
+    return alone, odd.withColumn("twin", F.concat_ws("/", "_digest", place.cast("string"))).drop("_digest")
+
+
 def _rules(sized: DataFrame, weights: tuple[int, ...], share: float, cap: int, fixes: int) -> tuple[DataFrame, DataFrame]:
     """What tells each row's copies: per source (source, source_size, target, scale, lam, low), where low is
-    the least margin that gets a copy more; and at most ``fixes`` changes a source (i, s, o, change)."""
+    the least margin that gets a copy more; and at most ``fixes`` changes a source (i, s, o, t, change)."""
     targets = materialize(source_targets(sized, weights, share, float(cap)), "targets")
     hist = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     dual = dual_rates(hist, targets, float(cap))
     plan = materialize(targets.alias("t").join(dual.alias("d"), F.col("t.source").eqNullSafe(F.col("d.source"))).select("t.*", "scale", "lam"), "plan")
-    ready = sized.alias("a").join(plan.alias("p"), F.col("a.source").eqNullSafe(F.col("p.source"))).select("doc_id", "a.source", "size", "target", _rate(cap).alias("rate")).withColumn("base", F.floor("rate")).withColumn("margin", _margin(cap))
+    ready = sized.alias("a").join(plan.alias("p"), F.col("a.source").eqNullSafe(F.col("p.source"))).select("doc_id", "a.source", "size", "twin", "target", _rate(cap).alias("rate")).withColumn("base", F.floor("rate")).withColumn("margin", _margin(cap))
     ready = materialize(ready, "rates")
     whole = ready.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("base"))).alias("need"))
     # Threshold search: (low, width) is the bucket of margins within which a source's need is met.
@@ -132,24 +157,24 @@ def _rules(sized: DataFrame, weights: tuple[int, ...], share: float, cap: int, f
         found = materialize(found.join(nxt, F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.when(none, F.col("need")).otherwise(F.col("need") - F.col("a")).alias("need"), F.when(none, F.col("low") + F.col("width")).otherwise(F.col("l")).alias("low"), F.when(none, 0.0 if last else 1e-9).otherwise(F.col("w")).alias("width")), "threshold")
     rule = materialize(plan.alias("p").join(found.select("source", "low").alias("f"), F.col("p.source").eqNullSafe(F.col("f.source"))).select("p.*", "low"), "rule")
     copies = F.least(F.lit(cap), F.col("base") + F.when(F.col("margin") >= F.col("low"), 1).otherwise(0)).cast("int")
-    rounded = materialize(ready.alias("r").join(found.select("source", "low").alias("f"), F.col("r.source").eqNullSafe(F.col("f.source"))).select("doc_id", "size", "r.source", "target", copies.alias("copies")), "rounded")
+    rounded = materialize(ready.alias("r").join(found.select("source", "low").alias("f"), F.col("r.source").eqNullSafe(F.col("f.source"))).select("doc_id", "size", "r.source", "twin", "target", copies.alias("copies")), "rounded")
     # What is left of a source's need goes, turn by turn, to the document whose size is nearest to it.
-    changes = rounded.select(F.col("doc_id").alias("i"), F.col("size").alias("s"), F.col("source").alias("o"), F.lit(0).alias("change")).limit(0)
+    changes = rounded.select(F.col("doc_id").alias("i"), F.col("size").alias("s"), F.col("source").alias("o"), F.col("twin").alias("t"), F.lit(0).alias("change")).limit(0)
     for _ in range(fixes):
         now = rounded.join(changes, F.expr(_ITS_CHANGE), "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
         off = materialize(now.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off")), "off")
-        can = F.when(F.col("off") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & F.col("doc_id").isNotNull() & (F.abs(F.abs("off") - F.col("size")) < F.abs("off"))
+        can = F.when(F.col("off") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & (F.abs(F.abs("off") - F.col("size")) < F.abs("off"))
         at = now.alias("r").join(off.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source"))).where(can)
-        nearest = at.groupBy("r.source").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("size")).alias("by"), F.xxhash64("doc_id").alias("order"), "doc_id", "size", F.signum("off").cast("int").alias("change"))).alias("m"))
-        change = materialize(nearest.select(F.col("m.doc_id").alias("i"), F.col("m.size").alias("s"), F.col("source").alias("o"), F.col("m.change").alias("change")), "change")
+        nearest = at.groupBy("r.source").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("size")).alias("by"), F.xxhash64("doc_id", "twin").alias("order"), "doc_id", "twin", "size", F.signum("off").cast("int").alias("change"))).alias("m"))
+        change = materialize(nearest.select(F.col("m.doc_id").alias("i"), F.col("m.size").alias("s"), F.col("source").alias("o"), F.col("m.twin").alias("t"), F.col("m.change").alias("change")), "change")
         if change.isEmpty():
             break
-        changes = materialize(changes.union(change).groupBy("i", "s", "o").agg(F.sum("change").cast("int").alias("change")), "changes")
+        changes = materialize(changes.union(change).groupBy("i", "s", "o", "t").agg(F.sum("change").cast("int").alias("change")), "changes")
     return rule, changes
 
 
 def _with_copies(rows: DataFrame, rule: DataFrame, changes: DataFrame, cap: int) -> DataFrame:
-    """``rows`` (doc_id, size, source, ...) with source_size, target, rate and copies.
+    """``rows`` (doc_id, size, source, twin, ...) with source_size, target, rate and copies.
 
     Rows meet a row per source and a few changes a source, so they stay where they are
     as long as these tables are small enough for Spark to broadcast them.
@@ -157,7 +182,7 @@ def _with_copies(rows: DataFrame, rule: DataFrame, changes: DataFrame, cap: int)
     own = rule.withColumnRenamed("source", "of")
     rated = rows.join(own, rows["source"].eqNullSafe(own["of"])).withColumn("rate", _rate(cap)).withColumn("margin", _margin(cap))
     copies = F.least(F.lit(cap), F.floor("rate") + F.when(F.col("margin") >= F.col("low"), 1).otherwise(0)).cast("int")
-    return rated.join(changes, F.expr(_ITS_CHANGE), "left").withColumn("copies", copies + F.coalesce("change", F.lit(0))).drop("of", "scale", "lam", "low", "margin", "i", "s", "o", "change")
+    return rated.join(changes, F.expr(_ITS_CHANGE), "left").withColumn("copies", copies + F.coalesce("change", F.lit(0))).drop("of", "scale", "lam", "low", "margin", "i", "s", "o", "t", "twin", "change")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, fixes: int = 8) -> DataFrame:
@@ -165,13 +190,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``taken = copies * size`` and ``copies <= cap``. Null texts have size 0, and
     rows of size 0 get one copy (they take no words); null sources form one source
-    that comes last; repeated rows share one hash and so one number of copies; an
-    empty table gives no rows. Other columns are not read. At most ``fixes`` documents
-    of a source (never rows without an id) are changed by a copy to come nearer to its
-    target; rows that agree in id, size and source change together. Reruns agree: all
-    choices depend on these three and on exact sums.
+    that comes last; rows of one id, or of none, are rounded each on its own, by their
+    texts and, where these are equal too, their places; an empty table gives no rows.
+    Other columns are not read. At most ``fixes`` rows of a source are changed by a copy
+    to come nearer to its target. Reruns agree: all choices depend on id, size, source and
+    text and on exact sums.
     """
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    keys = [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")]
+    alone, odd = _twins(docs, keys, text_col, [])
+    sized = materialize(alone if odd is None else alone.unionByName(odd), "sizes")
     out = _with_copies(sized, *_rules(sized, weights, share, cap, fixes), cap)
     return out.select("doc_id", "size", "source", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -179,15 +206,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, fixes: int = 8) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it, all columns.
 
-    A row's copies are those of its id, size and source, also where the id is null, names
-    several texts or is repeated as a whole; rows without words stay once, null sources
-    are one source, an empty table stays empty, and other columns, whatever their names,
-    are passed on.
+    Its rows have the copies that ``mix`` gives them: those of one id, or of none, each its
+    own. Rows without words stay once, null sources are one source, an empty table stays
+    empty, and other columns, whatever their names, are passed on. Rows stay where they are
+    but for those that agree in id, source and size with others.
     """
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
     keys = [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")]
-    rules = _rules(materialize(docs.select(*keys), "sizes"), weights, share, cap, fixes)
-    rows = _with_copies(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *keys), *rules, cap).where("copies > 0")
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    alone, odd = _twins(docs, keys, text_col, [row])
+    odd = None if odd is None else materialize(odd, "twins")
+    names = [*_KEYS, "twin"]
+    sized = materialize(alone.select(*names) if odd is None else alone.select(*names).unionByName(odd.select(*names)), "sizes")
+    rules = _rules(sized, weights, share, cap, fixes)
+    rows = _with_copies(alone, *rules, cap)
+    if odd is not None:
+        rows = rows.unionByName(_with_copies(odd, *rules, cap))
+    return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op7_entropy_mix(spark, sf_dir: str) -> DataFrame:

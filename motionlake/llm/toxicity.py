@@ -5,12 +5,16 @@ Spark counts each feature's texts by label; those that tell the labels apart bes
 become the model's features, and a logistic model is fitted to them. For sentences
 that name an identity term, the same sentence with each other term of its group is a
 counterfactual, and the fit penalises the squared difference of the two scores, so
-that a neutral mention of a group does not look toxic.
+that a neutral mention of a group does not look toxic. Groups are found in the labelled
+texts: a word that is mostly mentioned in clean ones but has features of the model, and
+the word that stands most often between the same neighbours. A short list of English
+identity terms is added.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -28,7 +32,9 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("immigrants", "refugees", "locals"), ("deaf", "blind", "disabled"), ("old", "young"),
 )
 #: Bounds of what the model is fitted on; parameters of fit(), which documents them.
-SAMPLE_ROWS, MAX_FEATURES, MIN_TEXTS, MIN_G2 = 30_000, 4_096, 4, 24.0
+SAMPLE_ROWS, MIN_TEXTS, MIN_G2 = 30_000, 4, 24.0
+#: Words among which groups are looked for, the neighbours that describe them, and how alike two must be.
+SWAP_WORDS, NEIGHBOURS, ALIKE = 2_000, 200, 0.5
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 _MEMO = 300_000
@@ -40,10 +46,12 @@ def word_features(word: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """weights: feature -> weight."""
+    """weights: feature -> weight; pairs: the counterfactual pairs that it was fitted to; groups: the terms swapped."""
 
     bias: float = -50.0
     weights: dict[str, float] = field(default_factory=dict)
+    pairs: int = 0
+    groups: tuple[tuple[str, ...], ...] = ()
 
     def scorer(self):
         memo: dict[str, tuple[str, ...]] = {}
@@ -79,10 +87,82 @@ def _counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def _words(rows: DataFrame) -> DataFrame:
+    """label, words of each text in order, in lower case."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([_WORD.findall(t.lower()) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["label", "words"])
+
+    return rows.select("text", "label").mapInArrow(run, "label int, words array<string>")
+
+
+def swap_groups(rows: DataFrame, features: Sequence[str], min_texts: int = MIN_TEXTS, words: int = SWAP_WORDS, neighbours: int = NEIGHBOURS, alike: float = ALIKE) -> tuple[tuple[str, str], ...]:
+    """Pairs of words that stand between the same neighbours, one of which has features of the model.
+
+    Of ``rows`` (text, label): words of at least ``min_texts`` texts, most of them clean, so
+    that a mention of them is neutral; of more than ``words`` with features and as many
+    without, the most frequent ones. A word's description is how often each of the
+    ``neighbours`` most frequent words comes right before and right after it. Each word with
+    features is paired with the word whose description is most alike (cosine, at least
+    ``alike``) and whose features differ; a word is in one pair, closest pairs first.
+    """
+    known = set(features)
+    told = materialize(_words(rows), "words")
+    per = told.select("label", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("texts"), F.sum("label").alias("toxic"))
+    has = F.lit(False)
+    if known:
+        mark = rows.sparkSession.createDataFrame([(f,) for f in sorted(known)], "feature string")
+        starts = F.explode(F.array_union(F.array(F.concat(F.lit("="), F.col("word"))), F.transform(F.sequence(F.lit(4), F.lit(8)), lambda n: F.concat(F.lit("^"), F.left("word", n)))))
+        hit = per.select("word", starts.alias("feature")).join(mark, "feature").select("word").distinct().withColumn("has", F.lit(True))
+        per, has = per.join(hit, "word", "left"), F.coalesce("has", F.lit(False))
+    ranked = materialize(per.select("word", "texts", "toxic", has.alias("has")), "vocabulary")
+    common = [r["word"] for r in ranked.orderBy(F.desc("texts"), "word").limit(neighbours).collect()]
+    neutral = ranked.where((F.col("texts") >= min_texts) & (2 * F.col("toxic") <= F.col("texts")))
+    terms = [r["word"] for kind in (True, False) for r in neutral.where(F.col("has") == kind).orderBy(F.desc("texts"), "word").limit(words).collect()]
+    if len(terms) < 2:
+        return ()
+    at, place = {w: i for i, w in enumerate(common)}, {w: i for i, w in enumerate(terms)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tally: dict[tuple[int, int], int] = {}
+            for text in batch.column(0).to_pylist():
+                for left, right in zip(text, text[1:]):
+                    if left in at and right in place:
+                        key = (place[right], 2 * at[left])
+                        tally[key] = tally.get(key, 0) + 1
+                    if right in at and left in place:
+                        key = (place[left], 2 * at[right] + 1)
+                        tally[key] = tally.get(key, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.int32()), pa.array([k[1] for k in tally], pa.int32()), pa.array(list(tally.values()), pa.int64())], ["term", "by", "n"])
+
+    beside = told.select("words").mapInArrow(run, "term int, by int, n long").groupBy("term", "by").agg(F.sum("n").alias("n")).toArrow()
+    profile = np.zeros((len(terms), 2 * len(common)))
+    profile[beside.column("term").to_numpy(), beside.column("by").to_numpy()] = np.sqrt(beside.column("n").to_numpy())
+    profile /= np.maximum(np.sqrt((profile**2).sum(1, keepdims=True)), 1e-12)
+    own = [frozenset(f for f in word_features(w) if f in known) for w in terms]
+    having = [i for i, f in enumerate(own) if f]
+    close = np.round(profile[having] @ profile.T, 9)
+    found, used = [], set()
+    for k, i in enumerate(having):
+        other = np.array([f != own[i] for f in own])
+        j = int(np.argmax(np.where(other, close[k], -1.0)))
+        if other[j] and close[k, j] >= alike:
+            found.append((-close[k, j], terms[i], terms[j]))
+    out = []
+    for _, a, b in sorted(found):
+        if a not in used and b not in used:
+            used |= {a, b}
+            out.append((a, b))
+    return tuple(out)
+
+
 def _design(rows: DataFrame, features: Sequence[str], groups: Sequence[Sequence[str]]) -> DataFrame:
     """Feature numbers of each text (kind 0), and in pairs of sentences with an identity
     term and of their counterfactuals (kinds 1 and 2): one for each number of places by
-    which terms move on in their groups, until all have been everything else."""
+    which terms move on in their groups, until all have been everything else. Pairs of
+    equal features, whose scores can't differ, are left out."""
     number = {f: i for i, f in enumerate(features)}
     place = {t: (g, i) for g in groups for i, t in enumerate(g)}
 
@@ -93,12 +173,14 @@ def _design(rows: DataFrame, features: Sequence[str], groups: Sequence[Sequence[
                 text = text.lower()
                 ids = lambda words: sorted({number[f] for w in set(words) for f in word_features(w) if f in number})
                 out.append((0, label, ids(_WORD.findall(text))))
-                for sentence in _SENTENCE.split(text) if any(t in text for t in place) else []:
+                for sentence in _SENTENCE.split(text):
                     words = _WORD.findall(sentence)
+                    if place.keys().isdisjoint(words):
+                        continue
                     own = ids(words)
-                    for by in range(1, max((len(place[w][0]) for w in words if w in place), default=1)):
-                        swapped = [place[w][0][(place[w][1] + by) % len(place[w][0])] if w in place else w for w in words]
-                        out += [(1, label, own), (2, label, ids(swapped))] if swapped != words else []
+                    for by in range(1, max(len(place[w][0]) for w in words if w in place)):
+                        swapped = ids([place[w][0][(place[w][1] + by) % len(place[w][0])] if w in place else w for w in words])
+                        out += [(1, label, own), (2, label, swapped)] if swapped != own else []
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int32())))], ["kind", "label", "ids"])
 
     return rows.select("text", "label").mapInArrow(run, "kind int, label int, ids array<int>")
@@ -133,12 +215,14 @@ def _minimise(x: list[np.ndarray], y: np.ndarray, pairs: tuple[list[np.ndarray],
     return float(w[n]), w[:n]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", groups: Sequence[Sequence[str]] = IDENTITY_GROUPS, fair: float = 10.0, ridge: float = 1e-4, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, min_texts: int = MIN_TEXTS, min_g2: float = MIN_G2) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", groups: Sequence[Sequence[str]] | None = None, fair: float = 10.0, ridge: float = 1e-4, sample_rows: int = SAMPLE_ROWS, min_texts: int = MIN_TEXTS, min_g2: float = MIN_G2) -> ToxicityModel:
     """Fit on the labelled rows, or where these are over ``sample_rows``, on about so many,
     chosen by a hash of the id; the driver gets their feature numbers only. The model's
-    features are those that ``min_texts`` of these rows have and whose log-likelihood
-    ratio with the label is ``min_g2`` or more (24: about one in a million by chance), of
-    more than ``max_features`` the telling ones. Scoring reads all words of all texts.
+    features are all that ``min_texts`` of these rows have and whose log-likelihood
+    ratio with the label is ``min_g2`` or more (24: about one in a million by chance).
+    ``groups`` of terms that stand for one another are ``swap_groups`` and the English list
+    if None is given; a warning tells that no sentence has a counterfactual. Scoring reads
+    all words of all texts.
 
     Rows with null text count as empty, rows with null label are left out; an id that
     is labelled more than once counts as toxic if any label says so. Without rows of
@@ -166,13 +250,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     have, lack = a + b, F.lit(total) - a - b
     g2 = 2 * (cell(a, have * pos / total) + cell(b, have * neg / total) + cell(pos - a, lack * pos / total) + cell(neg - b, lack * neg / total))
     best = _counts(rows).where(have >= min_texts).withColumn("g2", g2).where(F.col("g2") >= min_g2)
-    features = [r["feature"] for r in best.orderBy(F.desc("g2"), "feature").limit(max_features).collect()]
+    features = [r["feature"] for r in best.orderBy(F.desc("g2"), "feature").collect()]
+    if groups is None:
+        listed = {t for g in IDENTITY_GROUPS for t in g}
+        groups = (*IDENTITY_GROUPS, *(g for g in swap_groups(rows, features, min_texts) if listed.isdisjoint(g)))
     design = _design(rows, features, groups).toArrow()
     kind, label = (design.column(c).to_numpy() for c in ("kind", "label"))
     ids = [np.array(x, np.int64) for x in design.column("ids").to_pylist()]
     of = lambda k: [ids[i] for i in np.flatnonzero(kind == k)]
-    bias, w = _minimise(of(0), label[kind == 0].astype(float), (of(1), of(2)), len(features), ridge, fair)
-    return ToxicityModel(bias, dict(zip(features, w.tolist(), strict=True)))
+    before, after = of(1), of(2)
+    if fair and not before:
+        warnings.warn("no sentence names a term whose swap changes a feature: the fit has no counterfactuals", stacklevel=2)
+    bias, w = _minimise(of(0), label[kind == 0].astype(float), (before, after), len(features), ridge, fair)
+    return ToxicityModel(bias, dict(zip(features, w.tolist(), strict=True)), len(before), tuple(map(tuple, groups)))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -227,6 +227,49 @@ def test_toxicity_ignores_identity_terms(spark):
     assert fair("muslims are vermin scum") > 0.5
 
 
+def toxic_mentions(spark):
+    """Invented words: vrok marks toxic texts; zanite is named with it but mostly in clean texts, where tarmul could stand."""
+    rng = random.Random(5)
+    fill = lambda: " ".join(rng.choice("osel ima kedu rano".split()) for _ in range(8))
+    rows, labels = [], []
+    for i in range(600):
+        bad = int(i % 4 == 0)
+        group = "zanite" if rng.random() < (0.9 if bad else 0.4) else "tarmul"
+        rows.append((i, f"{fill()}. ima {group} osel{' vrok' if bad and rng.random() < 0.8 else ''}. {fill()}"))
+        labels.append((i, bad))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_swap_groups_are_found_in_the_texts(spark):
+    docs, marks = toxic_mentions(spark)
+    plain, fair = (toxicity.fit(docs, marks, fair=f) for f in (0.0, 10.0))
+    assert ("zanite", "tarmul") in fair.groups or ("tarmul", "zanite") in fair.groups
+    assert fair.pairs == plain.pairs == 600
+    a, b = "ima zanite osel", "ima tarmul osel"
+    gap = lambda m: abs(m.scorer()(a) - m.scorer()(b))
+    assert gap(fair) < 0.7 * gap(plain)
+    assert fair.scorer()("ima zanite osel vrok") > 0.5 > fair.scorer()(a)
+    rows = spark.createDataFrame([("a b c", 0), ("a b c", 1)], "text string, label int")
+    assert toxicity.swap_groups(rows, []) == () and toxicity.swap_groups(rows.where("false"), ["=a"]) == ()
+
+
+def test_toxicity_tells_when_nothing_can_be_swapped(spark):
+    docs = spark.createDataFrame([(i, "vrok" if i % 2 else "osel") for i in range(80)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    with pytest.warns(UserWarning, match="no counterfactuals"):
+        assert toxicity.fit(docs, marks).pairs == 0
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Null and repeated ids and labels and other columns neither teach twice nor fail."""
+    docs, marks = toxic_mentions(spark)
+    odd = docs.unionByName(spark.createDataFrame([(None, "vrok"), (None, None), (900, None), (900, "")], docs.schema)).withColumn("label", F.lit("clash")).withColumn("_id", F.lit(1))
+    more = marks.unionByName(marks).unionByName(spark.createDataFrame([(None, 1), (901, None)], marks.schema)).withColumn("text", F.lit("clash"))
+    assert toxicity.fit(odd, more).weights == toxicity.fit(docs, marks).weights
+    kept = toxicity.drop_toxic(odd, more)
+    assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 1 and kept.where("doc_id = 900").count() == 2
+
+
 def test_chat(spark):
     rng = random.Random(1)
     rows = []
@@ -326,6 +369,16 @@ def test_mixed_rows_meet_their_own_copies(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("ids", ["own", "none", "shared", "texts"])
+def test_targets_are_met_whatever_the_ids(spark, ids):
+    """200 rows of ten words, half as many again wanted: rows of one id are rounded each on its own."""
+    rows = [({"own": i, "none": None, "shared": 7, "texts": 7}[ids], " ".join(["w"] * 9 + [f"t{i}" if ids == "texts" else "t"]), "s") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs.repartition(5)).collect()
+    assert len(out) == 200 and out[0]["target"] == 3000 and sum(r["taken"] for r in out) == 3000
+    assert mixing.mixed(docs).count() == 300
+
+
 def test_mixed_keeps_its_cap_where_an_id_names_several_texts(spark):
     rows = [(1, "w " * 5, "s"), (1, "w " * 500, "s"), (2, "w " * 7, "s"), (None, "w " * 9, "s"), (None, "w " * 90, None), (3, None, None), (3, "", "s"), (4, "w " * 40, "t"), (4, "w " * 40, "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("copies", "copy", "size", "_mix_id", "rate")})
