@@ -43,8 +43,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that sources meet their target words.
 
-    Null sources are one source; rows without words stay once; rows that agree in id, size
-    and source, null ids included, are taken equally often.
+    Null sources are one source; rows without words stay once; rows of one id, or of none,
+    are rounded each on its own.
     """
     return mixing.mixed(docs)
 
