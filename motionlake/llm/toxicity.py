@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -159,53 +160,74 @@ def swap_groups(rows: DataFrame, features: Sequence[str], min_texts: int = MIN_T
 
 
 def _design(rows: DataFrame, features: Sequence[str], groups: Sequence[Sequence[str]]) -> DataFrame:
-    """Feature numbers of each text (kind 0), and in pairs of sentences with an identity
-    term and of their counterfactuals (kinds 1 and 2): one for each number of places by
-    which terms move on in their groups, until all have been everything else. Pairs of
-    equal features, whose scores can't differ, are left out."""
+    """own, swapped, label, n: how many texts have the feature numbers ``own`` (swapped is null), and
+    how many sentences with an identity term have ``own`` and the counterfactual ``swapped``
+    (label is null): one counterfactual for each number of places by which terms move on in
+    their groups, until all have been everything else. Pairs of equal features, whose
+    scores can't differ, are left out. Equal rows are counted before anything is collected.
+    """
     number = {f: i for i, f in enumerate(features)}
     place = {t: (g, i) for g in groups for i, t in enumerate(g)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[int, ...]] = {}
+
+        def ids(words) -> tuple[int, ...]:
+            found: set[int] = set()
+            for w in set(words):
+                hit = memo.get(w)
+                if hit is None:
+                    if len(memo) > _MEMO:
+                        memo.clear()
+                    hit = memo[w] = tuple(number[f] for f in word_features(w) if f in number)
+                found.update(hit)
+            return tuple(sorted(found))
+
         for batch in batches:
-            out: list[tuple[int, int, list[int]]] = []
+            tally: Counter[tuple] = Counter()
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text.lower()
-                ids = lambda words: sorted({number[f] for w in set(words) for f in word_features(w) if f in number})
-                out.append((0, label, ids(_WORD.findall(text))))
-                for sentence in _SENTENCE.split(text):
+                every: list[str] = []
+                for sentence in _SENTENCE.split(text.lower()):
                     words = _WORD.findall(sentence)
+                    every += words
                     if place.keys().isdisjoint(words):
                         continue
                     own = ids(words)
                     for by in range(1, max(len(place[w][0]) for w in words if w in place)):
-                        swapped = ids([place[w][0][(place[w][1] + by) % len(place[w][0])] if w in place else w for w in words])
-                        out += [(1, label, own), (2, label, swapped)] if swapped != own else []
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int32())))], ["kind", "label", "ids"])
+                        swapped = ids(place[w][0][(place[w][1] + by) % len(place[w][0])] if w in place else w for w in words)
+                        if swapped != own:
+                            tally[own, swapped, None] += 1
+                tally[ids(every), None, label] += 1
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in tally], t) for i, t in enumerate(kinds)), pa.array(list(tally.values()), pa.int64())], ["own", "swapped", "label", "n"])
 
-    return rows.select("text", "label").mapInArrow(run, "kind int, label int, ids array<int>")
+    counted = rows.select("text", "label").mapInArrow(run, "own array<int>, swapped array<int>, label int, n long")
+    return counted.groupBy("own", "swapped", "label").agg(F.sum("n").alias("n")).orderBy("label", "own", "swapped")
 
 
 def _csr(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), [*map(len, lists)]), np.concatenate([*lists, []]).astype(np.int64)
 
 
-def _minimise(x: list[np.ndarray], y: np.ndarray, pairs: tuple[list[np.ndarray], list[np.ndarray]], n: int, ridge: float, fair: float, turns: int = 400) -> tuple[float, np.ndarray]:
+def _minimise(x: list[np.ndarray], y: np.ndarray, times: np.ndarray, pairs: tuple[list[np.ndarray], list[np.ndarray], np.ndarray], n: int, ridge: float, fair: float, turns: int = 400) -> tuple[float, np.ndarray]:
     """Adam on the mean log loss + ridge / 2 * squared weights + fair * mean squared
-    difference of the pairs' scores (probabilities); the last turns take ever smaller steps."""
+    difference of the pairs' scores (probabilities), each text and pair as often as it
+    occurs; the last turns take ever smaller steps."""
     row, col = _csr(x)
     (ra, ca), (rb, cb) = _csr(pairs[0]), _csr(pairs[1])
+    share, often = times / times.sum(), pairs[2] / max(pairs[2].sum(), 1)
     w = np.zeros(n + 1)
-    w[n] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    toxic = (times * y).sum()
+    w[n] = np.log((toxic + 0.5) / (times.sum() - toxic + 0.5))
     m, v = np.zeros_like(w), np.zeros_like(w)
     logistic = lambda row, col, k: 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], k) + w[n], -50, 50)))
     for t in range(1, turns + 1):
-        d = (logistic(row, col, len(x)) - y) / len(y)
+        d = (logistic(row, col, len(x)) - y) * share
         g = np.append(np.bincount(col, d[row], n), d.sum())
         g[:n] += ridge * w[:n]
         if k := len(pairs[0]):
             a, b = logistic(ra, ca, k), logistic(rb, cb, k)
-            gap = 2 * fair * (a - b) / k
+            gap = 2 * fair * (a - b) * often
             ga, gb = gap * a * (1 - a), gap * b * (1 - b)
             g[:n] += np.bincount(ca, ga[ra], n) - np.bincount(cb, gb[rb], n)
             g[n] += (ga - gb).sum()
@@ -255,14 +277,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         listed = {t for g in IDENTITY_GROUPS for t in g}
         groups = (*IDENTITY_GROUPS, *(g for g in swap_groups(rows, features, min_texts) if listed.isdisjoint(g)))
     design = _design(rows, features, groups).toArrow()
-    kind, label = (design.column(c).to_numpy() for c in ("kind", "label"))
-    ids = [np.array(x, np.int64) for x in design.column("ids").to_pylist()]
-    of = lambda k: [ids[i] for i in np.flatnonzero(kind == k)]
-    before, after = of(1), of(2)
-    if fair and not before:
+    own, swapped, label = (design.column(c).to_pylist() for c in ("own", "swapped", "label"))
+    times, own = design.column("n").to_numpy(), [np.array(x, np.int64) for x in own]
+    whole = np.array([s is None for s in swapped], bool)
+    texts, pair = np.flatnonzero(whole), np.flatnonzero(~whole)
+    y = np.array([label[i] for i in texts], float)
+    pairs = [own[i] for i in pair], [np.array(swapped[i], np.int64) for i in pair], times[pair].astype(float)
+    n_pairs = int(pairs[2].sum())
+    if fair and not n_pairs:
         warnings.warn("no sentence names a term whose swap changes a feature: the fit has no counterfactuals", stacklevel=2)
-    bias, w = _minimise(of(0), label[kind == 0].astype(float), (before, after), len(features), ridge, fair)
-    return ToxicityModel(bias, dict(zip(features, w.tolist(), strict=True)), len(before), tuple(map(tuple, groups)))
+    bias, w = _minimise([own[i] for i in texts], y, times[texts].astype(float), pairs, len(features), ridge, fair)
+    return ToxicityModel(bias, dict(zip(features, w.tolist(), strict=True)), n_pairs, tuple(map(tuple, groups)))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
