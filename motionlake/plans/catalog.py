@@ -14,7 +14,7 @@ from ..functions.columns import rounded
 from ..operators import dataset, detect, frames, learn, shapes, tracks, vision
 from ..sources import files, views
 from ..streaming import events as event_windows
-from . import oracle, programs
+from . import learned, oracle, programs
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -252,5 +252,5 @@ def _tidied(f):
     return lambda spark, sf_dir: tidy(f(spark, sf_dir))
 
 
-QUERIES = {name: _tidied(f) for name, f in _RAW.items()} | programs.QUERIES
-ORACLE_SQL: dict[str, str] = oracle.SQL
+QUERIES = {name: _tidied(f) for name, f in _RAW.items()} | programs.QUERIES | learned.QUERIES
+ORACLE_SQL: dict[str, str] = oracle.SQL | learned.SQL
