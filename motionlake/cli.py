@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans import catalog, configured
@@ -13,7 +13,7 @@ from .sources import files
 
 
 def run_configs(given: argparse.Namespace) -> int:
-    """Feature vectors and run records of each configuration, in run folders under --out."""
+    """Feature vectors, run records and, with a manifest, trained models of each configuration, in run folders under --out."""
     if not given.frames or not (given.out or given.diagnose):
         print("a configuration needs --frames, and --out or --diagnose")
         return 1
@@ -23,6 +23,7 @@ def run_configs(given: argparse.Namespace) -> int:
         some = frames.select("video_id").distinct().orderBy(F.xxhash64("video_id"), "video_id").limit(given.n)
         frames = frames.join(some, "video_id", "left_semi")
     known = spark.read.parquet(given.known) if given.known else None
+    labels = video_labels(spark, given.manifest) if given.manifest else None
     for name in given.config or [n for n in configured.names() if n.startswith("group_")]:
         over = {"detection": {"type": given.detection_source}} if given.detection_source else {}
         config = configured.load(name, over)
@@ -36,9 +37,23 @@ def run_configs(given: argparse.Namespace) -> int:
         run = files.write_run(spark, given.out, config, {"config": name, "n_videos": frames.select("video_id").distinct().count()})
         vectors.write.json(f"{run}/features")
         print(run)
+        for target in ("activity", "distortion") if given.target == "both" else (given.target,):
+            if labels is not None:
+                said = configured.train(spark.read.schema(vectors.schema).json(f"{run}/features"), labels, config, target, run)
+                print(f"{target}: {said.get('error') or said['models']}")
     return 0
 
 
+def video_labels(spark: SparkSession, path: str) -> DataFrame:
+    """video_id, activity and distortion of a manifest; without a column video_id the last number in a video's name is its id."""
+    manifest = files.read_manifest(spark, path)
+    info = files.video_info(manifest)
+    if "video_id" in manifest.columns:
+        return manifest.select(F.col("video_id").cast("long").alias("video_id"), F.col("Activity").alias("activity"), F.col("Distortion").alias("distortion"))
+    stem = F.regexp_replace("name", r"\.[^.]*$", "")
+    return info.select(F.regexp_extract(stem, r"(\d+)\D*$", 1).try_cast("long").alias("video_id"), "activity", "distortion").where("video_id is not null")
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="motionlake", description=__doc__)
     p.add_argument("query", nargs="?", help="a registered query")
@@ -51,6 +66,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--all-groups", action="store_true", help="run every group_* configuration")
     p.add_argument("--frames", help="a folder of gray frames (video/frame.pgm), or a Parquet table of frames")
     p.add_argument("--known", help="a Parquet table of known boxes, for detection from ground truth")
+    p.add_argument("--manifest", help="labels of the videos (.xlsx, .csv, .json, .parquet); with them the configuration's models are trained")
+    p.add_argument("--target", "-t", choices=["activity", "distortion", "both"], default="activity", help="what the models learn to tell")
     p.add_argument("--detection-source", choices=["mog2", "ground_truth"])
     p.add_argument("--sample", action="store_true", help="take --n videos only, chosen by a hash of their number")
     p.add_argument("--n", type=int, default=5)

@@ -1,4 +1,4 @@
-"""Track features over the whole trajectory: its hull from blocks in Arrow batches, its wavelet energies from sums."""
+"""Track features over the whole trajectory: its hull from blocks, its wavelet energies piece by piece."""
 
 from __future__ import annotations
 
@@ -68,44 +68,78 @@ def _padded(speeds: DataFrame) -> DataFrame:
     return sized.select(*TRACK, F.explode(places).alias("i"), "a", "n")
 
 
-def _level(rows: DataFrame, energies: list[str], name: str) -> DataFrame:
-    """One level of the decomposition: rows (track, i, a, n, energies and the new one's parts).
+class _Level:
+    """One level of a track's decomposition, fed piece by piece: half as many coefficients, and the details' energy.
 
-    Sample i also stands at -1 - i and 2n - 1 - i; it meets tap j in coefficient m where 2m + 1 - j
-    is its place.
+    The signal is mirrored at both ends; the last seven samples are kept for the next piece.
     """
-    size = F.shiftright(F.col("n") + 7, 1)
 
-    def met(place: Column) -> list[Column]:
-        odd = F.pmod(place - 1, F.lit(2))
-        return [F.struct(F.shiftright(place - 1 + odd + 2 * t, 1).alias("m"), (odd + 2 * t).alias("j")) for t in range(4)]
+    def __init__(self) -> None:
+        self.kept, self.energy = np.zeros(0), 0.0
+        self.begun = False
 
-    own, mirrored = met(F.col("i")), [*met(-1 - F.col("i")), *met(2 * F.col("n") - 1 - F.col("i"))]
-    every = F.when((F.col("i") < 8) | (F.col("i") >= F.col("n") - 8), F.array(*own, *mirrored)).otherwise(F.array(*own))
+    def push(self, x: np.ndarray, last: bool) -> np.ndarray:
+        """The coefficients that ``x`` completes; ``last`` tells that the signal ends with it."""
+        self.kept = np.concatenate([self.kept, x])
+        if not self.begun:
+            if len(self.kept) < 7:  # no signal ends before
+                return np.zeros(0)
+            self.kept, self.begun = np.concatenate([self.kept[5::-1], self.kept]), True
+        wide = np.concatenate([self.kept, self.kept[: -8 if len(self.kept) > 7 else None : -1]]) if last else self.kept
+        count = max((len(wide) - 6) // 2, 0)
+        if not count:
+            return np.zeros(0)
+        taps = np.lib.stride_tricks.sliding_window_view(wide, 8)[0 : 2 * count : 2]
+        self.energy += float(((taps @ DB4_HIGH[::-1]) ** 2).sum())
+        self.kept = wide[2 * count :]
+        return taps @ DB4[::-1]
 
-    def tap(values: np.ndarray) -> Column:
-        return F.element_at(F.array(*map(F.lit, values.tolist())), (F.col("c.j") + 1).cast("int"))
 
-    # A row's parts of earlier energies go on with the first of its copies.
-    spread = rows.withColumn("met", every).withColumn("n", size).select(*TRACK, "a", "n", *energies, F.posexplode("met").alias("copy", "c")).where((F.col("c.m") >= 0) & (F.col("c.m") < F.col("n")))
-    sums = spread.groupBy(*TRACK, F.col("c.m").alias("i"), "n").agg(F.sum(F.col("a") * tap(DB4)).alias("a"), F.sum(F.col("a") * tap(DB4_HIGH)).alias("d"), *(F.sum(F.when(F.col("copy") == 0, F.col(e)).otherwise(0.0)).alias(e) for e in energies))
-    return sums.withColumn(name, F.col("d") * F.col("d")).drop("d")
+class _Energies:
+    """A track's wavelet energies, from its samples piece by piece in order."""
+
+    def __init__(self, levels: int = 3) -> None:
+        self.levels, self.approx = [_Level() for _ in range(levels)], 0.0
+
+    def push(self, x: np.ndarray, last: bool) -> None:
+        for level in self.levels:
+            x = level.push(x, last)
+        self.approx += float((x**2).sum())
+
+    def found(self) -> list[float]:
+        return [self.approx, *(level.energy for level in reversed(self.levels))]
 
 
 def wavelet_features(points: DataFrame, fps: float = 10.0, min_points: int = 15) -> DataFrame:
     """Energies of the speed's wavelet decomposition and their entropy; detail1 is the coarsest.
 
-    The decomposition of kernels.wavelet_energies, as sums by track and coefficient.
+    Tracks are dealt out and sorted once and go through the filters of all levels piece by
+    piece, so that a task holds a batch and a few samples, however long its tracks are.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, state, seen = None, None, 0
+        for batch in batches:
+            video, name, i, a, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            cuts = np.flatnonzero(np.r_[True, (video[1:] != video[:-1]) | (name[1:] != name[:-1]), True]) if len(i) else []
+            out = []
+            for begin, end in zip(cuts, cuts[1:]):
+                if track != (video[begin], name[begin]):
+                    track, state, seen = (video[begin], name[begin]), _Energies(), 0
+                seen += end - begin
+                state.push(a[begin:end], seen == n[begin])
+                if seen == n[begin]:
+                    out.append((int(video[begin]), int(name[begin]), *state.found()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], [*TRACK, *WAVELET[:4]])
+
     order, track = Window.partitionBy(*TRACK).orderBy("seq", "x", "y"), Window.partitionBy(*TRACK)
     moved = [F.col(c).cast("double") - F.lag(F.col(c).cast("double")).over(order) for c in ("x", "y")]
     speed = F.coalesce(F.hypot(*moved), F.lit(float("nan"))) * fps
     steps = points.select(*TRACK, (F.row_number().over(order) - 2).cast("long").alias("i"), speed.alias("a"), (F.count("*").over(track) - 1).alias("len"))
-    rows, energies = _padded(steps.where((F.col("i") >= 0) & (F.col("len") + 1 >= max(min_points, 2)))), []
-    for name in reversed(WAVELET[1:4]):
-        rows = _level(rows, energies, name)
-        energies.append(name)
-    sums = rows.groupBy(*TRACK).agg(F.sum(F.col("a") * F.col("a")).alias(WAVELET[0]), *(F.sum(e).alias(e) for e in energies))
+    padded = _padded(steps.where((F.col("i") >= 0) & (F.col("len") + 1 >= max(min_points, 2))))
+    rows = padded.select(*(F.col(c).cast("long").alias(c) for c in TRACK), "i", "a", "n").repartition(*TRACK).sortWithinPartitions(*TRACK, "i")
+    sums = rows.mapInArrow(run, ", ".join(["video_id long, track_id long", *(f"{c} double" for c in WAVELET[:4])]))
     total = F.col(WAVELET[0]) + F.col(WAVELET[1]) + F.col(WAVELET[2]) + F.col(WAVELET[3])
     share = [F.col(e) / (total + 1e-10) for e in WAVELET[:4]]
     entropy = -sum((p * F.log(p + 1e-10) for p in share), F.lit(0.0))

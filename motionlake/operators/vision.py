@@ -271,7 +271,7 @@ TRACKED = "video_id long, frame_no long, det_id long, track_id long, hits int, x
 DIAGNOSTICS = ("avg_mask_quality", "avg_track_quality", "avg_threshold_used", "adaptive_trigger_rate", "rerun_accept_rate", "n_frames")
 
 
-def detect_and_track(frames: DataFrame, detector: str = "adaptive_mog2", tracker: str = "centroid", least_area: int = 500) -> DataFrame:
+def detect_and_track(frames: DataFrame, detector: str = "adaptive_mog2", tracker: str = "centroid", least_area: int = 500, settings: dict | None = None, tracking: dict | None = None) -> DataFrame:
     """Detector and tracker of each video step by step together: one row per box, and notes.
 
     After each frame the detector, if it has ``feedback``, is told the lengths of the living
@@ -279,8 +279,9 @@ def detect_and_track(frames: DataFrame, detector: str = "adaptive_mog2", tracker
     next. A row with a ``note`` and null box tells a diagnostic of the video's detector
     (with its value), or at which of the video's frames the cascade went from one detector
     to another ("mog2>dense_flow"). Frames whose bytes don't fit their size are skipped.
+    ``settings`` and ``tracking`` are those of the detector and of the tracker.
     """
-    make = Cascade if detector == Cascade.name else DETECTORS[detector]
+    kind, settings, tracking = Cascade if detector == Cascade.name else DETECTORS[detector], settings or {}, tracking or {}
     ready = frames.selectExpr("cast(video_id as long) video_id", "cast(frame_no as long) frame_no", "cast(height as int) height", "cast(width as int) width", "pixels").na.drop()
     names = [c.split()[0] for c in TRACKED.split(", ")]
     kinds = [pa.int64()] * 4 + [pa.int32()] * 5 + [pa.string(), pa.string(), pa.float64()]
@@ -300,7 +301,7 @@ def detect_and_track(frames: DataFrame, detector: str = "adaptive_mog2", tracker
             for v, no, h, w, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if v != video:
                     out += notes(video, state) if state else []
-                    video, state, tracks = v, make(), TRACKERS[tracker]()
+                    video, state, tracks = v, kind(**settings), TRACKERS[tracker](**tracking)
                 if len(raw) != h * w:
                     continue
                 name, found = stepped(state, np.frombuffer(raw, np.uint8).reshape(h, w), least_area)

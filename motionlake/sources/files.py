@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .sheets import read_xlsx
+
 #: The columns that a manifest must have, and how others are recognised.
 REQUIRED = ("Activity", "Distortion", "Name of Video Series")
 ROLES = (("name", ("name", "video")), ("duration", ("duration",)), ("fps", ("fps", "rate")), ("frames", ("nframes", "frame count", "frames")), ("width", ("width",)), ("height", ("height",)), ("activity", ("activity",)), ("distortion", ("distortion",)))
@@ -18,11 +20,11 @@ DEFAULTS = {"duration": 0.0, "fps": 30.0, "frames": 0, "width": 1920, "height":
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest from CSV (with a header; all columns are strings, which video_info reads as
-    numbers), JSON lines or Parquet, by the path's ending."""
+    """A manifest from a workbook, CSV (with a header; all columns are strings, which video_info
+    reads as numbers), JSON lines or Parquet, by the path's ending."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read
-    df = reader.option("header", True).csv(path) if kind == "csv" else reader.json(path) if kind in ("json", "jsonl") else reader.parquet(path)
+    df = read_xlsx(spark, path) if kind == "xlsx" else reader.option("header", True).csv(path) if kind == "csv" else reader.json(path) if kind in ("json", "jsonl") else reader.parquet(path)
     if lacking := [c for c in REQUIRED if c not in df.columns]:
         raise ValueError(f"the manifest lacks {lacking}")
     return df
@@ -70,6 +72,53 @@ def first_match(files: DataFrame, patterns: list[str]) -> DataFrame:
     return files.withColumn("rank", rank).where("rank is not null").withColumn("place", place).where("place = 1").select("video_id", "file")
 
 
+#: Endings of a video's box text beside its name, the first that is there wins.
+TRUTH_ENDINGS = ("_gt.txt", ".txt", "_groundtruth.txt", "_bbox.txt")
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path, file and whether it lies right in the folder, of all files below ``root``; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    within = F.regexp_replace("path", r"^[a-zA-Z][\w+.-]*:/*", "/")
+    base = "/" + root.split(":", 1)[-1].strip("/") + "/"
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("file"), (~F.substring_index(within, base, -1).contains("/")).alias("top"))
+
+
+def find_truth(videos: DataFrame, files: DataFrame) -> DataFrame:
+    """video_id and path of the box text of each of ``videos`` (video_id, name) among ``files`` (``listing``).
+
+    Right in the folder: the name without its ending and one of ``TRUTH_ENDINGS``, then a
+    file whose name has it and later "_gt.txt", then any that has it; then these two anywhere
+    below. Of equals the first by file and path. A name within a name is found by an equal
+    join on the parts of file names that are as long as some video's name.
+    """
+    stems = videos.select("video_id", F.regexp_replace("name", r"\.[^.]*$", "").alias("stem")).where("stem <> ''")
+    ends = F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(e).alias("end")) for i, e in enumerate(TRUTH_ENDINGS))))
+    exact = stems.select("video_id", ends.alias("e")).select("video_id", "e.rank", "e.end").join(stems, "video_id").withColumn("want", F.concat("stem", "end"))
+    exact = exact.join(files.where("top").select("path", "file"), F.col("file") == F.col("want")).select("video_id", "rank", "file", "path")
+    left = stems.join(exact.select("video_id").distinct(), "video_id", "left_anti")
+    sizes = F.broadcast(left.select(F.length("stem").alias("size")).distinct())  # lengths of names, at most a few hundred
+    parts = files.join(sizes, F.length("file") >= F.col("size")).select("path", "file", "top", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("file") - F.col("size") + 1), lambda i: F.substring(F.col("file"), i, F.col("size"))))).alias("part"))
+    after = F.expr("substring(file, instr(file, stem) + length(stem))").endswith("_gt.txt")
+    near = left.join(parts, F.col("part") == F.col("stem")).select("video_id", (4 + F.when(after, 0).otherwise(1) + F.when(F.col("top"), 0).otherwise(2)).alias("rank"), "file", "path")
+    best = F.min(F.struct("rank", "file", "path"))
+    return exact.unionByName(near).groupBy("video_id").agg(best.alias("b")).select("video_id", F.col("b.path").alias("path"))
+
+
+def truth_boxes(spark: SparkSession, root: str, videos: DataFrame, width: int = 640, height: int = 480) -> DataFrame:
+    """video_id, frame_no, x, y, w, h from the box texts of ``videos`` (video_id, name, width, height) below
+    ``root``, scaled from each video's size to ``width`` and ``height``; only texts that were found are read."""
+    chosen = find_truth(videos, listing(spark, root)).join(videos.select("video_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "video_id")
+    texts = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("at"), "value")
+    plain = lambda c: F.regexp_replace(F.url_decode(c), r"^[a-zA-Z][\w+.-]*:/*", "/")
+    lines = chosen.join(texts, plain(F.col("path")) == plain(F.col("at"))).select("video_id", "_w", "_h", F.posexplode(F.split("value", "\r?\n")).alias("frame_no", "line"))
+    number = lambda i: F.expr(f"try_cast(get(parts, {i}) as double)")
+    rows = lines.where(~F.trim("line").startswith("#")).withColumn("parts", F.split(F.trim("line"), r"[,\s]+")).select("video_id", F.col("frame_no").cast("long").alias("frame_no"), "_w", "_h", *(number(i).alias(c) for i, c in enumerate(("x", "y", "w", "h")))).na.drop(subset=["x", "y", "w", "h"])
+    scale = {"x": F.lit(width) / F.col("_w"), "w": F.lit(width) / F.col("_w"), "y": F.lit(height) / F.col("_h"), "h": F.lit(height) / F.col("_h")}
+    whole = lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v))
+    return rows.select("video_id", "frame_no", *(whole(F.col(c) * k).cast("long").alias(c) for c, k in scale.items()))
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """video_id (folder name's digits), frame_no (file name's digits), height, width, pixels of binary
     gray maps (P5); other files are left out."""

@@ -413,6 +413,41 @@ def test_configurations_run(spark):
         configured.build_features({"features": {"modules": ["no such"]}})
 
 
+def test_configured_models_are_trained(spark, tmp_path):
+    """models.active, targets, training and smoothing of a configuration."""
+    import random
+
+    from motionlake.plans import configured
+
+    rng = random.Random(1)
+    vectors = spark.createDataFrame([(i, float(i % 2) + rng.gauss(0, 0.1), rng.gauss(0, 1)) for i in range(40)], "video_id long, a double, b double")
+    labels = spark.createDataFrame([(i, "run" if i % 2 else "walk", None) for i in range(45)], "video_id long, activity string, distortion string")
+    over = {"models": {"active": ["knn", {"name": "exact_tree", "params": {"max_depth": 1}}]}, "training": {"cv_folds": 2}, "smoothing": {"enabled": True, "method": "ema"}}
+    config = configured.load("group_a", over)
+    got = configured.train(vectors, labels, config, "activity", str(tmp_path / "run"))
+    assert set(got["models"]) == {"knn", "exact_tree", "__smoothed__"} and all(m["cv_accuracy_mean"] > 0.9 for m in got["models"].values())
+    assert configured.train(vectors, labels, config, "distortion") == {"viable": False, "error": "no samples"}
+    assert not configured.train(vectors, labels, {"targets": ["distortion"]}, "activity")["viable"]
+
+
+def test_feedback_and_looks_are_wired(spark):
+    """The adaptive background model runs with its tracker, the tracker by appearance gets looks."""
+    from motionlake.operators import preprocess, vision
+    from motionlake.plans import configured
+
+    frames, small = moving_squares(spark), {"preprocessing": {"frame_resize": [64, 64]}, "detection": {"min_contour_area": 20}}
+    config = configured.load("group_i", small)
+    ready = configured.build_preprocessor(config)(frames).select("video_id", "frame_no", "height", "width", "pixels")
+    got = sorted(tuple(r) for r in configured.build_tracked(config)(ready).select("video_id", "frame_no", "det_id", "track_id").collect())
+    how = {"threshold": 16, "history": 20, "relaxed": 10, "floor": 8, "enough": 0.4, "ema": 0.8}
+    want = vision.detect_and_track(ready, "adaptive_mog2", "iou_hungarian", 20, how, {"max_gap": 30, "above": 0.3}).where("note is null")
+    assert got == sorted(tuple(r) for r in want.select("video_id", "frame_no", "det_id", "track_id").collect())
+    config = configured.load("group_j", small)
+    boxes = configured.build_detector(config)(ready)
+    want = tracking.track(preprocess.appearance(ready, boxes), "tfcr", max_gap=30, above=0.3)
+    assert sorted(map(tuple, configured.build_tracked(config)(ready).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_run_records(spark, tmp_path, capsys):
     import json
 
@@ -430,6 +465,11 @@ def test_run_records(spark, tmp_path, capsys):
     assert cli.main(["--config", "group_a", "--frames", str(tmp_path / "frames.parquet"), "--out", str(tmp_path)]) == 0
     assert spark.read.json(str(tmp_path / "run_003" / "features")).count() == 2
     assert cli.main(["--config", "group_c", "--config", "group_e", "--frames", str(tmp_path / "frames.parquet"), "--diagnose"]) == 0
+    # With labels the models of a configuration are trained, each target in its turn.
+    labels = spark.createDataFrame([(f"video {i}.mp4", "walk", "Fo") for i in range(2)], "`Name of Video Series` string, Activity string, Distortion string")
+    labels.write.json(str(tmp_path / "labels.json"))
+    assert cli.main(["--config", "group_a", "--frames", str(tmp_path / "frames.parquet"), "--manifest", str(tmp_path / "labels.json"), "--target", "both", "--out", str(tmp_path)]) == 0
+    assert "activity: too few samples" in (said := capsys.readouterr().out) and "distortion: too few samples" in said
     assert cli.main(["--config", "group_a"]) == 1 and cli.main(["--list-configs"]) == 0 and "group_j" in capsys.readouterr().out
 
 
