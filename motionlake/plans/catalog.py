@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import tables
 from ..functions.columns import rounded
-from ..operators import dataset, detect, frames, learn, shapes, tracks, vision
+from ..operators import dataset, detect, frames, learn, matching, shapes, tracks, vision
 from ..sources import files, views
 from ..streaming import events as event_windows
 from . import learned, oracle, programs
@@ -168,6 +169,20 @@ def _truth_files(spark, d):
     return files.first_match(listed.select("video_id", F.concat("series_name", "end").alias("file")), _PATTERNS)
 
 
+def _sql_track_features(spark, d):
+    tables.register(spark)
+    return spark.sql("SELECT * FROM track_features(TABLE({points}) PARTITION BY (video_id, track_id) ORDER BY seq)", points=views.track_points(spark, d))
+
+
+def _sql_boxes(spark, d):
+    tables.register(spark)
+    boxes = views.detections(spark, d)
+    both = ", ".join(f"{s}.{c}" for s in "ab" for c in "xywh")
+    return spark.sql(f"""
+        SELECT a.video_id, a.frame_no, a.det_id AS det_a, b.det_id AS det_b, box_iou({both}) AS iou, centre_distance({both}) AS distance
+        FROM {{boxes}} a JOIN {{boxes}} b ON a.video_id = b.video_id AND a.frame_no + 1 = b.frame_no WHERE box_iou({both}) > 0.3""", boxes=boxes)
+
+
 _RAW = {
     "trajectory_track": _points(tracks.trajectory_features),
     "trajectory_video": lambda s, d: tracks.pool(tracks.trajectory_features(views.track_points(s, d)), tracks.TRAJECTORY),
@@ -186,6 +201,9 @@ _RAW = {
     "ema_track_quality": _ema_quality,
     "detection_stats": lambda s, d: detect.detection_stats(detect.min_area(views.detections(s, d), 1500), views.detections(s, d)),
     "iou_pairs": lambda s, d: detect.iou_pairs(views.detections(s, d)),
+    "sql_track_features": _sql_track_features,
+    "sql_boxes": _sql_boxes,
+    "settled_matches": lambda s, d: matching.settled(views.detections(s, d)),
     "centroid_distance_topk": lambda s, d: detect.nearest_next(views.detections(s, d)),
     "bbox_normalise": lambda s, d: detect.normalised_boxes(views.detections(s, d), views.manifest(s, d)),
     "frame_sampling": lambda s, d: detect.sample_frames(views.detections(s, d), 5),

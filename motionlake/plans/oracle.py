@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..functions import kernels
+from ..functions import kernels, tables
 from ..operators import shapes, tracks
 from ..sources.views import VIEW_SQL
 
@@ -336,6 +336,18 @@ e AS (
 t AS (SELECT *, e0 + e1 + e2 + e3 AS total FROM e)""", f"""
 SELECT video_id, track_id, {", ".join(f"round({c}, 2) AS dwt_energy_{n}" for c, n in (("e0", "approx"), ("e1", "detail1"), ("e2", "detail2"), ("e3", "detail3"), ("total", "total")))},
        {r("-(" + " + ".join(f"e{i} / (total + 1e-10) * ln(e{i} / (total + 1e-10) + 1e-10)" for i in range(4)) + ")", "dwt_entropy")} FROM t""")
+SQL["sql_track_features"] = f"SELECT video_id, track_id, {', '.join(tables.MOTION)} FROM ({SQL['trajectory_track']})"
+_OVERLAPS = """pairs AS (
+  SELECT a.video_id, a.frame_no, a.det_id AS det_a, b.det_id AS det_b,
+         greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS i, a.w * a.h + b.w * b.h AS s,
+         CAST((a.x + a.w // 2 - b.x - b.w // 2) AS DOUBLE) AS dx, CAST((a.y + a.h // 2 - b.y - b.h // 2) AS DOUBLE) AS dy
+  FROM detections a JOIN detections b ON a.video_id = b.video_id AND a.frame_no + 1 = b.frame_no)"""
+SQL["sql_boxes"] = query("detections", _OVERLAPS, f"SELECT video_id, frame_no, det_a, det_b, {r('i / CAST(s - i AS DOUBLE)', 'iou')}, {r('sqrt(dx * dx + dy * dy)', 'distance')} FROM pairs WHERE i / CAST(s - i AS DOUBLE) > CAST(0.3 AS DOUBLE)")
+SQL["settled_matches"] = query("detections", _OVERLAPS, f"""
+SELECT video_id, frame_no, det_id, next_det, {r('iou', 'iou')} FROM (
+  SELECT video_id, frame_no, det_a AS det_id, det_b AS next_det, i / CAST(s - i AS DOUBLE) AS iou,
+         count(*) OVER (PARTITION BY video_id, frame_no, det_a) AS na, count(*) OVER (PARTITION BY video_id, frame_no, det_b) AS nb FROM pairs WHERE i > 0)
+WHERE na = 1 AND nb = 1 AND iou > CAST(0.3 AS DOUBLE)""")
 SQL["shape_features"] = f"SELECT * FROM ({SQL['shape_curvature']}) c JOIN ({SQL['hull_features']}) h USING (video_id, track_id)"
 
 def _unrounded(name: str) -> str:

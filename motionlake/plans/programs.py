@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detect, frames, models, preprocess, shapes, tracking, tracks, vision
+from ..operators import detect, frames, matching, models, preprocess, shapes, tracking, tracks, vision
 from ..operators.reuse import written
 from ..registry import CATEGORIES, available, build, is_registered, register
 from ..sources import views
@@ -110,6 +110,7 @@ def _components(spark, d) -> DataFrame:
 
 QUERIES = {
     **{f"track_{k}": _tracked(k) for k in tracking.TRACKERS},
+    "frame_matches": lambda s, d: matching.matched(views.detections(s, d)),
     "video_pipeline": video_pipeline,
     "tracking_ablation": tracking_ablation,
     "tracked_video_features": tracked_video_features,
