@@ -300,7 +300,7 @@ def fit(rows: DataFrame, how: Settings | None = None) -> Booster:
     start = np.log(np.maximum(mass / mass.sum(), 1e-15)) if how.from_shares else np.zeros(classes)
     factor = how.factor or (classes / (classes - 1) if classes > 1 else 1.0)
     model = Booster(start, quantile_edges(rows, how.bins), how.depth)
-    blocks = written(_packed(rows, model, weights), "blocks")
+    blocks = written(_packed(rows, model, weights).coalesce(1 + n // (4 * BLOCK)), "blocks")  # few rows aren't worth many tasks a step
     recent = Booster(start, model.edges, how.depth)
     for turn in range(how.rounds if classes > 1 else 0):
         trees = _grown(blocks, recent, classes, how, factor)

@@ -264,7 +264,7 @@ def fit(rows: DataFrame, cost: float = 10.0, gamma: float | None = None, landmar
         return model
     pairs = model.pairs
     costs = np.array([cost * (n / (len(counts) * counts[k]) if balanced else 1.0) if k in counts else 0.0 for k in range(classes)])
-    blocks = written(_packed(rows, model, seed), "kernel").rdd
+    blocks = written(_packed(rows, model, seed).coalesce(1 + n // (4 * BLOCK)), "kernel").rdd  # few rows aren't worth many tasks a step
 
     def fitted(held_in: bool) -> np.ndarray:
         w = np.zeros((int(keep.sum()) + 1, len(pairs)))
