@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,31 +206,33 @@ def _design(rows: DataFrame, features: Sequence[str], groups: Sequence[Sequence[
     return counted.groupBy("own", "swapped", "label").agg(F.sum("n").alias("n")).orderBy("label", "own", "swapped")
 
 
-def _csr(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(lists)), [*map(len, lists)]), np.concatenate([*lists, []]).astype(np.int64)
+def _csr(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Row and feature number of each entry of a column of lists, and the number of rows."""
+    sizes = pc.list_value_length(lists).to_numpy()
+    return np.repeat(np.arange(len(lists), dtype=np.int32), sizes), pc.list_flatten(lists).to_numpy(), len(lists)
 
 
-def _minimise(x: list[np.ndarray], y: np.ndarray, times: np.ndarray, pairs: tuple[list[np.ndarray], list[np.ndarray], np.ndarray], n: int, ridge: float, fair: float, turns: int = 400) -> tuple[float, np.ndarray]:
+def _minimise(texts: pa.Table, pairs: pa.Table, n: int, ridge: float, fair: float, turns: int = 400) -> tuple[float, np.ndarray]:
     """Adam on the mean log loss + ridge / 2 * squared weights + fair * mean squared
     difference of the pairs' scores (probabilities), each text and pair as often as it
     occurs; the last turns take ever smaller steps."""
-    row, col = _csr(x)
-    (ra, ca), (rb, cb) = _csr(pairs[0]), _csr(pairs[1])
-    share, often = times / times.sum(), pairs[2] / max(pairs[2].sum(), 1)
+    x, before, after = _csr(texts.column("own")), _csr(pairs.column("own")), _csr(pairs.column("swapped"))
+    times, y, often = texts.column("n").to_numpy(), texts.column("label").to_numpy(), pairs.column("n").to_numpy()
+    share, often = times / times.sum(), often / max(often.sum(), 1)
     w = np.zeros(n + 1)
     toxic = (times * y).sum()
     w[n] = np.log((toxic + 0.5) / (times.sum() - toxic + 0.5))
     m, v = np.zeros_like(w), np.zeros_like(w)
     logistic = lambda row, col, k: 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], k) + w[n], -50, 50)))
     for t in range(1, turns + 1):
-        d = (logistic(row, col, len(x)) - y) * share
-        g = np.append(np.bincount(col, d[row], n), d.sum())
+        d = (logistic(*x) - y) * share
+        g = np.append(np.bincount(x[1], d[x[0]], n), d.sum())
         g[:n] += ridge * w[:n]
-        if k := len(pairs[0]):
-            a, b = logistic(ra, ca, k), logistic(rb, cb, k)
+        if before[2]:
+            a, b = logistic(*before), logistic(*after)
             gap = 2 * fair * (a - b) * often
             ga, gb = gap * a * (1 - a), gap * b * (1 - b)
-            g[:n] += np.bincount(ca, ga[ra], n) - np.bincount(cb, gb[rb], n)
+            g[:n] += np.bincount(before[1], ga[before[0]], n) - np.bincount(after[1], gb[after[0]], n)
             g[n] += (ga - gb).sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         rate = 0.1 * min(1.0, 4 * (1 - t / (turns + 1)))
@@ -277,16 +280,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         listed = {t for g in IDENTITY_GROUPS for t in g}
         groups = (*IDENTITY_GROUPS, *(g for g in swap_groups(rows, features, min_texts) if listed.isdisjoint(g)))
     design = _design(rows, features, groups).toArrow()
-    own, swapped, label = (design.column(c).to_pylist() for c in ("own", "swapped", "label"))
-    times, own = design.column("n").to_numpy(), [np.array(x, np.int64) for x in own]
-    whole = np.array([s is None for s in swapped], bool)
-    texts, pair = np.flatnonzero(whole), np.flatnonzero(~whole)
-    y = np.array([label[i] for i in texts], float)
-    pairs = [own[i] for i in pair], [np.array(swapped[i], np.int64) for i in pair], times[pair].astype(float)
-    n_pairs = int(pairs[2].sum())
+    whole = pc.is_null(design.column("swapped"))
+    texts, pairs = design.filter(whole), design.filter(pc.invert(whole))
+    n_pairs = int(pc.sum(pairs.column("n")).as_py() or 0)
     if fair and not n_pairs:
         warnings.warn("no sentence names a term whose swap changes a feature: the fit has no counterfactuals", stacklevel=2)
-    bias, w = _minimise([own[i] for i in texts], y, times[texts].astype(float), pairs, len(features), ridge, fair)
+    bias, w = _minimise(texts, pairs, len(features), ridge, fair)
     return ToxicityModel(bias, dict(zip(features, w.tolist(), strict=True)), n_pairs, tuple(map(tuple, groups)))
 
 
