@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize, table
 
-#: Elements without shown text, elements that end a run of text, and media elements.
+#: Elements without shown text, what a head may hold, elements that end a run of text, and media elements.
 HIDDEN = {"script", "style", "noscript", "template", "title", "head"}
+IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
     "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
@@ -48,6 +49,7 @@ class _Reader(HTMLParser):
         self.caption: list[str] | None = None  # text of the figcaption that is open
         self.figures: list[list] = []  # of each open figure, its first item's place and its caption
         self.hidden: list[str] = []
+        self.inside: list[str] = []  # elements opened in the noscript that is open
 
     def read(self, page: str | None) -> list[dict]:
         self.feed(page or "")
@@ -70,10 +72,12 @@ class _Reader(HTMLParser):
                 item["caption"] = caption
 
     def handle_starttag(self, tag, attrs) -> None:
-        if tag == "body":
-            self.hidden.clear()
+        if tag == "body" or "head" in self.hidden and self.hidden[-1] in ("head", "noscript") and tag not in IN_HEAD:
+            self.hidden.clear()  # what can't stand in a head ends it
         if tag in HIDDEN:
             self.hidden.append(tag)
+            if tag == "noscript":
+                self.inside.clear()
         elif tag == "figcaption" and self.figures:
             self.flush()
             self.caption = []
@@ -82,6 +86,8 @@ class _Reader(HTMLParser):
                 self.flush()
             else:
                 self.caption.append(" ")
+        if tag in BLOCK:
+            self.inside.append(tag)
         if tag == "figure":
             self.figures.append([len(self.items), None])
         given = dict(attrs)
@@ -94,6 +100,11 @@ class _Reader(HTMLParser):
             self.hidden.pop()
 
     def handle_endtag(self, tag) -> None:
+        if self.hidden and self.hidden[-1] == "noscript" and tag in BLOCK:
+            if tag in self.inside:
+                del self.inside[len(self.inside) - 1 - self.inside[::-1].index(tag) :]
+            else:
+                self.hidden.pop()  # it ends with the element around it
         if tag in self.hidden:
             del self.hidden[self.hidden.index(tag) :]
         elif tag == "figcaption" and self.caption is not None:
@@ -106,6 +117,8 @@ class _Reader(HTMLParser):
                 self.end_figure()
 
     def handle_data(self, data) -> None:
+        if self.hidden == ["head"] and data.strip():
+            self.hidden.clear()
         if not self.hidden:
             (self.run if self.caption is None else self.caption).append(data)
 
@@ -142,8 +155,9 @@ def parse_html(page: str | None) -> list[dict]:
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Return doc_id and items, an array of (position, kind, text, ref, digest, caption).
 
-    A null or empty page has no items; broken HTML is read as far as it goes;
-    repeated rows repeat; an empty table gives no rows; other columns are not read.
+    A null or empty page has no items; broken HTML is read as far as it goes; an open
+    head ends at the first element or text that can't stand in it, an open noscript with
+    the element around it; repeated rows repeat; an empty table gives no rows; other columns are not read.
     """
     bound_batches(pages.sparkSession)
 

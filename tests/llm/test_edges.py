@@ -149,6 +149,18 @@ def test_media(docs, none):
     assert media.sequences(none.withColumn("html", F.col("text")), "doc_id").count() == 0
 
 
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<html><head><title>t</title><p>Hello", ["Hello"]),
+    ("<head><title>t</title>Hello <b>you</b>", ["Hello you"]),
+    ("<head><noscript><link href=a><p>Hello</noscript>", ["Hello"]),
+    ("<head><meta charset=utf-8>  <script>x</script><template><p>no</template></head><p>a", ["a"]),
+    ("<div>a<noscript>no<p>no</div><p>b", ["a", "b"]),
+    ("<div>a<noscript><div>no</div><br>no</noscript>b</div>", ["a", "b"]),
+])
+def test_open_heads_and_noscripts_end(page, texts):
+    assert [i["text"] for i in media.parse_html(page)] == texts
+
+
 def test_html_sequences(spark):
     page = """<html><head><title>no</title><style>p{}</style></head><body><h1>Head &amp; more</h1><p>One <b>two</b><br>three
       <img src="http://x/a.png" alt="A"> four</p><figure><img src='data:image/png;base64,AAEC' alt="alt"><figcaption>The <i>caption</i></figcaption></figure>
