@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -383,6 +384,24 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     return first.drop("rare", "others").join(sums, "row", "left").select("doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
+def order_scores(docs: DataFrame, train: Column, orders: tuple[int, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per order: order, n_docs, n_better, score, base_score, for choosing an order.
+
+    An eighth of the training rows, by a hash of id and text, is scored by models of the
+    others; n_better of these n_docs rows have a higher score than base_score, and both
+    are summed. Rows outside ``train`` are never read, so they can't flatter a choice.
+    Rows repeated as a whole are on one side; null ids and texts are hashed like others;
+    without scored rows n_docs is 0 and the sums are null.
+    """
+    rows = docs.where(train).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    learned = F.pmod(F.xxhash64(F.lit("order"), "doc_id", "text"), F.lit(8)) != 0
+    found = []
+    for order in orders:
+        scored = score(rows, learned, order=order).where("not train")
+        found.append(scored.agg(F.lit(order).alias("order"), F.count("*").alias("n_docs"), F.count_if(F.col("score") > F.col("base_score")).alias("n_better"), F.sum("score").alias("score"), F.sum("base_score").alias("base_score")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def op8_ppm(spark, sf_dir: str) -> DataFrame:
     train = crc_mod(F.col("doc_id"), 10) != 0
     return score(table(spark, sf_dir, "documents"), train).withColumn("held_out", ~F.col("train")).drop("train")

@@ -35,6 +35,24 @@ def test_ppm_cuts_no_nodes(spark, bounds):
         assert got[i] == pytest.approx(w, rel=1e-5, abs=1e-5), (i, TEXTS[i])
 
 
+def test_order_scores_read_training_rows_only(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS * 3) if i != 7] + [(None, "nobody"), (None, None)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, train string")
+    train = F.coalesce(crc_mod(F.col("doc_id"), 5) != 0, F.lit(True))
+    got = {r["order"]: r for r in ppm.order_scores(df, train, (0, 3)).collect()}
+    marked = df.select("doc_id", "text", train.alias("in"), (F.pmod(F.xxhash64(F.lit("order"), "doc_id", "text"), F.lit(8)) != 0).alias("learned")).where("in").collect()
+    texts, learned = [(i, r["text"]) for i, r in enumerate(marked)], [r["learned"] for r in marked]
+    base = [x[-1] for x in base_scores(texts, lambda i: learned[i])]
+    held = [i for i, x in enumerate(learned) if not x]
+    assert 0 < len(held) < len(texts) < len(rows)
+    for order in (0, 3):
+        want = ppm_scores(texts, lambda i: learned[i], order)
+        assert got[order]["n_docs"] == len(held) and got[order]["n_better"] == sum(want[i] > base[i] for i in held)
+        assert got[order]["score"] == pytest.approx(sum(want[i] for i in held), rel=1e-5) and got[order]["base_score"] == pytest.approx(sum(base[i] for i in held), rel=1e-9)
+    empty = ppm.order_scores(df.limit(0), train, (2,)).collect()
+    assert [(r["order"], r["n_docs"], r["n_better"], r["score"]) for r in empty] == [(2, 0, 0, None)]
+
+
 def test_ppm_without_training_rows(spark):
     rows = ppm.score(frame(spark), F.lit(False), order=3).collect()
     for r in rows:
