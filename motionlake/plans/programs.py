@@ -104,7 +104,8 @@ def _by_scales(spark, d) -> DataFrame:
 
 
 def _components(spark, d) -> DataFrame:
-    rows = [(c, n) for c in CATEGORIES for n in available(c)]
+    """The components that work alone, as its SQL has them; the command line lists the stages of saved pipelines too."""
+    rows = [(c, n) for c in CATEGORIES for n in available(c, alone=True)]
     return spark.createDataFrame(rows, "category string, name string")
 
 

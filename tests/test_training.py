@@ -6,7 +6,7 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.ml import PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.sql import functions as F
 
 from motionlake import registry
@@ -117,3 +117,12 @@ def test_hold_outs(spark):
     assert training.validation_split(rows, "activity", "video_id").where("held_out").count() > 0
     assert training.train_and_evaluate(lone, "activity", ["knn"]) == {"viable": False, "error": "rare classes"}
     assert training.train_and_evaluate(rows.where("false"), "activity", ["knn"]) == {"viable": False, "error": "no samples"}
+
+
+def test_listed_models_work_alone(spark, sf_dir):
+    """A model that ``components`` lists is an estimator; the stages of saved pipelines are registered but told apart."""
+    from motionlake.plans import catalog
+
+    listed = {r["name"] for r in catalog.QUERIES["components"](spark, sf_dir).where("category = 'model'").collect()}
+    assert listed and all(isinstance(registry.build("model", n), Estimator) for n in listed)
+    assert listed | set(stages.build_stages) == set(registry.available("model")) and not listed & set(stages.build_stages)
