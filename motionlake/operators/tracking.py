@@ -93,11 +93,14 @@ def centres(boxes: np.ndarray) -> np.ndarray:
 
 
 class Centroid(Tracker):
-    """Nearest centres first, over all pairs; ties by track, then box."""
+    """Nearest centres first, over all pairs; ties by track, then box.
+
+    Distances are compared as squares, which are whole numbers: roots of equal ones may differ.
+    """
 
     def pairs(self, boxes):
         gap = centres(self.boxes)[:, None, :] - centres(boxes)[None, :, :]
-        d = np.hypot(gap[..., 0], gap[..., 1])
+        d = (gap * gap).sum(-1)
         rows, cols = [], []
         for _ in range(min(d.shape)):  # the least left, at first in reading order
             r, c = divmod(int(d.argmin()), d.shape[1])
