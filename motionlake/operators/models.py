@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from ..registry import register
 from . import learn
+from .reuse import written
 
 
 DEEPEST = 30  #: Spark allows no deeper tree; the reference has 100 for its tree and no limit for its forest.
 
 
+PART_ROWS = 40_000  #: Rows of all folds for each part of the rows that a fold's model is fitted to.
+
+
 @register("model", "decision_tree")
 def decision_tree(seed: int = 42):
     return DecisionTreeClassifier(impurity="entropy", maxDepth=DEEPEST, seed=seed, weightCol="weight")
@@ -84,13 +88,15 @@ def out_of_fold(rows: DataFrame, features: Sequence[str], label: str, id_col: st
     """id, truth, predicted, fold: each row is predicted by a model fitted to the other folds.
 
     Classes weigh in balance; folds are stratified and repeatable, and fitted at the same time.
+    The rows are dealt and written once. A level of a tree sends its sums from every part of the
+    rows, so parts are of many rows, and their number grows with the rows only.
     """
     ready, labels = prepared(learn.stratified_folds(rows.where(F.col(label).isNotNull()), label, id_col, folds, order), features, label, id_col, ["fold"])
-    ready = ready.persist()
+    ready = written(ready, "folds")
+    parts = -(-ready.count() // PART_ROWS) or 1
     names = F.array(*map(F.lit, labels))
     with ThreadPoolExecutor(folds) as pool:
-        fitted = list(pool.map(lambda k: model().fit(ready.where(F.col("fold") != k)), range(folds)))
-    ready.unpersist()
+        fitted = list(pool.map(lambda k: model().fit(ready.where(F.col("fold") != k).coalesce(parts)), range(folds)))
     parts = [m.transform(ready.where(F.col("fold") == k)).select("id", F.get(names, F.col("label").cast("int")).alias("truth"), F.get(names, F.col("prediction").cast("int")).alias("predicted"), "fold") for k, m in enumerate(fitted)]
     return reduce(DataFrame.union, parts)
 
